@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, token_counts, warc
+from . import bpe, decontaminate, quality, token_counts, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +29,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_byte_bpe, op6_decontaminate, op7_warc, op10_token_counts)}
+    return {f.__name__: f for f in (op5_byte_bpe, op6_decontaminate, op7_warc, op8_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
