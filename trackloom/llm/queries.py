@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, simhash, token_counts, toxicity, warc
+from . import bpe, decontaminate, quality, simhash, substrings, token_counts, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.deduplicate(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -50,12 +55,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op5_byte_bpe, op6_decontaminate, op7_warc, op8_quality, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op5_byte_bpe, op6_decontaminate, op7_warc, op8_quality, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL}
-
+    return {"op1_substring_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL}
+
+
+#: Every window of twenty words that is not the first of its kind.
+OP1_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+     r as (select doc_id, i, array_to_string(w[i : i + 19], ' ') as run from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+     l as (select doc_id, i from (select doc_id, i, row_number() over (partition by run order by doc_id, i) as k from r) where k > 1),
+     g as (select distinct doc_id, unnest(range(i, i + 20)) as k from l),
+     n as (select doc_id, count(*) as n_removed from g group by doc_id),
+     x as (select d.doc_id, string_agg(word, ' ' order by x.k) as kept from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as k from d) x
+           join d using (doc_id) left join g on g.doc_id = x.doc_id and g.k = x.k where g.k is null group by d.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join n using (doc_id) left join x using (doc_id)
+"""
 
 #: The windows of every item, of its own length, against all runs of as many words of every document.
 OP6_SQL = r"""
