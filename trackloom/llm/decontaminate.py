@@ -199,3 +199,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
         state = state.mapInArrow(searcher(shared, i == len(blocks) - 1), _STATE_DDL)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     return state.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs, with all their columns and without a shuffle."""
+    spark, schema = docs.sparkSession, docs.schema
+    ship_package(spark)
+
+    def cleaner(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(shared.value, window)
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    data = [joined(words_of(x)) for x in texts(part, "text")]
+                    hit = np.zeros(len(data), bool)
+                    begins = np.cumsum([0] + [len(x) + 1 for x in data])
+                    at = np.fromiter((s for s, _ in items.hits(b"\0".join(data))), np.int64)
+                    hit[np.searchsorted(begins, at, "right") - 1] = True
+                    yield part.filter(pa.array(~hit))
+
+        return run
+
+    for shared in map(spark.sparkContext.broadcast, _blocks(benchmark, block_bytes)):
+        docs = docs.mapInArrow(cleaner(shared), schema)
+    return docs

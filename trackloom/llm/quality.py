@@ -204,3 +204,17 @@ def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= keep).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model, least: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``least``, with all their columns and without a shuffle."""
+    ship_package(docs.sparkSession)
+    shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array([own.score(features(x)) >= least for x in texts(part, "text")], pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
