@@ -24,7 +24,7 @@ def frame_copies(events: DataFrame, fps: float = 25.0, longest_s: float = 5.0, o
     w = Window.partitionBy("camera_name").orderBy(*order)
     elapsed = (F.unix_micros(order[0]) - F.unix_micros(F.lag(order[0]).over(w))) / 1e6
     copies = F.greatest(F.lit(1), F.least(F.bround(elapsed * fps).cast("long"), F.lit(int(longest_s * fps))))
-    return events.withColumn("copies", F.coalesce(copies, F.lit(1)).cast("long"))
+    return events.withColumn("copies", F.when(elapsed.isNull(), 1).otherwise(copies).cast("long"))
 
 
 def duplicated_frames(events: DataFrame, **how) -> DataFrame:

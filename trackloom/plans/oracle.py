@@ -151,7 +151,7 @@ def oracle_sql() -> dict[str, str]:
             select camera_name, strftime(s, '%Y-%m-%d %H:%M:%S') as second, n, round(avg(n) over (partition by camera_name order by s rows between 29 preceding and current row), 6) as rolling_mean from c""",
         "latest_buffer": f"""with {ARRIVALS} select camera_name, event_id, rn from (select *, row_number() over (partition by camera_name, date_trunc('hour', ts) order by ts desc, event_id desc) as rn from arrivals) where rn <= 2""",
         "frame_duplication": f"""with {ARRIVALS}, g as (select event_id, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by camera_name order by ts, event_id)) / 1e6 as d from arrivals)
-            select event_id, coalesce(greatest(1, least(cast(round_even(d * 0.01, 0) as bigint), 8)), 1) as copies from g""",
+            select event_id, case when d is null then 1 else greatest(1, least(cast(round_even(d * 0.01, 0) as bigint), 8)) end as copies from g""",
         "source_stats": f"""{t}, p as (select camera_name, frame_idx, case when frame_idx >= 5 then track_id end as person from tracks)
             select camera_name, count(distinct frame_idx) as frames, count(*) as detections, count(distinct person) as persons, count(distinct coalesce(person, -1)) as persons_compat,
             round(count(*) / cast(greatest(count(distinct frame_idx), 1) as double), 3) as per_frame from p group by camera_name""",

@@ -52,7 +52,7 @@ def read_coco(spark: SparkSession, path: str) -> DataFrame:
 
 def read_counted_text(spark: SparkSession, path: str, classes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Files whose first line counts the lines ``label x1 y1 x2 y2`` that follow; a file without a number there is left out, and so are short lines."""
-    df = spark.read.option("wholetext", True).text(path).withColumn("image_id", labels.stem(F.col("_metadata.file_path")))
+    df = spark.read.text(path, wholetext=True).withColumn("image_id", labels.stem(F.col("_metadata.file_path")))
     lines = df.withColumn("lines", F.split("value", "\\r?\\n"))
     n = F.trim(F.element_at("lines", 1)).try_cast("int")
     rows = lines.where(n.isNotNull()).select("image_id", n.alias("n"), F.posexplode("lines").alias("order", "line")).where("order between 1 and n")

@@ -8,9 +8,11 @@ frame of its camera starts anew, which its next row's frame number shows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,17 +20,20 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions import geo
 from ..session import ship_package
 
+# a stateful processor is also loaded by a worker on the driver, which shipped archives don't reach
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CROSSED = "camera_name string, track_id long, door_id string, frame_idx long, event string, px long, py long"
 COUNTED = "room string, event_id long, ts timestamp, event string, occupancy long"
-#: Milliseconds after which a track's state is dropped.
-TRACK_TTL_MS = 3_600_000
 
 
 class CrossingProcessor(StatefulProcessor):
     """Key: camera, track and door. Input rows carry the side that counts (null within the band)."""
 
+    ttl_ms: int | None = None
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "frame long, side int", ttlDurationMs=TRACK_TTL_MS)
+        self.last = handle.getValueState("last", "frame long, side int", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         data = pd.concat(list(rows)).sort_values("frame_idx")
@@ -73,16 +78,23 @@ class OccupancyProcessor(StatefulProcessor):
         pass
 
 
-def stream_crossings(tracks: DataFrame, lines: DataFrame) -> DataFrame:
-    """Line crossings of a stream of tracks; directions are not looked at. Sides are computed before the rows are keyed."""
+def stream_crossings(tracks: DataFrame, lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Line crossings of a stream of tracks; directions are not looked at. Sides are computed before the rows are keyed.
+
+    On a stream without end, ``ttl_ms`` is how long a track that is gone keeps
+    its state. It needs a trigger that goes on, not one that stops at the end
+    of what is there.
+    """
     ship_package(tracks.sparkSession)
     df = tracks.join(lines, "camera_name")
     px, py = geo.crossing_point("x1", "y1", "x2", "y2", F.coalesce(F.col("crossing_point"), F.lit("foot")))
     df = df.withColumns({"px": px, "py": py})
     ends = ("px", "py", "sx", "sy", "ex", "ey")
     side = F.when((geo.side(*ends) != 0) & (geo.line_distance(*ends) > F.col("band_width")), geo.side(*ends))
+    processor = CrossingProcessor()
+    processor.ttl_ms = ttl_ms
     keyed = df.select("camera_name", "track_id", "door_id", "frame_idx", side.alias("side"), "inside_sign", "px", "py")
-    return keyed.groupBy("camera_name", "track_id", "door_id").transformWithStateInPandas(CrossingProcessor(), CROSSED, "Append", "ProcessingTime")
+    return keyed.groupBy("camera_name", "track_id", "door_id").transformWithStateInPandas(processor, CROSSED, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 def stream_occupancy(events: DataFrame, initial: int = 0) -> DataFrame:
