@@ -266,8 +266,9 @@ def fit(rows: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 0, b
         chosen, label = np.concatenate(chosen), np.concatenate(label).astype(np.float32)
         weight = np.where(label == 1, 0.5 / max(label.mean(), 1e-3), 0.5 / max(1 - label.mean(), 1e-3)).astype(np.float32)
         order = rng.permutation(len(chosen))
-        for k in range(0, len(order), batch):
-            own = order[k : k + batch]
+        size = max(16, min(batch, len(order) // 12))  # a small sample still gets a dozen steps
+        for k in range(0, len(order), size):
+            own = order[k : k + size]
             subset, number = _subset(words, window_words(words, first[chosen[own]], n[chosen[own]]))
             kept: dict = {}
             inputs = net.inputs(subset)
