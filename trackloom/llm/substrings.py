@@ -13,7 +13,9 @@ Entries travel as arrays, one row for each chunk of text and bucket, and a
 chunk first keeps one entry for all its equal windows, so a passage that very
 many documents share gives an entry a chunk instead of one a document. The
 number of buckets grows with the text, so that a bucket's arrays stay bounded.
-Texts are shuffled once, compressed, and that exchange serves all three steps.
+Texts are shuffled once, compressed, to homes of about a bucket's size, and
+that exchange serves all three steps; what is found goes to the homes as arrays
+too, one row for each bucket and home.
 
 Defined cases: a null text has no words and keeps the empty text; a document of
 fewer than twenty words is kept whole; of rows with the same doc_id, windows at
@@ -38,14 +40,14 @@ from .arrow_text import mix64, record_batch, slices, span_hashes, texts
 #: Words of a window whose repeats are removed, and of an anchor block: 2 * BLOCK - 1 may not exceed WINDOW.
 WINDOW, BLOCK = 20, 10
 #: Bytes of text for each bucket, about, and in each chunk.
-BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 8 << 20
+BUCKET_BYTES, CHUNK_BYTES = 8 << 20, 2 << 20
 LAST = (1 << 63) - 1
 
-PACKED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("packed", pa.binary()), ("size", pa.int64())])
+PACKED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("packed", pa.binary()), ("size", pa.int64()), ("home", pa.int32())])
 ENTRIES = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("names", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("at", pa.binary()), ("anchor", pa.binary())])
 _ENTRIES_DDL = "bucket int, known boolean, names binary, docs binary, counts binary, at binary, anchor binary"
-PLACES = pa.schema([("key", pa.int64()), ("at", pa.binary())])
-_PLACES_DDL = "key long, at binary"
+PLACES = pa.schema([("home", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("at", pa.binary())])
+_PLACES_DDL = "home int, docs binary, counts binary, at binary"
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.string())])
 _KEPT_DDL = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
 
@@ -55,7 +57,7 @@ def _unpack(part: pa.RecordBatch) -> list[bytes]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows again, in batches of about CHUNK_BYTES of unpacked text."""
+    """The rows again, in batches of about CHUNK_BYTES of unpacked text, each in order of its keys."""
     held, size = [], 0
     for batch in batches:
         sizes, start = batch.column(3).to_pylist(), 0
@@ -70,7 +72,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _together(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(p.num_rows for p in parts) else parts[0]
+    if not sum(p.num_rows for p in parts):
+        return parts[0]
+    return pa.Table.from_batches(parts).sort_by("key").combine_chunks().to_batches()[0]
 
 
 def _words(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,18 +104,37 @@ def _places(length: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
     return text, np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
 
+def _share(names: np.ndarray, n: int) -> np.ndarray:
+    """A number below ``n`` from the high half of each name."""
+    return (((names >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def _homes(key: np.ndarray, n: int) -> np.ndarray:
+    return _share(mix64(key.astype(np.uint64)), n)
+
+
 def _route(names: np.ndarray, keep: np.ndarray, key: np.ndarray, at: np.ndarray, anchor: np.ndarray, buckets: int, known: bool) -> Iterator[list]:
-    """Entries as rows of ENTRIES, one for each bucket. ``keep`` are the names as they are kept; the bucket comes from the high half of ``names``."""
-    bucket = (((names >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    """Entries as rows of ENTRIES, one for each bucket. ``keep`` are the names as they are kept; the bucket comes from ``names``."""
+    bucket = _share(names, buckets)
     order = np.argsort(bucket, kind="stable")
     bucket, keep, key, at, anchor = bucket[order], keep[order], key[order], at[order], anchor[order]
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
     for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)]):
         ids = key[i:j]
         turns = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        place = at[i:j]
-        narrow = int(place.max()) < 1 << 16
-        yield [int(bucket[i]), known, b"" if known else keep[i:j].tobytes(), ids[turns].tobytes(), np.diff([*turns, j - i]).astype(np.uint32).tobytes(), (b"\2" if narrow else b"\4") + place.astype(np.uint16 if narrow else np.uint32).tobytes(), b"" if known else np.packbits(anchor[i:j]).tobytes()]
+        docs = ids[turns[:1]].tobytes() + _narrow(np.diff(ids[turns]))
+        yield [int(bucket[i]), known, b"" if known else keep[i:j].tobytes(), docs, _narrow(np.diff([*turns, j - i])), _narrow(at[i:j]), b"" if known else np.packbits(anchor[i:j]).tobytes()]
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers of zero or more in as few bytes each as hold the largest, which come first."""
+    most = int(x.max()) if len(x) else 0
+    size = next(n for n in (1, 2, 4, 8) if most < 1 << (8 * n))
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def _columns(rows: list[list]) -> pa.RecordBatch:
@@ -119,15 +142,35 @@ def _columns(rows: list[list]) -> pa.RecordBatch:
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    key = np.repeat(np.frombuffer(row["docs"], np.int64), np.frombuffer(row["counts"], np.uint32))
-    return key, np.frombuffer(row["at"], np.uint16 if row["at"][0] == 2 else np.uint32, offset=1).astype(np.int64)
+    docs = np.cumsum(np.concatenate((np.frombuffer(row["docs"][:8], np.int64), _wide(row["docs"][8:]))))
+    return np.repeat(docs, _wide(row["counts"])), _wide(row["at"])
 
 
-def _by_document(key: np.ndarray, at: np.ndarray) -> tuple[list[int], list[bytes]]:
+def _send(keys: list[np.ndarray], ats: list[np.ndarray], homes: int) -> pa.Table:
+    """Places as rows of PLACES, one for each home of documents."""
+    if not keys or not sum(map(len, keys)):
+        return PLACES.empty_table()
+    key, at = np.concatenate(keys), np.concatenate(ats)
     order = np.argsort(key, kind="stable")
-    key, at = key[order], at[order].astype(np.uint32)
-    edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    return key[edges].tolist(), [at[i:j].tobytes() for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(key)])]
+    key, at, none = key[order], at[order], np.zeros(len(key), bool)
+    name = mix64(key.astype(np.uint64))
+    rows = [[r[0], r[3], r[4], r[5]] for r in _route(name, name, key, at, none, homes, True)]
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), PLACES)], schema=PLACES)
+
+
+class _Sent:
+    """The places that were sent to a home, by document."""
+
+    def __init__(self, table: pa.Table):
+        both = [_read(row) for row in table.to_pylist()]
+        key = np.concatenate([k for k, _ in both]) if both else np.zeros(0, np.int64)
+        at = np.concatenate([a for _, a in both]) if both else np.zeros(0, np.int64)
+        order = np.argsort(key, kind="stable")
+        self.key, self.at = key[order], at[order]
+
+    def of(self, keys: list[int]) -> list[np.ndarray]:
+        low, high = np.searchsorted(self.key, keys, "left"), np.searchsorted(self.key, keys, "right")
+        return [self.at[i:j] for i, j in zip(low.tolist(), high.tolist())]
 
 
 def _one_each(names: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,6 +192,8 @@ def anchor_entries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         key = chunk.column(1).to_numpy(zero_copy_only=False)[text]
         runs, anchor = _runs(names, BLOCK, 1)[first[text] + at], at % BLOCK == 0
         pick, anchored, again = _one_each(runs, anchor)
+        order = np.argsort(pick)  # a document's entries side by side
+        pick, anchored = pick[order], anchored[order]
         rows = list(_route(runs[pick], (runs[pick] & np.uint64(0xFFFFFFFF)).astype(np.uint32), key[pick], at[pick], anchored, buckets, False))
         if len(again):
             again = np.sort(again)
@@ -172,7 +217,7 @@ def _bucket_entries(table: pa.Table, kind: type) -> tuple[list, list, np.ndarray
     return known_key, known_at, join(names, kind), join(keys, np.int64), join(ats, np.int64), join(anchors, bool)
 
 
-def anchor_hits(table: pa.Table) -> pa.Table:
+def anchor_hits(table: pa.Table, homes: int) -> pa.Table:
     """Step 1, in a bucket: the windows whose words an anchor block and another place share."""
     known_key, known_at, names, key, at, anchor = _bucket_entries(table, np.uint32)
     if len(names):
@@ -183,8 +228,7 @@ def anchor_hits(table: pa.Table) -> pa.Table:
         hit = order[np.repeat((many > 1) & np.logical_or.reduceat(anchor[order], edges), many)]
         known_key.append(key[hit])
         known_at.append(at[hit])
-    keys, places = _by_document(np.concatenate(known_key), np.concatenate(known_at)) if known_key else ([], [])
-    return pa.table([pa.array(keys, pa.int64()), pa.array(places, pa.binary())], schema=PLACES)
+    return _send(known_key, known_at, homes)
 
 
 def _later(names: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,15 +240,16 @@ def _later(names: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     return order[edges], order[(k != k[lead]) | (a != a[lead])]
 
 
-def window_entries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def window_entries(packed: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
     """Step 2, where the texts are: hits extended to the windows of twenty words that hold them."""
-    for chunk in _chunks(batch.filter(pc.is_valid(batch.column(4))) for batch in batches):
+    sent, out = _Sent(hits), []
+    hit_rows = packed.filter(pc.is_in(packed.column(1), pa.array(np.unique(sent.key))))
+    for chunk in _chunks(iter(hit_rows.to_batches())):
         names, length, first = _words(_unpack(chunk))
         total = int(length.sum())
         near = np.zeros(total + 1, np.int32)  # +1 where windows that hold a hit begin, -1 behind them
-        for begin, n, lists in zip(first.tolist(), length.tolist(), chunk.column(4).to_pylist()):
+        for begin, n, hit in zip(first.tolist(), length.tolist(), sent.of(chunk.column(1).to_pylist())):
             if n >= WINDOW:
-                hit = np.frombuffer(b"".join(lists), np.uint32).astype(np.int64)
                 low, high = np.maximum(hit - (WINDOW - BLOCK), 0), np.minimum(hit, n - WINDOW) + 1
                 ok = low < high
                 np.add.at(near, begin + low[ok], 1)
@@ -221,39 +266,40 @@ def window_entries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         rows = list(_route(route[pick], runs[pick], key[pick], at[pick], none[pick], buckets, False))
         if len(later):
             rows += _route(route[later], runs[later], key[later], at[later], none[later], buckets, True)
-        yield _columns(rows)
+        out.append(_columns(rows))
+    return pa.Table.from_batches(out, ENTRIES)
 
 
-def repeated_windows(table: pa.Table) -> pa.Table:
+def repeated_windows(table: pa.Table, homes: int) -> pa.Table:
     """Step 2, in a bucket: the windows whose words also start at an earlier place."""
     known_key, known_at, names, key, at, _ = _bucket_entries(table, np.uint64)
     if len(names):
         _, later = _later(names, key, at)
         known_key.append(key[later])
         known_at.append(at[later])
-    keys, places = _by_document(np.concatenate(known_key), np.concatenate(known_at)) if known_key else ([], [])
-    return pa.table([pa.array(keys, pa.int64()), pa.array(places, pa.binary())], schema=PLACES)
+    return _send(known_key, known_at, homes)
 
 
-def remove_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def remove_repeats(packed: pa.Table, repeats: pa.Table) -> pa.Table:
+    """Step 3: the texts without the words of the windows that were sent."""
+    sent, out = _Sent(repeats), []
+    for chunk in _chunks(iter(packed.to_batches())):
         rows = []
-        for doc_id, text, lists in zip(batch.column(0).to_pylist(), _unpack(batch), batch.column(4).to_pylist()):
-            words = text.split(b" ") if text else []
-            spans: list[dict] = []
-            if lists:
-                near = np.zeros(len(words) + 1, np.int32)
-                at = np.frombuffer(b"".join(lists), np.uint32).astype(np.int64)
-                at = at[at + WINDOW <= len(words)]
+        for doc_id, text, at in zip(chunk.column(0).to_pylist(), _unpack(chunk), sent.of(chunk.column(1).to_pylist())):
+            n, spans = text.count(b" ") + 1 if text else 0, []
+            if len(at):
+                words = text.split(b" ")
+                near = np.zeros(n + 1, np.int32)
+                at = at[at + WINDOW <= n]
                 np.add.at(near, at, 1)
                 np.add.at(near, at + WINDOW, -1)
                 gone = np.cumsum(near[:-1]) > 0
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
                 spans = [{"start": i, "end": j} for i, j in edges.reshape(-1, 2).tolist()]
-                if spans:
-                    text = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-            rows.append([doc_id, len(words), sum(s["end"] - s["start"] for s in spans), spans, text.decode()])
-        yield record_batch(KEPT, list(zip(*rows)) if rows else [[] for _ in KEPT])
+                text = b" ".join([w for w, g in zip(words, gone.tolist()) if not g]) if spans else text
+            rows.append([doc_id, n, sum(s["end"] - s["start"] for s in spans), spans, text.decode()])
+        out.append(record_batch(KEPT, list(zip(*rows))))
+    return pa.Table.from_batches(out, KEPT)
 
 
 def deduplicate(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -270,16 +316,13 @@ def deduplicate(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
             for part in slices(batch, "text"):
                 lines = [b" ".join(x.split()) for x in texts(part, "text")]
                 ids = part.column(0).to_pylist()
-                yield record_batch(PACKED, [ids, [LAST if i is None else i for i in ids], [pa.compress(x, codec="zstd", asbytes=True) for x in lines], [len(x) for x in lines]])
-
-    packed = rows.mapInArrow(pack, "doc_id long, key long, packed binary, size long").repartition(partitions, "key")
+                key = np.array([LAST if i is None else i for i in ids], np.int64)
+                yield record_batch(PACKED, [ids, key, [pa.compress(x, codec="zstd", asbytes=True) for x in lines], [len(x) for x in lines], _homes(key, buckets).astype(np.int32)])
 
-    def with_places(found: DataFrame) -> DataFrame:
-        lists = found.groupBy("key").agg(F.collect_list("at").alias("places"))
-        return packed.join(lists, "key", "left").select("doc_id", "key", "packed", "size", "places")
+    packed = rows.mapInArrow(pack, "doc_id long, key long, packed binary, size long, home int").repartition(partitions, "home")
 
     entries = packed.mapInArrow(lambda batches: anchor_entries(batches, buckets), _ENTRIES_DDL)
-    hits = entries.groupBy("bucket").applyInArrow(anchor_hits, _PLACES_DDL)
-    windows = with_places(hits).mapInArrow(lambda batches: window_entries(batches, buckets), _ENTRIES_DDL)
-    repeats = windows.groupBy("bucket").applyInArrow(repeated_windows, _PLACES_DDL)
-    return with_places(repeats).mapInArrow(remove_repeats, _KEPT_DDL)
+    hits = entries.groupBy("bucket").applyInArrow(lambda table: anchor_hits(table, buckets), _PLACES_DDL)
+    windows = packed.groupBy("home").cogroup(hits.groupBy("home")).applyInArrow(lambda texts, found: window_entries(texts, found, buckets), _ENTRIES_DDL)
+    repeats = windows.groupBy("bucket").applyInArrow(lambda table: repeated_windows(table, buckets), _PLACES_DDL)
+    return packed.groupBy("home").cogroup(repeats.groupBy("home")).applyInArrow(remove_repeats, _KEPT_DDL)
