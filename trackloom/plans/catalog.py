@@ -199,12 +199,12 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def yolo_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = etl.yolo_labels(_boxes(spark, sf_dir), 70.0)
-    return found.select("image_id", "order", *[F.round(c, 6).alias(c) for c in ("xc", "yc", "w", "h")])
+    return found.select("image_id", "order", *[F.round(c, 10).alias(c) for c in ("xc", "yc", "w", "h")])  # shares of the frame end within ten digits or never, so none is a tie
 
 
 def yolo_normalize_unclipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = etl.yolo_labels(_boxes(spark, sf_dir), clipped=False)
-    return found.select("image_id", "order", *[F.round(c, 6).alias(c) for c in ("xc", "yc", "w", "h")])
+    return found.select("image_id", "order", *[F.round(c, 10).alias(c) for c in ("xc", "yc", "w", "h")])  # shares of the frame end within ten digits or never, so none is a tie
 
 
 def annotation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,8 +175,7 @@ def oracle_sql() -> dict[str, str]:
             round(count(*) filter (first <= 5) / count(*), 6) as cmc_5, round(count(*) filter (first <= 10) / count(*), 6) as cmc_10 from a""",
         "similarity_separation": f"""with {SIMILAR}, s as (select a.pid = b.pid as same, list_inner_product(a.u, b.u) as s from units a join units b on a.id < b.id),
             r as (select avg(s) filter (same) as m, stddev_pop(s) filter (same) as d, avg(s) filter (not same) as n, stddev_pop(s) filter (not same) as e from s)
-            select round(m, 6) as same_mean, round(d, 6) as same_std, round(n, 6) as different_mean, round(e, 6) as different_std, round(m - n, 6) as separation
-            from (select round(m, 6) as m, round(d, 6) as d, round(n, 6) as n, round(e, 6) as e from r)""",
+            select round(m, 6) as same_mean, round(d, 6) as same_std, round(n, 6) as different_mean, round(e, 6) as different_std, round(m - n, 6) as separation from r""",
         "triplet_loss": f"""with {FEATURES}, p as (select a.e as a, b.e as b, c.e as c from features a join features b on b.id = a.id + 1 join features c on c.id = a.id + 2 where a.id % 3 = 0)
             select count(*) as triplets, round(avg(greatest(0, pow(list_distance(a, b), 2) - pow(list_distance(a, c), 2) + 0.3)), 6) as loss from p""",
         "batch_hard_loss": _hard(strict=True),
@@ -192,10 +191,10 @@ def oracle_sql() -> dict[str, str]:
             select count(*) as total_persons, max(global_id) + 1 as next_global_id, count(*) filter (cameras > 1) as cross_camera_persons, (select count(distinct cid) from features) as total_cameras from c""",
         "reservoir_sample": f"""with {FEATURES}, n as (select id, pid, row_number() over (partition by pid order by id) <= 10 as anchor from features),
             k as (select *, row_number() over (partition by pid, anchor order by md5(concat('7:', pid, ':', id)), id) as k from n) select pid, id, anchor from k where anchor or k <= 20""",
-        "yolo_normalize": f"""{t}, {BOXES} select image_id, event_id as "order", round(least(1, greatest(0, (x0 + w0 / 2) / width)), 6) as xc, round(least(1, greatest(0, (y0 + h0 / 2) / height)), 6) as yc,
-            round(least(1, greatest(0, w0 / width)), 6) as w, round(least(1, greatest(0, h0 / height)), 6) as h from cut where w > 0 and h > 0 and h >= 70 and w0 > 0 and h0 > 0""",
-        "yolo_normalize_unclipped": f"""{t}, {BOXES} select image_id, event_id as "order", round(least(0.999, greatest(0.001, (x + w / 2) / width)), 6) as xc, round(least(0.999, greatest(0.001, (y + h / 2) / height)), 6) as yc,
-            round(least(0.999, greatest(0.001, w / width)), 6) as w, round(least(0.999, greatest(0.001, h / height)), 6) as h from boxes""",
+        "yolo_normalize": f"""{t}, {BOXES} select image_id, event_id as "order", round(least(1, greatest(0, (x0 + w0 / 2) / width)), 10) as xc, round(least(1, greatest(0, (y0 + h0 / 2) / height)), 10) as yc,
+            round(least(1, greatest(0, w0 / width)), 10) as w, round(least(1, greatest(0, h0 / height)), 10) as h from cut where w > 0 and h > 0 and h >= 70 and w0 > 0 and h0 > 0""",
+        "yolo_normalize_unclipped": f"""{t}, {BOXES} select image_id, event_id as "order", round(least(0.999, greatest(0.001, (x + w / 2) / width)), 10) as xc, round(least(0.999, greatest(0.001, (y + h / 2) / height)), 10) as yc,
+            round(least(0.999, greatest(0.001, w / width)), 10) as w, round(least(0.999, greatest(0.001, h / height)), 10) as h from boxes""",
         "annotation_counts": f"""{t}, {BOXES}, i as (select image_id, count(*) filter (h >= 100 and w > 0 and w0 > 0 and h0 > 0) as good from cut group by image_id)
             select count(*) filter (image_id not like '%0' and good > 0) as converted, count(*) filter (image_id like '%0') as no_image, count(*) filter (image_id not like '%0' and good = 0) as no_person,
             (select count(*) from boxes) as annotations from i""",
