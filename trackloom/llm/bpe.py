@@ -50,23 +50,26 @@ class MinimalHash:
             h = xxhash.xxh3_64_intdigest(token, seed)
             groups[h % self.buckets].append((h, i))
         self.move = np.zeros(self.buckets, np.int64)
-        taken = bytearray(self.n)
+        taken = np.zeros(self.n, bool)
         place = [0] * self.n
         for b in sorted(range(self.buckets), key=lambda b: -len(groups[b])):
             group = groups[b]
             if len(group) < 2:
                 break
-            d = 0
-            while True:
-                slots = [self._slot(h, d) for h, _ in group]
-                if len(set(slots)) == len(slots) and not any(taken[s] for s in slots):
+            names, low = np.array([h for h, _ in group], np.uint64)[:, None], 0
+            while True:  # 256 displacements at a time
+                slots = self._slots(names, np.arange(low, low + 256, dtype=np.uint64))
+                fits = ~taken[slots].any(0) & (np.diff(np.sort(slots, axis=0), axis=0) != 0).all(0)
+                if fits.any():
+                    d = low + int(fits.argmax())
+                    slots = slots[:, d - low].tolist()
                     break
-                d += 1
-                if d > 5_000_000:
+                low += 256
+                if low > 5_000_000:
                     raise ValueError("two tokens have one hash; give another seed")
             self.move[b] = d
             for s, (_, i) in zip(slots, group, strict=True):
-                taken[s], place[i] = 1, s
+                taken[s], place[i] = True, s
         free = iter([s for s in range(self.n) if not taken[s]])
         for b in range(self.buckets):  # a bucket of one names its slot itself
             if len(groups[b]) == 1:
@@ -78,6 +81,12 @@ class MinimalHash:
             self.tokens[s], self.ranks[s] = tokens[i], ranks[i]
         self.moves, self.rank_list = self.move.tolist(), self.ranks.tolist()
 
+    def _slots(self, names: np.ndarray, moves: np.ndarray) -> np.ndarray:
+        """As :meth:`_slot`, for many names and displacements."""
+        x = names ^ (moves * np.uint64(0x9E3779B97F4A7C15))
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return ((x ^ (x >> np.uint64(29))) % np.uint64(self.n)).astype(np.int64)
+
     def _slot(self, h: int, d: int) -> int:
         x = (h ^ (d * 0x9E3779B97F4A7C15)) & _MASK
         x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & _MASK
