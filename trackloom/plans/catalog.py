@@ -12,6 +12,7 @@ from ..operators import boxes, crossings, etl, gallery, metrics, occupancy, pres
 from ..session import fresh_dir
 from ..sources import results
 from ..streaming import processors
+from . import expressions
 from . import fixtures as fx
 
 EVENTS = list(crossings.EVENT_COLUMNS)
@@ -271,4 +272,4 @@ QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in (*QUERIES, *expressions.QUERIES)}
