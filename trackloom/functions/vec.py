@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def doubles(v: Column | str) -> Column:
     return (v if isinstance(v, Column) else F.col(v)).cast("array<double>")
 
 
+def with_value(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once a row: a lambda evaluates what it only refers to for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -21,8 +28,7 @@ def norm(v: Column) -> Column:
 
 
 def normalize(v: Column, epsilon: float = EPSILON) -> Column:
-    n = norm(v) + epsilon
-    return F.transform(v, lambda x: x / n)
+    return with_value(v, lambda a: with_value(norm(a) + epsilon, lambda n: F.transform(a, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column, epsilon: float = EPSILON) -> Column:
@@ -44,9 +50,12 @@ def is_nonzero(v: Column) -> Column:
 
 def mean_of(vectors: Column) -> Column:
     """Element-wise mean of an array of vectors."""
-    n = F.size(vectors)
-    total = F.aggregate(F.slice(vectors, F.lit(2), F.greatest(n - 1, F.lit(0))), F.element_at(vectors, 1), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-    return F.when(n > 0, F.transform(total, lambda x: x / n))
+    def mean(all_: Column) -> Column:
+        n = F.size(all_)
+        total = F.aggregate(F.slice(all_, F.lit(2), F.greatest(n - 1, F.lit(0))), F.element_at(all_, 1), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+        return F.when(n > 0, F.transform(total, lambda x: x / n))
+
+    return with_value(vectors, mean)
 
 
 def strided(vectors: Column, parts: int = 10) -> Column:

@@ -1,7 +1,8 @@
 """Tracklets: what is gathered about a track before and after it has an identity.
 
 Input rows are observations: camera_name, track_id, frame_idx, embedding
-(array, all zero where there was no usable crop) and ``is_edge``.
+(array, all zero where there was no usable crop) and ``is_edge``. A column
+``usable``, where there is one, stands for the test of the embedding.
 """
 
 from __future__ import annotations
@@ -19,9 +20,8 @@ ANCHORED, RESERVOIR = 10, 20
 def with_maturity(observations: DataFrame, stable: int = STABLE_FRAMES, most: int = ANY_FRAMES) -> DataFrame:
     """Adds running counts over the stretch of presence and ``mature``: enough usable whole-body views, or enough views at all."""
     df = observations if "seg" in observations.columns else presence.with_segments(observations)
-    usable = vec.is_nonzero(F.col("embedding"))
     w = presence.in_segment().rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("usable", usable)
+    df = df if "usable" in df.columns else df.withColumn("usable", vec.is_nonzero(F.col("embedding")))
     df = df.withColumns({"n_usable": F.count_if("usable").over(w), "n_stable": F.count_if(F.col("usable") & ~F.col("is_edge")).over(w)})
     return df.withColumn("mature", (F.col("n_stable") >= stable) | (F.col("n_usable") >= most))
 
@@ -38,9 +38,9 @@ def queries(observations: DataFrame, stable: int = STABLE_FRAMES, most: int = AN
 
     A track has ``most`` embeddings there at most, so they are gathered as an array.
     """
-    df = presence.with_segments(observations)
-    ready = maturity(df, stable, most).drop("n_stable", "n_usable")
-    rows = df.join(ready, [*presence.TRACK, "seg"]).where(F.col("frame_idx") <= F.col("mature_frame")).where(vec.is_nonzero(F.col("embedding")))
+    df = presence.with_segments(observations.withColumn("usable", vec.is_nonzero(F.col("embedding"))))
+    ready = maturity(df.drop("embedding"), stable, most).drop("n_stable", "n_usable")
+    rows = df.join(ready, [*presence.TRACK, "seg"]).where((F.col("frame_idx") <= F.col("mature_frame")) & F.col("usable"))
     gathered = rows.groupBy(*presence.TRACK, "mature_frame").agg(F.array_sort(F.collect_list(F.struct("frame_idx", vec.doubles("embedding").alias("v")))).alias("rows"))
     vectors = F.transform("rows", lambda r: r["v"])
     return gathered.select(*presence.TRACK, "mature_frame", F.size("rows").alias("n_views"), vec.normalize(vec.mean_of(vectors)).alias("embedding"), vec.strided(vectors).alias("views"))
