@@ -112,6 +112,17 @@ def test_substrings_of_random_texts(spark):
         assert told(substrings.deduplicate(rows_of(spark, texts), 500).collect(), ["doc_id", "n_words", "n_removed", "kept"]) == removed_words(texts)
 
 
+@pytest.mark.parametrize("shared_id", [None, 7])
+def test_substrings_of_rows_that_share_an_id(spark, shared_id):
+    own = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    run = own("r")
+    texts = [(1, run), (shared_id, run + " " + own("a")), (shared_id, own("b") + " " + own("c")), (shared_id, own("d") + " " + own("e")), (shared_id, own("d") + " " + own("f"))]
+    found = sorted(r.kept for r in substrings.deduplicate(rows_of(spark, texts)).collect())
+    first = [run, own("a"), own("b") + " " + own("c")]
+    # of the last two, which repeat at the same place, one keeps the run
+    assert found in (sorted([*first, own("d") + " " + own("e"), own("f")]), sorted([*first, own("e"), own("d") + " " + own("f")]))
+
+
 # 2
 
 

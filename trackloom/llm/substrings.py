@@ -18,10 +18,11 @@ that exchange serves all three steps; what is found goes to the homes as arrays
 too, one row for each bucket and home.
 
 Defined cases: a null text has no words and keeps the empty text; a document of
-fewer than twenty words is kept whole; of rows with the same doc_id, windows at
-the same place are neither earlier nor later than each other, so rows repeated
-whole don't remove each other; a null doc_id sorts behind all others; extra
-columns are ignored; an empty table gives an empty one.
+fewer than twenty words is kept whole; windows of rows with the same doc_id
+are in order of their places, then of a hash of the row; rows repeated whole
+count as one and don't remove each other; a null doc_id sorts behind all
+others, and rows without one are told apart by their words; extra columns are
+ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +45,11 @@ WINDOW, BLOCK = 20, 10
 BUCKET_BYTES, CHUNK_BYTES = 8 << 20, 2 << 20
 LAST = (1 << 63) - 1
 
-PACKED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("packed", pa.binary()), ("size", pa.int64()), ("home", pa.int32())])
-ENTRIES = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("names", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("at", pa.binary()), ("anchor", pa.binary())])
-_ENTRIES_DDL = "bucket int, known boolean, names binary, docs binary, counts binary, at binary, anchor binary"
-PLACES = pa.schema([("home", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("at", pa.binary())])
-_PLACES_DDL = "home int, docs binary, counts binary, at binary"
+PACKED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("packed", pa.binary()), ("size", pa.int64()), ("home", pa.int32())])
+ENTRIES = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("names", pa.binary()), ("rows", pa.binary()), ("counts", pa.binary()), ("at", pa.binary()), ("anchor", pa.binary()), ("ids", pa.binary())])
+_ENTRIES_DDL = "bucket int, known boolean, names binary, rows binary, counts binary, at binary, anchor binary, ids binary"
+PLACES = pa.schema([("home", pa.int32()), ("rows", pa.binary()), ("counts", pa.binary()), ("at", pa.binary())])
+_PLACES_DDL = "home int, rows binary, counts binary, at binary"
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.string())])
 _KEPT_DDL = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
 
@@ -57,7 +59,7 @@ def _unpack(part: pa.RecordBatch) -> list[bytes]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows again, in batches of about CHUNK_BYTES of unpacked text, each in order of its keys."""
+    """The rows again, in batches of about CHUNK_BYTES of unpacked text, each in order of its rows' keys."""
     held, size = [], 0
     for batch in batches:
         sizes, start = batch.column(3).to_pylist(), 0
@@ -74,7 +76,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _together(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     if not sum(p.num_rows for p in parts):
         return parts[0]
-    return pa.Table.from_batches(parts).sort_by("key").combine_chunks().to_batches()[0]
+    return pa.Table.from_batches(parts).sort_by("row").combine_chunks().to_batches()[0]
 
 
 def _words(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,17 +115,18 @@ def _homes(key: np.ndarray, n: int) -> np.ndarray:
     return _share(mix64(key.astype(np.uint64)), n)
 
 
-def _route(names: np.ndarray, keep: np.ndarray, key: np.ndarray, at: np.ndarray, anchor: np.ndarray, buckets: int, known: bool) -> Iterator[list]:
-    """Entries as rows of ENTRIES, one for each bucket. ``keep`` are the names as they are kept; the bucket comes from ``names``."""
+def _route(names: np.ndarray, keep: np.ndarray, key: np.ndarray, at: np.ndarray, anchor: np.ndarray, buckets: int, known: bool, ids: np.ndarray | None = None) -> Iterator[list]:
+    """Entries as rows of ENTRIES, one for each bucket. ``keep`` are the names as they are kept; the bucket comes from ``names``; ``key`` is the row's, ``ids`` the order of its document."""
     bucket = _share(names, buckets)
     order = np.argsort(bucket, kind="stable")
     bucket, keep, key, at, anchor = bucket[order], keep[order], key[order], at[order], anchor[order]
+    ids = None if ids is None else ids[order]
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
     for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)]):
-        ids = key[i:j]
-        turns = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        docs = ids[turns[:1]].tobytes() + _narrow(np.diff(ids[turns]))
-        yield [int(bucket[i]), known, b"" if known else keep[i:j].tobytes(), docs, _narrow(np.diff([*turns, j - i])), _narrow(at[i:j]), b"" if known else np.packbits(anchor[i:j]).tobytes()]
+        own = key[i:j]
+        turns = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        rows = own[turns[:1]].tobytes() + _narrow(np.diff(own[turns]))
+        yield [int(bucket[i]), known, b"" if known else keep[i:j].tobytes(), rows, _narrow(np.diff([*turns, j - i])), _narrow(at[i:j]), b"" if known else np.packbits(anchor[i:j]).tobytes(), b"" if ids is None else ids[i:j][turns].tobytes()]
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -142,12 +145,12 @@ def _columns(rows: list[list]) -> pa.RecordBatch:
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    docs = np.cumsum(np.concatenate((np.frombuffer(row["docs"][:8], np.int64), _wide(row["docs"][8:]))))
-    return np.repeat(docs, _wide(row["counts"])), _wide(row["at"])
+    rows = np.cumsum(np.concatenate((np.frombuffer(row["rows"][:8], np.int64), _wide(row["rows"][8:]))))
+    return np.repeat(rows, _wide(row["counts"])), _wide(row["at"])
 
 
 def _send(keys: list[np.ndarray], ats: list[np.ndarray], homes: int) -> pa.Table:
-    """Places as rows of PLACES, one for each home of documents."""
+    """Places as rows of PLACES, one for each home of texts."""
     if not keys or not sum(map(len, keys)):
         return PLACES.empty_table()
     key, at = np.concatenate(keys), np.concatenate(ats)
@@ -159,7 +162,7 @@ def _send(keys: list[np.ndarray], ats: list[np.ndarray], homes: int) -> pa.Table
 
 
 class _Sent:
-    """The places that were sent to a home, by document."""
+    """The places that were sent to a home, by row."""
 
     def __init__(self, table: pa.Table):
         both = [_read(row) for row in table.to_pylist()]
@@ -192,7 +195,7 @@ def anchor_entries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         key = chunk.column(1).to_numpy(zero_copy_only=False)[text]
         runs, anchor = _runs(names, BLOCK, 1)[first[text] + at], at % BLOCK == 0
         pick, anchored, again = _one_each(runs, anchor)
-        order = np.argsort(pick)  # a document's entries side by side
+        order = np.argsort(pick)  # a row's entries side by side
         pick, anchored = pick[order], anchored[order]
         rows = list(_route(runs[pick], (runs[pick] & np.uint64(0xFFFFFFFF)).astype(np.uint32), key[pick], at[pick], anchored, buckets, False))
         if len(again):
@@ -201,8 +204,8 @@ def anchor_entries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         yield _columns(rows)
 
 
-def _bucket_entries(table: pa.Table, kind: type) -> tuple[list, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    known_key, known_at, names, keys, ats, anchors = [], [], [], [], [], []
+def _bucket_entries(table: pa.Table, kind: type) -> tuple[list, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    known_key, known_at, names, keys, ats, anchors, ids = [], [], [], [], [], [], []
     for row in table.to_pylist():
         key, at = _read(row)
         if row["known"]:
@@ -213,13 +216,15 @@ def _bucket_entries(table: pa.Table, kind: type) -> tuple[list, list, np.ndarray
             keys.append(key)
             ats.append(at)
             anchors.append(np.unpackbits(np.frombuffer(row["anchor"], np.uint8), count=len(key)).astype(bool))
+            if row["ids"]:
+                ids.append(np.repeat(np.frombuffer(row["ids"], np.int64), _wide(row["counts"])))
     join = lambda parts, of: np.concatenate(parts) if parts else np.zeros(0, of)
-    return known_key, known_at, join(names, kind), join(keys, np.int64), join(ats, np.int64), join(anchors, bool)
+    return known_key, known_at, join(names, kind), join(keys, np.int64), join(ats, np.int64), join(anchors, bool), join(ids, np.int64)
 
 
 def anchor_hits(table: pa.Table, homes: int) -> pa.Table:
     """Step 1, in a bucket: the windows whose words an anchor block and another place share."""
-    known_key, known_at, names, key, at, anchor = _bucket_entries(table, np.uint32)
+    known_key, known_at, names, key, at, anchor, _ = _bucket_entries(table, np.uint32)
     if len(names):
         order = np.argsort(names, kind="stable")
         same = names[order]
@@ -231,9 +236,9 @@ def anchor_hits(table: pa.Table, homes: int) -> pa.Table:
     return _send(known_key, known_at, homes)
 
 
-def _later(names: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _later(names: np.ndarray, ids: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal names the earliest place, and all that are later than the earliest one."""
-    order = np.lexsort((at, key, names))
+    order = np.lexsort((key, at, ids, names))
     n, k, a = names[order], key[order], at[order]
     edges = np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1])))
     lead = np.repeat(edges, np.diff([*edges, len(n)]))
@@ -260,10 +265,11 @@ def window_entries(packed: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
         text = np.searchsorted(first, place, "right") - 1
         key, at = chunk.column(1).to_numpy(zero_copy_only=False)[text], place - first[text]
         runs, route = _runs(names, WINDOW, 2)[place], _runs(names, WINDOW, 3)[place]
-        pick, later = _later(runs, key, at)
+        ids = pc.fill_null(chunk.column(0), LAST).to_numpy(zero_copy_only=False)[text]
+        pick, later = _later(runs, ids, at, key)
         none = np.zeros(len(place), bool)
         pick, later = np.sort(pick), np.sort(later)
-        rows = list(_route(route[pick], runs[pick], key[pick], at[pick], none[pick], buckets, False))
+        rows = list(_route(route[pick], runs[pick], key[pick], at[pick], none[pick], buckets, False, ids[pick]))
         if len(later):
             rows += _route(route[later], runs[later], key[later], at[later], none[later], buckets, True)
         out.append(_columns(rows))
@@ -272,9 +278,9 @@ def window_entries(packed: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
 
 def repeated_windows(table: pa.Table, homes: int) -> pa.Table:
     """Step 2, in a bucket: the windows whose words also start at an earlier place."""
-    known_key, known_at, names, key, at, _ = _bucket_entries(table, np.uint64)
+    known_key, known_at, names, key, at, _, ids = _bucket_entries(table, np.uint64)
     if len(names):
-        _, later = _later(names, key, at)
+        _, later = _later(names, ids, at, key)
         known_key.append(key[later])
         known_at.append(at[later])
     return _send(known_key, known_at, homes)
@@ -316,10 +322,11 @@ def deduplicate(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
             for part in slices(batch, "text"):
                 lines = [b" ".join(x.split()) for x in texts(part, "text")]
                 ids = part.column(0).to_pylist()
-                key = np.array([LAST if i is None else i for i in ids], np.int64)
+                # one name for rows that are equal, another one for any other row, though it has the same id or none
+                key = np.array([xxhash.xxh64_intdigest(b"" if i is None else i.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(x)) >> 1 for i, x in zip(ids, lines)], np.int64)
                 yield record_batch(PACKED, [ids, key, [pa.compress(x, codec="zstd", asbytes=True) for x in lines], [len(x) for x in lines], _homes(key, buckets).astype(np.int32)])
 
-    packed = rows.mapInArrow(pack, "doc_id long, key long, packed binary, size long, home int").repartition(partitions, "home")
+    packed = rows.mapInArrow(pack, "doc_id long, row long, packed binary, size long, home int").repartition(partitions, "home")
 
     entries = packed.mapInArrow(lambda batches: anchor_entries(batches, buckets), _ENTRIES_DDL)
     hits = entries.groupBy("bucket").applyInArrow(lambda table: anchor_hits(table, buckets), _PLACES_DDL)
