@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackloom.llm import bpe, components, decontaminate, fingerprints, pii, quality, queries, simhash, substrings, token_counts, toxicity, warc
+from trackloom.llm import bpe, components, decontaminate, fingerprints, pii, quality, queries, shingles, simhash, substrings, token_counts, toxicity, warc
 
 NAMES = queries.queries()
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -522,6 +522,50 @@ def test_links_lose_no_component(spark, group):
     assert groups([found.get(s, s) for s in signed]) == groups(roots)
 
 
+def shingles_by_hand(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard_components_by_hand(texts, likeness=0.8):
+    sets, root = [shingles_by_hand(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) / len(a | b) >= likeness:
+                root = [root[j] if r == root[i] else r for r in root]
+    return [root.index(r) for r in root]
+
+
+def edited_copies():
+    """Copies whose five-word Jaccard to the one before, and to the first, lies on either side of 0.8."""
+    rng, texts = random.Random(21), []
+    for _ in range(12):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(rng.randint(60, 200))]
+        texts.append(" ".join(base))
+        for _ in range(5):
+            for _ in range(rng.randint(1, 4)):
+                base[rng.randrange(len(base))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(base))
+    rng.shuffle(texts)
+    return [*texts, "one two three four", "One  two three four", "one two three", None, "", " ", texts[0].upper()]
+
+
+def test_near_copies_equal_five_word_jaccard(spark):
+    texts = edited_copies()
+    found = {r.doc_id: r.component_id for r in shingles.near_duplicates(rows_of(spark, list(enumerate(texts)))).collect()}
+    want = jaccard_components_by_hand(texts)
+    assert [found[i] for i in range(len(texts))] == want
+    assert 12 < len(set(want)) < len(texts) - 20  # some copies are near and some are not
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    texts = edited_copies()
+    kept = corpus_pipeline.near_duplicate_stage(spark, rows_of(spark, list(enumerate(texts))), "")
+    assert {r.doc_id for r in kept.collect()} == set(jaccard_components_by_hand(texts))
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5, 5)]
     found = {r.node: r.root for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
