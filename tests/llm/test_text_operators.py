@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackloom.llm import bpe, components, decontaminate, fingerprints, pii, quality, queries, shingles, simhash, substrings, token_counts, toxicity, warc
+from trackloom.llm import arrow_text, bpe, components, decontaminate, fingerprints, pii, quality, queries, shingles, simhash, substrings, token_counts, toxicity, warc
 
 NAMES = queries.queries()
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -112,6 +112,48 @@ def test_substrings_of_random_texts(spark):
         assert told(substrings.deduplicate(rows_of(spark, texts), 500).collect(), ["doc_id", "n_words", "n_removed", "kept"]) == removed_words(texts)
 
 
+def test_substrings_tell_words_apart(spark):
+    """A Thue-Morse word and its complement have one name under any polynomial modulo a power of two."""
+    word, other = "a", "b"
+    for _ in range(10):
+        word, other = word + other, other + word
+    lead = " ".join(f"w{k}" for k in range(20))
+    texts = [(1, f"{lead} {word}"), (2, f"v {lead[3:]} {other}"), (3, f"x {lead[3:]} {word}")]
+    found = substrings.deduplicate(rows_of(spark, texts))
+    assert told(found.collect(), ["doc_id", "n_words", "n_removed", "kept"]) == removed_words(texts)
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {1: 0, 2: 0, 3: 20}
+
+
+@pytest.mark.parametrize("first,second", [(-5, None), (-(2**62), 2**62), (-(2**63), None), (5, None)])
+def test_substrings_of_distant_ids(spark, first, second):
+    run = " ".join(f"w{k}" for k in range(40))
+    texts = [(second, run + " b"), (first, "a " + run)]
+    found = substrings.deduplicate(rows_of(spark, texts), 100).withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
+    assert told(found.collect(), ["doc_id", "n_words", "n_removed", "kept"]) == removed_words(texts)
+    assert {r.n_removed for r in found.collect()} == {0, 40}
+
+
+def test_substrings_of_rows_repeated_whole(spark, monkeypatch):
+    """Rows that are repeated whole go to several homes and count as one."""
+    monkeypatch.setattr(substrings, "TOGETHER", 2)
+    run = " ".join(f"w{k}" for k in range(30))
+    texts = [(4, run)] * 40 + [(9, "a " + run)]
+    found = substrings.deduplicate(rows_of(spark, texts), 200).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in found) == [(4, 0)] * 40 + [(9, 30)]
+
+
+def test_names_of_runs():
+    names = arrow_text.word_names([b"a b c a b c d", b"", b"a b c"])
+    assert names.shape == (10, 2)
+    assert (names[:3] == names[7:]).all()
+    for n in (1, 2, 3, 5, 7, 10):
+        runs = arrow_text.run_names(names[:, 0], n)
+        assert len(runs) == 11 - n
+        assert n > 3 or (runs[0] == runs[3]) == (runs[0] == runs[7]) == True  # noqa: E712
+        assert len(set(runs.tolist())) == len({tuple(names[i : i + n, 0].tolist()) for i in range(11 - n)})
+    assert len(arrow_text.run_names(names[:2, 0], 5)) == 0
+
+
 @pytest.mark.parametrize("shared_id", [None, 7])
 def test_substrings_of_rows_that_share_an_id(spark, shared_id):
     own = lambda c: " ".join(f"{c}{k}" for k in range(30))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,45 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Distinct words whose names are kept at once.
+_KNOWN = 500_000
+
+
+def word_names(lines: list[bytes]) -> np.ndarray:
+    """The halves of the 128-bit BLAKE2b digest of every word of ``lines``, end to end: [words, 2] 64-bit numbers."""
+    known: dict[bytes, bytes] = {}
+    parts = []
+    for line in lines:
+        words = line.split()
+        for word in set(words).difference(known):
+            known[word] = blake2b(word, digest_size=16).digest()
+        parts.append(b"".join(map(known.__getitem__, words)))
+        if len(known) > _KNOWN:
+            known.clear()
+    return np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
+
+
+def run_names(words: np.ndarray, n: int) -> np.ndarray:
+    """A name for the run of ``n`` words at every place, made by joining runs of powers of two.
+
+    Runs that cross a text's end have a name too, which is not to be used.
+    """
+    done, size, part, width = None, 0, words, 1
+    while True:
+        if n & width:
+            done, size = (part, width) if done is None else (_joined(done, part, size), size + width)
+        if size == n:
+            return done[: max(0, len(words) - n + 1)]
+        part, width = _joined(part, part, width), 2 * width
+
+
+def _joined(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """Names of the runs made of one of ``left``, of ``size`` words, and the one of ``right`` behind it."""
+    n = max(0, min(len(left), len(right) - size))
+    after = right[size : size + n]
+    return mix64(left[:n] * np.uint64(0x9E3779B97F4A7C15) + ((after << np.uint64(29)) | (after >> np.uint64(35))))
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
