@@ -36,13 +36,16 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only with a local master,
+    as in tests, a temporary folder of this machine is used where that is unset;
+    on a cluster that would lose what other machines write, so it is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = getattr(spark.sparkContext, "_trackloom_shared", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is not set: name a folder there that driver and executors share")
             found = "file://" + tempfile.mkdtemp(prefix="trackloom-shared-")
             spark.sparkContext._trackloom_shared = found
         spark.sparkContext.setCheckpointDir(found)
@@ -59,4 +62,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.trackloom_path = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made, once nothing reads them any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.trackloom_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
