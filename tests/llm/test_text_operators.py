@@ -564,6 +564,31 @@ def test_links_lose_no_component(spark, group):
     assert groups([found.get(s, s) for s in signed]) == groups(roots)
 
 
+def test_a_large_group_goes_through_the_rings(spark):
+    """5000 fingerprints that agree in their first segment, with links planted among them."""
+    rng = random.Random(3)
+    prints = {rng.getrandbits(42) << 22 | 12345 for _ in range(4900)}
+    for p in sorted(prints)[:100]:
+        prints.add(p ^ 1 << rng.randrange(22, 64) ^ 1 << rng.randrange(22, 64))
+    prints = sorted(prints)
+    signed = [p if p < 1 << 63 else p - (1 << 64) for p in prints]
+    links = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))
+    found = {r.node: r.root for r in components.connected_components(links).collect()}
+    whole = np.array(prints, np.uint64)
+    want = {(signed[i], signed[j]) for i in range(len(prints)) for j in np.flatnonzero(np.bitwise_count(whole ^ whole[i]) <= 2).tolist() if i < j}
+    assert len(want) >= 90
+    assert all(found[a] == found[b] for a, b in want)
+    assert len(found) == len({x for pair in want for x in pair})
+
+
+def test_frequent_keys_are_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(components, "FREQUENT", 3)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 20), (3, 2), (4, 1)) for i in range(n)], "k long, i long")
+    named = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("name", F.col("k") * 10)
+    found = components.with_frequent(rows, named, "k", "n", 73)
+    assert sorted((r.k, r.i, r.name) for r in found.collect()) == sorted((r.k, r.i, r.k * 10) for r in rows.collect())
+
+
 def shingles_by_hand(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()

@@ -1,8 +1,11 @@
 """Connected components of a link table, by alternating large and small stars.
 
-Each round is two group-bys with map-side combination and two equi-joins, so a
-node with very many links is neither gathered into one list nor into one task.
-The links of a round are written to the shared folder, which ends the lineage.
+Each round is two group-bys with map-side combination and two joins. A node with
+very many links is neither gathered into one list nor into one task: a node's
+least neighbour is looked up by :func:`with_frequent`, which sends the nodes
+with many links to all tasks and shuffles only what remains. The links of a
+round are written to the shared folder, which ends the lineage; the tables of
+a round are deleted when the next one is written.
 """
 
 from __future__ import annotations
@@ -10,28 +13,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import dropped, written
 
 #: Rounds after which the input is taken to be broken; each at least halves long paths.
 MOST_ROUNDS = 60
+#: Keys that may be sent to all tasks: those with a share of 1 / FREQUENT or more of the rows, of which there are no more than FREQUENT.
+FREQUENT = 2048
+
+
+def with_frequent(rows: DataFrame, named: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``named`` (one row for each ``key``) without a task that gets all rows of one key.
+
+    ``named`` says in ``count`` how many of the ``total`` rows have its key. Keys
+    that hold 1 / FREQUENT of the rows or more are FREQUENT at most, whatever
+    the data, and are broadcast; of any other key few rows are shuffled.
+    """
+    often = named.where(F.col(count) * FREQUENT >= F.lit(total)).drop(count)
+    rare = named.where(F.col(count) * FREQUENT < F.lit(total)).drop(count)
+    met = rows.join(F.broadcast(often), key)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti")
+    return met.unionByName(rest.join(rare, key))
 
 
 def _both(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     near = _both(links)
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return with_frequent(near.where("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the least of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = with_frequent(down, least, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -41,13 +60,17 @@ def connected_components(links: DataFrame, rounds: int = MOST_ROUNDS) -> DataFra
     Links of a node to itself are dropped; nodes without other links are not
     returned. Null ends are dropped. Without links the result is empty.
     """
+    size = (F.count("*"), F.bit_xor(F.xxhash64("a", "b")))
     current = written(links.where("a <> b").select("a", "b").distinct(), "links")
-    before = None
+    before = tuple(current.agg(*size).first())
     for _ in range(rounds):
-        stars = _small_star(_large_star(current)).distinct()
-        current = written(stars, "links")
-        now = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(now) == before:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = tuple(now)
+        # the large star keeps the number of links
+        after = written(_small_star(_large_star(current, before[0]), before[0]).distinct(), "links")
+        now = tuple(after.agg(*size).first())
+        dropped(current)
+        current = after
+        if now == before:
+            ends = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return ends.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        before = now
     raise RuntimeError(f"components did not settle within {rounds} rounds")

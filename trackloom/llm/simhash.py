@@ -8,11 +8,11 @@ segments (the chain of one), pairs that fail the chain of two are dropped, and
 only the rest gets the full Hamming check. Pairs are compared as arrays within
 a group; a group hands on at most one link less than it has members.
 
-A group of over ``GROUP`` members is not paired. Its members take an exact way
-whose work grows in proportion: two fingerprints differ in at most two bits if
-and only if some 64-bit value differs from either in at most one, so each
-member is listed under the 65 values of its ball, and members that meet there
-are linked. At most 65 fingerprints can meet.
+A group of over ``GROUP`` members is cut by the same rule: its members are equal
+in some bits, so their differences lie in the others, which form a ring of
+three segments again. That goes on until groups are small: at the fifth level a
+group's members differ in ten bits or fewer, so there are 1024 of them at most.
+Every link comes from a chain of one and passes the chain of two.
 
 Equal fingerprints are one node from the start.
 
@@ -29,20 +29,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package, written
 from .arrow_text import ascii_lower, record_batch, slices, texts
-from .components import connected_components
+from .components import connected_components, with_frequent
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
-#: Lowest bit and width of the ring's segments.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Members of a group that are compared with each other.
 GROUP = 1024
 #: Pairs that are compared as one array.
 TOGETHER = 1 << 20
+#: Most tasks that a large group's members are spread over while it is cut.
+SALTS = 32
+_ALL = (1 << 64) - 1
 
 PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -79,17 +80,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _segment(fp: Column, low: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
+def ring(mask: int) -> list[tuple[int, int]]:
+    """Of fingerprints equal in the bits of ``mask``, the segments of the others: each with what is equal then, and the segment behind it."""
+    rest = [1 << k for k in range(64) if not mask >> k & 1]
+    cuts = [len(rest) * i // 3 for i in range(4)]
+    segments = [sum(rest[i:j]) for i, j in zip(cuts, cuts[1:])]
+    return [(mask | segments[i], segments[(i + 1) % 3]) for i in range(3)]
 
 
-def chain_links(ring: int, members: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
-    """Links that join those members of a group (equal in segment ``ring``) whose chains from there keep within budget."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _listed(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """Each row of ``nodes`` (fp, mask) under the three segments of its ring: fp, mask, after and the part of fp that its group shares."""
+    rings = F.create_map(*[
+        x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.struct(F.lit(_signed(a)).alias("mask"), F.lit(_signed(b)).alias("after")) for a, b in ring(m)]))
+    ])
+    rows = nodes.select("fp", F.explode(rings[F.col("mask")]).alias("r")).select("fp", "r.*")
+    return rows.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
+
+
+def chain_links(members: np.ndarray, after: int, most: int = MOST_BITS) -> list[tuple[int, int]]:
+    """Links that join those members of a group whose chains of two, the second one being the bits of ``after``, keep within budget."""
     members = np.sort(members)
     whole = members.view(np.uint64)
-    low, width = SEGMENTS[(ring + 1) % len(SEGMENTS)]
-    after = (whole >> np.uint64(low)) & np.uint64((1 << width) - 1)
-    budget = 2 * most // len(SEGMENTS)
+    second = whole & np.uint64(after & _ALL)
+    budget = 2 * most // 3
     n, root, out = len(members), list(range(len(members))), []
 
     def top(i: int) -> int:
@@ -100,7 +117,7 @@ def chain_links(ring: int, members: np.ndarray, most: int = MOST_BITS) -> list[t
 
     step = max(1, TOGETHER // max(n, 1))
     for i in range(0, n, step):
-        near = np.bitwise_count(after[i : i + step, None] ^ after[None, :]) <= budget
+        near = np.bitwise_count(second[i : i + step, None] ^ second[None, :]) <= budget
         a, b = np.nonzero(near)
         a, b = a[b > a + i] + i, b[b > a + i]
         close = np.bitwise_count(whole[a] ^ whole[b]) <= most
@@ -119,33 +136,41 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for ring, members in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found += chain_links(ring, np.asarray(members.values, np.int64))
+            for after, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found += chain_links(np.asarray(members.values, np.int64), after)
             yield record_batch(LINKS, [[x for x, _ in found], [x for _, x in found]])
 
-    segments = F.array(*[_segment(F.col("fp"), low, width) for low, width in SEGMENTS])
-    listed = nodes.select("fp", F.posexplode(segments).alias("ring", "part"))
-    sizes = listed.groupBy("ring", "part").agg(F.count("*").alias("size")).where("size > 1")
-    sized = written(listed.join(sizes, ["ring", "part"]), "segments")
-    groups = sized.where(F.col("size") <= group).groupBy("ring", "part").agg(F.collect_list("fp").alias("members"))
-    paired = groups.select("ring", "members").mapInArrow(pair, "a long, b long")
-    ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << k) if k < 63 else -(1 << 63)).cast("long")) for k in range(64)])
-    met = (
-        sized.where(F.col("size") > group).select("fp").distinct()
-        .select("fp", F.explode(ball).alias("value"))
-        .groupBy("value").agg(F.collect_list("fp").alias("members"), F.min("fp").alias("a"))
-        .where(F.size("members") > 1)
-    )
-    balls = met.select("a", F.explode("members").alias("b")).where("a <> b")
-    return paired.unionByName(balls)
+    masks, rows, out = [0], nodes.select("fp", F.lit(0).cast("long").alias("mask")), None
+    while True:
+        listed = _listed(rows, masks)
+        masks = sorted({m for mask in masks for m, _ in ring(mask)})
+        # a ring of so few bits can't have more members than there are values of them
+        last = 1 << (64 - min(m.bit_count() for m in masks)) <= max(group, 1 << 9)
+        small = listed
+        if not last:
+            large = written(listed.groupBy("mask", "after", "part").agg(F.count("*").alias("n")).where(F.col("n") > group).drop("n"), "large-groups")
+            salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            marked = listed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+            marked = marked.join(salted.withColumn("is_large", F.lit(True)), ["mask", "after", "part", "salt"], "left")
+            small = marked.where("is_large is null")
+        groups = small.groupBy("mask", "after", "part").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+        found = groups.select("after", "members").mapInArrow(pair, "a long, b long")
+        out = found if out is None else out.unionByName(found)
+        if last or large.isEmpty():
+            return out
+        rows = written(marked.where("is_large").select("fp", "mask").distinct(), "large-group-members")
 
 
 def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links, its own included) for each row of ``docs``."""
     prints = written(fingerprints(docs), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprint-nodes")
     roots = connected_components(links(nodes.select("fp"), group)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(component_ids(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))), "components")
+    return with_frequent(prints, named, "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
+
+
+def component_ids(rooted: DataFrame) -> DataFrame:
+    """``rooted`` (root, least, ...) with component_id, the least ``least`` of each root; a root may have most of the rows."""
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
+    return with_frequent(rooted, least, "root", "_n", rooted.count()).drop("root", "least")
