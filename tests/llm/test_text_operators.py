@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackloom.llm import arrow_text, bpe, components, decontaminate, fingerprints, pii, quality, queries, shingles, simhash, substrings, token_counts, toxicity, warc
+from trackloom.llm import arrow_text, bpe, components, decontaminate, fingerprints, labelled, pii, quality, queries, shingles, simhash, substrings, token_counts, toxicity, warc
 
 NAMES = queries.queries()
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -284,6 +284,106 @@ def test_classifiers_on_held_out_rows(spark, docs, empty, kind):
     assert module.train(empty, labels) is not None
 
 
+def test_equal_texts_have_equal_scores(spark):
+    """However rows are batched."""
+    train, labels = _labelled(spark)
+    model = toxicity.train(train, labels)
+    texts = [r.text for r in train.select("text").collect()]
+    many = rows_of(spark, [(i, t) for i, t in enumerate(texts + ["a b", ""] + texts[::-1] + texts[:7])])
+    scores = {}
+    for parts in (1, 3, 7):
+        for r in toxicity.score(many.repartition(parts), model).join(many.select("doc_id", "text"), "doc_id").collect():
+            scores.setdefault(r.text, set()).add(r.score)
+    assert all(len(x) == 1 for x in scores.values())
+
+
+def plain_logit(net, words):
+    """The network's logit of one window by loops over words, in double precision."""
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        name = arrow_text.span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))
+        edged, own = b" " + word + b" ", np.zeros(toxicity.EMBEDDED)
+        grams = [edged[i : i + n] for n in toxicity.GRAMS for i in range(len(edged) - n + 1)]
+        for g in grams:
+            number = np.array([int.from_bytes(g, "little") + (len(g) << 56)], np.uint64)
+            own = own + p["char"][toxicity._bucket(number, toxicity.CHAR_BITS)[0]]
+        return np.concatenate([p["word"][toxicity._bucket(name, toxicity.WORD_BITS)[0]], own / np.sqrt(max(1, len(grams)))])
+
+    x = [vector(w) for w in words]
+    both = {}
+    for side, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        state, both[side] = np.zeros(h), {}
+        for t in order:
+            a, u = x[t] @ p["W" + side] + p["c" + side], state @ p["U" + side]
+            z, r = sig(a[:h] + u[:h]), sig(a[h : 2 * h] + u[h : 2 * h])
+            state = (1 - z) * np.tanh(a[2 * h :] + r * u[2 * h :]) + z * state
+            both[side][t] = state
+    states = [np.concatenate([both["f"][t], both["b"][t]]) for t in range(len(x))]
+    weight = np.exp([np.tanh(s @ p["Wa"] + p["ba"]) @ p["va"] for s in states])
+    return float(sum(w * s for w, s in zip(weight, states)) / weight.sum() @ p["wo"] + p["bo"][0])
+
+
+def test_toxicity_scores_equal_a_plain_forward_pass(spark):
+    train, labels = _labelled(spark)
+    net = toxicity.train(train, labels)
+    rows = {r.doc_id: r for r in toxicity.score(train, net).collect()}
+    for r in train.limit(25).collect():
+        words = r.text.lower().encode().split()
+        starts = range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+        logit = max(plain_logit(net, words[i : i + toxicity.WINDOW]) for i in starts)
+        assert rows[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-logit)), abs=2e-4)
+
+
+def test_samples_are_full_and_bounded(spark):
+    docs = rows_of(spark, [(i, "x" * (9000 if i % 2 else 10)) for i in range(400)] + [(2, f"copy {k}") for k in range(50)])
+    labels = spark.createDataFrame([(i, i % 3 // 2) for i in range(400)] + [(4, 0), (4, 1)], "doc_id long, toxic int")
+    rows = labelled.labelled_sample(docs, labels, "toxic", 30, 100).collect()
+    assert sorted(r.y for r in rows) == [0] * 30 + [1] * 30
+    assert all(len(r.text) <= 100 for r in rows)
+    everything = labelled.labelled_sample(docs, labels, "toxic", 10**6).collect()
+    assert len(everything) == len({r.doc_id for r in everything})
+    assert 4 not in {r.doc_id for r in everything}
+
+
+def test_features_are_plain_ngrams(spark):
+    rng = random.Random(4)
+    for n in (0, 1, 3, 40, 90000):
+        text = "".join(rng.choice("abcdé 7\n.X") for _ in range(n)).encode()
+        found = quality.features(text)
+        trigrams = {int.from_bytes(text[i : i + 3], "big") + (1 << 32) for i in range(len(text) - 2)}
+        words = text.split()
+        name = lambda w: int(arrow_text.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+        names = [name(w) for w in words]
+        kind = lambda c: 97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c
+        shapes = [kind(w[0]) << 16 | kind(w[-1]) << 8 | min(len(w), 15) >> 1 << 1 | (i > 0 and words[i - 1] == w) for i, w in enumerate(words)]
+        want = trigrams | set(names) | {x | 1 << 40 for x in shapes} | {a << 24 | b | 1 << 50 for a, b in zip(shapes, shapes[1:])}
+        want |= {(a * 0x9E3779B97F4A7C15 + b + 7) % 2**64 for a, b in zip(names, names[1:])}
+        numbers = arrow_text.mix64(np.array(sorted(want), np.uint64)) >> np.uint64(64 - quality.BITS)
+        assert found.tolist() == sorted(set(numbers.tolist()))
+        assert (quality.unpack_features(quality.pack_features(found)) == found).all()
+
+
+def test_hinge_fit_is_the_primal_optimum():
+    rng = np.random.default_rng(2)
+    rows = [np.sort(rng.choice(60, 12, replace=False)) for _ in range(80)]
+    y = rng.integers(0, 2, 80)
+    ratio = np.zeros(quality.BUCKETS)
+    ratio[:60] = rng.normal(size=60)
+    weight, intercept = quality.fit_hinge(rows, y, ratio, sweeps=3000)
+    x = np.zeros((80, 61))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+    x[:, 60] = 1  # the intercept is a weight as any other
+    sign, cost = np.where(y == 1, 1.0, -1.0), 0.5 / np.where(y == 1, (y == 1).mean(), (y == 0).mean())
+    w = np.append(weight[:60], intercept)
+    loss = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - sign * (x @ w)) ** 2).sum()
+    slope = w - x.T @ (2 * cost * sign * np.maximum(0, 1 - sign * (x @ w)))
+    assert abs(slope).max() < 0.05  # of the gradient, against some 10 at zero
+    assert all(loss(w) <= loss(w + 0.02 * rng.normal(size=61)) for _ in range(200))
+
+
 def test_quality_keeps_all_columns(spark):
     train, labels = _labelled(spark)
     kept = quality.keep(train, quality.train(train, labels))
@@ -325,31 +425,52 @@ def test_base_spans_equal_plain_patterns(spark):
 
 
 def disclosed_by_hand(texts, support=pii.SUPPORT, least=pii.GENERALISE):
-    """(kind, entity, term) whose share reaches the threshold, with plain loops."""
-    seen, entities, n_t = {}, {}, {}
-    for _, t in texts:
-        for term in {w for w in re.split(r"[\W_]+", (t or "").lower()) if len(w) >= 3}:
+    """(kind, entity, term) whose share reaches the threshold, with plain loops over the different texts."""
+    seen, entities, n_t, held, contexts_of = {}, {}, {}, {}, {}
+    different = {t or "" for _, t in texts}
+    for t in different:
+        for term in {w.lower() for w in re.split(r"[\W_]+", t) if len(w) >= 3}:
             n_t[term] = n_t.get(term, 0) + 1
-    for _, t in texts:
-        for s in filter(None, plain_spans(t or "").split(",")):
+    for t in different:
+        for s in filter(None, plain_spans(t).split(",")):
             kind, a, b = s.split(":")
             left, right = t[: int(a)], t[int(b) :]
             left = left if len(left) < pii.REACH else re.sub(r"^[^\W_]+", "", left[-pii.REACH :])
             right = right if len(right) < pii.REACH else re.sub(r"[^\W_]+$", "", right[: pii.REACH])
             value, context = t[int(a) : int(b)].lower(), (left.lower(), right.lower())
-            for term in re.findall(r"[^\W\d_][^\W_]{2,}", left.lower()) + re.findall(r"[^\W\d_][^\W_]{2,}", right.lower()):
-                seen.setdefault((kind, value, term), set()).add(context)
-                entities.setdefault((kind, value), set()).add(context)
-    out, n = set(), len(texts)
+            for term in re.split(r"[\W_]+", left) + re.split(r"[\W_]+", right):
+                if len(term) >= 3 and term[0].isalpha():
+                    key = (kind, value, term.lower())
+                    seen.setdefault(key, set()).add(context)
+                    held.setdefault(key, set()).add(t)
+                    entities.setdefault(key[:2], set()).add(t)
+                    contexts_of.setdefault(key[:2], set()).add(context)
+    out, n = set(), len(different)
     for (kind, value, term), where in seen.items():
-        n_e, n_et = len(entities[kind, value]), len(where)
-        if n_et >= support and n > n_e:
+        n_e, n_et = len(entities[kind, value]), len(held[kind, value, term])
+        if len(where) >= support and len(contexts_of[kind, value]) >= support and n > n_e:
             share = np.log2(n_et * n / (n_e * max(n_t.get(term, 0), n_et))) / np.log2(n / n_e)
             if share >= least:
                 out.add((kind, value, term))
     return out
 
 
+@pytest.mark.parametrize("copies", [1, 20])
+def test_copies_hide_no_disclosing_term(spark, copies):
+    """The terms are the same whether each text is there once or often, as are those that begin with a digit."""
+    rng = random.Random(9)
+    line = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    private = [f"{line(4)} Quillon {line(3)} 3abc q.zed@mail.example {line(2)} 4Vexford İzmir {line(4)}" for _ in range(5)]
+    texts = [(i, line(30) + " abc") for i in range(200)] + [(1000 + k, t) for k, t in enumerate(private * copies)]
+    spans = pii.find(rows_of(spark, texts)).select("doc_id", F.explode("spans").alias("s")).where("s.kind = 'term'")
+    by_id = dict(texts)
+    found = {by_id[r.doc_id][r.s.start : r.s.end].lower() for r in spans.collect()}
+    assert found == {t for _, _, t in disclosed_by_hand(texts)}
+    assert "quillon" in found
+    assert not {"abc", "vexford", "3abc"} & found
+    assert spans.where("doc_id >= 1000").count() == copies * spans.where("doc_id between 1000 and 1004").count()
+
+
 def test_disclosing_terms_equal_plain_loops(spark):
     rng = random.Random(6)
     line = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
@@ -495,6 +616,40 @@ def test_archives_come_back(spark, tmp_path):
     assert warc.round_trip(spark, df.limit(0)).count() == 0
 
 
+def test_archives_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 300)
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 700).alias("html")).repartition(2)
+    folder = "file://" + str(tmp_path)
+    files = warc.write_archives(pages, folder).cache()
+    assert files.count() > 8
+    found = warc.read_archives(files, folder)
+    assert found.rdd.getNumPartitions() == min(files.count(), 8 * spark.sparkContext.defaultParallelism)
+    assert found.groupBy(F.spark_partition_id()).count().count() > 4
+    assert found.count() == 40
+
+
+def test_many_empty_pages_are_dealt_out(spark):
+    """Pages without content share a digest; no task gets them all."""
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("html"))
+    folder = warc.fresh_dir(spark, "warc")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = [r.records for r in warc.write_archives(pages, folder).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(records) == 4000
+    assert max(records) < 2000
+
+
+def test_a_very_long_page_comes_back(spark):
+    long = "<p>" + "".join(chr(97 + k % 26) for k in range(3 << 20))
+    df = spark.createDataFrame([(1, "u", long), (2, "u", long), (3, "u", "x")], "page_id long, url string, html string")
+    found = {r.page_id: r for r in warc.round_trip(spark, df).collect()}
+    assert bytes(found[2].payload).decode() == long
+    assert (found[1].record_type, found[1].refers_to, found[1].payload_bytes) == ("revisit", 2, len(long))
+
+
 def test_broken_archives_are_noticed():
     import io
 

@@ -11,15 +11,23 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """doc_id, text and y of at most ``per_class`` training documents of each class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int | None = None) -> DataFrame:
+    """doc_id, text and y of at most ``per_class`` rows of ``docs`` of each class, of at most ``most_chars`` characters.
 
-    Ids are chosen by a hash, so the sample is the same on every run; rows with
-    a null id or label are never chosen. The ids, ``2 * per_class`` at most,
-    are what is broadcast to the scan of the documents.
+    Ids are chosen by a hash among those that have a text, so the sample is the
+    same on every run; rows with a null id or label are never chosen. An id with
+    both labels is no evidence and is left out. Of rows that share an id the
+    one with the least hash of its text is taken, so rows are bounded as ids
+    are. The ids, ``2 * per_class`` at most, are what is broadcast to the scan
+    of the texts.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id"))
-    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    chosen = parts[0].unionByName(parts[1]).dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_most")).where("y = _most").drop("_most")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    if most_chars is not None:
+        texts = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= most_chars)
+    known = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    rows = texts.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    first = F.min_by("text", F.xxhash64("text"))
+    return rows.withColumn("text", F.coalesce("text", F.lit(""))).groupBy("doc_id", "y").agg(first.alias("text")).select("doc_id", "text", "y")

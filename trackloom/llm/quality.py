@@ -9,7 +9,8 @@ that three folds give for rows left out set the sigmoid that turns a margin
 into a score.
 
 The sample for fitting is bounded by ``per_class``; its rows come to the driver
-as feature numbers, at most ``BUCKETS`` each. Scoring covers every whole text.
+as all their feature numbers or, where that is shorter, as a set of ``BUCKETS``
+bits, 32 KB. Scoring covers every whole text.
 
 Defined cases: a null or empty text has no features and gets the score of the
 intercept; with labels of one class only, every score is 0.999 or 0.001 as that
@@ -35,8 +36,6 @@ BITS = 18
 BUCKETS = 1 << BITS
 #: Rows of each class that the model is fitted on, at most.
 PER_CLASS = 2000
-#: Features of one row that are sent for fitting; texts in the sample that have more keep a hashed choice of them.
-FIT_FEATURES = 20_000
 #: Contract of the query: a document whose score reaches this is kept.
 KEEP = 0.3
 
@@ -52,12 +51,30 @@ def features(text: bytes) -> np.ndarray:
     data = np.frombuffer(text, np.uint8)
     if not len(data):
         return np.zeros(0, np.int64)
+    found = [(mix64(numbers) >> _DROP).astype(np.int64) for numbers in _ngrams(data)]
+    if sum(map(len, found)) < BUCKETS // 8:  # sorting a short text's is cheaper than looking at all buckets
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
     marked = np.zeros(BUCKETS, bool)
-    for numbers in _ngrams(data):
-        marked[(mix64(numbers) >> _DROP).astype(np.int64)] = True
+    for numbers in found:
+        marked[numbers] = True
     return np.flatnonzero(marked)
 
 
+def pack_features(found: np.ndarray) -> bytes:
+    """All of a text's features: four bytes each, or a bit for every bucket where that is shorter."""
+    if len(found) * 4 < BUCKETS // 8:
+        return found.astype("<i4").tobytes()
+    marked = np.zeros(BUCKETS, bool)
+    marked[found] = True
+    return np.packbits(marked).tobytes()
+
+
+def unpack_features(data: bytes) -> np.ndarray:
+    if len(data) == BUCKETS // 8:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8)))
+    return np.frombuffer(data, "<i4").astype(np.int64)
+
+
 def _ngrams(data: np.ndarray) -> Iterator[np.ndarray]:
     wide = data.astype(np.uint64)
     if len(data) >= 3:
@@ -181,13 +198,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [features(x) for x in texts(part, "text")]
-                found = [x if len(x) <= FIT_FEATURES else np.sort(x[np.argsort(mix64(x.astype(np.uint64)))[:FIT_FEATURES]]) for x in found]
-                yield record_batch(FEATURES, [part.column(0), part.column(2), [x.astype(np.int32).tobytes() for x in found]])
+                yield record_batch(FEATURES, [part.column(0), part.column(2), [pack_features(x) for x in found]])
 
     sample = labelled_sample(docs, labels, label, per_class).select("doc_id", "text", "y")
     rows = sorted((r.doc_id, r.y, bytes(r.found)) for r in sample.mapInArrow(extract, "doc_id long, y int, found binary").collect())
     order = np.random.default_rng(0).permutation(len(rows))
-    return fit([np.frombuffer(rows[i][2], np.int32).astype(np.int64) for i in order], np.array([rows[i][1] for i in order], np.int64))
+    return fit([unpack_features(rows[i][2]) for i in order], np.array([rows[i][1] for i in order], np.int64))
 
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:

@@ -9,8 +9,8 @@ words; the document's score is its highest window's.
 
 Labels belong to documents, so fitting alternates between finding each
 document's most telling windows and training on them (Adam, gradients by hand
-in numpy). The sample for fitting is bounded by ``per_class`` and
-``FIT_CHARS``.
+in numpy). The sample for fitting is ``per_class`` documents of each class, drawn
+from those of at most ``FIT_CHARS`` characters.
 
 Defined cases: a null or empty text is one empty window; words beyond the last
 full window make a shorter one; with labels of one class only every score is
@@ -208,10 +208,19 @@ class Network:
         return g
 
     def logits(self, words: Words, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The logit of each window; arrays are filled up to fixed shapes, as sums in a product of matrices depend on them."""
         if not len(first):
             return np.zeros(0, np.float32)
-        inputs = self.inputs(words)
-        return np.concatenate([self.forward(inputs, window_words(words, first[i : i + TOGETHER], n[i : i + TOGETHER])) for i in range(0, len(first), TOGETHER)])
+        own = self.inputs(words)
+        inputs = np.zeros((-(-len(own) // TOGETHER) * TOGETHER, own.shape[1]), np.float32)
+        inputs[: len(own)] = own
+        out = []
+        for i in range(0, len(first), TOGETHER):
+            number = np.full((WINDOW, TOGETHER), len(inputs) - 1)
+            part = window_words(words, first[i : i + TOGETHER], n[i : i + TOGETHER])
+            number[:, : part.shape[1]] = np.where(part == len(own) - 1, len(inputs) - 1, part)
+            out.append(self.forward(inputs, number)[: part.shape[1]])
+        return np.concatenate(out)
 
 
 def _subset(words: Words, number: np.ndarray) -> tuple[Words, np.ndarray]:
@@ -292,7 +301,7 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("windows",
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, fit_chars: int = FIT_CHARS) -> Network | Fixed:
     """Fit on at most ``per_class`` labelled documents of each class, of at most ``fit_chars`` characters each."""
-    sample = labelled_sample(docs, labels, label, per_class).where(F.length("text") <= fit_chars)
+    sample = labelled_sample(docs, labels, label, per_class, fit_chars)
     rows = sorted((r.doc_id, r.y, r.text.encode()) for r in sample.select("doc_id", "y", "text").collect())
     return fit([x[2] for x in rows], np.array([x[1] for x in rows], np.int64))
 
@@ -311,7 +320,8 @@ def score(docs: DataFrame, model: Network | Fixed) -> DataFrame:
                 owner, first, n = window_starts(words.length)
                 logit = np.full(part.num_rows, -np.inf)
                 np.maximum.at(logit, owner, own.logits(words, first, n))
-                yield record_batch(SCORES, [part.column(0), 1 / (1 + np.exp(-np.clip(logit, -30, 30))), np.bincount(owner, minlength=part.num_rows)])
+                logit = np.round(np.clip(logit, -30, 30), 5)
+                yield record_batch(SCORES, [part.column(0), 1 / (1 + np.exp(-logit)), np.bincount(owner, minlength=part.num_rows)])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, windows long")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "windows")

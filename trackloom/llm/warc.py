@@ -31,6 +31,8 @@ from .arrow_text import record_batch, slices
 
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_REVISITED = 1000
+#: Parts that the rows of one payload are dealt to.
+SALTS = 16
 #: An archive is closed once it has so many bytes.
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 16
@@ -130,8 +132,10 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
 
     ``folder`` is a URI that every executor can write. Records are compressed
     where the pages are read, so that the shuffle which finds equal payloads
-    carries compressed members. A file belongs to one task attempt, and only
-    those that successful attempts report are in the returned manifest.
+    carries compressed members. Rows of one payload are dealt to ``SALTS``
+    parts, and those too small for a revisit, which nothing is looked up for, to
+    any. A file belongs to one task attempt, and only those that successful
+    attempts report are in the returned manifest.
     """
     ship_package(pages.sparkSession)
 
@@ -176,15 +180,27 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
         .where("copies > 1")
         .drop("copies")
     )
-    refers = F.when((F.col("payload_bytes") >= LEAST_REVISITED) & (F.col("page_id") != F.col("first")), F.col("first"))
-    joined = packed.join(firsts, "payload_digest", "left").withColumn("refers_to", refers).drop("first")
+    own = F.xxhash64("page_id", "url")
+    is_large = F.col("payload_bytes") >= LEAST_REVISITED
+    dealt = packed.withColumns({"meets": F.when(is_large, F.col("payload_digest")).otherwise(F.hex(own)), "salt": F.pmod(own, F.lit(SALTS)).cast("int")})
+    salted = firsts.select(F.col("payload_digest").alias("meets"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    refers = F.when(is_large & (F.col("page_id") != F.col("first")), F.col("first"))
+    joined = dealt.join(salted, ["meets", "salt"], "left").withColumn("refers_to", refers).drop("first", "meets", "salt")
     slim = joined.withColumn("member", F.when(F.col("refers_to").isNull(), F.col("member")))
     return slim.mapInArrow(write, "path string, records long, bytes long")
 
 
 def read_archives(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of the archives in ``files`` (path), each archive read by one task from its start to its end."""
-    ship_package(files.sparkSession)
+    """The records of the archives in ``files`` (path), each archive read by one task from its start to its end.
+
+    There are as many tasks as archives, up to a multiple of the cores that the
+    session has, and then a sixteenth of the archives at least. The number is
+    given, as Spark would see some hundred bytes of paths and take one task.
+    """
+    spark = files.sparkSession
+    ship_package(spark)
+    n = files.count()
+    tasks = max(1, min(n, max(8 * spark.sparkContext.defaultParallelism, -(-n // 16))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, _ = fs.FileSystem.from_uri(folder)
@@ -204,7 +220,7 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = True) -> DataF
                 if held:
                     yield pa.RecordBatch.from_pylist(held, RECORDS)
 
-    return files.select("path").repartition("path").mapInArrow(read, _RECORDS_DDL)
+    return files.select("path").repartition(tasks).mapInArrow(read, _RECORDS_DDL)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None, payloads: bool = True) -> DataFrame:
