@@ -780,6 +780,54 @@ def test_near_copies_equal_five_word_jaccard(spark):
     assert 12 < len(set(want)) < len(texts) - 20  # some copies are near and some are not
 
 
+def hubless_copies():
+    """Many texts of which few pairs are near and none is near to all: edits of one base, which isn't there itself."""
+    rng = random.Random(5)
+    base = [f"{rng.choice(WORDS)}{k}" for k in range(120)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.randint(1, 4)):
+            own[rng.randrange(len(own))] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("block", [shingles.BLOCK, 1000])
+def test_families_without_a_hub_equal_five_word_jaccard(spark, monkeypatch, block):
+    monkeypatch.setattr(shingles, "BLOCK", block)
+    monkeypatch.setattr(shingles, "AROUND_PIVOT", 7)
+    texts = hubless_copies()
+    found = {r.doc_id: r.component_id for r in shingles.near_duplicates(rows_of(spark, list(enumerate(texts)))).collect()}
+    assert [found[i] for i in range(len(texts))] == jaccard_components_by_hand(texts)
+
+
+def test_links_of_blocks_equal_brute_force():
+    sets = [x for x in shingles.shingle_sets([t.encode() for t in hubless_copies()])]
+    nodes, side = np.arange(len(sets)), np.arange(len(sets)) % 2
+    for sides in (np.zeros(len(sets), int), side):
+        want = {(i, j) for i in range(len(sets)) for j in range(i) if shingles.jaccard(sets[i], sets[j]) >= 0.7 and (sides is not side or side[i] != side[j])}
+        root = list(range(len(sets)))
+        for i, j in want:
+            root = [root[j] if r == root[i] else r for r in root]
+        own = list(range(len(sets)))
+        for i, j in shingles.block_links(nodes, sets, sides, 0.7):
+            assert (max(i, j), min(i, j)) in want
+            own = [own[j] if r == own[i] else r for r in own]
+        assert [root.index(r) for r in root] == [own.index(r) for r in own]
+
+
+def test_first_rows_of_awkward_groups(spark):
+    """Rows that share an id but not a text are apart, rows that share both are one, rows without an id come last."""
+    line = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    texts = [(1, line("a")), (1, line("b")), (2, line("b")), (3, line("c")), (3, line("c")), (None, line("a")), (None, line("d")), (None, line("d")), (None, line("e"))]
+    docs = rows_of(spark, texts).withColumn("score", F.monotonically_increasing_id().cast("string"))
+    kept = simhash.first_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text[:2]) for r in kept.collect()) == [("1", "a0"), ("1", "b0"), ("3", "c0"), ("None", "d0"), ("None", "e0")]
+    assert kept.where("doc_id = 3").first() == simhash.first_of_each(docs.repartition(3)).where("doc_id = 3").first()
+
+
 def test_pipeline_drops_near_copies(spark):
     import corpus_pipeline
 
@@ -830,7 +878,7 @@ def test_pipeline_stages(spark, sf_dir, con):
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     assert {r.doc_id for r in good.collect()} == {r.doc_id for r in quality.score(docs, model).where("predicted = 1").collect()}
     texts = [(r.doc_id, r.text) for r in good.orderBy("doc_id").collect()]
-    roots = components_by_hand([print_by_hand(t) for _, t in texts])
+    roots = jaccard_components_by_hand([t for _, t in texts])
     assert {r.doc_id for r in distinct.collect()} == {texts[k][0] for k in set(roots)}
     assert decontaminate.find_contamination(clean, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").count() == 0
     assert all(plain_spans(r.text) == "" for r in safe.collect())

@@ -16,6 +16,10 @@ Every link comes from a chain of one and passes the chain of two.
 
 Equal fingerprints are one node from the start.
 
+Fingerprints tell texts apart that differ in a few shingles: two texts that share
+0.8 of their shingles differ in some ten bits. :func:`first_of_each`, which the
+pipeline calls, therefore links texts by the exact similarity of their sets.
+
 Defined cases: null and empty texts, and texts of blanks, have fingerprint
 zero, which links like any other; texts of one or two words have one shingle of
 all their words; a null doc_id never names a component unless all ids in it are
@@ -33,8 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package, written
+from . import shingles
 from .arrow_text import ascii_lower, record_batch, slices, texts
-from .components import connected_components, with_frequent
+from .components import component_ids, connected_components, with_frequent
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 #: Members of a group that are compared with each other.
@@ -170,7 +175,6 @@ def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     return with_frequent(prints, named, "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
-def component_ids(rooted: DataFrame) -> DataFrame:
-    """``rooted`` (root, least, ...) with component_id, the least ``least`` of each root; a root may have most of the rows."""
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
-    return with_frequent(rooted, least, "root", "_n", rooted.count()).drop("root", "least")
+def first_of_each(docs: DataFrame, shingle: int = shingles.SHINGLE, likeness: float = shingles.LIKENESS) -> DataFrame:
+    """One row of ``docs`` for each group of texts that share ``likeness`` of their shingles, with all its columns."""
+    return shingles.first_of_each(docs, shingle, likeness)
