@@ -53,22 +53,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Distinct words whose names are kept at once.
-_KNOWN = 500_000
+_BELOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_names(lines: list[bytes]) -> np.ndarray:
-    """The halves of the 128-bit BLAKE2b digest of every word of ``lines``, end to end: [words, 2] 64-bit numbers."""
-    known: dict[bytes, bytes] = {}
-    parts = []
-    for line in lines:
-        words = line.split()
-        for word in set(words).difference(known):
-            known[word] = blake2b(word, digest_size=16).digest()
-        parts.append(b"".join(map(known.__getitem__, words)))
-        if len(known) > _KNOWN:
-            known.clear()
-    return np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
+    """A 128-bit name for every word of ``lines``, end to end: [words, 2] 64-bit numbers. Lines are words with one space between them.
+
+    A word of sixteen bytes or fewer is two numbers that are mixed so that
+    either can be told from the name again: no two of them share one. A longer
+    word's name is its BLAKE2b digest.
+    """
+    text = b" ".join(lines) + b" "
+    data = np.frombuffer(text + bytes(16), np.uint8)
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    ends = np.flatnonzero(data == 32)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    real = ends > starts  # an empty line leaves two spaces side by side
+    starts, size = starts[real], (ends - starts)[real]
+    low = eight[starts] & _BELOW[np.minimum(size, 8)]
+    high = eight[starts + np.minimum(size, 8)] & _BELOW[np.clip(size - 8, 0, 8)]
+    low = mix64(low + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    high = mix64(high + low * np.uint64(0xD6E8FEB86659FD93))
+    names = np.stack([mix64(low ^ (high << np.uint64(32)) ^ (high >> np.uint64(32))), high], 1)
+    for i in np.flatnonzero(size > 16).tolist():
+        names[i] = np.frombuffer(blake2b(text[starts[i] : starts[i] + size[i]], digest_size=16).digest(), "<u8")
+    return names
 
 
 def run_names(words: np.ndarray, n: int) -> np.ndarray:

@@ -9,11 +9,11 @@
    windows meet by a name, the earliest stays, and the other ones, where they
    overlap or touch, make up the maximal repeats, which are removed.
 
-Names. A word's name is its 128-bit BLAKE2b digest, a run's the mixed names of
-its words. Step 1 keeps 32 bits of it, as a false hit only costs a look at its
-windows in step 2; there all 128 bits decide. Among 10**13 windows two
-different ones share a name with a probability below 10**-12, and no choice of
-words brings that about.
+Names. Words of up to sixteen bytes have 128-bit names of their own, longer ones
+their BLAKE2b digest; a run's name is the mixed names of its words. Step 1 keeps
+32 bits of it, as a false hit only costs a look at its windows in step 2; there
+all 128 bits decide. Among 10**13 windows two different ones share a name with
+a probability below 10**-12.
 
 Homes. Texts are shuffled once, compressed, to homes of about ``BUCKET_BYTES``,
 in the order of a name of each row. A place is a home and the number of a word
@@ -189,12 +189,12 @@ def anchor_entries(table: pa.Table, buckets: int) -> pa.Table:
         return ANCHORS.empty_table()
     names = run_names(word_names(home.lines())[:, 0], BLOCK)[at]
     anchor = (at - home.begin[row]) % BLOCK == 0
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     edges = _equal_runs(order, names)
-    many = np.diff([*edges, len(order)])
-    anchored = np.logical_or.reduceat(anchor[order], edges)
-    first = np.argsort(order[edges])  # in order of their places
-    pick, anchored = order[edges][first], anchored[first]
+    many = np.diff(edges, append=len(order))
+    anchored, pick = np.logical_or.reduceat(anchor[order], edges), np.minimum.reduceat(order, edges)
+    first = np.argsort(pick)  # in order of their places
+    pick, anchored = pick[first], anchored[first]
     again = np.sort(order[np.repeat(many > 1, many)])
     names, place = names[pick], at[pick]
     low = (names & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -212,9 +212,9 @@ def anchor_hits(table: pa.Table) -> pa.Table:
         names = np.concatenate([np.frombuffer(r["names"], "<u4") for r in rows])
         sizes = [len(r["names"]) // 4 for r in rows]
         anchor = np.concatenate([np.unpackbits(np.frombuffer(r["anchor"], np.uint8), count=n) for r, n in zip(rows, sizes)]).astype(bool)
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         edges = _equal_runs(order, names)
-        many = np.diff([*edges, len(order)])
+        many = np.diff(edges, append=len(order))
         hit = np.zeros(len(names), bool)
         hit[order] = np.repeat((many > 1) & np.logical_or.reduceat(anchor[order], edges), many)
         for r, own in zip(rows, np.split(hit, np.cumsum(sizes)[:-1])):
@@ -225,10 +225,15 @@ def anchor_hits(table: pa.Table) -> pa.Table:
 
 def _later(names: np.ndarray, ids: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal names [n, 2] the earliest place, and all that are later than the earliest one."""
-    order = np.lexsort((row, at, ids, names[:, 1], names[:, 0]))
+    order = np.argsort(names[:, 0])
+    edges = _equal_runs(order, names[:, 0])
+    many = np.diff(edges, append=len(order))
+    alone = order[edges[many == 1]]
+    order = order[np.repeat(many > 1, many)]  # only these need a closer look
+    order = order[np.lexsort((row[order], at[order], ids[order], names[order, 1], names[order, 0]))]
     edges = _equal_runs(order, names[:, 0], names[:, 1])
-    lead = np.repeat(order[edges], np.diff([*edges, len(order)]))
-    return order[edges], order[(row[order] != row[lead]) | (at[order] != at[lead])]
+    lead = np.repeat(order[edges], np.diff(edges, append=len(order)))
+    return np.concatenate((alone, order[edges])), order[(row[order] != row[lead]) | (at[order] != at[lead])]
 
 
 def window_entries(table: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
@@ -257,7 +262,7 @@ def window_entries(table: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
         k = pick[k]
         turns = np.flatnonzero(np.diff(row[k], prepend=-1))
         r = row[k][turns]
-        rows.append([b, number, False, names[k].tobytes(), _pack_places(place[k]), _narrow(np.diff([*turns, len(k)])), _narrow(home.begin[r]), _pack_ids(home.ids[r]), home.row[r].tobytes()])
+        rows.append([b, number, False, names[k].tobytes(), _pack_places(place[k]), _narrow(np.diff(turns, append=len(k))), _narrow(home.begin[r]), _pack_ids(home.ids[r]), home.row[r].tobytes()])
     if len(later):  # later than an equal window of the same home
         rows.append([number % buckets, number, True, b"", _pack_places(np.sort(place[later])), b"", b"", b"", b""])
     return _table(WINDOWS, rows)
