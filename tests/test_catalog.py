@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from trackloom.plans import catalog, expressions_oracle, oracle
+from trackloom.plans import catalog
 
-SQL = oracle.oracle_sql() | expressions_oracle.oracle_sql()
+SQL = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")

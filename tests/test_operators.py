@@ -1,5 +1,6 @@
 """Operators against plain simulations and by their properties."""
 
+import json
 import random
 
 import numpy as np
@@ -191,22 +192,52 @@ def test_frame_copies_round_half_to_even(spark):
 
 
 def test_annotation_readers(spark, tmp_path):
-    (tmp_path / "a.odgt").write_text('{"ID": "i1", "gtboxes": [{"tag": "person", "vbox": [1, 2, 3, 4]}, {"tag": "mask", "fbox": [0, 0, 1, 1]}, {"tag": "person", "fbox": [5, 6, 7, 8]}]}\n\n')
-    assert [(r.image_id, r.x, r.h) for r in annotations.read_ndjson(spark, str(tmp_path / "a.odgt")).collect()] == [("i1", 1, 4), ("i1", 5, 8)]
-    (tmp_path / "coco.json").write_text('{"images": [{"id": 1, "width": 10, "height": 20, "file_name": "x/p.png"}], "annotations": [{"image_id": 1, "category_id": 7, "bbox": [1, 2, 3, 4]}, {"image_id": 1, "category_id": 8, "bbox": [1, 1, 1, 1]}], "categories": [{"id": 8, "name": "car"}, {"id": 7, "name": "Person"}]}')
+    """Small files in each format, with what it may leave out."""
+    (tmp_path / "a.odgt").write_text('{"ID": "i1", "gtboxes": [{"tag": "person", "fbox": [5, 5, 5, 5], "vbox": [1, 2, 3, 4]}, {"tag": "mask", "fbox": [0, 0, 1, 1]}, {"tag": "person", "fbox": [5, 6, 7, 8]}]}\n\n')
+    assert [(r.image_id, r.x, r.h) for r in annotations.read_ndjson(spark, str(tmp_path / "a.odgt")).collect()] == [("i1", 5, 5), ("i1", 5, 8)]
+    assert [(r.x, r.h) for r in annotations.read_ndjson(spark, str(tmp_path / "a.odgt"), visible=True).collect()] == [(1, 4), (5, 8)]
+    coco = {"images": [{"id": 1, "width": 10, "height": 20, "file_name": "x/p.png"}], "categories": [{"id": 8, "name": "car"}, {"id": 7, "name": "Person"}]}
+    coco["annotations"] = [{"image_id": 1, "category_id": 7, "bbox": [1, 2, 3, 4]}, {"image_id": 1, "category_id": 8, "bbox": [1, 1, 1, 1]}, {"image_id": 2, "category_id": 7, "bbox": [1, 1, 1, 1]}]
+    (tmp_path / "coco.json").write_text(json.dumps(coco))
     assert [(r.image_id, r.w, r.width) for r in annotations.read_coco(spark, str(tmp_path / "coco.json")).collect()] == [("p", 3.0, 10)]
+    assert [(r.persons, r.images) for r in annotations.person_counts(spark, str(tmp_path / "coco.json")).collect()] == [(1, 1)]
     wide = tmp_path / "wide"
     wide.mkdir()
-    (wide / "q.jpg.txt").write_text("2\n1 10 20 30 60\n5 0 0 1 1\n1 0 0 9 9\n")
+    (wide / "q.jpg.txt").write_text("\n3\n1 10 20 30 60\n\n2 0 0 1 1\n3 0 0 9\n1 0 0 9 9\n")
     (wide / "bad.txt").write_text("none\n1 1 1 2 2\n")
     assert [(r.image_id, r.x, r.h) for r in annotations.read_counted_text(spark, str(wide)).collect()] == [("q.jpg", 10.0, 40.0)]
-    city = tmp_path / "city"
-    city.mkdir()
-    (city / "m.json").write_text('{"annotation": {"list": [{"lbl": "pedestrian", "bbleft": 1, "bbtop": 2, "bbwidth": 3, "bbheight": 4}, {"lbl": "tree", "bbleft": 1, "bbtop": 2, "bbwidth": 3, "bbheight": 4}]}}')
-    assert [(r.image_id, r.width, r.height) for r in annotations.read_city_json(spark, str(city)).collect()] == [("m", 2048, 1024)]
+    assert annotations.read_counted_text(spark, str(wide), riders=True, partial=True).count() == 2
+    city = tmp_path / "city" / "aachen"
+    city.mkdir(parents=True)
+    box = {"bbleft": 1, "bbtop": 2, "bbwidth": 3, "bbheight": 4}
+    (city / "m_gtBboxCityPersons.json").write_text(json.dumps({"annotation": {"list": [{"lbl": "Pedestrian", **box}, {"lbl": "tree", **box}, {"lbl": "people", **box}, {"lbl": "person", "occl": 1, **box}]}}))
+    found = annotations.read_city_json(spark, str(tmp_path / "city"))
+    assert [(r.image_id, r.city, r.width, r.height) for r in found.collect()] == [("m_gtBboxCityPersons", "aachen", 2048, 1024)] * 2
+    assert annotations.read_city_json(spark, str(tmp_path / "city"), skip_occluded=True).count() == 1
+    assert found.select(labels.city_image_name(F.col("city"), F.col("image_id")).alias("n")).first().n == "aachen_m_leftImg8bit.png"
     (tmp_path / "e").mkdir()
-    (tmp_path / "e" / "z.json").write_text('{"imagewidth": 100, "imageheight": 50, "children": [{"identity": "pedestrian", "x0": 1, "y0": 2, "x1": 11, "y1": 22}]}')
-    assert [(r.w, r.h) for r in annotations.read_corner_json(spark, str(tmp_path / "e")).collect()] == [(10.0, 20.0)]
+    children = [{"identity": "Pedestrian", "pos": [1, 2, 11, 22]}, {"identity": "person", "pos": [1, 2, 3]}, {"identity": "rider", "pos": [0, 0, 5, 5], "occluded": 0.4}, {"identity": "person", "occluded": 0.9, "pos": [0, 0, 7, 7]}]
+    (tmp_path / "e" / "z.json").write_text(json.dumps({"imagewidth": 100, "imageheight": 50, "children": children}))
+    (tmp_path / "e" / "unknown.json").write_text(json.dumps({"children": children}))
+    assert [(r.w, r.h) for r in annotations.read_corner_json(spark, str(tmp_path / "e")).collect()] == [(10.0, 20.0), (7.0, 7.0)]
+    assert [r.w for r in annotations.read_corner_json(spark, str(tmp_path / "e"), riders=True, most_occluded=0.5).collect()] == [10.0, 5.0]
+
+
+def test_height_as_the_label_tells_it(spark):
+    """A box that is high enough before it is cut, and a little too low by six digits."""
+    rows = [("a", 0, 0.0, -40.0, 30.0, 100.0, 100.0, 90.0), ("b", 0, 0.0, 0.0, 30.0, 20.0, 100.0, 30.0)]
+    df = spark.createDataFrame(rows, "image_id string, order int, x double, y double, w double, h double, width double, height double")
+    assert {r.image_id for r in etl.yolo_labels(df, 20.0).collect()} == {"a", "b"}
+    assert {r.image_id for r in etl.yolo_labels(df, least_clipped_height=20.0).collect()} == {"a", "b"}
+    assert {r.image_id for r in etl.yolo_labels(df, least_clipped_height=20.00002).collect()} == {"a"}
+
+
+def test_results_of_runs(spark, tmp_path):
+    for run, name, text in (("r1", "results.json", '{"loss": 1.5}'), ("r1", "results.csv", "loss\n2\n"), ("r2", "results.json", "{"), ("r2", "results.csv", " epoch , loss \n1,3\n2, 4\n"), ("r3", "results.csv", "loss\n")):
+        (tmp_path / run).mkdir(exist_ok=True)
+        (tmp_path / run / name).write_text(text)
+    found = {r.run: (r.source, r["values"]) for r in results.read_results(spark, str(tmp_path)).collect()}
+    assert found == {"r1": ("json", {"loss": "1.5"}), "r2": ("csv", {"epoch": "2", "loss": "4"}), "r3": ("none", {})}
 
 
 def test_configuration(spark, tmp_path):

@@ -33,6 +33,21 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/\\]+)$", 1), r"\.[^.]*$", "")
 
 
+def folder(path: Column) -> Column:
+    """The name of the folder that a path's last part is in."""
+    return F.regexp_extract(path, r"([^/\\]+)[/\\][^/\\]+$", 1)
+
+
+def city_image_name(city: Column, stem: Column) -> Column:
+    """City first, so that names don't clash; the stem of the annotation becomes that of the image."""
+    return F.concat(city, F.lit("_"), F.regexp_replace(stem, "_gtBboxCityPersons", "_leftImg8bit"), F.lit(".png"))
+
+
+def mode_image_name(mode: str | Column, city: Column, stem: Column) -> Column:
+    """Mode, city and stem, without a suffix: it is the found image's."""
+    return F.concat_ws("_", F.lit(mode) if isinstance(mode, str) else mode, city, stem)
+
+
 def has_suffix(path: Column, suffixes: tuple[str, ...]) -> Column:
     return F.lower(F.regexp_extract(path, r"\.[^./\\]+$", 0)).isin(*suffixes)
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import labels
 
 
-def yolo_labels(boxes: DataFrame, least_height: float = 0.0, clipped: bool = True) -> DataFrame:
+def yolo_labels(boxes: DataFrame, least_height: float = 0.0, clipped: bool = True, least_clipped_height: float = 0.0) -> DataFrame:
     """image_id and box shares for boxes (image_id, x, y, w, h, width, height, order), too small ones left out.
 
     With ``clipped`` the height is tested before the box is cut, boxes without
     area after cutting are left out, and so are images without boxes.
+    ``least_clipped_height`` tests the height that the label's line tells, in
+    pixels.
     """
     make = labels.normalized_box if clipped else labels.normalized_box_unclipped
     box = make(*[F.col(c).cast("double") for c in ("x", "y", "w", "h", "width", "height")])
@@ -20,6 +22,8 @@ def yolo_labels(boxes: DataFrame, least_height: float = 0.0, clipped: bool = Tru
     df = df.withColumn("box", box)
     if clipped:
         df = df.where((F.col("box")["w"] > 0) & (F.col("box")["h"] > 0))
+    if least_clipped_height > 0:
+        df = df.where(F.format_string("%.6f", F.col("box")["h"]).cast("double") * F.col("height") >= least_clipped_height)
     return df.select("image_id", "order", "box.*")
 
 
@@ -92,6 +96,16 @@ def capped(images: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return images.orderBy(hash_order(F.col("path"), seed), "path").limit(n)
 
 
+def validation_set(images: DataFrame, from_each: int, datasets: int, seed: int = 42) -> DataFrame:
+    """``from_each`` images for each of the data sets, in total and in hash order; all with 0."""
+    return capped(images, from_each * datasets, seed) if from_each > 0 else images
+
+
+def in_range(rotated: DataFrame, only: int | None = None, start_from: int = 0) -> DataFrame:
+    """The rotation ``only``, or those from ``start_from`` on."""
+    return rotated.where(F.col("rotation") == only) if only is not None else rotated.where(F.col("rotation") >= start_from)
+
+
 def training_plan(rotated: DataFrame) -> DataFrame:
     """Rate and frozen layers by rotation, and each one's starting weights: what the one before leaves."""
     numbers = rotated.where("rotation >= 0").select("rotation").distinct()
@@ -115,3 +129,8 @@ def verify(files: DataFrame, expected: DataFrame) -> DataFrame:
     """For each expected directory (subdir, at_least) its images and whether there are enough."""
     counted = files.groupBy("subdir").agg(F.count("*").alias("images"))
     return expected.join(counted, "subdir", "left").select("subdir", F.coalesce("images", F.lit(0)).alias("images"), (F.coalesce("images", F.lit(0)) >= F.col("at_least")).alias("ok"))
+
+
+def verdict(checks: DataFrame, by: str = "dataset") -> DataFrame:
+    """Whether all checks (ok) of each data set hold, and of how many."""
+    return checks.groupBy(by).agg(F.bool_and("ok").alias("ok"), F.count("*").alias("checks"), F.count_if(~F.col("ok")).alias("failed"))

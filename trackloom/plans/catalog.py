@@ -12,7 +12,7 @@ from ..operators import boxes, crossings, etl, gallery, metrics, occupancy, pres
 from ..session import fresh_dir
 from ..sources import results
 from ..streaming import processors
-from . import expressions
+from . import expressions, expressions_oracle, files, files_oracle, oracle
 from . import fixtures as fx
 
 EVENTS = list(crossings.EVENT_COLUMNS)
@@ -272,4 +272,9 @@ QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*QUERIES, *expressions.QUERIES)}
+    return {f.__name__: f for f in (*QUERIES, *expressions.QUERIES, *files.QUERIES)}
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL by query."""
+    return oracle.oracle_sql() | expressions_oracle.oracle_sql() | files_oracle.oracle_sql()

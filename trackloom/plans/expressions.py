@@ -156,17 +156,6 @@ def last_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.last_result(log)
 
 
-def crowd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes written as lines of JSON, one an image, and read back: persons only, the full box where there is no visible one."""
-    whole = lambda c: F.col(c).cast("int")
-    box = F.array(*map(whole, "xywh"))
-    row = F.struct("order", F.when(F.col("order") % 7 == 0, "mask").otherwise("person").alias("tag"), box.alias("fbox"), F.when(F.col("order") % 2 == 0, F.array(whole("x"), whole("y"), F.lit(9), F.lit(9))).alias("vbox"))
-    images = _boxes(spark, sf_dir).groupBy("image_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))  # an image's boxes are few
-    path = f"{fresh_dir(spark, 'crowd')}/in"
-    images.select(F.col("image_id").alias("ID"), F.transform("rows", lambda r: F.struct(r["tag"].alias("tag"), r["fbox"].alias("fbox"), r["vbox"].alias("vbox"))).alias("gtboxes")).write.json(path)
-    return annotations.read_ndjson(spark, path).select("image_id", *[F.col(c).cast("long").alias(c) for c in ("order", "x", "y", "w", "h")])
-
-
 def logged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log written as daily CSV files with headers and read back, counted by day and door."""
     path = f"{fresh_dir(spark, 'log')}/log"
@@ -178,5 +167,5 @@ def logged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     box_points, line_sides, calibrated_lines, notched_region, usable_crops, brightness_bands, source_kinds, rotation_numbers, display_points, band_zones,
     reported_rates, vector_pairs, learning_rates, label_files, dataset_check, capped_images, first_candidates, frame_counts, frame_latency, last_epoch,
-    crowd_lines, logged_events,
+    logged_events,
 )

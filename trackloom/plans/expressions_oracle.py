@@ -57,8 +57,5 @@ def oracle_sql() -> dict[str, str]:
         "frame_counts": f"{t} select camera_name, frame_idx, count(*) as detections from tracks group by all",
         "frame_latency": "select count(*) as frames, round(count(*) / cast(sum(event_id % 37 + 1) as double), 6) as fps, round(1000.0 * sum(event_id % 37 + 1) / count(*), 6) as ms_per_frame from events",
         "last_epoch": "select event_id // 100 as epoch, count(*) as n, round(avg(value), 6) as loss from events group by 1 order by 1 desc limit 1",
-        "crowd_lines": f"""{t}, {BOXES}, r as (select *, row_number() over (partition by image_id order by event_id) - 1 as place from boxes)
-            select image_id, place as "order", cast(trunc(x) as bigint) as x, cast(trunc(y) as bigint) as y, case when event_id % 2 = 0 then 9 else cast(trunc(w) as bigint) end as w,
-            case when event_id % 2 = 0 then 9 else cast(trunc(h) as bigint) end as h from r where event_id % 7 <> 0""",
         "logged_events": f"with {OCCUPANCY} select strftime(ts, '%Y-%m-%d') as event_date, door_id, event, count(*) as n, max(occupancy) as highest from counts group by all",
     }

@@ -38,15 +38,27 @@ def door_lines(counter: DataFrame) -> DataFrame:
 
 
 def regions(counter: DataFrame) -> DataFrame:
-    """Regions of three points or more."""
+    """Regions of three points or more, with the crossing point and mode of the region, else of the camera, else foot and line."""
     polygon = F.transform("room_region.polygon", lambda p: F.struct(F.element_at(p, 1).alias("x"), F.element_at(p, 2).alias("y")))
-    df = counter.select(F.col("name").alias("camera_name"), F.col("room_name").alias("room"), polygon.alias("polygon"), F.coalesce("room_region.crossing_point", "crossing_point", F.lit("foot")).alias("crossing_point"))
+    df = counter.select(
+        F.col("name").alias("camera_name"), F.col("room_name").alias("room"), polygon.alias("polygon"),
+        F.coalesce("room_region.crossing_point", "crossing_point", F.lit("foot")).alias("crossing_point"),
+        F.coalesce("room_region.crossing_mode", "crossing_mode", F.lit("line")).alias("crossing_mode"),
+    )
     return df.where(F.size("polygon") >= 3)
 
 
 def with_region(existing: DataFrame, saved: DataFrame) -> DataFrame:
-    """``existing`` regions after saving those in ``saved`` (camera_name, polygon, crossing_point): fewer than three points delete a camera's region."""
-    s = saved.select("camera_name", F.col("polygon").alias("new"), F.col("crossing_point").alias("new_point"), F.lit(True).alias("is_saved"))
+    """``existing`` regions after saving those in ``saved`` (camera_name, polygon, crossing_point, crossing_mode).
+
+    Fewer than three points delete a camera's region; a crossing point or mode
+    that isn't given stays as it was.
+    """
+    options = [c for c in ("crossing_point", "crossing_mode") if c in existing.columns]
+    given = [F.col(c).alias(f"new_{c}") if c in saved.columns else F.lit(None).cast("string").alias(f"new_{c}") for c in options]
+    s = saved.select("camera_name", F.col("polygon").alias("new"), *given, F.lit(True).alias("is_saved"))
     df = existing.join(s, "camera_name", "full")
     df = df.withColumn("polygon", F.when(F.col("is_saved"), F.when(F.size("new") >= 3, F.col("new"))).otherwise(F.col("polygon")))
-    return df.withColumn("crossing_point", F.coalesce("new_point", "crossing_point", F.lit("foot"))).where("polygon is not null").select(*existing.columns)
+    defaults = {"crossing_point": "foot", "crossing_mode": "line"}
+    df = df.withColumns({c: F.coalesce(f"new_{c}", c, F.lit(defaults[c])) for c in options})
+    return df.where("polygon is not null").select(*existing.columns)

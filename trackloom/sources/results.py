@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 EVENT_LOG = ("timestamp", "camera_name", "door_id", "door_name", "event", "track_id", "occupancy_after")
 
 
 def event_log(events: DataFrame, doors: DataFrame | None = None) -> DataFrame:
     """The log's columns, with times cut to milliseconds."""
-    df = events if "door_name" in events.columns else events.join(doors, "door_id", "left") if doors is not None else events.withColumn("door_name", F.col("door_id"))
-    return df.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("timestamp"), "camera_name", "door_id", "door_name", "event", "track_id", F.col("occupancy").alias("occupancy_after"))
+    if "door_name" in events.columns:
+        df = events
+    elif doors is not None:
+        df = events.join(doors, "door_id", "left")
+    else:
+        df = events.withColumn("door_name", F.col("door_id"))
+    time = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("timestamp")
+    return df.select(time, "camera_name", "door_id", "door_name", "event", "track_id", F.col("occupancy").alias("occupancy_after"))
 
 
 def append_event_log(log: DataFrame, path: str) -> None:
@@ -25,16 +37,76 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_manifests(members: DataFrame, path: str) -> None:
     """Image paths, one to a line, in a folder for each rotation."""
-    members.select("rotation", F.col("path").alias("value")).repartition("rotation", F.pmod(F.xxhash64("path"), F.lit(16))).write.mode("overwrite").partitionBy("rotation").text(path)
+    spread = members.select("rotation", F.col("path").alias("value")).repartition("rotation", F.pmod(F.xxhash64("path"), F.lit(16)))
+    spread.write.mode("overwrite").partitionBy("rotation").text(path)
+
+
+def write_files(named: DataFrame, folder: str) -> int:
+    """Write ``text`` of each row as a file ``name`` under ``folder``, a URI that every executor can write; how many there are.
+
+    A file is written whole by the task that has its row, so a repeated task
+    writes the same file again.
+    """
+    ship_package(named.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, top = fs.FileSystem.from_uri(folder)
+        made = set()
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                path = f"{top}/{name}"
+                parent = path.rpartition("/")[0]
+                if parent not in made:
+                    where.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with where.open_output_stream(path) as out:
+                    out.write((text or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return named.select("name", F.col("text").cast("string")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def rotation_yaml(rotations: DataFrame, folder: str) -> DataFrame:
+    """For each rotation the text of the data set's description: where its manifests are, and its one class."""
+    total = rotations.agg(F.count("*").alias("total"))
+    # fixed value: the description's layout
+    layout = "# Rotation %d/%d\ntrain: %s/rotation=%d\nval: %s/val\nnc: 1\nnames:\n  0: person\n"
+    number = F.col("rotation").cast("int")
+    text = F.format_string(layout, number + 1, F.col("total").cast("int"), F.lit(folder), number, F.lit(folder))
+    return rotations.join(F.broadcast(total)).select("rotation", text.alias("text"))  # one row
 
 
 def read_sweep(spark: SparkSession, path: str) -> DataFrame:
-    """Finished combinations of a results CSV; malformed rows are skipped."""
-    df = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
-    out = df.select(F.col("Conf").try_cast("double").alias("conf"), F.col("IOU").try_cast("double").alias("iou"), F.col("Img_Size").try_cast("int").alias("imgsz"))
+    """Finished combinations of a results CSV with what they reached; malformed rows are skipped."""
+    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    df = reader.csv(path)
+    shape = {"conf": ("Conf", "double"), "iou": ("IOU", "double"), "imgsz": ("Img_Size", "int")}
+    reached = {"precision": "Precision", "recall": "Recall", "map50": "mAP50", "map50_95": "mAP50-95"}
+    shape |= {k: (v, "double") for k, v in reached.items() if v in df.columns}
+    out = df.select(*[F.col(f"`{name}`").try_cast(kind).alias(k) for k, (name, kind) in shape.items()])
     return out.where("conf is not null and iou is not null and imgsz is not null")
 
 
+def read_results(spark: SparkSession, project: str) -> DataFrame:
+    """run, ``source`` and values (a map of strings) of each run's folder under ``project``.
+
+    results.json counts where it can be parsed, otherwise the last line of
+    results.csv under its stripped header. A run with neither has no row; one
+    with broken ones only has an empty map.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "results.{json,csv}").load(project)
+    rows = files.select(F.regexp_extract("path", r"([^/]+)/results\.[a-z]+$", 1).alias("run"), F.col("path").endswith(".json").alias("is_json"), F.col("content").cast("string").alias("text"))
+    lines = F.filter(F.transform(F.split("text", "\\r?\\n"), lambda x: F.trim(x)), lambda x: x != "")
+    cells = lambda line: F.transform(F.split(line, ","), lambda x: F.trim(x))
+    head, last = cells(F.get(lines, F.lit(0))), cells(F.element_at(lines, -1))
+    many = F.least(F.size(head), F.size(last))
+    from_csv = F.when(F.size(lines) >= 2, F.map_from_arrays(F.slice(head, F.lit(1), many), F.slice(last, F.lit(1), many)))
+    parsed = rows.withColumn("values", F.when(F.col("is_json"), F.from_json("text", "map<string,string>")).otherwise(from_csv))
+    both = parsed.groupBy("run").agg(F.max(F.when(F.col("is_json"), F.to_json("values"))).alias("j"), F.max(F.when(~F.col("is_json"), F.to_json("values"))).alias("c"))
+    source = F.when(F.col("j").isNotNull(), "json").when(F.col("c").isNotNull(), "csv").otherwise("none")
+    return both.select("run", source.alias("source"), F.from_json(F.coalesce("j", "c", F.lit("{}")), "map<string,string>").alias("values"))
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
