@@ -36,7 +36,7 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 
 def test_every_query_but_the_sequential_one_has_sql():
-    assert set(catalog.queries()) - set(SQL) == {"identity_resolve_stateful"}
+    assert set(catalog.queries()) - set(SQL) == {"identity_resolve_stateful", "stream_identities"}
 
 
 def test_resolver_covers_every_observation(spark, sf_dir):

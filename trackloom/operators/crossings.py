@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -46,15 +46,21 @@ def line_crossings(tracks: DataFrame, lines: DataFrame, strict: bool = False, di
     return events.where(_allowed(strict)) if direction else events
 
 
-def _allowed(strict: bool):
+def forward(strict: bool = False) -> tuple[Column, Column]:
+    """The unit vector that movement is compared with: along the line or, ``strict``, the normal that points inside."""
     dx, dy = (F.col("ex") - F.col("sx")).cast("double"), (F.col("ey") - F.col("sy")).cast("double")
     ux, uy = geo.unit(dx, dy)
-    if strict:  # the normal that points inside: where the cross product has the inside's sign
-        ux, uy = -uy * F.col("inside_sign"), ux * F.col("inside_sign")
-    forward = F.col("vx") * ux + F.col("vy") * uy > 0.1
+    if strict:  # inside is where the cross product has the inside's sign
+        return -uy * F.col("inside_sign"), ux * F.col("inside_sign")
+    return ux, uy
+
+
+def _allowed(strict: bool) -> Column:
+    ux, uy = forward(strict)
+    ahead = F.col("vx") * ux + F.col("vy") * uy > 0.1
     moving = F.col("vx").isNotNull() & ((F.col("vx") != 0) | (F.col("vy") != 0))
     known = F.lower(F.col("direction"))
-    ruled = F.when(known == "entry", (F.col("event") == "EXIT") | ~forward).when(known == "exit", (F.col("event") == "ENTRY") | ~forward).otherwise(False)
+    ruled = F.when(known == "entry", (F.col("event") == "EXIT") | ~ahead).when(known == "exit", (F.col("event") == "ENTRY") | ~ahead).otherwise(False)
     return ~(moving & ruled)
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, written
 from . import similarity
 
 
@@ -30,8 +30,6 @@ def match_tracklets(tracklets: DataFrame, threshold: float = 0.7) -> DataFrame:
     """
     best = similarity.top_k(tracklets, tracklets, 1, threshold, earlier_only=True).select(F.col("query_id").alias("id"), F.col("gallery_id").alias("matched_id"), "similarity")
     linked = tracklets.select("id").join(best, "id", "left").withColumn("root", F.coalesce("matched_id", "id"))
-    from ..session import written
-
     linked = written(linked, "identity-links")
     while True:
         up = linked.select(F.col("id").alias("root"), F.col("root").alias("above"))
@@ -81,15 +79,48 @@ class Person:
 
 
 class Gallery:
-    """The gallery of one site. Time is event time, and draws depend on identity and count only, so a replay gives the same result."""
+    """The gallery of one site. Time is event time, and draws depend on identity and count only, so a replay gives the same result.
+
+    What persons are compared by is one array: a block of rows for each person,
+    of unit length, with zeros where it has fewer. A query is one product with
+    all blocks; blocks that changed are renewed before.
+    """
 
     def __init__(self, limits: Limits | None = None):
         self.limits = limits or Limits()
         self.persons: dict[int, Person] = {}
         self.known: dict[tuple[str, int], int] = {}
         self.next_id = 1
+        self.slots: dict[int, int] = {}
+        self.free: list[int] = []
+        self.changed: set[int] = set()
+        self.pool = np.zeros((0, 0, 0))
+        self.owner = np.zeros(0, np.int64)  # 0 where a block has none
+
+    def _enter(self, person: Person) -> None:
+        if not self.free:
+            at = self.limits
+            n, rows = len(self.owner), at.anchored + at.reservoir + at.departures
+            more = max(16, n)
+            grown = np.zeros((n + more, max(rows, at.recent_features + at.departures), len(person.features[0])))
+            if n:
+                grown[:n] = self.pool
+            self.pool, self.owner = grown, np.concatenate((self.owner, np.zeros(more, np.int64)))
+            self.free = list(range(n + more - 1, n - 1, -1))
+        slot = self.free.pop()
+        self.persons[person.global_id], self.slots[person.global_id] = person, slot
+        self.owner[slot] = person.global_id
+        self.changed.add(person.global_id)
+
+    def _leave(self, global_id: int) -> None:
+        slot = self.slots.pop(global_id)
+        self.pool[slot], self.owner[slot] = 0, 0
+        self.free.append(slot)
+        self.changed.discard(global_id)
+        del self.persons[global_id]
 
     def add(self, person: Person, feature: np.ndarray, camera: str, now: float, stable: bool) -> None:
+        self.changed.add(person.global_id)
         person.features = [*person.features, feature][-self.limits.features :]
         person.last_seen = now
         person.cameras.add(camera)
@@ -105,17 +136,22 @@ class Gallery:
             if slot < self.limits.reservoir:
                 person.stable[self.limits.anchored + slot] = feature
 
-    def _pool(self, person: Person) -> list:
+    def _compared(self, person: Person) -> list:
         own = person.stable if len(person.stable) >= 3 else person.features[-self.limits.recent_features :]
         return [*own, *person.departed] if own else []
 
-    def best(self, feature: np.ndarray, person: Person) -> float:
-        pool = self._pool(person)
-        if not pool:
-            return 0.0
-        stack = np.stack(pool)
-        scores = (stack / (np.linalg.norm(stack, axis=1, keepdims=True) + 1e-8)) @ (feature / (np.linalg.norm(feature) + 1e-8))
-        return max(0.0, float(scores.max()))
+    def scores(self, feature: np.ndarray) -> np.ndarray:
+        """The best cosine of each block with ``feature``, 0 at least."""
+        for i in self.changed:
+            slot, rows = self.slots[i], self._compared(self.persons[i])
+            self.pool[slot] = 0
+            if rows:
+                stack = np.stack(rows)
+                self.pool[slot, : len(rows)] = stack / (np.linalg.norm(stack, axis=1, keepdims=True) + 1e-8)
+        self.changed.clear()
+        if not len(self.owner):
+            return np.zeros(0)
+        return np.maximum(0.0, (self.pool @ (feature / (np.linalg.norm(feature) + 1e-8))).max(1))
 
     def threshold(self, person: Person, camera: str, now: float, edge: bool) -> float:
         at, age = self.limits, now - person.last_seen
@@ -123,23 +159,32 @@ class Gallery:
             return at.re_entry if camera in person.cameras and age < at.re_entry_window_s else at.strict
         return min(at.edge if edge else at.strict, at.edge if person.stable_count < 5 else at.strict)
 
+    def _match(self, feature: np.ndarray, camera: str, now: float, active: set, edge: bool, box: np.ndarray | None) -> int | None:
+        """The most similar person that may be meant, else the one whose last box fits; of equal ones the first."""
+        taken = {self.known[(camera, t)] for t in active if (camera, t) in self.known}
+        scores = self.scores(feature)
+        able = (self.owner > 0) & ~np.isin(self.owner, list(taken))
+        likely = np.flatnonzero(able & (scores > 0))
+        for slot in likely[np.lexsort((self.owner[likely], -scores[likely]))].tolist():
+            if scores[slot] >= self.threshold(self.persons[int(self.owner[slot])], camera, now, edge):
+                return int(self.owner[slot])
+        if box is None:
+            return None
+        near = []
+        for slot in np.flatnonzero(able).tolist():
+            person = self.persons[int(self.owner[slot])]
+            if person.box is not None and (o := _iou(box, person.box)) >= self.limits.least_iou:
+                near.append((0.4 * o + 0.6 * float(scores[slot]), -person.global_id))
+        return -max(near)[1] if near and max(near)[0] > 0 else None
+
     def find_or_create(self, local: int, feature: np.ndarray, camera: str, now: float, active: set, update: bool = True, edge: bool = False, box: np.ndarray | None = None) -> int:
         key = (camera, local)
-        if key in self.known:
-            found = self.known[key]
-        else:
-            taken = {self.known[(camera, t)] for t in active if (camera, t) in self.known}
-            free = [p for i, p in self.persons.items() if i not in taken]
-            scored = [(self.best(feature, p), p) for p in free if p.features]
-            fitting = [(s, -p.global_id) for s, p in scored if s > 0 and s >= self.threshold(p, camera, now, edge)]
-            found = -max(fitting)[1] if fitting else None
-            if found is None and box is not None:
-                near = [(0.4 * o + 0.6 * self.best(feature, p), -p.global_id) for p in free if p.box is not None and (o := _iou(box, p.box)) >= self.limits.least_iou]
-                found = -max(near)[1] if near and max(near)[0] > 0 else None
+        if (found := self.known.get(key)) is None:
+            found = self._match(feature, camera, now, active, edge, box)
             if found is None:
                 self._make_room(now)
                 found, self.next_id = self.next_id, self.next_id + 1
-                self.persons[found] = Person(found, now, {camera}, [feature], [] if edge else [feature], [], box, 1, 0 if edge else 1)
+                self._enter(Person(found, now, {camera}, [feature], [] if edge else [feature], [], box, 1, 0 if edge else 1))
                 self.known[key] = found
                 return found
             self.known[key] = found
@@ -154,11 +199,12 @@ class Gallery:
         if len(self.persons) >= self.limits.most_persons:
             old = [i for i, p in self.persons.items() if now - p.last_seen > self.limits.oldest_s]
             for i in old[: len(self.persons) // 4]:
-                del self.persons[i]
+                self._leave(i)
 
     def record_departure(self, global_id: int, views: list) -> None:
         if (person := self.persons.get(global_id)) is not None:
             person.departed = list(views)[-self.limits.departures :]
+            self.changed.add(global_id)
 
     def clear_camera(self, camera: str) -> None:
         self.known = {k: v for k, v in self.known.items() if k[0] != camera}
@@ -215,7 +261,40 @@ class Site:
         return out
 
 
+    def rows(self, data: pd.DataFrame, open_frame: list | None = None) -> list[tuple]:
+        """camera, track, frame and identity of rows in order, a frame at a time; the last frame is held in ``open_frame`` if that is given."""
+        out, frame = [], list(open_frame or [])
+        for r in data.itertuples(index=False):
+            if frame and (r.camera_name != frame[0].camera_name or r.frame_idx != frame[0].frame_idx):
+                out += self._told(frame)
+                frame = []
+            frame.append(r)
+        if open_frame is None:
+            return out + (self._told(frame) if frame else [])
+        open_frame[:] = frame
+        return out
+
+    def _told(self, frame: list) -> list[tuple]:
+        rows = [(int(r.track_id), np.asarray(r.embedding, np.float64), np.trunc(np.array([r.x1, r.y1, r.x2, r.y2])), bool(r.is_edge)) for r in frame]
+        found = self.frame(frame[0].camera_name, float(frame[0].t), rows)
+        return [(r.camera_name, int(r.track_id), int(r.frame_idx), g) for r, g in zip(frame, found, strict=True)]
+
+
 RESOLVED = "site_id string, camera_name string, track_id long, frame_idx long, global_id long"
+ORDER = ["frame_idx", "camera_name", "track_id"]
+
+
+def as_resolved(site: str, rows: list[tuple]) -> pd.DataFrame:
+    camera, track, frame, found = zip(*rows) if rows else ((), (), (), ())
+    return pd.DataFrame({"site_id": site, "camera_name": camera, "track_id": track, "frame_idx": frame, "global_id": pd.array(found, "Int64")})
+
+
+def observed(observations: DataFrame) -> DataFrame:
+    """The columns that a site needs, as it needs them."""
+    return observations.select(
+        "site_id", "camera_name", F.col("track_id").cast("long"), F.col("frame_idx").cast("long"), F.col("t").cast("double"),
+        F.col("embedding").cast("array<double>"), "is_edge", "x1", "y1", "x2", "y2",
+    )
 
 
 def resolve(observations: DataFrame, limits: Limits | None = None, stable: int = 15, most: int = 45) -> DataFrame:
@@ -227,26 +306,16 @@ def resolve(observations: DataFrame, limits: Limits | None = None, stable: int =
     ship_package(observations.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        site, sites, frame = None, None, []
-
-        def done() -> pd.DataFrame:
-            rows = [(r.track_id, np.asarray(r.embedding, np.float64), np.trunc(np.array([r.x1, r.y1, r.x2, r.y2])), bool(r.is_edge)) for r in frame]
-            found = sites.frame(frame[0].camera_name, float(frame[0].t), rows)
-            return pd.DataFrame({"site_id": site, "camera_name": frame[0].camera_name, "track_id": [r.track_id for r in frame], "frame_idx": frame[0].frame_idx, "global_id": pd.array(found, "Int64")})
-
+        site, own, frame = None, None, []
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if frame and (r.site_id != site or r.camera_name != frame[0].camera_name or r.frame_idx != frame[0].frame_idx):
-                    out.append(done())
-                    frame = []
-                if r.site_id != site:
-                    site, sites = r.site_id, Site(limits, stable, most)
-                frame.append(r)
-            if out:
-                yield pd.concat(out)
+            for name, part in batch.groupby("site_id", sort=False):
+                if name != site:
+                    if frame:
+                        yield as_resolved(site, own._told(frame))
+                    site, own, frame = name, Site(limits, stable, most), []
+                yield as_resolved(site, own.rows(part, frame))
         if frame:
-            yield done()
+            yield as_resolved(site, own._told(frame))
 
-    ordered = observations.select("site_id", "camera_name", F.col("track_id").cast("long"), F.col("frame_idx").cast("long"), F.col("t").cast("double"), F.col("embedding").cast("array<double>"), "is_edge", "x1", "y1", "x2", "y2")
-    return ordered.repartition("site_id").sortWithinPartitions("site_id", "frame_idx", "camera_name", "track_id").mapInPandas(run, RESOLVED)
+    ordered = observed(observations).repartition("site_id").sortWithinPartitions("site_id", *ORDER)
+    return ordered.mapInPandas(run, RESOLVED)

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 ORDER = ("ts", "event_id")
 
 
-def timeline(events: DataFrame, initial: int = 0, room: tuple[str, ...] = ("room",), order: tuple[str, ...] = ORDER, bucket: str = "day") -> DataFrame:
+def timeline(events: DataFrame, initial: int | DataFrame = 0, room: tuple[str, ...] = ("room",), order: tuple[str, ...] = ORDER, bucket: str = "day") -> DataFrame:
     """Adds ``occupancy`` and ``peak`` after each event, in event order, never below zero.
 
     With S the plain running sum, the clamped count is S less the least of zero
     and the lowest S so far, so no row depends on another's clamped value. Sums
     and minima are taken within buckets of time and then carried over a table
     of the buckets, so even one very busy room is spread over many tasks.
+    ``initial`` is the count before the first event, of all rooms or, as a table
+    with the rooms' columns and ``initial``, of each; rooms it leaves out have 0.
     """
     df = events.withColumns({"delta": F.when(F.col("event") == "ENTRY", 1).when(F.col("event") == "EXIT", -1).otherwise(0).cast("long"), "bucket": F.date_trunc(bucket, order[0])})
     own = Window.partitionBy(*room, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -22,8 +24,13 @@ def timeline(events: DataFrame, initial: int = 0, room: tuple[str, ...] = ("room
     df = df.withColumn("low", F.min("s").over(own))
     before = Window.partitionBy(*room).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*room, "bucket").agg(F.sum("delta").alias("total"), F.min("s").alias("lowest"))
-    totals = totals.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0)) + initial_count(initial))
-    totals = totals.withColumn("floor", F.min(F.col("base") + F.col("lowest")).over(before)).select(*room, "bucket", "base", "floor")
+    if isinstance(initial, DataFrame):
+        totals = totals.join(initial.select(*room, F.greatest(F.lit(0), "initial").cast("long").alias("start")), list(room), "left")
+        totals = totals.withColumn("start", F.coalesce("start", F.lit(0)))
+    else:
+        totals = totals.withColumn("start", initial_count(initial))
+    totals = totals.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0)) + F.col("start"))
+    totals = totals.withColumn("floor", F.min(F.col("base") + F.col("lowest")).over(before)).select(*room, "bucket", "base", "floor", "start")
     df = df.join(totals, [*room, "bucket"])
     lowest = F.least(F.lit(0), F.col("floor"), F.col("base") + F.col("low"))  # least skips a null floor
     df = df.withColumn("occupancy", F.col("base") + F.col("s") - lowest)
@@ -33,7 +40,8 @@ def timeline(events: DataFrame, initial: int = 0, room: tuple[str, ...] = ("room
     highs = df.groupBy(*room, "bucket").agg(F.max(entered).alias("top"))
     highs = highs.withColumn("carried", F.max("top").over(before)).select(*room, "bucket", "carried")
     df = df.join(highs, [*room, "bucket"])
-    return df.withColumn("peak", F.greatest(initial_count(initial), F.col("high"), F.col("carried"))).drop("delta", "bucket", "s", "low", "base", "floor", "high", "carried")
+    peak = F.greatest("start", "high", "carried")
+    return df.withColumn("peak", peak).drop("delta", "bucket", "s", "low", "base", "floor", "start", "high", "carried")
 
 
 def initial_count(initial: int):

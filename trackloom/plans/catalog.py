@@ -183,10 +183,23 @@ def gallery_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gallery.statistics(found.join(rows.select("id", F.col("cid").alias("camera_name")), "id"))
 
 
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations by site: forty tracks and four cameras each, so there are more sites as there are more tracks."""
+    site = F.concat(F.lit("Site_"), F.floor(F.col("track_id") / 40).cast("string"))
+    return fx.observations(spark, sf_dir).withColumns({"site_id": site, "t": F.col("frame_idx") / 25.0})
+
+
+SITE_LIMITS = gallery.Limits(strict=0.35, edge=0.30, re_entry=0.25)
+
+
 def identity_resolve_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One site for each camera, so sites run in parallel."""
-    rows = fx.observations(spark, sf_dir).withColumns({"site_id": F.col("camera_name"), "t": F.col("frame_idx") / 25.0})
-    return gallery.resolve(rows, gallery.Limits(strict=0.35, edge=0.30, re_entry=0.25), 3, 5)
+    """Identities over the cameras of each site; sites run in parallel."""
+    return gallery.resolve(_sites(spark, sf_dir), SITE_LIMITS, 3, 5)
+
+
+def stream_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a stream."""
+    return _streamed(spark, _sites(spark, sf_dir), lambda s: processors.stream_identities(s, SITE_LIMITS, 3, 5), "frame_idx", "site_id")
 
 
 def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,22 +256,64 @@ def training_history_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.best_so_far(history).select("epoch", "loss", "is_best", "best", F.round("lr", 12).alias("lr"))
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``rows`` written as files, read as a stream to its end, and what the stream wrote."""
-    top = fresh_dir(spark, "stream")
-    rows.write.parquet(f"{top}/in")
-    stream = make(spark.readStream.schema(rows.schema).parquet(f"{top}/in"))
-    processors.run_to_end(stream, f"{top}/out", f"{top}/state")
-    return spark.read.schema(stream.schema).parquet(f"{top}/out")
+STEPS, STEP_FILES = 3, 4
+
+
+def _arrived(rows: DataFrame, order: str, *keys: str) -> str:
+    """``rows`` as files that arrive in ``STEPS`` steps of ``order``; a step has a key's rows in one file."""
+    path = fresh_dir(rows.sparkSession, "stream")
+    at = F.col(order).cast("double")
+    cuts = rows.agg(F.percentile_approx(at, [k / STEPS for k in range(1, STEPS)])).first()[0] or []
+    step = sum((at > x).cast("int") for x in cuts) if cuts else F.lit(0)
+    for k in range(len(cuts) + 1):
+        rows.where(step == k).repartition(STEP_FILES, *keys).write.mode("append").parquet(f"{path}/in")
+    return path
+
+
+def _source(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """The files as a stream, a step's number of them in each micro-batch."""
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", STEP_FILES).parquet(f"{path}/in")
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame], order: str, *keys: str) -> DataFrame:
+    """``rows`` written as files, read as a stream to its end in several micro-batches, and what the stream wrote."""
+    path = _arrived(rows, order, *keys)
+    stream = make(_source(spark, path, rows))
+    processors.run_to_end(stream, f"{path}/out", f"{path}/state")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+TRACK = ("camera_name", "track_id")
 
 
 def stream_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, fx.tracks(spark, sf_dir), lambda s: processors.stream_crossings(s, fx.lines(spark))).select(*EVENTS)
+    return _streamed(spark, fx.tracks(spark, sf_dir), lambda s: processors.stream_crossings(s, fx.lines(spark)), "frame_idx", *TRACK).select(*EVENTS)
+
+
+def stream_direction_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    make = lambda s: processors.stream_crossings(s, fx.lines(spark), direction=True)
+    return _streamed(spark, fx.tracks(spark, sf_dir), make, "frame_idx", *TRACK).select(*EVENTS)
+
+
+def stream_region_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    make = lambda s: processors.stream_region_crossings(s, fx.regions(spark))
+    return _streamed(spark, fx.tracks(spark, sf_dir), make, "frame_idx", *TRACK).select(*EVENTS)
 
 
 def stream_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _streamed(spark, fx.door_events(spark, sf_dir), lambda s: processors.stream_occupancy(s, fx.SEED_OCCUPANCY))
-    return found.select("event_id", "event", "occupancy")
+    rows = fx.door_events(spark, sf_dir)
+    path = _arrived(rows, "ts", "event_id")
+    processors.count_to_end(_source(spark, path, rows), f"{path}/out", f"{path}/state", fx.SEED_OCCUPANCY)
+    return spark.read.schema(processors.COUNTED).parquet(f"{path}/out/rows").select("event_id", "event", "occupancy")
+
+
+def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals by camera and second of a stream, of the seconds that its watermark has closed."""
+    rows = fx.arrivals(spark, sf_dir)
+    path = _arrived(rows, "ts", "event_id")
+    processors.run_to_end(processors.rates(_source(spark, path, rows)), f"{path}/out", f"{path}/state")
+    found = spark.read.parquet(f"{path}/out")
+    return found.select("camera_name", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("second"), "n")
 
 
 QUERIES = (
@@ -267,7 +322,8 @@ QUERIES = (
     session_summary, event_log, fps_per_second, latest_buffer, frame_duplication, source_stats, max_frames, event_flash, presence_segments, departures,
     departure_views, cosine_topk, cmc_map, similarity_separation, triplet_loss, batch_hard_loss, batch_hard_loss_compat, tracklet_maturity, tracklet_mean,
     identity_match_set, gallery_stats, identity_resolve_stateful, reservoir_sample, yolo_normalize, yolo_normalize_unclipped, annotation_counts,
-    rotation_plan, rotation_report, rotation_members, training_plan, sweep_remaining, training_history_best, stream_crossings, stream_occupancy,
+    rotation_plan, rotation_report, rotation_members, training_plan, sweep_remaining, training_history_best, stream_crossings, stream_direction_crossings,
+    stream_region_crossings, stream_occupancy, stream_rates, stream_identities,
 )
 
 

@@ -211,6 +211,10 @@ def oracle_sql() -> dict[str, str]:
             select epoch, loss, coalesce(loss < min(loss) over (order by epoch rows between unbounded preceding and 1 preceding), true) as is_best,
             min(loss) over (order by epoch rows unbounded preceding) as best, round(3e-4 * pow(0.5, epoch // 10), 12) as lr from h""",
         "stream_crossings": f"{events} select {_COLUMNS} from line_events",
+        "stream_direction_crossings": f"{events} select {_COLUMNS} from line_events where {_ALLOWED}",
+        "stream_region_crossings": f"{t}, {SEGMENTS}, {REGION} select {_COLUMNS} from region_events",
+        "stream_rates": f"""with {ARRIVALS} select camera_name, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as second, count(*) as n from arrivals
+            where date_trunc('second', ts) + interval 1 second <= (select max(ts) from arrivals) - interval 10 second group by all""",
         "stream_occupancy": f"with {OCCUPANCY} select event_id, event, occupancy from counts",
     }
 

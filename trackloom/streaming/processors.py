@@ -1,13 +1,18 @@
-"""Crossings and occupancy of unbounded tracks, as stateful processors.
+"""Crossings, identities and occupancy of unbounded tracks.
 
 Row-based windows don't exist on streams, so the state that batch operators
-read from earlier rows is kept by key: a track's last sides, and a room's
-count. Rows of a micro-batch are handled in event order. A track that misses a
-frame of its camera starts anew, which its next row's frame number shows.
+read from earlier rows is kept by key: a track's last side and place, a site's
+gallery. Rows of a micro-batch are handled in the order of their frames. A track
+that misses a frame of its camera starts anew, which its next row's frame number
+shows. A key's rows of one micro-batch are in one task, so micro-batches are to
+be bounded by the source (``maxFilesPerTrigger``). A room's count, for which all
+doors of a room matter, is carried from batch to batch and distributed within.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 import sys
 from collections.abc import Iterator
 
@@ -18,37 +23,51 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import geo
+from ..operators import crossings, gallery, occupancy
 from ..session import ship_package
 
 # a stateful processor is also loaded by a worker on the driver, which shipped archives don't reach
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(gallery)
 
 CROSSED = "camera_name string, track_id long, door_id string, frame_idx long, event string, px long, py long"
 COUNTED = "room string, event_id long, ts timestamp, event string, occupancy long"
 
 
 class CrossingProcessor(StatefulProcessor):
-    """Key: camera, track and door. Input rows carry the side that counts (null within the band)."""
+    """Key: camera, track and door. Input rows carry the side that counts (null within the band), the foot and the line's direction."""
 
     ttl_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "frame long, side int", ttlDurationMs=self.ttl_ms)
+        self.last = handle.getValueState("last", "frame long, side int, fx double, fy double", ttlDurationMs=self.ttl_ms)
+
+    @staticmethod
+    def allowed(event: str, direction: str, along: float | None) -> bool:
+        """Whether the line's direction lets an event pass; ``along`` is the movement's share along it, None at rest or in a first row."""
+        if along is None or direction not in ("entry", "exit"):
+            return True
+        return event == direction.upper() and along > 0.1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         data = pd.concat(list(rows)).sort_values("frame_idx")
-        frame, before = self.last.get() if self.last.exists() else (None, None)
+        frame, before, fx, fy = self.last.get() if self.last.exists() else (None, None, None, None)
         out = []
         for r in data.itertuples(index=False):
             if frame is not None and r.frame_idx != frame + 1:
-                before = None
-            frame = int(r.frame_idx)
+                before = fx = None
+            along = None
+            if fx is not None and (length := math.hypot(r.fx - fx, r.fy - fy)) > 0:
+                along = ((r.fx - fx) * r.ux + (r.fy - fy) * r.uy) / length
+            frame, fx, fy = int(r.frame_idx), float(r.fx), float(r.fy)
             if pd.notna(r.side):
                 side = int(r.side)
                 if before is not None and before != side:
-                    out.append((key[0], key[1], key[2], frame, "ENTRY" if side == r.inside_sign else "EXIT", int(r.px), int(r.py)))
+                    event = "ENTRY" if side == r.inside_sign else "EXIT"
+                    if self.allowed(event, r.direction, along):
+                        out.append((key[0], key[1], key[2], frame, event, int(r.px), int(r.py)))
                 before = side
-        self.last.update((frame, before))
+        self.last.update((frame, before, fx, fy))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CROSSED.split(", ")])
 
@@ -56,30 +75,19 @@ class CrossingProcessor(StatefulProcessor):
         pass
 
 
-class OccupancyProcessor(StatefulProcessor):
-    """Key: room. The state is one number."""
-
-    initial = 0
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self.count.get()[0] if self.count.exists() else max(0, self.initial)
-        data = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        counts = []
-        for event in data["event"]:
-            n = n + 1 if event == "ENTRY" else max(0, n - 1) if event == "EXIT" else n
-            counts.append(n)
-        self.count.update((n,))
-        yield pd.DataFrame({"room": key[0], "event_id": data["event_id"].to_numpy(), "ts": data["ts"].to_numpy(), "event": data["event"].to_numpy(), "occupancy": counts})
-
-    def close(self) -> None:
-        pass
+def _crossed(rows: DataFrame, ttl_ms: int | None) -> DataFrame:
+    processor = CrossingProcessor()
+    processor.ttl_ms = ttl_ms
+    fx, fy = geo.crossing_point("x1", "y1", "x2", "y2", "foot")
+    keyed = rows.select(
+        "camera_name", "track_id", "door_id", "frame_idx", "side", "inside_sign", "px", "py", fx.cast("double").alias("fx"), fy.cast("double").alias("fy"),
+        F.coalesce("ux", F.lit(0.0)).alias("ux"), F.coalesce("uy", F.lit(0.0)).alias("uy"), F.coalesce("direction", F.lit("both")).alias("direction"),
+    )
+    return keyed.groupBy("camera_name", "track_id", "door_id").transformWithStateInPandas(processor, CROSSED, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
-def stream_crossings(tracks: DataFrame, lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Line crossings of a stream of tracks; directions are not looked at. Sides are computed before the rows are keyed.
+def stream_crossings(tracks: DataFrame, lines: DataFrame, ttl_ms: int | None = None, direction: bool = False, strict: bool = False) -> DataFrame:
+    """Line crossings of a stream of tracks, as :func:`crossings.line_crossings` finds them. Sides are computed before the rows are keyed.
 
     On a stream without end, ``ttl_ms`` is how long a track that is gone keeps
     its state. It needs a trigger that goes on, not one that stops at the end
@@ -90,19 +98,50 @@ def stream_crossings(tracks: DataFrame, lines: DataFrame, ttl_ms: int | None = N
     px, py = geo.crossing_point("x1", "y1", "x2", "y2", F.coalesce(F.col("crossing_point"), F.lit("foot")))
     df = df.withColumns({"px": px, "py": py})
     ends = ("px", "py", "sx", "sy", "ex", "ey")
-    side = F.when((geo.side(*ends) != 0) & (geo.line_distance(*ends) > F.col("band_width")), geo.side(*ends))
-    processor = CrossingProcessor()
-    processor.ttl_ms = ttl_ms
-    keyed = df.select("camera_name", "track_id", "door_id", "frame_idx", side.alias("side"), "inside_sign", "px", "py")
-    return keyed.groupBy("camera_name", "track_id", "door_id").transformWithStateInPandas(processor, CROSSED, "Append", "ProcessingTime" if ttl_ms else "None")
+    counts = (geo.side(*ends) != 0) & (geo.line_distance(*ends) > F.col("band_width"))
+    if strict:
+        counts = counts & geo.within_segment(*ends)
+    ux, uy = crossings.forward(strict)
+    ruled = F.lower("direction") if direction else F.lit("both")
+    return _crossed(df.withColumns({"side": F.when(counts, geo.side(*ends)), "ux": ux, "uy": uy, "direction": ruled}), ttl_ms)
+
 
+def stream_region_crossings(tracks: DataFrame, regions: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Events where a track of a stream enters or leaves its camera's region."""
+    ship_package(tracks.sparkSession)
+    df = crossings.with_inside(tracks, regions).where("inside is not null")
+    none = F.lit(0.0)
+    side = {"side": F.when(F.col("inside"), 1).otherwise(-1), "inside_sign": F.lit(1), "door_id": F.lit("Room_Entry")}
+    return _crossed(df.withColumns(side | {"ux": none, "uy": none, "direction": F.lit("both")}), ttl_ms)
+
+
+class GalleryProcessor(StatefulProcessor):
+    """Key: site. The state is the site's gallery, pending tracks and last frames, bounded by its limits; ``ttl_ms`` drops a site that is gone."""
+
+    limits: gallery.Limits | None = None
+    stable, most = 15, 45
+    ttl_ms: int | None = None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.site = handle.getValueState("site", "data binary", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        site = pickle.loads(self.site.get()[0]) if self.site.exists() else gallery.Site(self.limits, self.stable, self.most)
+        found = site.rows(pd.concat(list(rows)).sort_values(gallery.ORDER))
+        self.site.update((cloudpickle.dumps(site),))
+        yield gallery.as_resolved(key[0], found)
+
+    def close(self) -> None:
+        pass
 
-def stream_occupancy(events: DataFrame, initial: int = 0) -> DataFrame:
-    """Clamped occupancy after each event of a stream (room, event_id, ts, event)."""
-    ship_package(events.sparkSession)
-    processor = OccupancyProcessor()
-    processor.initial = initial
-    return events.select("room", "event_id", "ts", "event").groupBy("room").transformWithStateInPandas(processor, COUNTED, "Append", "None")
+
+def stream_identities(observations: DataFrame, limits: gallery.Limits | None = None, stable: int = 15, most: int = 45, ttl_ms: int | None = None) -> DataFrame:
+    """:func:`gallery.resolve` for a stream; the rows of a frame come in one micro-batch, and frames of a site in order."""
+    ship_package(observations.sparkSession)
+    processor = GalleryProcessor()
+    processor.limits, processor.stable, processor.most, processor.ttl_ms = limits, stable, most, ttl_ms
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return gallery.observed(observations).groupBy("site_id").transformWithStateInPandas(processor, gallery.RESOLVED, "Append", mode)
 
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -121,12 +160,41 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
-def append_log(log: DataFrame, path: str, checkpoint: str, every: str = "10 seconds"):
-    """A stream of event-log rows appended as CSV, a folder for each day."""
+def count_to_end(events: DataFrame, path: str, checkpoint: str, initial: int = 0) -> None:
+    """Clamped occupancy after each event of a stream (room, event_id, ts, event), written under ``path``/rows.
+
+    A micro-batch is counted as :func:`occupancy.timeline` counts, spread over
+    buckets of time, from the counts that the batch before left under
+    ``path``/counts. A batch that is repeated writes the same folders again, so
+    its rows are there once.
+    """
+
+    def count(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = None
+        if number > 0:
+            known = spark.read.schema("room string, initial long").parquet(f"{path}/counts/batch={number - 1}")
+            fresh = batch.select("room").distinct().join(known, "room", "left_anti").select("room", occupancy.initial_count(initial).alias("initial"))
+            start = known.unionByName(fresh)
+        else:
+            start = batch.select("room").distinct().select("room", occupancy.initial_count(initial).alias("initial"))
+        timed = occupancy.timeline(batch.select("room", "event_id", "ts", "event"), start)
+        timed.select("room", "event_id", "ts", "event", "occupancy").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        rows = spark.read.schema(COUNTED).parquet(f"{path}/rows/batch={number}")
+        last = rows.groupBy("room").agg(F.max_by("occupancy", F.struct("ts", "event_id")).alias("initial"))
+        left = last if known is None else last.unionByName(known.join(last, "room", "left_anti"))
+        left.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+
+    events.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def append_log(log: DataFrame, path: str, checkpoint: str, every: str | None = "10 seconds"):
+    """A stream of event-log rows appended as CSV, a folder for each day; without ``every`` it stops at the end of what is there."""
     dated = log.withColumn("event_date", F.substring("timestamp", 1, 10))
-    return dated.writeStream.format("csv").option("header", True).partitionBy("event_date").option("checkpointLocation", checkpoint).trigger(processingTime=every).start(path)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return dated.writeStream.format("csv").option("header", True).partitionBy("event_date").option("checkpointLocation", checkpoint).trigger(**trigger).start(path)
 
 
 def rates(events: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """Arrivals by camera and second of a stream with a watermark."""
+    """Arrivals by camera and second of a stream with a watermark: rows later than that are left out, and a second is told once it can't change."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 second"), "camera_name").agg(F.count("*").alias("n"))
