@@ -33,7 +33,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
     counts = [pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+    digest = F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
