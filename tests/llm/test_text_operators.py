@@ -168,19 +168,87 @@ def test_substrings_of_rows_that_share_an_id(spark, shared_id):
 # 2
 
 
-def test_fingerprints_of_neighbours(docs):
-    found = {(r.doc_id, r.n_chars): r for r in fingerprints.compare_neighbours(docs).collect()}
-    order = sorted((t for t in set(awkward())), key=lambda x: (2**63 if x[0] is None else x[0]))
-    texts = [t or "" for _, t in order]
-    for k, (i, t) in enumerate(order):
-        if i in (6, None):
-            continue  # the repeated row is its own next; the last is next to the first
-        after = texts[(k + 1) % len(order)]
-        r, changed = found[(i, len(t or ""))], fingerprints.edited(t or "", after)
-        assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
-    assert found[(1, 0)].fingerprint == found[(2, 0)].fingerprint == "ff" * fingerprints.SLOTS
-    assert found[(6, len(awkward()[5][1]))].fingerprint == found[(7, len(awkward()[5][1]))].fingerprint
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found.values())
+def mixed(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def parsed(text):
+    """Names of the phrases of each level, by loops over symbols."""
+    levels, symbols = [], [b + 1 for b in text.encode()]
+    while symbols and len(levels) < fingerprints.MOST_LEVELS and (not levels or len(levels[-1]) > 1):
+        runs = []
+        for s in symbols:
+            if runs and runs[-1][0] == s:
+                runs[-1][1] += 1
+            else:
+                runs.append([s, 1])
+        x = [mixed((s + n * 0x9E3779B97F4A7C15) % 2**64) for s, n in runs]
+        label, width = list(x), 2**64
+        for _ in range(5):
+            new = []
+            for i, v in enumerate(label):
+                differ = v ^ (label[i - 1] if i else ~v % width)
+                bit = (differ & -differ).bit_length() - 1
+                new.append(2 * bit + (v >> bit & 1))
+            label, width = new, 256
+        start = [i for i in range(len(x)) if i == 0 or (i + 1 < len(x) and label[i] > label[i - 1] and label[i] > label[i + 1])]
+        symbols = []
+        for i, j in zip(start, [*start[1:], len(x)]):
+            symbols.append(mixed(sum(x[k] * pow(0x9E3779B97F4A7C15, k - i + 1, 2**64) for k in range(i, j)) % 2**64))
+        levels.append(symbols)
+    return levels
+
+
+def fingerprint_by_hand(text):
+    levels, out = parsed(text), [255] * 64
+    factors = fingerprints._FACTORS.tolist()
+    for k in range(64):
+        lowest, highest = (1, 1) if k < 6 else (2, 2) if k < 20 else (3, 12)
+        names = [mixed((s + n) % 2**64) for n, level in enumerate(levels, 1) if lowest <= n <= highest for s in level]
+        if names:
+            out[k] = mixed(min((s * factors[0][k] + factors[1][k]) % 2**64 >> 20 for s in names)) >> 56
+    return bytes(out)
+
+
+def likeness_by_hand(a, b):
+    shares = [(a[i:j], b[i:j]) for i, j in ((0, 6), (6, 20), (20, 64)) if set(a[i:j]) != {255} and set(b[i:j]) != {255}]
+    if not shares:
+        return float(a == b)
+    same = sum(x == y for p, q in shares for x, y in zip(p, q)) / sum(len(p) for p, _ in shares)
+    return min(1.0, max(0.0, (same - 1 / 256) / (1 - 1 / 256)))
+
+
+@pytest.mark.parametrize("extra", [[], [(6, "another text with the id six"), (6, "x"), (None, "zz top"), (None, None), (-3, "a" * 700)]])
+def test_fingerprints_equal_an_independent_parse(spark, extra):
+    """Every row, those with one id and those without one too: they are in order of a hash of their text."""
+    rows = [x for x in awkward() if x[0] != 9] + extra
+    tie = lambda t: int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "big", signed=True)
+    order = sorted(rows, key=lambda x: (2**63 - 1 if x[0] is None else x[0], tie(x[1])))
+    texts, want = [t or "" for _, t in order], []
+    for k, (i, _) in enumerate(order):
+        own, after = texts[k], texts[(k + 1) % len(texts)]
+        changed = fingerprints.edited(own, after)
+        a, b, c = map(fingerprint_by_hand, (own, changed, after))
+        want.append((str(i), len(own), hashlib.sha256(changed.encode()).hexdigest(), a.hex(), b.hex(), round(likeness_by_hand(a, b), 9), round(likeness_by_hand(a, c), 9)))
+    found = fingerprints.compare_neighbours(rows_of(spark, rows)).collect()
+    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found]
+    assert sorted(got) == sorted(want)
+
+
+def test_likeness_has_no_step_in_length():
+    """Texts that differ in their last two characters are near at every length, more so the longer they are."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 8)))
+    for low, high, least in ((40, 80, 0.35), (380, 420, 0.7), (1980, 2020, 0.85)):
+        near = []
+        for _ in range(8):
+            text = " ".join(word() for _ in range(900))
+            for n in range(low, high, 5):
+                near.append(float(fingerprints.likeness(*(fingerprints._sketches([text[:k]]) for k in (n - 1, n + 1)))[0]))
+        assert np.mean(near) > least
+        assert np.min(near) > least - 0.35
 
 
 def test_equal_substrings_share_their_interior():

@@ -8,9 +8,11 @@ where a label exceeds both its neighbours. A label depends on a few symbols to
 its left and right only, so equal substrings are cut alike except near their
 ends, wherever they stand. A phrase's name is a hash of its symbols.
 
-A fingerprint is a MinHash of the names from a level on which the text's length
-decides: 64 slots, two hexadecimal digits each. The likeness of two is the
-share of equal slots, less those equal by chance.
+A fingerprint is a MinHash of the names: 64 slots, two hexadecimal digits each.
+Names of the first level, of the second, and of all higher ones have slots of
+their own, so that the many short phrases don't outweigh the long ones, and a
+text's length has no say in what is compared. The likeness of two is the share
+of equal slots, less those equal by chance, on the levels that both have.
 
 Defined cases: null counts as the empty text, whose fingerprint has ``ff`` in
 every slot; likeness of two empty texts is 1; rows are ordered by doc_id, those
@@ -33,13 +35,15 @@ from ..session import ship_package, written
 from .arrow_text import mix64, record_batch, slices, texts
 
 SLOTS = 64
-#: Code points from which names of the first level, or of the first two, are left out.
-LEVELS = (60, 400)
+#: First and last slot, and lowest and highest level, of each group.
+GROUPS = ((0, 6, 1, 1), (6, 20, 2, 2), (20, 64, 3, 12))
 MOST_LEVELS = 12
 #: Bytes of text parsed as one array.
 TOGETHER = 1 << 20
 #: Ranges of ids for each partition of the shuffle.
 RANGES = 4
+#: Text for each partition of the shuffle, at most about.
+PARTITION_BYTES = 256 << 20
 LAST = (1 << 63) - 1
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -78,43 +82,38 @@ def _phrases(symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix64(np.add.reduceat(x * power[place], cut)), text[cut]
 
 
-def sketch(rows: list[bytes], n_chars: np.ndarray) -> np.ndarray:
-    """The slots of each text, [texts, SLOTS] bytes."""
+def sketch(rows: list[bytes]) -> np.ndarray:
+    """The slots of each text, [texts, SLOTS] bytes; 255 in all slots of a group of levels that the text hasn't got."""
     out = np.full((len(rows), SLOTS), 255, np.uint8)
-    size = np.array([len(x) for x in rows])
     symbols = np.frombuffer(b"".join(rows), np.uint8).astype(np.uint64) + np.uint64(1)
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), size)
-    base = 1 + np.searchsorted(LEVELS, n_chars, "right")
-    names, texts_of = [], []
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
+    levels = []
     for level in range(1, MOST_LEVELS + 1):
         if not len(symbols):
             break
         symbols, owner = _phrases(symbols, owner)
-        use = base[owner] <= level
-        names.append(symbols[use] + np.uint64(level))
-        texts_of.append(owner[use])
-        alone = np.bincount(owner, minlength=len(rows)) == 1
-        more = ~alone[owner] | (base[owner] > level)
+        levels.append((symbols + np.uint64(level), owner))
+        more = (np.bincount(owner, minlength=len(rows)) > 1)[owner]
         symbols, owner = symbols[more], owner[more]
-    if not names:
-        return out
-    name, text = np.concatenate(names), np.concatenate(texts_of)
-    order = np.argsort(text, kind="stable")
-    name, text = mix64(name[order]), text[order]
-    edge = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-    for k in range(SLOTS):
-        least = np.minimum.reduceat((name * _FACTORS[0, k] + _FACTORS[1, k]) >> np.uint64(20), edge)
-        out[text[edge], k] = (mix64(least) >> np.uint64(56)).astype(np.uint8)
+    for first, behind, lowest, highest in GROUPS:
+        if not (own := levels[lowest - 1 : highest]):
+            continue
+        name, text = (np.concatenate(x) for x in zip(*own))
+        order = np.argsort(text, kind="stable")
+        name, text = mix64(name[order]), text[order]
+        edge = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+        for k in range(first, behind):
+            least = np.minimum.reduceat((name * _FACTORS[0, k] + _FACTORS[1, k]) >> np.uint64(20), edge)
+            out[text[edge], k] = (mix64(least) >> np.uint64(56)).astype(np.uint8)
     return out
 
 
 def _sketches(rows: list[str]) -> np.ndarray:
     data = [x.encode() for x in rows]
     parts, start, held = [], 0, 0
-    n_chars = np.array([len(x) for x in rows], np.int64)
     for i, x in enumerate([*data, None]):
         if x is None or (held and held + len(x) > TOGETHER):
-            parts.append(sketch(data[start:i], n_chars[start:i]))
+            parts.append(sketch(data[start:i]))
             start, held = i, 0
         held += len(x or b"")
     return np.concatenate(parts)
@@ -122,8 +121,15 @@ def _sketches(rows: list[str]) -> np.ndarray:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of rows of slots, from 0 to 1."""
-    same = (a == b).mean(1)
-    return np.clip((same - 1 / 256) / (1 - 1 / 256), 0.0, 1.0)
+    same, counted, of_either = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a), bool)
+    for first, behind, _, _ in GROUPS:
+        x, y = a[:, first:behind], b[:, first:behind]
+        has_x, has_y = (x != 255).any(1), (y != 255).any(1)
+        same += (has_x & has_y) * (x == y).sum(1)
+        counted += (has_x & has_y) * (behind - first)
+        of_either |= has_x | has_y
+    share = np.divide(same, counted, out=np.where(of_either, 0.0, 1.0), where=counted > 0)
+    return np.clip((share - 1 / 256) / (1 - 1 / 256), 0.0, 1.0)
 
 
 def edited(text: str, after: str) -> str:
@@ -166,7 +172,8 @@ def _pairs(rows: list[tuple[int, int | None, str, str]]) -> pa.RecordBatch:
         if not same:
             after[i] = _sketches([rows[i][3]])[0]
     return record_batch(COMPARED, [
-        ["row"] * len(rows), [r[0] for r in rows], [r[1] for r in rows], [len(x) for x in own], [hashlib.sha256(x.encode()).hexdigest() for x in changed],
+        ["row"] * len(rows), [r[0] for r in rows], [r[1] for r in rows], [len(x) for x in own],
+        [hashlib.sha256(x.encode()).hexdigest() for x in changed],
         [x.tobytes().hex() for x in a], [x.tobytes().hex() for x in b], likeness(a, b), likeness(a, after), [None] * len(rows), [None] * len(rows),
     ])
 
@@ -225,6 +232,8 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     ship_package(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(partitions, -(-size // PARTITION_BYTES))
     n = RANGES * partitions
     found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
     bounds = np.unique(np.array(found, np.int64))
