@@ -655,6 +655,39 @@ def test_contamination_equals_brute_force(spark, docs, block):
     assert told(found.withColumn("items", F.col("items")).collect(), ["doc_id", "n_words", "n_hit", "items"]) == hit_by_hand(texts, items)
 
 
+def test_search_in_many_common_patterns():
+    """Stop words against thousands of patterns of stop words, with a short item: bounded slices, all occurrences, little memory."""
+    import resource
+
+    rng = random.Random(4)
+    stop = "the of and to a in is it for on".split()
+    line = lambda n: " ".join(rng.choice(stop) for _ in range(n))
+    own = [line(12) for _ in range(5000)]
+    items = decontaminate.Items([(str(k), x.encode()) for k, x in enumerate(own)] + [("short", b"zz the of and")])
+    text = decontaminate.joined(decontaminate.words_of((line(30000) + " zz the of and " + " ".join(own[::50])).encode()))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    at, number = items.hits(text)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+    keys = {k: i for s, own in items.searches for i, k in zip(own.tolist(), s.patterns)}
+    blanks = [i for i in range(len(text)) if text[i] == 32]
+    want = set()
+    for k, i in enumerate(blanks):
+        for words in (4, 10):
+            if k + words < len(blanks) and (p := keys.get(text[i : blanks[k + words] + 1])) is not None:
+                want.add((i, p))
+    assert set(zip(at.tolist(), number.tolist())) == want
+    assert len(at) == len(want) > 300
+
+
+def test_a_benchmark_of_many_blocks(spark, docs):
+    """Repeated items count once for a block's size, and blocks keep within theirs."""
+    items = [(k, f"alpha w{k} " + "x" * 50) for k in range(40)] * 30 + [(99, "alpha beta")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontaminate._blocks(benchmark, 500))
+    assert sorted(int(i) for _, b in blocks for i, _ in b) == [*range(40), 99]
+    assert all(sum(len(t) for _, t in b) <= 500 for _, b in blocks)
+
+
 def test_contamination_without_items(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(docs, none).where("n_hit > 0").count() == 0

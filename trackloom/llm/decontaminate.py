@@ -3,12 +3,16 @@
 Texts and test items become lower-cased words joined by single spaces. Every
 run of ten words of an item is a pattern (an item of fewer words is one). The
 search reads a block of bytes at the window's end, skips ahead by the block's
-entry in the shift table, and where that is zero compares the patterns of the
-block's hash bucket directly. Many stretches of the text are searched in step,
-as numpy arrays of positions.
+entry in the shift table, and where that is zero looks into the block's hash
+bucket for patterns that begin as the text does, which are then compared byte by
+byte. Many stretches of the text are searched in step, as numpy arrays of
+positions, and positions are looked at a bounded number at a time. Patterns are
+searched for in groups of like length, so that a short one doesn't shorten
+everyone's shifts.
 
-Items are sent to the executors in blocks whose size is checked; a larger set
-of items is searched block by block, in one narrow chain without a shuffle.
+Items are sent to the executors in blocks whose size is checked after the cut;
+a larger set of items is searched block by block, in one narrow chain without a
+shuffle. A worker builds the tables of a block once.
 
 Defined cases: a null text has no words; an item without words is ignored; an
 item_id that occurs more than once counts once; an item without item_id hits
@@ -18,6 +22,7 @@ repeated documents give repeated rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .arrow_text import record_batch, slices, texts
+from .arrow_text import mix64, record_batch, slices, texts
 
 WINDOW = 10
 #: Bytes of item text in a block that is broadcast.
 BLOCK_BYTES = 4 << 20
 #: Length of a stretch that is searched in step with others.
 STRETCH = 2048
+#: Positions, and pairs of a position and a pattern, that are looked at together.
+TOGETHER = 1 << 19
+#: Least bytes of the patterns of each group.
+LENGTHS = (1, 16, 32, 64)
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -65,19 +74,29 @@ class WuManber:
         for at in range(self.most):
             h = self._hash(np.ascontiguousarray(padded[:, at : at + 8]).view("<u8")[:, 0])
             np.minimum.at(self.shift, h, min(self.most - 1 - at, 255))
-        order = np.argsort(h, kind="stable")  # of the last block: the suffix of the part that all patterns have
-        self.order, self.suffixes = order, h[order]
-        self.firsts = (np.ascontiguousarray(padded[:, :8]).view("<u8")[:, 0] & self.mask)[order]
+        # a bucket's patterns, by what they begin with: all bytes that every pattern has
+        begins = self._begins(np.ascontiguousarray(padded), np.arange(len(patterns)) * (self.m + 8))
+        self.order = np.argsort(begins, kind="stable")
+        self.begins = begins[self.order]
 
     def _hash(self, block: np.ndarray) -> np.ndarray:
         return (((block & self.mask) * _C) >> self.drop).astype(np.int64)
 
-    def find(self, data: bytes) -> tuple[list[int], list[int]]:
+    def _begins(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A name of the ``m`` bytes at each place of ``data``."""
+        eight = np.ndarray((data.size - 7,), "<u8", data, strides=(1,))
+        out = np.zeros(len(at), np.uint64)
+        for k in [*range(0, self.m - self.block, 8), self.m - self.block]:
+            out = mix64(out * _C + (eight[at + k] & self.mask))
+        return out
+
+    def find(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Starts and pattern numbers of all occurrences."""
         n, m = len(data), self.m
+        none = np.zeros(0, np.int64)
         if n < m:
-            return [], []
-        padded = data + bytes(8)
+            return none, none
+        padded = np.frombuffer(data + bytes(8), np.uint8)
         words = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
         at = np.arange(m - self.block, n - self.block + 1, STRETCH)
         end = np.minimum(at + STRETCH, n - self.block + 1)
@@ -87,25 +106,36 @@ class WuManber:
             step = self.shift[h]
             zero = step == 0
             if zero.any():
-                found.append((at[zero], h[zero]))
+                found.append(at[zero] - (m - self.block))
             at = at + np.maximum(step, 1)
             keep = at < end
             if not keep.all():
                 at, end = at[keep], end[keep]
-        if not found:
-            return [], []
-        ends, h = (np.concatenate(x) for x in zip(*found))
-        low, high = np.searchsorted(self.suffixes, h, "left"), np.searchsorted(self.suffixes, h, "right")
-        many = high - low
-        start = np.repeat(ends - (m - self.block), many)
-        which = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        same = (words[start] & self.mask) == self.firsts[which]
-        starts, numbers = [], []
-        for s, k in zip(start[same].tolist(), self.order[which[same]].tolist()):
-            if data.startswith(self.patterns[k], s):
-                starts.append(s)
-                numbers.append(k)
-        return starts, numbers
+        starts, numbers = [none], [none]
+        places = np.concatenate([none, *found])
+        for i in range(0, len(places), TOGETHER):
+            for start, which in self._compared(data, padded, places[i : i + TOGETHER]):
+                starts.append(start)
+                numbers.append(which)
+        return np.concatenate(starts), np.concatenate(numbers)
+
+    def _compared(self, data: bytes, padded: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Occurrences at ``places``, a bounded number of pairs at a time."""
+        names = self._begins(padded, places)
+        low, high = np.searchsorted(self.begins, names, "left"), np.searchsorted(self.begins, names, "right")
+        held = np.flatnonzero(high > low)
+        low, many, places = low[held], (high - low)[held], places[held]
+        behind = np.cumsum(many)
+        begin = 0
+        while begin < len(places):
+            end = max(begin + 1, int(np.searchsorted(behind, (behind[begin - 1] if begin else 0) + TOGETHER, "right")))
+            n = many[begin:end]
+            start = np.repeat(places[begin:end], n)
+            which = np.repeat(low[begin:end], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            number = self.order[which]
+            same = np.fromiter((data.startswith(self.patterns[k], s) for s, k in zip(start.tolist(), number.tolist())), bool, len(start))
+            yield start[same], number[same]
+            begin = end
 
 
 class Items:
@@ -123,16 +153,28 @@ class Items:
         self.owners = [owners[k] for k in owners]
         self.lengths = [lengths[k] for k in owners]
         keys = list(owners)
-        # patterns of a few bytes would shorten everyone's shifts
         self.searches = []
-        for numbers in ([i for i, k in enumerate(keys) if len(k) >= 16], [i for i, k in enumerate(keys) if len(k) < 16]):
-            if numbers:
-                self.searches.append((WuManber([keys[i] for i in numbers]), numbers))
+        for low, high in zip(LENGTHS, (*LENGTHS[1:], 1 << 62)):
+            if numbers := [i for i, k in enumerate(keys) if low <= len(k) < high]:
+                self.searches.append((WuManber([keys[i] for i in numbers]), np.array(numbers)))
+        self.lengths = np.array(self.lengths, np.int64)
+
+    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and pattern numbers of all occurrences in ``data``."""
+        parts = [(start, numbers[k]) for search, numbers in self.searches for start, k in [search.find(data)]]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *(s for s, _ in parts)]), np.concatenate([none, *(k for _, k in parts)])
+
+
+_BUILT: dict[str, Items] = {}
+
 
-    def hits(self, data: bytes) -> Iterator[tuple[int, int]]:
-        for search, numbers in self.searches:
-            for start, k in zip(*search.find(data)):
-                yield start, numbers[k]
+def _built(name: str, rows: list[tuple[str | None, bytes]], window: int) -> Items:
+    """The tables of a block, made once by each worker, which holds those of one block at a time."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Items(rows, window)
+    return _BUILT[name]
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -152,42 +194,57 @@ def _merge(spans: list[tuple[int, int]]) -> list[dict]:
 
 def _search(part: pa.RecordBatch, items: Items, keep_text: bool) -> pa.RecordBatch:
     rows = [words_of(x) for x in texts(part, "text")]
-    docs = [joined(x) for x in rows]
+    docs, n = [joined(x) for x in rows], np.array([len(x) for x in rows])
     found: list[set[str]] = [set(x or ()) for x in part.column(3).to_pylist()]
     spans: list[list[tuple[int, int]]] = [[(s["start"], s["end"]) for s in x or ()] for x in part.column(4).to_pylist()]
     data = b"\0".join(docs)
-    hits = list(items.hits(data))
-    if hits:
+    at, number = items.hits(data)
+    if len(at):
         begins = np.cumsum([0] + [len(x) + 1 for x in docs])
         blanks = np.cumsum(np.frombuffer(data, np.uint8) == 32)
-        at = np.fromiter((s for s, _ in hits), np.int64, len(hits))
         doc = np.searchsorted(begins, at, "right") - 1
-        first = blanks[at] - blanks[begins[doc]]
-        for (_, k), d, w in zip(hits, doc.tolist(), first.tolist()):
+        before = np.cumsum(n) - n  # words of the documents before
+        first = before[doc] + blanks[at] - blanks[begins[doc]]
+        total = int(n.sum())
+        cover = np.bincount(first, minlength=total + 1) - np.bincount(first + items.lengths[number], minlength=total + 1)
+        hit = np.concatenate(([False], np.cumsum(cover)[:total] > 0, [False]))
+        for d in np.unique(doc).tolist():
+            own = np.concatenate(([False], hit[1 + before[d] : 1 + before[d] + n[d]], [False]))
+            edges = np.flatnonzero(np.diff(own.astype(np.int8)))
+            spans[d] += [(i, j) for i, j in edges.reshape(-1, 2).tolist()]
+        pairs = np.unique(doc * len(items.owners) + number)
+        for d, k in zip((pairs // len(items.owners)).tolist(), (pairs % len(items.owners)).tolist()):
             found[d] |= items.owners[k]
-            spans[d].append((w, w + items.lengths[k]))
     text = part.column(1) if keep_text else pa.nulls(part.num_rows, pa.string())
-    return record_batch(STATE, [part.column(0), text, [len(x) for x in rows], [sorted(x) for x in found], [_merge(x) for x in spans]])
+    return record_batch(STATE, [part.column(0), text, n, [sorted(x) for x in found], [_merge(x) for x in spans]])
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total * 5 // (4 * block_bytes)) if total > block_bytes else 1)
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(x.item_id, x.text.encode()) for x in part.collect()]
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[str, list[tuple[str | None, bytes]]]]:
+    """A name and the different items of each block; only an item that is larger by itself makes a block of over ``block_bytes``."""
+    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null").distinct()
+    share = F.xxhash64("item_id", "text")
+    n = 1
+    while True:
+        sizes = rows.groupBy(F.pmod(share, F.lit(n)).alias("k")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("items")).collect()
+        most = max((x.bytes for x in sizes if x.items > 1), default=0)
+        if most <= block_bytes:
+            break
+        n = max(2 * n, -(-sum(x.bytes for x in sizes) * 5 // (4 * block_bytes)))
+    for k in sorted(x.k for x in sizes) or [0]:
+        part = rows if n == 1 else rows.where(F.pmod(share, F.lit(n)) == k)
+        yield uuid.uuid4().hex, [(x.item_id, x.text.encode()) for x in part.collect()]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted) and spans (word ranges hit, merged) for each row of ``docs``."""
     spark = docs.sparkSession
     ship_package(spark)
-    state = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"))
+    none = {"n_words": F.lit(0).cast("long"), "items": F.lit(None).cast("array<string>"), "spans": F.lit(None).cast("array<struct<start:int,end:int>>")}
+    state = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[c.alias(name) for name, c in none.items()])
 
     def searcher(shared, last: bool):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, window)
+            items = _built(*shared.value, window)
             for batch in batches:
                 for part in slices(batch, "text"):
                     yield _search(part, items, keep_text=not last)
@@ -208,13 +265,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES,
 
     def cleaner(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, window)
+            items = _built(*shared.value, window)
             for batch in batches:
                 for part in slices(batch, "text"):
                     data = [joined(words_of(x)) for x in texts(part, "text")]
                     hit = np.zeros(len(data), bool)
                     begins = np.cumsum([0] + [len(x) + 1 for x in data])
-                    at = np.fromiter((s for s, _ in items.hits(b"\0".join(data))), np.int64)
+                    at, _ = items.hits(b"\0".join(data))
                     hit[np.searchsorted(begins, at, "right") - 1] = True
                     yield part.filter(pa.array(~hit))
 
