@@ -612,6 +612,13 @@ def test_token_counts_equal_the_library(docs, empty):
     assert token_counts.count_tokens(empty, PIECES).count() == 0
 
 
+def test_calls_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_counts, "CALL_BYTES", 100)
+    pieces = ["a" * 40, "中" * 20, "b" * 30, "ü" * 200, "", "c"]
+    runs = list(token_counts._calls(pieces))
+    assert runs == [(0, 2), (2, 3), (3, 4), (4, 6)]
+
+
 def test_cuts_change_no_count():
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     assert token_counts.cut_is_safe(model)

@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -135,26 +135,39 @@ class Codec:
         return [m.group() for m in self.pattern.finditer(text)]
 
     def merge(self, data: bytes) -> list[int]:
-        """Merge the pair of lowest rank, leftmost first, until none is left."""
-        ranks, n = self.ranks, len(data)
-        piece: list[bytes | None] = [data[i : i + 1] for i in range(n)]
+        """Merge the pair of lowest rank, leftmost first, until none is left.
+
+        Pieces are named by their first byte's place and linked both ways. The
+        heap holds rank and place as one number; ``pair`` has the rank of each
+        piece with the next, which tells whether an entry still counts.
+        """
+        get, n = self.ranks.get, len(data)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, data[i : i + 2]) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        pair = [get(data[i : i + 2]) for i in range(n - 1)]
+        pair.append(None)
+        heap = [r * n + i for i, r in enumerate(pair) if r is not None]
+        heapify(heap)
         while heap:
-            _, i, joined = heapq.heappop(heap)
-            left = piece[i]
-            if left is None or (j := after[i]) >= n or len(joined) != len(left) + len(piece[j]) or left + piece[j] != joined:
+            r, i = divmod(heappop(heap), n)
+            if pair[i] != r:
                 continue  # an end of this pair has been merged since
-            piece[i], piece[j] = joined, None
+            j = after[i]
             k = after[i] = after[j]
+            pair[i] = pair[j] = None
             if k < n:
                 before[k] = i
-                if (r := ranks.get(both := joined + piece[k])) is not None:
-                    heapq.heappush(heap, (r, i, both))
-            if (h := before[i]) >= 0 and (r := ranks.get(both := piece[h] + joined)) is not None:
-                heapq.heappush(heap, (r, h, both))
-        return [ranks[x] for x in piece if x is not None]
+                if (r := get(data[i : after[k]])) is not None:
+                    pair[i] = r
+                    heappush(heap, r * n + i)
+            if (h := before[i]) >= 0:
+                pair[h] = r = get(data[h:k])
+                if r is not None:
+                    heappush(heap, r * n + h)
+        out, i = [], 0
+        while i < n:
+            out.append(get(data[i : after[i]]))
+            i = after[i]
+        return out
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()

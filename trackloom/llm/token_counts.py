@@ -27,7 +27,7 @@ from .arrow_text import record_batch, slices
 
 #: Bytes of text in a piece, and of pieces in a call of the encoder, about.
 PIECE_CHARS = 4096
-CALL_BYTES = 1 << 20
+CALL_BYTES = 256 << 10
 MODEL_BYTES = 64 << 20
 
 _SPACES = (" ", "▁")
@@ -74,7 +74,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
         model = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
         safe = cut_is_safe(model)
         for batch in batches:
-            for part in slices(batch, "text", CALL_BYTES):
+            for part in slices(batch, "text", 4 * CALL_BYTES):
                 values = [x or "" for x in part.column(1).to_pylist()]
                 pieces = [cut(x) if safe else [x] for x in values]
                 totals = np.zeros(len(values), np.int64)
@@ -89,12 +89,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
 
 
 def _calls(pieces: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of pieces of about CALL_BYTES / 4 characters."""
+    """Runs of pieces of about CALL_BYTES of UTF-8."""
     start, held = 0, 0
-    for i, piece in enumerate(pieces):
-        if held and held + len(piece) > CALL_BYTES // 4:
+    for i, size in enumerate(len(x.encode()) for x in pieces):
+        if held and held + size > CALL_BYTES:
             yield start, i
             start, held = i, 0
-        held += len(piece)
+        held += size
     if start < len(pieces):
         yield start, len(pieces)
