@@ -1,11 +1,11 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Each round is two group-bys with map-side combination and two joins. A node with
-very many links is neither gathered into one list nor into one task: a node's
-least neighbour is looked up by :func:`with_frequent`, which sends the nodes
-with many links to all tasks and shuffles only what remains. The links of a
-round are written to the shared folder, which ends the lineage; the tables of
-a round are deleted when the next one is written.
+very many links is neither gathered into one list nor into one task: its links
+are dealt to ``SALTS`` parts, each of which meets a copy of the node's least
+neighbour, and where a part is still large Spark's skew join cuts it further.
+The links of a round are written to the shared folder, which ends the lineage;
+they are deleted when the next ones are written.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from ..session import dropped, written
 
 #: Rounds after which the input is taken to be broken; each at least halves long paths.
 MOST_ROUNDS = 60
+#: Parts that a node's links are dealt to.
+SALTS = 8
 #: Keys that may be sent to all tasks: those with a share of 1 / FREQUENT or more of the rows, of which there are no more than FREQUENT.
 FREQUENT = 2048
 
@@ -28,29 +30,36 @@ def with_frequent(rows: DataFrame, named: DataFrame, key: str, count: str, total
     that hold 1 / FREQUENT of the rows or more are FREQUENT at most, whatever
     the data, and are broadcast; of any other key few rows are shuffled.
     """
-    often = named.where(F.col(count) * FREQUENT >= F.lit(total)).drop(count)
-    rare = named.where(F.col(count) * FREQUENT < F.lit(total)).drop(count)
-    met = rows.join(F.broadcast(often), key)
-    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti")
-    return met.unionByName(rest.join(rare, key))
+    is_often = F.col(count) * FREQUENT >= F.lit(total)
+    often = named.where(is_often).drop(count).withColumn("_often", F.lit(True))
+    marked = rows.join(F.broadcast(often), key, "left")  # one broadcast for both parts
+    met = marked.where("_often").drop("_often")
+    rest = marked.where("_often is null").select(*rows.columns)
+    return met.unionByName(rest.join(named.where(~is_often).drop(count), key))
 
 
 def _both(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(links: DataFrame, total: int) -> DataFrame:
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """``links`` (a, b) with m, the least of node a."""
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(copies, ["a", "salt"])
+
+
+def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     near = _both(links)
-    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    return with_frequent(near.where("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return _with_least(near.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(links: DataFrame, total: int) -> DataFrame:
+def _small_star(links: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the least of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = with_frequent(down, least, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    moved = _with_least(down, least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -64,8 +73,7 @@ def connected_components(links: DataFrame, rounds: int = MOST_ROUNDS) -> DataFra
     current = written(links.where("a <> b").select("a", "b").distinct(), "links")
     before = tuple(current.agg(*size).first())
     for _ in range(rounds):
-        # the large star keeps the number of links
-        after = written(_small_star(_large_star(current, before[0]), before[0]).distinct(), "links")
+        after = written(_small_star(_large_star(current)).distinct(), "links")
         now = tuple(after.agg(*size).first())
         dropped(current)
         current = after

@@ -71,8 +71,8 @@ def pack_features(found: np.ndarray) -> bytes:
 
 def unpack_features(data: bytes) -> np.ndarray:
     if len(data) == BUCKETS // 8:
-        return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8)))
-    return np.frombuffer(data, "<i4").astype(np.int64)
+        return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8))).astype(np.int32)
+    return np.frombuffer(data, np.int32)
 
 
 def _ngrams(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -127,10 +127,12 @@ def fit_hinge(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: fl
     share = np.where(y == 1, (y == 1).mean(), (y == 0).mean())
     diagonal = 1.0 / (2.0 * cost * 0.5 / share)
     weight, intercept, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(rows))
-    values = []
-    for found in rows:
-        x = ratio[found]
-        values.append(x / (np.sqrt((x * x).sum()) or 1.0))
+    ends = np.cumsum([len(found) for found in rows])
+    flat = np.empty(ends[-1] if len(ends) else 0)  # one array, given back as a whole
+    values = np.split(flat, ends[:-1])
+    for found, x in zip(rows, values, strict=True):
+        x[:] = ratio[found]
+        x /= np.sqrt((x * x).sum()) or 1.0
     norms = np.array([(x * x).sum() + 1.0 for x in values]) + diagonal
     order = np.random.default_rng(seed)
     for _ in range(sweeps):
