@@ -102,9 +102,14 @@ def line_events_by_region(events: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def merged_events(line_events: DataFrame, region_events: DataFrame) -> DataFrame:
-    """Line events, and region events that no line event of the same track, frame and kind stands for."""
-    line, region = line_events.select(*EVENT_COLUMNS), region_events.select(*EVENT_COLUMNS)
-    return line.unionByName(region.join(line, ["camera_name", "frame_idx", "track_id", "event"], "left_anti"))
+    """Line events, and region events that no line event of the same track, frame and kind stands for.
+
+    Both kinds meet in one window of a few rows, so neither is worked out twice.
+    """
+    line = line_events.select(*EVENT_COLUMNS, F.lit(True).alias("is_line"))
+    both = line.unionByName(region_events.select(*EVENT_COLUMNS, F.lit(False).alias("is_line")))
+    same = Window.partitionBy("camera_name", "frame_idx", "track_id", "event")
+    return both.withColumn("has_line", F.max("is_line").over(same)).where("is_line or not has_line").select(*EVENT_COLUMNS)
 
 
 def crossings(tracks: DataFrame, lines: DataFrame, regions: DataFrame, mode: str = "line") -> DataFrame:

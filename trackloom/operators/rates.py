@@ -19,12 +19,20 @@ def latest(events: DataFrame, tick: str = "second", keep: int = 2, order: tuple[
     return events.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep)
 
 
-def frame_copies(events: DataFrame, fps: float = 25.0, longest_s: float = 5.0, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Adds ``copies``: how often a live frame is written so that the file keeps the source's pace."""
-    w = Window.partitionBy("camera_name").orderBy(*order)
-    elapsed = (F.unix_micros(order[0]) - F.unix_micros(F.lag(order[0]).over(w))) / 1e6
-    copies = F.greatest(F.lit(1), F.least(F.bround(elapsed * fps).cast("long"), F.lit(int(longest_s * fps))))
-    return events.withColumn("copies", F.when(elapsed.isNull(), 1).otherwise(copies).cast("long"))
+def frame_copies(events: DataFrame, fps: float = 25.0, longest_s: float = 5.0, order: tuple[str, ...] = ("ts", "event_id"), bucket: str = "hour") -> DataFrame:
+    """Adds ``copies``: how often a live frame is written so that the file keeps the source's pace.
+
+    The time before a frame is looked up within buckets of time; a bucket's
+    first frame takes it from a table of the buckets' last ones, so a busy
+    camera is spread over many tasks.
+    """
+    df = events.withColumn("bucket", F.date_trunc(bucket, order[0]))
+    last = df.groupBy("camera_name", "bucket").agg(F.max(order[0]).alias("last"))
+    carried = last.withColumn("carried", F.lag("last").over(Window.partitionBy("camera_name").orderBy("bucket"))).drop("last")
+    before = F.coalesce(F.lag(order[0]).over(Window.partitionBy("camera_name", "bucket").orderBy(*order)), "carried")
+    df = df.join(carried, ["camera_name", "bucket"]).withColumn("elapsed", (F.unix_micros(order[0]) - F.unix_micros(before)) / 1e6)
+    copies = F.greatest(F.lit(1), F.least(F.bround(F.col("elapsed") * fps).cast("long"), F.lit(int(longest_s * fps))))
+    return df.withColumn("copies", F.when(F.col("elapsed").isNull(), 1).otherwise(copies).cast("long")).select(*events.columns, "copies")
 
 
 def duplicated_frames(events: DataFrame, **how) -> DataFrame:
@@ -40,7 +48,10 @@ def first_frames(tracks: DataFrame, n: int) -> DataFrame:
 def source_stats(tracks: DataFrame, identity: str = "track_id", elapsed_s: float | None = None) -> DataFrame:
     """Frames, detections and persons of each source. ``persons_compat`` counts pending ones (null) as one more person."""
     pending = F.max(F.when(F.col(identity).isNull(), 1).otherwise(0))
-    out = tracks.groupBy("camera_name").agg(F.count_distinct("frame_idx").alias("frames"), F.count("*").alias("detections"), F.count_distinct(identity).alias("persons"), (F.count_distinct(identity) + pending).alias("persons_compat"))
+    persons = F.count_distinct(identity)
+    out = tracks.groupBy("camera_name").agg(
+        F.count_distinct("frame_idx").alias("frames"), F.count("*").alias("detections"), persons.alias("persons"), (persons + pending).alias("persons_compat")
+    )
     out = out.withColumn("per_frame", F.round(F.col("detections") / F.greatest("frames", F.lit(1)), 3))
     return out if elapsed_s is None else out.withColumn("avg_fps", F.lit(0.0) if elapsed_s <= 0 else F.round(F.col("frames") / elapsed_s, 3))
 
@@ -55,4 +66,6 @@ def recent_events(events: DataFrame, seconds: float = 3.0, most: int = 8, order:
 
 def latency(runs: DataFrame, elapsed: str = "elapsed_s") -> DataFrame:
     total = F.sum(elapsed)
-    return runs.agg(F.count("*").alias("frames"), F.when(total > 0, F.count("*") / total).otherwise(0.0).alias("fps"), F.when(F.count("*") > 0, total * 1000 / F.count("*")).otherwise(0.0).alias("ms_per_frame"))
+    n = F.count("*")
+    fps, each = F.when(total > 0, n / total).otherwise(0.0), F.when(n > 0, total * 1000 / n).otherwise(0.0)
+    return runs.agg(n.alias("frames"), fps.alias("fps"), each.alias("ms_per_frame"))

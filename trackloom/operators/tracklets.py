@@ -46,6 +46,10 @@ def queries(observations: DataFrame, stable: int = STABLE_FRAMES, most: int = AN
     return gathered.select(*presence.TRACK, "mature_frame", F.size("rows").alias("n_views"), vec.normalize(vec.mean_of(vectors)).alias("embedding"), vec.strided(vectors).alias("views"))
 
 
+#: Parts of an identity that a reservoir is drawn from first.
+PARTS = 16
+
+
 def departure_views(observations: DataFrame, keep: int = 5) -> DataFrame:
     """The last usable embeddings of each track that left, newest last; a later departure replaces an earlier one's."""
     df = presence.with_segments(presence.with_nonempty_clock(observations), "tick")
@@ -65,9 +69,12 @@ def reservoir(observations: DataFrame, order: str, identity: str, anchored: int
     Instead of a random replacement, which depends on the order of arrival, the
     sample is the ``size`` rows of least hash, so it is the same on every run.
     """
-    by = Window.partitionBy(identity)
-    ranked = observations.withColumn("n", F.row_number().over(by.orderBy(order)))
+    # an identity may have most of the rows: each of its parts first keeps the few that can be chosen
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(identity).cast("string"), F.col(order).cast("string")).cast("binary"))
-    ranked = ranked.withColumn("anchor", F.col("n") <= anchored).withColumn("draw", draw)
-    drawn = ranked.withColumn("k", F.row_number().over(Window.partitionBy(identity, "anchor").orderBy("draw", order)))
-    return drawn.where(F.col("anchor") | (F.col("k") <= size)).drop("draw", "k", "n")
+    df = observations.withColumns({"draw": draw, "part": F.pmod(F.xxhash64(order), F.lit(PARTS))})
+    part, whole = Window.partitionBy(identity, "part"), Window.partitionBy(identity)
+    df = df.withColumns({"n": F.row_number().over(part.orderBy(order)), "k": F.row_number().over(part.orderBy("draw", order))})
+    few = df.where((F.col("n") <= anchored) | (F.col("k") <= anchored + size))
+    few = few.withColumn("anchor", F.row_number().over(whole.orderBy(order)) <= anchored)
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy(identity, "anchor").orderBy("draw", order)))
+    return few.where(F.col("anchor") | (F.col("k") <= size)).select(*observations.columns, "anchor")

@@ -73,8 +73,8 @@ def confident_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.tracks(spark, sf_dir).withColumn("id", F.col("track_id"))
-    found = boxes.overlapping(rows, rows, ["camera_name", "frame_idx"])
-    return found.where("a_id < b_id").select("camera_name", "frame_idx", "a_id", "b_id", F.round("iou", 6).alias("iou"))
+    found = boxes.overlapping(rows, rows, ["camera_name", "frame_idx"], ordered=True)
+    return found.select("camera_name", "frame_idx", "a_id", "b_id", F.round("iou", 6).alias("iou"))
 
 
 def occupancy_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
