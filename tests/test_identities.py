@@ -139,7 +139,10 @@ def walkers(seed, sites=1, people=7, cameras=3, frames=120):
     return rows
 
 
-LIMITS = gallery.Limits(strict=0.62, edge=0.5, re_entry=0.4, re_entry_window_s=20.0, recent_s=4.0, most_persons=6, oldest_s=15.0, features=12, recent_features=4, anchored=3, reservoir=4)
+LIMITS = gallery.Limits(
+    strict=0.62, edge=0.5, re_entry=0.4, re_entry_window_s=20.0, recent_s=4.0, most_persons=6, oldest_s=15.0, features=12, recent_features=4,
+    anchored=3, reservoir=4
+)
 
 
 def answers(found):
@@ -173,7 +176,9 @@ def test_people_keep_their_identity(spark):
 def test_streamed_identities_go_on_after_a_stop(spark, tmp_path):
     """Several micro-batches, and a second run from where the first one stopped, give what the batch gives."""
     rows = spark.createDataFrame(walkers(4, sites=3), SEEN)
-    make = lambda: processors.stream_identities(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), LIMITS, 3, 8)
+    make = lambda: processors.stream_identities(
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), LIMITS, 3, 8
+    )
     for low, high, run in ((0, 30, False), (30, 60, True), (60, 90, False), (90, 200, True)):
         rows.where(f"frame_idx >= {low} and frame_idx < {high}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         if run:

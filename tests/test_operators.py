@@ -57,7 +57,10 @@ def test_line_crossings_follow_the_band_rule(spark, seed):
 
 
 def test_one_unset_line_disables_its_camera(spark):
-    lines = [("c", "d", 20, -300, 120, 500, 1, 15, "both", "foot"), ("c", "e", 0, 0, 0, 0, 1, 15, "both", "foot"), ("k", "d", 1, 1, 2, 2, 1, 15, "both", "foot")]
+    lines = [
+        ("c", "d", 20, -300, 120, 500, 1, 15, "both", "foot"), ("c", "e", 0, 0, 0, 0, 1, 15, "both", "foot"),
+        ("k", "d", 1, 1, 2, 2, 1, 15, "both", "foot")
+    ]
     assert [r.camera_name for r in crossings.calibrated(spark.createDataFrame(lines, LINE)).collect()] == ["k"]
 
 
@@ -138,7 +141,10 @@ def test_cmc_map_by_hand_in_blocks(spark):
 
 def test_vector_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0])], "a array<double>, b array<double>")
-    r = df.select(vec.norm(F.col("a")).alias("n"), vec.cosine(F.col("a"), F.col("b")).alias("c"), vec.mean_of(F.array("a", "b")).alias("m"), vec.squared_distance(F.col("a"), F.col("b")).alias("d")).first()
+    r = df.select(
+        vec.norm(F.col("a")).alias("n"), vec.cosine(F.col("a"), F.col("b")).alias("c"), vec.mean_of(F.array("a", "b")).alias("m"),
+        vec.squared_distance(F.col("a"), F.col("b")).alias("d")
+    ).first()
     assert (r.n, r.m, r.d) == (5.0, [3.5, 3.5], 2.0)
     assert r.c == pytest.approx(0.96)
 
@@ -146,10 +152,17 @@ def test_vector_functions(spark):
 def test_resolver_brings_a_person_back(spark):
     """The same look in a second camera joins the first identity; another look starts a new one."""
     a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
-    rows = [("s", cam, 1, start + f, (start + f) / 25, look, False, 0.0, 0.0, 50.0, 100.0) for cam, start, look in (("c1", 0, a), ("c2", 40, a), ("c3", 80, b)) for f in range(20)]
-    df = spark.createDataFrame(rows, "site_id string, camera_name string, track_id long, frame_idx long, t double, embedding array<double>, is_edge boolean, x1 double, y1 double, x2 double, y2 double")
+    rows = [(
+        "s", cam, 1, start + f, (start + f) / 25, look, False, 0.0, 0.0, 50.0, 100.0
+    ) for cam, start, look in (("c1", 0, a), ("c2", 40, a), ("c3", 80, b)) for f in range(20)]
+    df = spark.createDataFrame(
+        rows,
+        "site_id string, camera_name string, track_id long, frame_idx long, t double, embedding array<double>, is_edge boolean, x1 double, y1 double, x2 double, y2 double"
+    )
     # places differ, so only looks count
-    df = df.withColumn("x1", F.col("x1") + F.when(F.col("camera_name") == "c3", 500).otherwise(0)).withColumn("x2", F.col("x2") + F.when(F.col("camera_name") == "c3", 500).otherwise(0))
+    df = df.withColumn(
+        "x1", F.col("x1") + F.when(F.col("camera_name") == "c3", 500).otherwise(0)
+    ).withColumn("x2", F.col("x2") + F.when(F.col("camera_name") == "c3", 500).otherwise(0))
     found = {(r.camera_name): r.g for r in gallery.resolve(df).groupBy("camera_name").agg(F.max("global_id").alias("g")).collect()}
     assert found == {"c1": 1, "c2": 1, "c3": 2}
     pending = gallery.resolve(df).where("camera_name = 'c1' and global_id is null").count()
@@ -187,7 +200,9 @@ def test_rotations_need_day_images(spark):
 
 
 def test_frame_copies_round_half_to_even(spark):
-    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate([0.0, 0.1, 0.16, 10.16])], "event_id long, s double, camera_name string").withColumn("ts", F.timestamp_micros((F.col("s") * 1e6).cast("long")))
+    df = spark.createDataFrame(
+        [(i, t, "c") for i, t in enumerate([0.0, 0.1, 0.16, 10.16])], "event_id long, s double, camera_name string"
+    ).withColumn("ts", F.timestamp_micros((F.col("s") * 1e6).cast("long")))
     assert [r.copies for r in rates.frame_copies(df).orderBy("event_id").collect()] == [1, 2, 2, 125]
 
 
@@ -197,7 +212,10 @@ def test_annotation_readers(spark, tmp_path):
     assert [(r.image_id, r.x, r.h) for r in annotations.read_ndjson(spark, str(tmp_path / "a.odgt")).collect()] == [("i1", 5, 5), ("i1", 5, 8)]
     assert [(r.x, r.h) for r in annotations.read_ndjson(spark, str(tmp_path / "a.odgt"), visible=True).collect()] == [(1, 4), (5, 8)]
     coco = {"images": [{"id": 1, "width": 10, "height": 20, "file_name": "x/p.png"}], "categories": [{"id": 8, "name": "car"}, {"id": 7, "name": "Person"}]}
-    coco["annotations"] = [{"image_id": 1, "category_id": 7, "bbox": [1, 2, 3, 4]}, {"image_id": 1, "category_id": 8, "bbox": [1, 1, 1, 1]}, {"image_id": 2, "category_id": 7, "bbox": [1, 1, 1, 1]}]
+    coco["annotations"] = [
+        {"image_id": 1, "category_id": 7, "bbox": [1, 2, 3, 4]}, {"image_id": 1, "category_id": 8, "bbox": [1, 1, 1, 1]},
+        {"image_id": 2, "category_id": 7, "bbox": [1, 1, 1, 1]}
+    ]
     (tmp_path / "coco.json").write_text(json.dumps(coco))
     assert [(r.image_id, r.w, r.width) for r in annotations.read_coco(spark, str(tmp_path / "coco.json")).collect()] == [("p", 3.0, 10)]
     assert [(r.persons, r.images) for r in annotations.person_counts(spark, str(tmp_path / "coco.json")).collect()] == [(1, 1)]
@@ -210,13 +228,18 @@ def test_annotation_readers(spark, tmp_path):
     city = tmp_path / "city" / "aachen"
     city.mkdir(parents=True)
     box = {"bbleft": 1, "bbtop": 2, "bbwidth": 3, "bbheight": 4}
-    (city / "m_gtBboxCityPersons.json").write_text(json.dumps({"annotation": {"list": [{"lbl": "Pedestrian", **box}, {"lbl": "tree", **box}, {"lbl": "people", **box}, {"lbl": "person", "occl": 1, **box}]}}))
+    (city / "m_gtBboxCityPersons.json").write_text(json.dumps({"annotation": {"list": [
+        {"lbl": "Pedestrian", **box}, {"lbl": "tree", **box}, {"lbl": "people", **box}, {"lbl": "person", "occl": 1, **box}
+    ]}}))
     found = annotations.read_city_json(spark, str(tmp_path / "city"))
     assert [(r.image_id, r.city, r.width, r.height) for r in found.collect()] == [("m_gtBboxCityPersons", "aachen", 2048, 1024)] * 2
     assert annotations.read_city_json(spark, str(tmp_path / "city"), skip_occluded=True).count() == 1
     assert found.select(labels.city_image_name(F.col("city"), F.col("image_id")).alias("n")).first().n == "aachen_m_leftImg8bit.png"
     (tmp_path / "e").mkdir()
-    children = [{"identity": "Pedestrian", "pos": [1, 2, 11, 22]}, {"identity": "person", "pos": [1, 2, 3]}, {"identity": "rider", "pos": [0, 0, 5, 5], "occluded": 0.4}, {"identity": "person", "occluded": 0.9, "pos": [0, 0, 7, 7]}]
+    children = [
+        {"identity": "Pedestrian", "pos": [1, 2, 11, 22]}, {"identity": "person", "pos": [1, 2, 3]},
+        {"identity": "rider", "pos": [0, 0, 5, 5], "occluded": 0.4}, {"identity": "person", "occluded": 0.9, "pos": [0, 0, 7, 7]}
+    ]
     (tmp_path / "e" / "z.json").write_text(json.dumps({"imagewidth": 100, "imageheight": 50, "children": children}))
     (tmp_path / "e" / "unknown.json").write_text(json.dumps({"children": children}))
     assert [(r.w, r.h) for r in annotations.read_corner_json(spark, str(tmp_path / "e")).collect()] == [(10.0, 20.0), (7.0, 7.0)]
@@ -233,7 +256,10 @@ def test_height_as_the_label_tells_it(spark):
 
 
 def test_results_of_runs(spark, tmp_path):
-    for run, name, text in (("r1", "results.json", '{"loss": 1.5}'), ("r1", "results.csv", "loss\n2\n"), ("r2", "results.json", "{"), ("r2", "results.csv", " epoch , loss \n1,3\n2, 4\n"), ("r3", "results.csv", "loss\n")):
+    for run, name, text in (
+        ("r1", "results.json", '{"loss": 1.5}'), ("r1", "results.csv", "loss\n2\n"), ("r2", "results.json", "{"),
+        ("r2", "results.csv", " epoch , loss \n1,3\n2, 4\n"), ("r3", "results.csv", "loss\n")
+    ):
         (tmp_path / run).mkdir(exist_ok=True)
         (tmp_path / run / name).write_text(text)
     found = {r.run: (r.source, r["values"]) for r in results.read_results(spark, str(tmp_path)).collect()}
@@ -252,7 +278,10 @@ def test_configuration(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    log = spark.createDataFrame([("2024-01-01 10:00:00.123", "c", "d", "n", "ENTRY", 1, 2)], "timestamp string, camera_name string, door_id string, door_name string, event string, track_id long, occupancy_after long")
+    log = spark.createDataFrame(
+        [("2024-01-01 10:00:00.123", "c", "d", "n", "ENTRY", 1, 2)],
+        "timestamp string, camera_name string, door_id string, door_name string, event string, track_id long, occupancy_after long"
+    )
     results.append_event_log(log, str(tmp_path / "log"))
     results.append_event_log(log, str(tmp_path / "log"))
     assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 2
@@ -261,7 +290,10 @@ def test_sinks(spark, tmp_path):
 
 
 def test_normalized_boxes_and_lines(spark):
-    df = spark.createDataFrame([("i", 0, -10.0, 5.0, 30.0, 40.0, 100.0, 50.0)], "image_id string, order int, x double, y double, w double, h double, width double, height double")
+    df = spark.createDataFrame(
+        [("i", 0, -10.0, 5.0, 30.0, 40.0, 100.0, 50.0)],
+        "image_id string, order int, x double, y double, w double, h double, width double, height double"
+    )
     r = etl.yolo_labels(df).first()
     assert (r.xc, r.yc, r.w, r.h) == (0.15, 0.5, 0.3, 0.8)
     assert etl.label_files(etl.yolo_labels(df)).first().text == "0 0.150000 0.500000 0.300000 0.800000"
@@ -275,7 +307,9 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
     df, lines = spark.createDataFrame(rows, TRACK), spark.createDataFrame([line], LINE)
     for low in (0, 20, 40):  # a file and so a micro-batch for each third
         df.where((F.col("frame_idx") >= low) & (F.col("frame_idx") < low + 20)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = processors.stream_crossings(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in")), lines)
+    stream = processors.stream_crossings(
+        spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in")), lines
+    )
     processors.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     found = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
     assert sorted((r.track_id, r.frame_idx, r.event) for r in found.collect()) == simulate(rows, line)

@@ -11,7 +11,10 @@ from trackloom.streaming import processors
 
 TRACK = "camera_name string, track_id long, frame_idx long, x1 double, y1 double, x2 double, y2 double"
 LINE = "camera_name string, door_id string, sx int, sy int, ex int, ey int, inside_sign int, band_width int, direction string, crossing_point string"
-LINES = [("c", "d", 20, -300, 120, 500, 1, 15, "both", "foot"), ("c", "e", 20, -300, 120, 500, -1, 5, "Entry", "center"), ("c", "x", 150, -300, 50, 500, 1, 10, "exit", "top")]
+LINES = [
+    ("c", "d", 20, -300, 120, 500, 1, 15, "both", "foot"), ("c", "e", 20, -300, 120, 500, -1, 5, "Entry", "center"),
+    ("c", "x", 150, -300, 50, 500, 1, 10, "exit", "top")
+]
 EVENT = ["camera_name", "door_id", "track_id", "frame_idx", "event", "px", "py"]
 
 
@@ -53,9 +56,15 @@ def test_streamed_directions_equal_the_batch(spark, tmp_path, strict):
 
 def test_streamed_regions_equal_the_batch(spark, tmp_path):
     polygon = [{"x": x, "y": y} for x, y in ((1, 1), (160, 10), (90, 220), (60, 60))]
-    regions = spark.createDataFrame([("c", "R", polygon, "foot"), ("b", "R", polygon[:2], "foot")], "camera_name string, room string, polygon array<struct<x:int,y:int>>, crossing_point string")
+    regions = spark.createDataFrame(
+        [("c", "R", polygon, "foot"), ("b", "R", polygon[:2], "foot")],
+        "camera_name string, room string, polygon array<struct<x:int,y:int>>, crossing_point string"
+    )
     df = spark.createDataFrame(walk(6), TRACK)
-    found = feed(spark, df, str(tmp_path / "in"), (0, 30, 60, 90), lambda s: processors.stream_region_crossings(s, regions), str(tmp_path / "out"), str(tmp_path / "state"))
+    found = feed(
+        spark, df, str(tmp_path / "in"), (0, 30, 60, 90), lambda s: processors.stream_region_crossings(s, regions), str(tmp_path / "out"),
+        str(tmp_path / "state")
+    )
     want = told(crossings.region_crossings(df, regions))
     assert told(found) == want
     assert len(want) > 5
@@ -140,4 +149,6 @@ def test_the_log_of_a_stream_is_appended_by_day(spark, tmp_path):
         log = results.event_log(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
         processors.append_log(log, str(tmp_path / "log"), str(tmp_path / "state"), every=None).awaitTermination()
     back = spark.read.option("header", True).csv(str(tmp_path / "log"))
-    assert sorted((r.timestamp, r.door_name, str(r.event_date)) for r in back.collect()) == [("2024-01-01 23:59:59.123", "d", "2024-01-01"), ("2024-01-02 00:00:01.500", "d", "2024-01-02")]
+    assert sorted((r.timestamp, r.door_name, str(r.event_date)) for r in back.collect()) == [
+        ("2024-01-01 23:59:59.123", "d", "2024-01-01"), ("2024-01-02 00:00:01.500", "d", "2024-01-02")
+    ]

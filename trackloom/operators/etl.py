@@ -67,7 +67,9 @@ def rotations(images: DataFrame, seed: int = 42) -> DataFrame:
     before = Window.partitionBy("dataset").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     datasets = sizes.groupBy("dataset").agg(F.ceil(F.sum("n") / day).alias("chunks"))
-    first = datasets.withColumn("first", F.coalesce(F.sum("chunks").over(Window.partitionBy(F.lit(0)).orderBy("dataset").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = datasets.withColumn("first", F.coalesce(
+        F.sum("chunks").over(Window.partitionBy(F.lit(0)).orderBy("dataset").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    ))
     ranked = night.withColumn("rn", F.row_number().over(Window.partitionBy("dataset", "part").orderBy("draw", "path")))
     placed = ranked.join(sizes.select("dataset", "part", "before"), ["dataset", "part"]).join(first.select("dataset", "first"), "dataset")
     chunk = F.floor((F.col("before") + F.col("rn") - 1) / day) + F.col("first")
@@ -111,7 +113,10 @@ def training_plan(rotated: DataFrame) -> DataFrame:
     numbers = rotated.where("rotation >= 0").select("rotation").distinct()
     w = Window.partitionBy(F.lit(0)).orderBy("rotation")
     out = numbers.withColumn("weights_out", F.concat(F.lit("rot"), F.col("rotation").cast("string"), F.lit("/best.pt")))
-    return out.withColumns({"lr": F.when(F.col("rotation") == 0, 0.001).otherwise(0.0005), "freeze": F.when(F.col("rotation") == 0, 10).otherwise(0), "weights_in": F.coalesce(F.last("weights_out", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit("base.pt"))})
+    return out.withColumns({
+        "lr": F.when(F.col("rotation") == 0, 0.001).otherwise(0.0005), "freeze": F.when(F.col("rotation") == 0, 10).otherwise(0),
+        "weights_in": F.coalesce(F.last("weights_out", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit("base.pt"))
+    })
 
 
 def sweep_grid(spark, conf: list[float], iou: list[float], imgsz: list[int]) -> DataFrame:
@@ -128,7 +133,9 @@ def remaining(grid: DataFrame, done: DataFrame) -> DataFrame:
 def verify(files: DataFrame, expected: DataFrame) -> DataFrame:
     """For each expected directory (subdir, at_least) its images and whether there are enough."""
     counted = files.groupBy("subdir").agg(F.count("*").alias("images"))
-    return expected.join(counted, "subdir", "left").select("subdir", F.coalesce("images", F.lit(0)).alias("images"), (F.coalesce("images", F.lit(0)) >= F.col("at_least")).alias("ok"))
+    return expected.join(counted, "subdir", "left").select(
+        "subdir", F.coalesce("images", F.lit(0)).alias("images"), (F.coalesce("images", F.lit(0)) >= F.col("at_least")).alias("ok")
+    )
 
 
 def verdict(checks: DataFrame, by: str = "dataset") -> DataFrame:

@@ -28,12 +28,16 @@ def match_tracklets(tracklets: DataFrame, threshold: float = 0.7) -> DataFrame:
     a lower id, so identities are found by doubling: log2 of the longest chain
     rounds of one equi-join each.
     """
-    best = similarity.top_k(tracklets, tracklets, 1, threshold, earlier_only=True).select(F.col("query_id").alias("id"), F.col("gallery_id").alias("matched_id"), "similarity")
+    best = similarity.top_k(tracklets, tracklets, 1, threshold, earlier_only=True).select(
+        F.col("query_id").alias("id"), F.col("gallery_id").alias("matched_id"), "similarity"
+    )
     linked = tracklets.select("id").join(best, "id", "left").withColumn("root", F.coalesce("matched_id", "id"))
     linked = written(linked, "identity-links")
     while True:
         up = linked.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        moved = written(linked.join(up, "root").select("id", "matched_id", "similarity", F.col("above").alias("next"), (F.col("above") != F.col("root")).alias("changed")), "identity-links")
+        moved = written(linked.join(up, "root").select(
+            "id", "matched_id", "similarity", F.col("above").alias("next"), (F.col("above") != F.col("root")).alias("changed")
+        ), "identity-links")
         linked = moved.select("id", "matched_id", "similarity", F.col("next").alias("root"))
         if moved.where("changed").isEmpty():
             return linked.withColumnRenamed("root", "global_id")
@@ -43,7 +47,10 @@ def statistics(assigned: DataFrame) -> DataFrame:
     """Persons, the next free id, distinct cameras, and persons seen by more than one, from rows of global_id and camera_name."""
     each = assigned.where("global_id is not null").groupBy("global_id").agg(F.count_distinct("camera_name").alias("cameras"))
     cameras = assigned.where("global_id is not null").agg(F.count_distinct("camera_name").alias("total_cameras"))
-    return each.agg(F.count("*").alias("total_persons"), (F.coalesce(F.max("global_id"), F.lit(0)) + 1).alias("next_global_id"), F.count_if(F.expr("cameras > 1")).alias("cross_camera_persons")).join(F.broadcast(cameras))
+    return each.agg(
+        F.count("*").alias("total_persons"), (F.coalesce(F.max("global_id"), F.lit(0)) + 1).alias("next_global_id"),
+        F.count_if(F.expr("cameras > 1")).alias("cross_camera_persons")
+    ).join(F.broadcast(cameras))
 
 
 @dataclass
@@ -177,7 +184,10 @@ class Gallery:
                 near.append((0.4 * o + 0.6 * float(scores[slot]), -person.global_id))
         return -max(near)[1] if near and max(near)[0] > 0 else None
 
-    def find_or_create(self, local: int, feature: np.ndarray, camera: str, now: float, active: set, update: bool = True, edge: bool = False, box: np.ndarray | None = None) -> int:
+    def find_or_create(
+        self, local: int, feature: np.ndarray, camera: str, now: float, active: set, update: bool = True, edge: bool = False,
+        box: np.ndarray | None = None
+    ) -> int:
         key = (camera, local)
         if (found := self.known.get(key)) is None:
             found = self._match(feature, camera, now, active, edge, box)

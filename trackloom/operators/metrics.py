@@ -76,7 +76,9 @@ def cmc_map(queries: DataFrame, gallery: DataFrame, ranks: tuple[int, ...] = (1,
     each = found.withColumn("precision", F.row_number().over(w) / F.col("rank")).groupBy("query_id").agg(F.avg("precision").alias("ap"), F.min("rank").alias("first"))
     sizes = gallery.groupBy("pid", "cid").agg(F.count("*").alias("left_out"))
     total = gallery.agg(F.count("*").alias("total"))
-    kept = queries.join(sizes, ["pid", "cid"], "left").join(F.broadcast(total)).select(F.col("id").alias("query_id"), (F.col("total") > F.coalesce("left_out", F.lit(0))).alias("has_gallery"))
+    kept = queries.join(sizes, ["pid", "cid"], "left").join(F.broadcast(total)).select(
+        F.col("id").alias("query_id"), (F.col("total") > F.coalesce("left_out", F.lit(0))).alias("has_gallery")
+    )
     scored = kept.join(each, "query_id", "left")
     hits = [F.round(F.count_if(F.col("first") <= k) / F.count("*"), 6).alias(f"cmc_{k}") for k in ranks]
     return scored.agg(F.round(F.sum(F.when(F.col("has_gallery"), F.coalesce("ap", F.lit(0.0)))) / F.count_if("has_gallery"), 6).alias("map"), *hits)
@@ -91,7 +93,10 @@ def similarity_separation(vectors: DataFrame) -> DataFrame:
     tasks and added by position.
     """
     ship_package(vectors.sparkSession)
-    schema = pa.schema([("label", pa.int64()), ("n", pa.int64()), ("total", pa.list_(pa.float64())), ("moment", pa.list_(pa.float64())), ("own", pa.float64()), ("own2", pa.float64())])
+    schema = pa.schema([
+        ("label", pa.int64()), ("n", pa.int64()), ("total", pa.list_(pa.float64())), ("moment", pa.list_(pa.float64())), ("own", pa.float64()),
+        ("own2", pa.float64())
+    ])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +112,9 @@ def similarity_separation(vectors: DataFrame) -> DataFrame:
                 rows.append({"label": int(k), "n": len(u), "total": u.sum(0), "moment": (u.T @ u).ravel(), "own": own.sum(), "own2": (own * own).sum()})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    parts = vectors.select(F.col("label").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(sums, "label long, n long, total array<double>, moment array<double>, own double, own2 double")
+    parts = vectors.select(F.col("label").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(
+        sums, "label long, n long, total array<double>, moment array<double>, own double, own2 double"
+    )
 
     def added(column: str) -> DataFrame:
         return parts.select("label", F.posexplode(column).alias("i", "v")).groupBy("label", "i").agg(F.sum("v").alias("v"))
@@ -125,13 +132,18 @@ def similarity_separation(vectors: DataFrame) -> DataFrame:
     n, different = F.col("n"), F.col("n") * (F.col("n") - 1) - F.col("pairs")
     dsum, dsquares = F.col("s1") - F.col("own") - F.col("sum"), F.col("s2") - F.col("own2") - F.col("squares")
     spread = lambda s, q, m: F.sqrt(F.greatest(F.lit(0.0), q / m - (s / m) * (s / m)))
-    out = one.select((F.col("sum") / F.col("pairs")).alias("same_mean"), spread(F.col("sum"), F.col("squares"), F.col("pairs")).alias("same_std"), (dsum / different).alias("different_mean"), spread(dsum, dsquares, different).alias("different_std"))
+    out = one.select(
+        (F.col("sum") / F.col("pairs")).alias("same_mean"), spread(F.col("sum"), F.col("squares"), F.col("pairs")).alias("same_std"),
+        (dsum / different).alias("different_mean"), spread(dsum, dsquares, different).alias("different_std")
+    )
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns], F.round(F.col("same_mean") - F.col("different_mean"), 6).alias("separation"))
 
 
 def _pairs(vectors: DataFrame) -> DataFrame:
     """Pairs within each batch, which is of bounded size by its definition."""
-    side = lambda s: vectors.select("batch", F.col("id").alias(f"id{s}"), F.col("label").alias(f"label{s}"), vec.doubles("embedding").alias(f"v{s}"))
+    side = lambda s: vectors.select(
+        "batch", F.col("id").alias(f"id{s}"), F.col("label").alias(f"label{s}"), vec.doubles("embedding").alias(f"v{s}")
+    )
     return side("a").join(side("b"), "batch")
 
 
@@ -150,9 +162,13 @@ def batch_hard_loss(vectors: DataFrame, margin: float = 0.3, strict: bool = Fals
     d = vec.distance(F.col("va"), F.col("vb"))
     itself, same = F.col("ida") == F.col("idb"), F.col("labela") == F.col("labelb")
     negative = ~same if strict else ~same | itself
-    hard = _pairs(vectors).groupBy("batch", "ida").agg(F.coalesce(F.max(F.when(same & ~itself, d)), F.lit(0.0)).alias("far"), F.min(F.when(negative, d)).alias("near"))
+    hard = _pairs(vectors).groupBy("batch", "ida").agg(
+        F.coalesce(F.max(F.when(same & ~itself, d)), F.lit(0.0)).alias("far"), F.min(F.when(negative, d)).alias("near")
+    )
     valid = hard.where((F.col("far") > 0) & (F.col("near") < 1e6))
-    return valid.groupBy("batch").agg(F.count("*").alias("anchors"), F.round(F.avg(F.greatest(F.lit(0.0), F.col("far") - F.col("near") + margin)), 6).alias("loss"))
+    return valid.groupBy("batch").agg(F.count("*").alias("anchors"), F.round(
+        F.avg(F.greatest(F.lit(0.0), F.col("far") - F.col("near") + margin)), 6
+    ).alias("loss"))
 
 
 def combined_loss(triplet: DataFrame, logits: DataFrame | None = None, triplet_weight: float = 1.0, entropy_weight: float = 1.0) -> DataFrame:
@@ -173,4 +189,7 @@ def best_so_far(history: DataFrame, rate: float = 3e-4, step: int = 10) -> DataF
 
     w = Window.partitionBy(F.lit(0)).orderBy("epoch")
     before = F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return history.withColumns({"is_best": before.isNull() | (F.col("loss") < before), "best": F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, 0)), "lr": stepped_rate(rate, F.col("epoch"), step)})
+    return history.withColumns({
+        "is_best": before.isNull() | (F.col("loss") < before), "best": F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "lr": stepped_rate(rate, F.col("epoch"), step)
+    })

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 ORDER = ("ts", "event_id")
 
 
-def timeline(events: DataFrame, initial: int | DataFrame = 0, room: tuple[str, ...] = ("room",), order: tuple[str, ...] = ORDER, bucket: str = "day") -> DataFrame:
+def timeline(
+    events: DataFrame, initial: int | DataFrame = 0, room: tuple[str, ...] = ("room",), order: tuple[str, ...] = ORDER, bucket: str = "day"
+) -> DataFrame:
     """Adds ``occupancy`` and ``peak`` after each event, in event order, never below zero.
 
     With S the plain running sum, the clamped count is S less the least of zero
@@ -18,7 +20,10 @@ def timeline(events: DataFrame, initial: int | DataFrame = 0, room: tuple[str, .
     ``initial`` is the count before the first event, of all rooms or, as a table
     with the rooms' columns and ``initial``, of each; rooms it leaves out have 0.
     """
-    df = events.withColumns({"delta": F.when(F.col("event") == "ENTRY", 1).when(F.col("event") == "EXIT", -1).otherwise(0).cast("long"), "bucket": F.date_trunc(bucket, order[0])})
+    df = events.withColumns({
+        "delta": F.when(F.col("event") == "ENTRY", 1).when(F.col("event") == "EXIT", -1).otherwise(0).cast("long"),
+        "bucket": F.date_trunc(bucket, order[0])
+    })
     own = Window.partitionBy(*room, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("s", F.sum("delta").over(own))
     df = df.withColumn("low", F.min("s").over(own))
@@ -77,4 +82,6 @@ def session_summary(events: DataFrame, initial: int = 0, room: tuple[str, ...] =
 
 def snapshot(events: DataFrame, initial: int = 0, room: tuple[str, ...] = ("room",)) -> DataFrame:
     """Occupancy, totals, peak and doors after the last event."""
-    return session_summary(events, initial, room).select(*room, F.col("final_occupancy").alias("current_occupancy"), "total_entered", "total_exited", "peak_occupancy", "per_door")
+    return session_summary(events, initial, room).select(
+        *room, F.col("final_occupancy").alias("current_occupancy"), "total_entered", "total_exited", "peak_occupancy", "per_door"
+    )

@@ -32,7 +32,9 @@ def with_nonempty_clock(tracks: DataFrame) -> DataFrame:
 
 def segments(tracks: DataFrame, clock: str = "frame_idx") -> DataFrame:
     """One row for each stretch: camera, track, first and last frame, rows."""
-    found = with_segments(tracks, clock).groupBy(*TRACK, "seg").agg(F.min(clock).alias("first_frame"), F.max(clock).alias("last_frame"), F.count("*").alias("n_frames"))
+    found = with_segments(tracks, clock).groupBy(*TRACK, "seg").agg(
+        F.min(clock).alias("first_frame"), F.max(clock).alias("last_frame"), F.count("*").alias("n_frames")
+    )
     return found.drop("seg")
 
 
@@ -41,7 +43,9 @@ def departures(tracks: DataFrame) -> DataFrame:
     ticked = with_nonempty_clock(tracks)
     last = ticked.groupBy("camera_name").agg(F.max("tick").alias("final"))
     ended = segments(ticked, "tick")
-    return ended.join(last, "camera_name").where("last_frame < final").select(*TRACK, F.col("last_frame").alias("last_tick"), (F.col("last_frame") + 1).alias("missing_tick"))
+    return ended.join(last, "camera_name").where("last_frame < final").select(
+        *TRACK, F.col("last_frame").alias("last_tick"), (F.col("last_frame") + 1).alias("missing_tick")
+    )
 
 
 def in_segment() -> Window:
@@ -57,7 +61,9 @@ def with_velocity(tracks: DataFrame) -> DataFrame:
     df = df.withColumns({"dx": F.col("fx") - F.lag("fx").over(w), "dy": F.col("fy") - F.lag("fy").over(w)})
     vx, vy = geo.unit(F.col("dx"), F.col("dy"))
     known = F.col("dx").isNotNull()
-    return df.withColumns({"vx": F.when(known, vx), "vy": F.when(known, vy), "moved": F.sqrt((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double"))}).drop("dx", "dy")
+    return df.withColumns({
+        "vx": F.when(known, vx), "vy": F.when(known, vy), "moved": F.sqrt((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double"))
+    }).drop("dx", "dy")
 
 
 def movement_direction(tracks: DataFrame, line_dx: float, line_dy: float, least_pixels: float = 1.0) -> DataFrame:

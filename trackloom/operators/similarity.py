@@ -26,7 +26,9 @@ DIGITS = 9
 def blocks(vectors: DataFrame, number: str, count: int, columns: list[str]) -> DataFrame:
     """``vectors`` (id, embedding and other columns) as ``count`` rows: number and ``rows``, an array of structs."""
     picked = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias(number)
-    return vectors.select(picked, F.struct("id", F.col("embedding").cast("array<float>").alias("embedding"), *columns).alias("row")).groupBy(number).agg(F.collect_list("row").alias("rows"))
+    return vectors.select(picked, F.struct(
+        "id", F.col("embedding").cast("array<float>").alias("embedding"), *columns
+    ).alias("row")).groupBy(number).agg(F.collect_list("row").alias("rows"))
 
 
 def block_pairs(queries: DataFrame, gallery: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:

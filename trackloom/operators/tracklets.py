@@ -30,7 +30,10 @@ def maturity(observations: DataFrame, stable: int = STABLE_FRAMES, most: int = A
     """The first mature frame of each track of a camera, with the counts there. A track keeps its identity when it comes back, so once is enough."""
     found = with_maturity(observations, stable, most).where("mature")
     first = F.struct("frame_idx", "n_stable", "n_usable", "seg")
-    return found.groupBy(*presence.TRACK).agg(F.min(first).alias("m")).select(*presence.TRACK, F.col("m.frame_idx").alias("mature_frame"), F.col("m.n_stable").alias("n_stable"), F.col("m.n_usable").alias("n_usable"), F.col("m.seg").alias("seg"))
+    return found.groupBy(*presence.TRACK).agg(F.min(first).alias("m")).select(
+        *presence.TRACK, F.col("m.frame_idx").alias("mature_frame"), F.col("m.n_stable").alias("n_stable"), F.col("m.n_usable").alias("n_usable"),
+        F.col("m.seg").alias("seg")
+    )
 
 
 def queries(observations: DataFrame, stable: int = STABLE_FRAMES, most: int = ANY_FRAMES) -> DataFrame:
@@ -43,7 +46,10 @@ def queries(observations: DataFrame, stable: int = STABLE_FRAMES, most: int = AN
     rows = df.join(ready, [*presence.TRACK, "seg"]).where((F.col("frame_idx") <= F.col("mature_frame")) & F.col("usable"))
     gathered = rows.groupBy(*presence.TRACK, "mature_frame").agg(F.array_sort(F.collect_list(F.struct("frame_idx", vec.doubles("embedding").alias("v")))).alias("rows"))
     vectors = F.transform("rows", lambda r: r["v"])
-    return gathered.select(*presence.TRACK, "mature_frame", F.size("rows").alias("n_views"), vec.normalize(vec.mean_of(vectors)).alias("embedding"), vec.strided(vectors).alias("views"))
+    return gathered.select(
+        *presence.TRACK, "mature_frame", F.size("rows").alias("n_views"), vec.normalize(vec.mean_of(vectors)).alias("embedding"),
+        vec.strided(vectors).alias("views")
+    )
 
 
 #: Parts of an identity that a reservoir is drawn from first.

@@ -64,7 +64,9 @@ def movement_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edge_partial_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = ("x1", "y1", "x2", "y2")
-    return fx.tracks(spark, sf_dir).select("event_id", geo.edge_flag(*box, fx.FRAME_W, fx.FRAME_H).alias("is_edge"), geo.crop_is_usable(*box, fx.FRAME_W, fx.FRAME_H).alias("has_crop"))
+    return fx.tracks(spark, sf_dir).select(
+        "event_id", geo.edge_flag(*box, fx.FRAME_W, fx.FRAME_H).alias("is_edge"), geo.crop_is_usable(*box, fx.FRAME_W, fx.FRAME_H).alias("has_crop")
+    )
 
 
 def confident_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +89,10 @@ def per_door_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = occupancy.session_summary(fx.door_events(spark, sf_dir), fx.SEED_OCCUPANCY)
-    return found.select("room", "session_elapsed_s", "final_occupancy", "total_entered", "total_exited", "peak_occupancy", F.date_format("peak_time", "yyyy-MM-dd HH:mm:ss.SSS").alias("peak_time"), F.size("per_door").cast("long").alias("doors"))
+    return found.select(
+        "room", "session_elapsed_s", "final_occupancy", "total_entered", "total_exited", "peak_occupancy",
+        F.date_format("peak_time", "yyyy-MM-dd HH:mm:ss.SSS").alias("peak_time"), F.size("per_door").cast("long").alias("doors")
+    )
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +174,9 @@ def tracklet_maturity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tracklet_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tracklets.queries(fx.observations(spark, sf_dir), 3, 5)
-    return found.select("camera_name", "track_id", "mature_frame", F.size("views").cast("long").alias("views"), F.posexplode("embedding").alias("i", "v")).select("camera_name", "track_id", "mature_frame", "views", "i", F.round("v", 6).alias("v"))
+    return found.select(
+        "camera_name", "track_id", "mature_frame", F.size("views").cast("long").alias("views"), F.posexplode("embedding").alias("i", "v")
+    ).select("camera_name", "track_id", "mature_frame", "views", "i", F.round("v", 6).alias("v"))
 
 
 def identity_match_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,17 +215,25 @@ def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.tracks(spark, sf_dir)
-    return rows.select(F.concat_ws("_", "camera_name", "frame_idx").alias("image_id"), F.col("event_id").alias("order"), F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), F.lit(fx.FRAME_W).alias("width"), F.lit(fx.FRAME_H).alias("height"))
+    return rows.select(
+        F.concat_ws("_", "camera_name", "frame_idx").alias("image_id"), F.col("event_id").alias("order"), F.col("x1").alias("x"),
+        F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), F.lit(fx.FRAME_W).alias("width"),
+        F.lit(fx.FRAME_H).alias("height")
+    )
 
 
 def yolo_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = etl.yolo_labels(_boxes(spark, sf_dir), 70.0)
-    return found.select("image_id", "order", *[F.round(c, 10).alias(c) for c in ("xc", "yc", "w", "h")])  # shares of the frame end within ten digits or never, so none is a tie
+    return found.select(
+        "image_id", "order", *[F.round(c, 10).alias(c) for c in ("xc", "yc", "w", "h")]
+    )  # shares of the frame end within ten digits or never, so none is a tie
 
 
 def yolo_normalize_unclipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = etl.yolo_labels(_boxes(spark, sf_dir), clipped=False)
-    return found.select("image_id", "order", *[F.round(c, 10).alias(c) for c in ("xc", "yc", "w", "h")])  # shares of the frame end within ten digits or never, so none is a tie
+    return found.select(
+        "image_id", "order", *[F.round(c, 10).alias(c) for c in ("xc", "yc", "w", "h")]
+    )  # shares of the frame end within ten digits or never, so none is a tie
 
 
 def annotation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

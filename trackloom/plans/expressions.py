@@ -20,7 +20,10 @@ def box_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points of a box that can be followed, in whole pixels."""
     points = {kind.replace("-", "_"): geo.crossing_point(*BOX, kind) for kind in geo.CROSSING_POINTS}
     raw_x, raw_y = geo.foot("x1", "y2", "x2")
-    return fx.tracks(spark, sf_dir).select("event_id", points["foot"][0].alias("px"), *[y.alias(f"{kind}_y") for kind, (_, y) in points.items()], raw_x.cast("long").alias("raw_x"), raw_y.alias("raw_y"))
+    return fx.tracks(spark, sf_dir).select(
+        "event_id", points["foot"][0].alias("px"), *[y.alias(f"{kind}_y") for kind, (_, y) in points.items()], raw_x.cast("long").alias("raw_x"),
+        raw_y.alias("raw_y")
+    )
 
 
 def line_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +33,11 @@ def line_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.tracks(spark, sf_dir).join(F.broadcast(fx.lines(spark)), "camera_name").withColumns({"px": px, "py": py})  # a configuration of a few lines
     ux, uy = geo.unit(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy"))
     within = geo.within_segment("px", "py", *ends)
-    return rows.select("event_id", "door_id", geo.side("px", "py", *ends).cast("long").alias("side"), F.round(geo.line_distance("px", "py", *ends), 6).alias("distance"), F.round(ux, 6).alias("ux"), F.round(uy, 6).alias("uy"), within.alias("within_ends"))
+    return rows.select(
+        "event_id", "door_id", geo.side("px", "py", *ends).cast("long").alias("side"),
+        F.round(geo.line_distance("px", "py", *ends), 6).alias("distance"), F.round(ux, 6).alias("ux"), F.round(uy, 6).alias("uy"),
+        within.alias("within_ends")
+    )
 
 
 def calibrated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +72,10 @@ def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("page_id").cast("string")
     source = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, number).otherwise(F.concat(F.lit("clips/rot"), number, F.lit(".part.JPG")))
     rows = fx.table(spark, sf_dir, "pages").select("page_id", source.alias("source"))
-    return rows.select("page_id", geo.source_kind(F.col("source")).alias("kind"), labels.stem(F.col("source")).alias("stem"), labels.has_suffix(F.col("source"), (".jpg", ".png")).alias("is_image"))
+    return rows.select(
+        "page_id", geo.source_kind(F.col("source")).alias("kind"), labels.stem(F.col("source")).alias("stem"),
+        labels.has_suffix(F.col("source"), (".jpg", ".png")).alias("is_image")
+    )
 
 
 def rotation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +95,10 @@ def band_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     quad = geo.band_quad("sx", "sy", "ex", "ey", "band_width")
     seen = fx.tracks(spark, sf_dir).groupBy("camera_name").agg(F.count("*").alias("n"))
     rows = fx.lines(spark).select("camera_name", "door_id", F.posexplode(quad).alias("corner", "p"))
-    return rows.join(seen, "camera_name").select("camera_name", "door_id", F.col("corner").cast("long").alias("corner"), F.col("p.x").cast("long").alias("x"), F.col("p.y").cast("long").alias("y"), "n")
+    return rows.join(seen, "camera_name").select(
+        "camera_name", "door_id", F.col("corner").cast("long").alias("corner"), F.col("p.x").cast("long").alias("x"),
+        F.col("p.y").cast("long").alias("y"), "n"
+    )
 
 
 def reported_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +123,10 @@ def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = {"image_id": F.concat_ws("_", "camera_name", "frame_idx"), "order": F.col("event_id"), "x": F.col("x1"), "y": F.col("y1"), "w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")}
+    shape = {
+        "image_id": F.concat_ws("_", "camera_name", "frame_idx"), "order": F.col("event_id"), "x": F.col("x1"), "y": F.col("y1"),
+        "w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")
+    }
     return fx.tracks(spark, sf_dir).select(*[c.alias(k) for k, c in shape.items()], F.lit(fx.FRAME_W).alias("width"), F.lit(fx.FRAME_H).alias("height"))
 
 

@@ -85,17 +85,23 @@ def counter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, py = geo.crossing_point("x1", "y1", "x2", "y2", F.col("crossing_point"))
     rows = fx.tracks(spark, sf_dir).join(lines, "camera_name").withColumns({"px": px, "py": py})
     near = geo.line_distance("px", "py", "sx", "sy", "ex", "ey") <= F.col("band_width")
-    return rows.groupBy("camera_name", "door_id", "direction", "crossing_point", F.col("band_width").cast("long").alias("band_width")).agg(F.count_if(near).alias("n"))
+    return rows.groupBy(
+        "camera_name", "door_id", "direction", "crossing_point", F.col("band_width").cast("long").alias("band_width")
+    ).agg(F.count_if(near).alias("n"))
 
 
 def counter_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of a counter's configuration after saving: one gets a point more, one is deleted, one is new."""
     existing = config.regions(config.read_counter(spark, _document(spark, "counter.json", counter_document())))
     point = "polygon array<struct<x:int,y:int>>"
-    saved = [("Camera_1", [(50, 50), (300, 60), (310, 700), (40, 640)], "center", None), ("Camera_2", [(1, 1), (2, 2)], None, "region"), ("Camera_4", [(0, 0), (640, 0), (640, 720)], None, None)]
+    saved = [(
+        "Camera_1", [(50, 50), (300, 60), (310, 700), (40, 640)], "center", None
+    ), ("Camera_2", [(1, 1), (2, 2)], None, "region"), ("Camera_4", [(0, 0), (640, 0), (640, 720)], None, None)]
     after = config.with_region(existing, spark.createDataFrame(saved, f"camera_name string, {point}, crossing_point string, crossing_mode string"))
     counts = crossings.inside_counts(fx.tracks(spark, sf_dir), after).groupBy("camera_name").agg(F.sum("n_inside").alias("n_inside"))
-    return after.join(counts, "camera_name", "left").select("camera_name", "room", F.size("polygon").cast("long").alias("points"), "crossing_point", "crossing_mode", "n_inside")
+    return after.join(counts, "camera_name", "left").select(
+        "camera_name", "room", F.size("polygon").cast("long").alias("points"), "crossing_point", "crossing_mode", "n_inside"
+    )
 
 
 def polygon_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,20 +140,29 @@ def _city(spark: SparkSession, sf_dir: str) -> str:
     sides = [F.col(c).cast("double").alias(f"bb{name}") for c, name in zip(SIDES, ("left", "top", "width", "height"))]
     images = gathered(boxes(spark, sf_dir), label, *sides, (F.col("order") % 3).cast("int").alias("occl"))
     size = F.when(F.col("camera_name") != "Camera_2", F.lit(fx.FRAME_H))
-    text = F.to_json(F.struct(size.alias("imgHeight"), F.when(F.col("camera_name") != "Camera_2", F.lit(fx.FRAME_W)).alias("imgWidth"), F.struct(F.transform("rows", lambda r: r.dropFields("order")).alias("list")).alias("annotation")))
-    return put(spark, "city", images.select(F.concat("camera_name", F.lit("/"), "image_id", F.lit("_gtBboxCityPersons.json")).alias("name"), text.alias("text")))
+    text = F.to_json(F.struct(
+        size.alias("imgHeight"), F.when(F.col("camera_name") != "Camera_2", F.lit(fx.FRAME_W)).alias("imgWidth"),
+        F.struct(F.transform("rows", lambda r: r.dropFields("order")).alias("list")).alias("annotation")
+    ))
+    return put(spark, "city", images.select(F.concat(
+        "camera_name", F.lit("/"), "image_id", F.lit("_gtBboxCityPersons.json")
+    ).alias("name"), text.alias("text")))
 
 
 def city_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON file for each image in a folder for each city: label shares of persons, by the name that each image gets."""
     rows = annotations.read_city_json(spark, _city(spark, sf_dir)).withColumn("image_id", labels.city_image_name(F.col("city"), F.col("image_id")))
-    return etl.yolo_labels(rows, 10.0).select("image_id", F.col("order").cast("long").alias("place"), *[F.round(c, 12).alias(c) for c in ("xc", "yc", "w", "h")])
+    return etl.yolo_labels(rows, 10.0).select(
+        "image_id", F.col("order").cast("long").alias("place"), *[F.round(c, 12).alias(c) for c in ("xc", "yc", "w", "h")]
+    )
 
 
 def city_boxes_unoccluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persons that aren't marked as occluded, by image size."""
     rows = annotations.read_city_json(spark, _city(spark, sf_dir), skip_occluded=True)
-    return rows.groupBy("city", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height")).agg(F.count("*").alias("n"), F.sum("h").alias("heights"))
+    return rows.groupBy(
+        "city", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height")
+    ).agg(F.count("*").alias("n"), F.sum("h").alias("heights"))
 
 
 def _corners(spark: SparkSession, sf_dir: str) -> str:
@@ -156,13 +171,20 @@ def _corners(spark: SparkSession, sf_dir: str) -> str:
     pos = F.when(F.col("order") % 11 == 0, F.slice(pos, 1, 3)).when(F.col("order") % 13 != 0, pos).alias("pos")
     images = gathered(boxes(spark, sf_dir), identity, pos, F.when(F.col("order") % 2 == 0, (F.col("order") % 10) / 10).alias("occluded"))
     known = F.col("camera_name") != "Camera_4"
-    text = F.to_json(F.struct(F.when(known, F.lit(fx.FRAME_W)).alias("imagewidth"), F.when(known, F.lit(fx.FRAME_H)).alias("imageheight"), F.transform("rows", lambda r: r.dropFields("order")).alias("children")))
-    return put(spark, "corners", images.select(F.concat(F.lit("labels/"), "camera_name", F.lit("/"), "image_id", F.lit(".json")).alias("name"), text.alias("text")))
+    text = F.to_json(F.struct(
+        F.when(known, F.lit(fx.FRAME_W)).alias("imagewidth"), F.when(known, F.lit(fx.FRAME_H)).alias("imageheight"),
+        F.transform("rows", lambda r: r.dropFields("order")).alias("children")
+    ))
+    return put(spark, "corners", images.select(F.concat(
+        F.lit("labels/"), "camera_name", F.lit("/"), "image_id", F.lit(".json")
+    ).alias("name"), text.alias("text")))
 
 
 def corner_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON file for each image with corners of persons; heights are tested as the label's line tells them."""
-    rows = annotations.read_corner_json(spark, _corners(spark, sf_dir)).withColumn("image_id", labels.mode_image_name("night", F.col("city"), F.col("image_id")))
+    rows = annotations.read_corner_json(spark, _corners(spark, sf_dir)).withColumn(
+        "image_id", labels.mode_image_name("night", F.col("city"), F.col("image_id"))
+    )
     found = etl.yolo_labels(rows, least_clipped_height=90.0)
     return found.select("image_id", F.col("order").cast("long").alias("place"), *[F.round(c, 12).alias(c) for c in ("xc", "yc", "w", "h")])
 
@@ -199,7 +221,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> str:
         F.col("number").alias("id"), F.lit(fx.FRAME_W).alias("width"), F.lit(fx.FRAME_H).alias("height"), F.concat(F.lit("sub/"), "image_id", F.lit(".png")).alias("file_name")))).alias("images"))
     marks = rows.groupBy("camera_name").agg(F.array_sort(F.collect_list(F.struct(
         F.col("order").alias("id"), F.col("number").alias("image_id"), (F.col("order") % 3 + 4).alias("category_id"), F.array(*SIDES).alias("bbox")))).alias("annotations"))
-    names = F.when(F.col("camera_name") == "Camera_3", F.array(F.lit("car"), F.lit("dog"), F.lit("cat"))).otherwise(F.array(F.lit("car"), F.lit("Pedestrian"), F.lit("person")))
+    names = F.when(
+        F.col("camera_name") == "Camera_3", F.array(F.lit("car"), F.lit("dog"), F.lit("cat"))
+    ).otherwise(F.array(F.lit("car"), F.lit("Pedestrian"), F.lit("person")))
     categories = F.transform(names, lambda name, i: F.struct((i + 4).alias("id"), name.alias("name")))
     text = F.to_json(F.struct("images", "annotations", categories.alias("categories")))
     return put(spark, "coco", images.join(marks, "camera_name").select(F.concat("camera_name", F.lit(".json")).alias("name"), text.alias("text")))
@@ -219,7 +243,9 @@ def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images under a folder in order of their paths, by suffix in any case; other files are no images."""
     suffix = F.element_at(F.array(*map(F.lit, (".jpg", ".PNG", ".txt", ".JPeg", ".webp", ".gif"))), (F.col("page_id") % 6 + 1).cast("int"))
-    pages = fx.table(spark, sf_dir, "pages").select(F.concat(F.lit("d"), F.col("page_id") % 3, F.lit("/page"), "page_id", suffix).alias("name"), F.lit("x").alias("text"))
+    pages = fx.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("d"), F.col("page_id") % 3, F.lit("/page"), "page_id", suffix).alias("name"), F.lit("x").alias("text")
+    )
     found = annotations.image_files(spark, put(spark, "images", pages)).orderBy("path")
     return found.select(labels.folder(F.col("path")).alias("folder"), "image_id", F.col("length").cast("long").alias("length"))
 
@@ -242,7 +268,9 @@ def summary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     results.write_json(occupancy.session_summary(fx.door_events(spark, sf_dir), fx.SEED_OCCUPANCY), path)
     doors = "map<string,struct<entered:long,exited:long>>"
     back = spark.read.schema(f"room string, final_occupancy long, total_entered long, total_exited long, peak_occupancy long, per_door {doors}").json(path)
-    return back.select("room", "final_occupancy", "peak_occupancy", F.explode("per_door").alias("door_id", "d")).select("room", "final_occupancy", "peak_occupancy", "door_id", "d.entered", "d.exited")
+    return back.select(
+        "room", "final_occupancy", "peak_occupancy", F.explode("per_door").alias("door_id", "d")
+    ).select("room", "final_occupancy", "peak_occupancy", "door_id", "d.entered", "d.exited")
 
 
 def occupancy_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,9 +333,14 @@ def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sweep_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a sweep appended in two runs; rows that can't be read are skipped."""
     k = F.col("l_linenumber")
-    rows = fx.table(spark, sf_dir, "lineitem").groupBy("l_linenumber", "l_returnflag").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("q"))
+    rows = fx.table(spark, sf_dir, "lineitem").groupBy("l_linenumber", "l_returnflag").agg(
+        F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("q")
+    )
     conf = F.when(F.col("l_returnflag") == "N", F.lit("bad")).otherwise((F.lit(0.05) * k).cast("decimal(4,2)").cast("string"))
-    shaped = rows.select(conf.alias("Conf"), F.lit("0.45").alias("IOU"), (k * 32).alias("Img_Size"), (F.col("n") % 100 / 100).alias("Precision"), (F.col("q") % 100 / 100).alias("Recall"), F.lit(0.5).alias("mAP50"), F.lit(0.25).alias("mAP50-95"))
+    shaped = rows.select(
+        conf.alias("Conf"), F.lit("0.45").alias("IOU"), (k * 32).alias("Img_Size"), (F.col("n") % 100 / 100).alias("Precision"),
+        (F.col("q") % 100 / 100).alias("Recall"), F.lit(0.5).alias("mAP50"), F.lit(0.25).alias("mAP50-95")
+    )
     path = f"{fresh_dir(spark, 'sweep')}/sweep"
     results.append_rows(shaped.where(k <= 3), path)
     results.append_rows(shaped.where(k > 3), path)

@@ -33,7 +33,9 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     df = table(spark, sf_dir, "events").withColumns({"k": k, "frame_idx": (F.row_number().over(w) - 1).cast("long")})
-    df = df.withColumns({"cx": F.floor(F.col("value") * 100).cast("long") % 640, "y2": 200 + (F.col("event_id") * 7 + F.col("k") * 3) % 500}).where("event_type <> 'error'")
+    df = df.withColumns({
+        "cx": F.floor(F.col("value") * 100).cast("long") % 640, "y2": 200 + (F.col("event_id") * 7 + F.col("k") * 3) % 500
+    }).where("event_type <> 'error'")
     wide, x = F.col("k") % 30, F.col("cx")
     return df.select(
         "event_id", camera().alias("camera_name"), F.col("user_id").alias("track_id"), "frame_idx", "ts", ((x - 20 - wide).cast("double") + 0.5).alias("x1"), ((F.col("y2") - 60 - F.col("k")).cast("double") + 0.25).alias("y1"),
@@ -44,7 +46,10 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def door_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").where("event_type <> 'error'")
     kind = F.when(F.col("event_type").isin("signup", "view"), "ENTRY").otherwise("EXIT")
-    return df.select("event_id", "ts", F.lit("Room").alias("room"), camera().alias("camera_name"), F.concat(F.lit("Door_"), (F.col("user_id") % 3).cast("string")).alias("door_id"), F.col("user_id").alias("track_id"), kind.alias("event"))
+    return df.select(
+        "event_id", "ts", F.lit("Room").alias("room"), camera().alias("camera_name"),
+        F.concat(F.lit("Door_"), (F.col("user_id") % 3).cast("string")).alias("door_id"), F.col("user_id").alias("track_id"), kind.alias("event")
+    )
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,13 +62,19 @@ def lines(spark: SparkSession) -> DataFrame:
 
 def regions(spark: SparkSession) -> DataFrame:
     polygon = [{"x": x, "y": y} for x, y in POLYGON]
-    return spark.createDataFrame([(c, "Room", polygon, "foot") for c in REGION_CAMERAS], "camera_name string, room string, polygon array<struct<x:int,y:int>>, crossing_point string")
+    return spark.createDataFrame(
+        [(c, "Room", polygon, "foot") for c in REGION_CAMERAS],
+        "camera_name string, room string, polygon array<struct<x:int,y:int>>, crossing_point string"
+    )
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, pid, cid, embedding and label."""
     df = table(spark, sf_dir, "embeddings")
-    return df.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("pid"), (F.col("vec_id") % 6).alias("cid"), "embedding", F.col("label").cast("long").alias("label"))
+    return df.select(
+        F.col("vec_id").alias("id"), F.col("label").cast("long").alias("pid"), (F.col("vec_id") % 6).alias("cid"), "embedding",
+        F.col("label").cast("long").alias("label")
+    )
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,5 +92,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day and night pools of images, from the documents' languages; night ones in two datasets."""
     kind = F.when(F.col("lang") == "en", "night").when(F.col("lang") == "fr", "day")
-    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), kind.alias("kind"), F.when(F.col("doc_id") % 3 == 0, "b").otherwise("a").alias("dataset"))
+    df = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("path"), kind.alias("kind"), F.when(F.col("doc_id") % 3 == 0, "b").otherwise("a").alias("dataset")
+    )
     return df.where("kind is not null").select("dataset", F.col("path").cast("string").alias("path"), "kind")

@@ -95,14 +95,19 @@ def read_results(spark: SparkSession, project: str) -> DataFrame:
     with broken ones only has an empty map.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "results.{json,csv}").load(project)
-    rows = files.select(F.regexp_extract("path", r"([^/]+)/results\.[a-z]+$", 1).alias("run"), F.col("path").endswith(".json").alias("is_json"), F.col("content").cast("string").alias("text"))
+    rows = files.select(
+        F.regexp_extract("path", r"([^/]+)/results\.[a-z]+$", 1).alias("run"), F.col("path").endswith(".json").alias("is_json"),
+        F.col("content").cast("string").alias("text")
+    )
     lines = F.filter(F.transform(F.split("text", "\\r?\\n"), lambda x: F.trim(x)), lambda x: x != "")
     cells = lambda line: F.transform(F.split(line, ","), lambda x: F.trim(x))
     head, last = cells(F.get(lines, F.lit(0))), cells(F.element_at(lines, -1))
     many = F.least(F.size(head), F.size(last))
     from_csv = F.when(F.size(lines) >= 2, F.map_from_arrays(F.slice(head, F.lit(1), many), F.slice(last, F.lit(1), many)))
     parsed = rows.withColumn("values", F.when(F.col("is_json"), F.from_json("text", "map<string,string>")).otherwise(from_csv))
-    both = parsed.groupBy("run").agg(F.max(F.when(F.col("is_json"), F.to_json("values"))).alias("j"), F.max(F.when(~F.col("is_json"), F.to_json("values"))).alias("c"))
+    both = parsed.groupBy("run").agg(
+        F.max(F.when(F.col("is_json"), F.to_json("values"))).alias("j"), F.max(F.when(~F.col("is_json"), F.to_json("values"))).alias("c")
+    )
     source = F.when(F.col("j").isNotNull(), "json").when(F.col("c").isNotNull(), "csv").otherwise("none")
     return both.select("run", source.alias("source"), F.from_json(F.coalesce("j", "c", F.lit("{}")), "map<string,string>").alias("values"))
 
