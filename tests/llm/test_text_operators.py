@@ -35,7 +35,11 @@ def awkward():
     rng = random.Random(0)
     line = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
     shared = line(40)
-    texts = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (5, "Zwei Über \U0001f600 naïve"), (6, shared), (7, shared), (8, line(30) + " " + shared + " " + line(25)), (9, line(6000)), (10, "x" * 30000), (None, line(50)), (12, shared.upper()), (13, "a " * 300), (6, shared)]
+    texts = [
+        (1, None), (2, ""), (3, "  \n\t "), (4, "one"), (5, "Zwei Über \U0001f600 naïve"), (6, shared), (7, shared),
+        (8, line(30) + " " + shared + " " + line(25)), (9, line(6000)), (10, "x" * 30000), (None, line(50)), (12, shared.upper()), (13, "a " * 300),
+        (6, shared)
+    ]
     return texts
 
 
@@ -158,7 +162,10 @@ def test_names_of_runs():
 def test_substrings_of_rows_that_share_an_id(spark, shared_id):
     own = lambda c: " ".join(f"{c}{k}" for k in range(30))
     run = own("r")
-    texts = [(1, run), (shared_id, run + " " + own("a")), (shared_id, own("b") + " " + own("c")), (shared_id, own("d") + " " + own("e")), (shared_id, own("d") + " " + own("f"))]
+    texts = [
+        (1, run), (shared_id, run + " " + own("a")), (shared_id, own("b") + " " + own("c")), (shared_id, own("d") + " " + own("e")),
+        (shared_id, own("d") + " " + own("f"))
+    ]
     found = sorted(r.kept for r in substrings.deduplicate(rows_of(spark, texts)).collect())
     first = [run, own("a"), own("b") + " " + own("c")]
     # of the last two, which repeat at the same place, one keeps the run
@@ -231,7 +238,10 @@ def test_fingerprints_equal_an_independent_parse(spark, extra):
         own, after = texts[k], texts[(k + 1) % len(texts)]
         changed = fingerprints.edited(own, after)
         a, b, c = map(fingerprint_by_hand, (own, changed, after))
-        want.append((str(i), len(own), hashlib.sha256(changed.encode()).hexdigest(), a.hex(), b.hex(), round(likeness_by_hand(a, b), 9), round(likeness_by_hand(a, c), 9)))
+        want.append((
+            str(i), len(own), hashlib.sha256(changed.encode()).hexdigest(), a.hex(), b.hex(), round(likeness_by_hand(a, b), 9),
+            round(likeness_by_hand(a, c), 9)
+        ))
     found = fingerprints.compare_neighbours(rows_of(spark, rows)).collect()
     got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found]
     assert sorted(got) == sorted(want)
@@ -474,15 +484,27 @@ def plain_spans(text):
         return sum(v - 9 if (v := int(c) * (1 + k % 2)) > 9 else v for k, c in enumerate(reversed(s))) % 10 == 0
 
     digits = lambda s: re.sub("[^0-9]", "", s)
-    holds = {"email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m.split(".")), "card": lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m)), "phone": lambda m: 10 <= len(digits(m)) <= 15}
-    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted((m.start(), n, k, m.end()) for n, (k, p) in enumerate(PLAIN.items()) for m in re.finditer(p, text) if holds[k](m.group())))
+    holds = {
+        "email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m.split(".")),
+        "card": lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m)), "phone": lambda m: 10 <= len(digits(m)) <= 15
+    }
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(
+        (m.start(), n, k, m.end()) for n, (k, p) in enumerate(PLAIN.items()) for m in re.finditer(p, text) if holds[k](m.group())
+    ))
 
 
 def private_texts():
     rng = random.Random(3)
-    parts = ["4111 1111 1111 1111", "4111-1111-1111-1112", "378282246310005", "7536784127813050 4845168114407329", "+1 (017) 555-7713", "+4 9", "+123456789012345678", "1.2.3.4", "999.1.2.3.4", "1.2.3.256", "01.002.3.4.5.6.7.8", "a@b.c", "a@b.c_d@e.f", "x.y%z@mail-1.example.com.", "@no", "a@b", "\U0001f600", "über@x.de", "5-5-5", "..", " ", "-", "tel", "1 1 1 1 1 1 1 1 1 1 1 1 1 1"]
+    parts = [
+        "4111 1111 1111 1111", "4111-1111-1111-1112", "378282246310005", "7536784127813050 4845168114407329", "+1 (017) 555-7713", "+4 9",
+        "+123456789012345678", "1.2.3.4", "999.1.2.3.4", "1.2.3.256", "01.002.3.4.5.6.7.8", "a@b.c", "a@b.c_d@e.f", "x.y%z@mail-1.example.com.",
+        "@no", "a@b", "\U0001f600", "über@x.de", "5-5-5", "..", " ", "-", "tel", "1 1 1 1 1 1 1 1 1 1 1 1 1 1"
+    ]
     texts = [(i, "".join(rng.choice(parts) + rng.choice(["", " ", "x", ", ", "-"]) for _ in range(rng.randint(0, 12)))) for i in range(300)]
-    return [*texts, (900, "1.2.3.4 " * 3000), (901, "a" * 200000), (902, "b@" + "c." * 30000 + "d"), (903, "9 " * 40000), (904, "+1" + " " * 50000), (905, None)]
+    return [
+        *texts, (900, "1.2.3.4 " * 3000), (901, "a" * 200000), (902, "b@" + "c." * 30000 + "d"), (903, "9 " * 40000), (904, "+1" + " " * 50000),
+        (905, None)
+    ]
 
 
 def test_base_spans_equal_plain_patterns(spark):
@@ -654,7 +676,10 @@ def hit_by_hand(texts, items):
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 300])
 def test_contamination_equals_brute_force(spark, docs, block):
     shared = awkward()[5][1]
-    items = [(1, shared), (2, "one"), (3, None), (4, "!!"), (5, "Alpha, BETA"), (None, " ".join(shared.split()[5:20])), (1, "über"), (7, " ".join(shared.split()[:10])), (8, "a a a")]
+    items = [
+        (1, shared), (2, "one"), (3, None), (4, "!!"), (5, "Alpha, BETA"), (None, " ".join(shared.split()[5:20])), (1, "über"),
+        (7, " ".join(shared.split()[:10])), (8, "a a a")
+    ]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     texts = [x for x in awkward() if len(x[1] or "") < 20000]
     found = decontaminate.find_contamination(docs.where("doc_id is null or doc_id not in (9, 10)"), benchmark, block)
@@ -710,7 +735,10 @@ def test_contamination_without_items(spark, docs, empty):
 
 def test_archives_come_back(spark, tmp_path):
     big = "<p>" + "x" * 1200
-    pages = [(1, "http://a/b c\n", big, 1), (2, None, big, 1), (3, "u", "small", 1), (4, "u", "small", 1), (5, "u", None, 1), (None, "n", big, 1), (7, "u", "ü" * 600, 1), (8, "u", "", 1), (2, None, big, 1)]
+    pages = [
+        (1, "http://a/b c\n", big, 1), (2, None, big, 1), (3, "u", "small", 1), (4, "u", "small", 1), (5, "u", None, 1), (None, "n", big, 1),
+        (7, "u", "ü" * 600, 1), (8, "u", "", 1), (2, None, big, 1)
+    ]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, payload_digest int")
     found = {(r.page_id, r.payload_bytes): r for r in warc.round_trip(spark, df).collect()}
     assert found[(1, 1203)].record_type == "revisit"
@@ -726,7 +754,9 @@ def test_archives_come_back(spark, tmp_path):
 
 def test_archives_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 300)
-    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 700).alias("html")).repartition(2)
+    pages = spark.range(40).select(
+        F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 700).alias("html")
+    ).repartition(2)
     folder = "file://" + str(tmp_path)
     files = warc.write_archives(pages, folder).cache()
     assert files.count() > 8
@@ -928,7 +958,10 @@ def test_links_of_blocks_equal_brute_force():
 def test_first_rows_of_awkward_groups(spark):
     """Rows that share an id but not a text are apart, rows that share both are one, rows without an id come last."""
     line = lambda c: " ".join(f"{c}{k}" for k in range(30))
-    texts = [(1, line("a")), (1, line("b")), (2, line("b")), (3, line("c")), (3, line("c")), (None, line("a")), (None, line("d")), (None, line("d")), (None, line("e"))]
+    texts = [
+        (1, line("a")), (1, line("b")), (2, line("b")), (3, line("c")), (3, line("c")), (None, line("a")), (None, line("d")), (None, line("d")),
+        (None, line("e"))
+    ]
     docs = rows_of(spark, texts).withColumn("score", F.monotonically_increasing_id().cast("string"))
     kept = simhash.first_of_each(docs)
     assert kept.columns == docs.columns

@@ -244,7 +244,10 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
                 data, ids = texts(part, "text"), part.column(0).to_pylist()
                 key = np.array([LAST if i is None else i for i in ids], np.int64)
                 tie = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big", signed=True) for x in data]
-                yield record_batch(PACKED, [np.searchsorted(bounds, key, "left").astype(np.int32), key, tie, ids, [pa.compress(x, codec="zstd", asbytes=True) for x in data], [len(x) for x in data]])
+                yield record_batch(PACKED, [
+                    np.searchsorted(bounds, key, "left").astype(np.int32), key, tie, ids, [pa.compress(x, codec="zstd", asbytes=True) for x in data],
+                    [len(x) for x in data]
+                ])
 
     packed = rows.mapInArrow(pack, "range int, key long, tie long, doc_id long, packed binary, size long")
     ordered = packed.repartition(partitions, "range").sortWithinPartitions("range", "key", "tie")

@@ -43,7 +43,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated")
+    )
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +69,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_fingerprints, op3_toxicity, op4_pii, op5_byte_bpe, op6_decontaminate, op7_warc, op8_quality, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (
+        op1_substring_dedup, op2_fingerprints, op3_toxicity, op4_pii, op5_byte_bpe, op6_decontaminate, op7_warc, op8_quality, op9_simhash,
+        op10_token_counts
+    )}
 
 
 def oracle_sql() -> dict[str, str]:

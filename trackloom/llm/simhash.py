@@ -100,7 +100,9 @@ def _signed(x: int) -> int:
 def _listed(nodes: DataFrame, masks: list[int]) -> DataFrame:
     """Each row of ``nodes`` (fp, mask) under the three segments of its ring: fp, mask, after and the part of fp that its group shares."""
     rings = F.create_map(*[
-        x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.struct(F.lit(_signed(a)).alias("mask"), F.lit(_signed(b)).alias("after")) for a, b in ring(m)]))
+        x for m in masks for x in (F.lit(_signed(m)), F.array(*[
+            F.struct(F.lit(_signed(a)).alias("mask"), F.lit(_signed(b)).alias("after")) for a, b in ring(m)
+        ]))
     ])
     rows = nodes.select("fp", F.explode(rings[F.col("mask")]).alias("r")).select("fp", "r.*")
     return rows.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))

@@ -262,7 +262,10 @@ def window_entries(table: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
         k = pick[k]
         turns = np.flatnonzero(np.diff(row[k], prepend=-1))
         r = row[k][turns]
-        rows.append([b, number, False, names[k].tobytes(), _pack_places(place[k]), _narrow(np.diff(turns, append=len(k))), _narrow(home.begin[r]), _pack_ids(home.ids[r]), home.row[r].tobytes()])
+        rows.append([
+            b, number, False, names[k].tobytes(), _pack_places(place[k]), _narrow(np.diff(turns, append=len(k))), _narrow(home.begin[r]),
+            _pack_ids(home.ids[r]), home.row[r].tobytes()
+        ])
     if len(later):  # later than an equal window of the same home
         rows.append([number % buckets, number, True, b"", _pack_places(np.sort(place[later])), b"", b"", b"", b""])
     return _table(WINDOWS, rows)
@@ -326,7 +329,9 @@ def deduplicate(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
                 split = [x.split() for x in texts(part, "text")]
                 lines, ids = [b" ".join(x) for x in split], part.column(0).to_pylist()
                 # one name for rows that are equal, another one for any other row, though it has the same id or none
-                names = [xxhash.xxh64_intdigest(b"" if i is None else i.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(x)) >> 1 for i, x in zip(ids, lines)]
+                names = [xxhash.xxh64_intdigest(
+                    b"" if i is None else i.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(x)
+                ) >> 1 for i, x in zip(ids, lines)]
                 copy = []  # the how manieth of its name in this task: the same numbers whatever the order of rows
                 for name in names:
                     copy.append(seen[name] // TOGETHER)

@@ -67,7 +67,10 @@ def _record_id(page_id: int | None) -> str:
     return f"<{_URN}{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
 
 
-def pack(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, payload_digest: str | None = None, payload_bytes: int | None = None, date: str = "1970-01-01T00:00:00Z", level: int = 6) -> bytes:
+def pack(
+    page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, payload_digest: str | None = None,
+    payload_bytes: int | None = None, date: str = "1970-01-01T00:00:00Z", level: int = 6
+) -> bytes:
     """A record as a gzip member. With ``refers_to``, a revisit: the HTTP head without the payload."""
     n = len(payload) if payload_bytes is None else payload_bytes
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
@@ -77,7 +80,10 @@ def pack(page_id: int | None, url: str | None, payload: bytes, refers_to: int |
         lines.append("WARC-Target-URI: " + quote(url, safe=":/?#[]@!$&'()*+,;=%~"))
     if refers_to is not None:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}"]
-    lines += [f"WARC-Payload-Digest: {payload_digest or _digest(payload)}", f"WARC-Block-Digest: {_digest(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    lines += [
+        f"WARC-Payload-Digest: {payload_digest or _digest(payload)}", f"WARC-Block-Digest: {_digest(block)}",
+        "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"
+    ]
     data = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     out = zlib.compressobj(level, zlib.DEFLATED, 31)
     return out.compress(data) + out.flush()
@@ -124,7 +130,11 @@ def parse(member: bytes) -> dict:
     if kind == "response" and size != len(payload):
         raise WarcError(f"payload length differs in {fields['warc-record-id']}")
     number = lambda x: int(x[len(_URN) + 1 : -1]) if x and x.startswith(f"<{_URN}") else None
-    return {"page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": _hex(fields["warc-payload-digest"]), "record_type": kind, "refers_to": number(fields.get("warc-refers-to")), "payload": payload if kind == "response" else None}
+    return {
+        "page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": size,
+        "payload_digest": _hex(fields["warc-payload-digest"]), "record_type": kind, "refers_to": number(fields.get("warc-refers-to")),
+        "payload": payload if kind == "response" else None
+    }
 
 
 def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", level: int = 6) -> DataFrame:
@@ -144,7 +154,9 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
             for part in slices(batch, "html"):
                 ids, urls = part.column(0).to_pylist(), part.column(1).to_pylist()
                 payloads = [(x or "").encode() for x in part.column(2).to_pylist()]
-                yield record_batch(_PACKED, [ids, urls, [len(x) for x in payloads], [hashlib.sha1(x).hexdigest() for x in payloads], [pack(i, u, x, date=date, level=level) for i, u, x in zip(ids, urls, payloads)]])
+                yield record_batch(_PACKED, [ids, urls, [len(x) for x in payloads], [hashlib.sha1(x).hexdigest() for x in payloads], [
+                    pack(i, u, x, date=date, level=level) for i, u, x in zip(ids, urls, payloads)
+                ]])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = path = None
