@@ -582,6 +582,23 @@ def test_disclosing_terms_equal_plain_loops(spark):
     assert all(clean[i] == by_id[i] for i in range(200))
 
 
+def test_private_data_equals_sql_where_terms_disclose(spark, tmp_path):
+    """The query against its SQL on texts with every kind of span, with terms, copies and awkward rows."""
+    rng = random.Random(14)
+    line = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    private = [f"{line(9)} Quillon {line(3)} +1 (017) 555-7713 {line(2)} Vexford_x {line(20)}" for _ in range(4)]
+    texts = private_texts()[:304] + [(1000 + i, line(30)) for i in range(200)] + [(2000 + i, t) for i, t in enumerate(private * 3)] + awkward()
+    rows_of(spark, texts).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = db.execute(queries.OP4_SQL)
+    names = [d[0] for d in cursor.description]
+    found = NAMES["op4_pii"](spark, str(tmp_path))
+    want = told([dict(zip(names, r)) for r in cursor.fetchall()], names)
+    assert told(found.collect(), names) == want
+    assert sum("term:" in r[names.index("spans")] for r in want) >= 12
+
+
 def test_private_data_on_awkward_rows(docs, empty):
     assert pii.find(docs).count() == len(awkward())
     assert pii.find(empty).count() == 0

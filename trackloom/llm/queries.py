@@ -76,7 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_pii": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL}
 
 
 #: Every window of twenty words that is not the first of its kind.
@@ -92,6 +92,48 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_
 from d left join n using (doc_id) left join x using (doc_id)
 """
 
+#: The base patterns as they stand, places as running sums of what is split off, and all counts over different texts.
+OP4_SQL = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+     k(kind, rank, pattern) as (values ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), ('ip', 1, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+                                        ('card', 2, '[0-9]([\x20-]?[0-9])+'), ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]')),
+     f as (select r, doc_id, t, kind, rank, regexp_extract_all(t, pattern) as m, string_split_regex(t, pattern) as p from d, k),
+     u as (select *, unnest(range(1, len(m) + 1)) as i from f),
+     v as (select r, t, kind, rank, m[i] as value, regexp_replace(m[i], '[^0-9]', '', 'g') as digits, right(p[i], 80) as a, left(p[i + 1], 80) as b,
+                  list_sum(list_transform(p[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) as e from u),
+     base as (select *, e - length(value) as s from v where case kind when 'email' then true
+                when 'ip' then len(list_filter(string_split(value, '.'), lambda x: try_cast(x as double) > 255)) = 0
+                when 'card' then length(digits) between 14 and 19 and list_sum(list_transform(range(length(digits)), lambda i:
+                    case when i % 2 = 0 then cast(substr(digits, length(digits) - i, 1) as int)
+                         else cast(substr(digits, length(digits) - i, 1) as int) * 2 - case when substr(digits, length(digits) - i, 1) > '4' then 9 else 0 end end)) % 10 = 0
+                else length(digits) between 10 and 15 end),
+     c as (select r, t, kind, case when kind in ('card', 'phone') then digits else lower(value) end as entity, s, e,
+                  case when length(a) < 80 then a else regexp_replace(a, '^[\p{L}\p{N}]+', '') end as a,
+                  case when length(b) < 80 then b else regexp_replace(b, '[\p{L}\p{N}]+$', '') end as b from base),
+     sides as (select r, t, kind, entity, lower(a) as ca, lower(b) as cb, s - length(a) as origin, a as side from c
+               union all select r, t, kind, entity, lower(a), lower(b), e, b from c),
+     w as (select *, regexp_extract_all(side, '[\p{L}\p{N}]+') as m, string_split_regex(side, '[\p{L}\p{N}]+') as p from sides),
+     x as (select *, unnest(range(1, len(m) + 1)) as i from w),
+     terms as (select r, t, kind, entity, ca, cb, lower(m[i]) as term, length(m[i]) as n,
+                      origin + list_sum(list_transform(p[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) as e
+               from x where length(m[i]) >= 3 and regexp_matches(m[i], '^\p{L}')),
+     total as (select count(distinct t) as n from d),
+     held as (select term, count(*) as n_t from (select distinct t, lower(unnest(regexp_extract_all(t, '[\p{L}\p{N}]+'))) as term from d) where length(term) >= 3 group by term),
+     pairs as (select kind, entity, term, count(distinct t) as n_et from terms group by all having count(distinct (ca, cb)) >= 3),
+     entities as (select kind, entity, count(distinct t) as n_e from terms group by all having count(distinct (ca, cb)) >= 3),
+     strong as (select kind, entity, term from pairs join entities using (kind, entity) join held using (term), total
+                where n > n_e and log2(n_et * cast(n as double) / (n_e * cast(greatest(n_t, n_et) as double))) / log2(cast(n as double) / n_e) >= 0.7),
+     places as (select distinct r, e - n as s, e from terms join strong using (kind, entity, term)),
+     added as (select * from places q where not exists (select 1 from base b where b.r = q.r and b.s < q.e and q.s < b.e)),
+     spans as (select r, kind, rank, s, e from base union all select r, 'term', 4, s, e from added),
+     told as (select r, string_agg(concat(kind, ':', s, ':', e), ',' order by s, rank) as spans, count(*) as n_spans,
+                     string_agg(concat(kind, ':', s, ':', e), ',' order by s, rank) filter (rank < 4) as base, count(*) filter (rank = 0) as n_email,
+                     count(*) filter (rank = 1) as n_ip, count(*) filter (rank = 2) as n_card, count(*) filter (rank = 3) as n_phone from spans group by r)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_spans, 0) as n_spans
+from d left join told using (r)
+"""
+
 #: The windows of every item, of its own length, against all runs of as many words of every document.
 OP6_SQL = r"""
 with letters as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as u, 'abcdefghijklmnopqrstuvwxyz' as l),
