@@ -1,6 +1,7 @@
 """Operators against plain simulations and by their properties."""
 
 import json
+import os
 import random
 
 import numpy as np
@@ -315,6 +316,33 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
     assert sorted((r.track_id, r.frame_idx, r.event) for r in found.collect()) == simulate(rows, line)
 
 
+def test_scratch_tables_go_when_nothing_reads_them(spark):
+    from trackloom import session
+
+    there = lambda t: os.path.isdir(t.trackloom_path.removeprefix("file://"))
+    with session.scratch() as outer:
+        with session.scratch() as kept:
+            gone, stays = session.written(spark.range(3), "a"), session.written(spark.range(4), "b")
+            kept.append(stays)
+        assert not there(gone)
+        assert there(stays)
+        last = session.written(stays, "c")
+        outer.append(last)
+    assert not there(stays)
+    assert last.count() == 4
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from trackloom import session
+
+    nothing = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: nothing, master="spark://host:7077"), conf=nothing)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(cluster)
+
+
 def test_entry(spark):
     import __spark_entry__
 

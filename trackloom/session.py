@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,9 +66,32 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.trackloom_path = path
+    if _OPEN:
+        _OPEN[-1].append(found)
     return found
 
 
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes what :func:`written` writes meanwhile, but for the tables that are put into the list.
+
+    Those are left to the next outer ``scratch``, if there is one. Whatever
+    reads a deleted table must have been written before.
+    """
+    kept: list[DataFrame] = []
+    _OPEN.append([])
+    try:
+        yield kept
+    finally:
+        own = _OPEN.pop()
+        dropped(*[t for t in own if all(t is not k for k in kept)])
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that :func:`written` made, once nothing reads them any more."""
     for table in tables:
