@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package, written
+from ..session import scratch, ship_package, written
 from . import shingles
 from .arrow_text import ascii_lower, record_batch, slices, texts
 from .components import component_ids, connected_components, with_frequent
@@ -170,10 +170,13 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links, its own included) for each row of ``docs``."""
-    prints = written(fingerprints(docs), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprint-nodes")
-    roots = connected_components(links(nodes.select("fp"), group)).withColumnRenamed("node", "fp")
-    named = written(component_ids(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))), "components")
+    with scratch() as kept:
+        prints = written(fingerprints(docs), "fingerprints")
+        nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprint-nodes")
+        roots = connected_components(links(nodes.select("fp"), group)).withColumnRenamed("node", "fp")
+        rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        named = written(component_ids(rooted), "components")
+        kept += [prints, named]
     return with_frequent(prints, named, "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
