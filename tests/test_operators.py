@@ -102,6 +102,15 @@ def test_departure_needs_a_later_frame(spark):
     assert [(r.track_id, r.last_tick, r.missing_tick) for r in found] == [(1, 2, 3)]
 
 
+@pytest.mark.parametrize("stretch", [1, 3, 7, 100_000])
+def test_ticks_count_frames_with_detections(spark, stretch):
+    rows = [("a", t, f) for f in (0, 2, 3, 7, 8, 20, 21) for t in (1, 2)] + [("b", 1, f) for f in (5, 6, 50)]
+    df = spark.createDataFrame(rows, "camera_name string, track_id long, frame_idx long")
+    found = {(r.camera_name, r.frame_idx): r.tick for r in presence.with_nonempty_clock(df, stretch).collect()}
+    assert [found["a", f] for f in (0, 2, 3, 7, 8, 20, 21)] == [1, 2, 3, 4, 5, 6, 7]
+    assert [found["b", f] for f in (5, 6, 50)] == [1, 2, 3]
+
+
 def test_iou_grid_finds_each_pair_once(spark):
     rng = random.Random(9)
     rows = []

@@ -19,14 +19,21 @@ def with_segments(tracks: DataFrame, clock: str = "frame_idx") -> DataFrame:
     return tracks.withColumn("seg", F.col(clock) - F.row_number().over(Window.partitionBy(*TRACK).orderBy(clock)))
 
 
-def with_nonempty_clock(tracks: DataFrame) -> DataFrame:
+def with_nonempty_clock(tracks: DataFrame, stretch: int = 100_000) -> DataFrame:
     """Adds ``tick``, which counts only the camera's frames that have detections.
 
     The frames are numbered once for each camera, without their detections, and
-    joined back, so no window holds a camera's detections.
+    joined back, so no window holds a camera's detections. They are numbered
+    within stretches of frames, and the stretches' counts are carried over a
+    small table, so no window holds all frames of a camera either.
     """
-    frames = tracks.select("camera_name", "frame_idx").distinct()
-    ticks = frames.withColumn("tick", F.row_number().over(Window.partitionBy("camera_name").orderBy("frame_idx")).cast("long"))
+    frames = tracks.select("camera_name", "frame_idx").distinct().withColumn("part", F.floor(F.col("frame_idx") / stretch))
+    counts = frames.groupBy("camera_name", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("camera_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.select("camera_name", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("camera_name", "part").orderBy("frame_idx"))
+    ticks = frames.withColumn("own", own).join(carried, ["camera_name", "part"])
+    ticks = ticks.select("camera_name", "frame_idx", (F.col("own") + F.col("before")).cast("long").alias("tick"))
     return tracks.join(ticks, ["camera_name", "frame_idx"])
 
 
