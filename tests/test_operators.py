@@ -111,6 +111,14 @@ def test_ticks_count_frames_with_detections(spark, stretch):
     assert [found["b", f] for f in (5, 6, 50)] == [1, 2, 3]
 
 
+@pytest.mark.parametrize("stretch", [1, 4, 10_000])
+def test_lows_are_carried_over_stretches(spark, stretch):
+    losses = [5.0, 4.0, 4.0, 4.5, 3.0, 3.5, 2.0, 2.0, 9.0, 1.0]
+    df = spark.createDataFrame(list(enumerate(losses)), "epoch long, loss double")
+    found = {r.epoch: (r.is_best, r.best) for r in metrics.best_so_far(df, stretch=stretch).collect()}
+    assert found == {i: (i == 0 or x < min(losses[:i]), min(losses[: i + 1])) for i, x in enumerate(losses)}
+
+
 def test_iou_grid_finds_each_pair_once(spark):
     rng = random.Random(9)
     rows = []

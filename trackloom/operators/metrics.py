@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..functions.labels import stepped_rate
 from ..session import ship_package
 from . import similarity
 
@@ -180,16 +181,19 @@ def combined_loss(triplet: DataFrame, logits: DataFrame | None = None, triplet_w
     return triplet.join(F.broadcast(logits.agg(F.avg(entropy).alias("entropy")))).select((F.col("loss") * triplet_weight + F.col("entropy") * entropy_weight).alias("loss"))
 
 
-def best_so_far(history: DataFrame, rate: float = 3e-4, step: int = 10) -> DataFrame:
+def best_so_far(history: DataFrame, rate: float = 3e-4, step: int = 10, stretch: int = 10_000) -> DataFrame:
     """Adds to epoch and loss: whether the loss is a new low, the low so far, and the stepped learning rate.
 
-    The history is a row for each epoch, a bounded table.
+    Lows are taken within stretches of epochs and carried over a table of the
+    stretches, so a long history isn't one window.
     """
-    from ..functions.labels import stepped_rate
-
-    w = Window.partitionBy(F.lit(0)).orderBy("epoch")
-    before = F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return history.withColumns({
-        "is_best": before.isNull() | (F.col("loss") < before), "best": F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "lr": stepped_rate(rate, F.col("epoch"), step)
-    })
+    df = history.withColumn("part", F.floor(F.col("epoch") / stretch))
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    lows = df.groupBy("part").agg(F.min("loss").alias("low")).select("part", F.min("low").over(before).alias("carried"))
+    own = Window.partitionBy("part").orderBy("epoch")
+    df = df.join(lows, "part").withColumns({
+        "earlier": F.least("carried", F.min("loss").over(own.rowsBetween(Window.unboundedPreceding, -1))),
+        "best": F.least("carried", F.min("loss").over(own.rowsBetween(Window.unboundedPreceding, 0))),
+    })
+    is_best = F.col("earlier").isNull() | (F.col("loss") < F.col("earlier"))
+    return df.select(*history.columns, is_best.alias("is_best"), "best", stepped_rate(rate, F.col("epoch"), step).alias("lr"))
