@@ -16,10 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package, written
+from ..session import dropped, ship_package, written
 from . import similarity
 
 
+#: Parts that the rows of one identity are dealt to.
+PARTS = 8
+
+
 def match_tracklets(tracklets: DataFrame, threshold: float = 0.7) -> DataFrame:
     """id, matched_id, similarity and global_id for tracklets (id, embedding).
 
@@ -32,12 +36,15 @@ def match_tracklets(tracklets: DataFrame, threshold: float = 0.7) -> DataFrame:
         F.col("query_id").alias("id"), F.col("gallery_id").alias("matched_id"), "similarity"
     )
     linked = tracklets.select("id").join(best, "id", "left").withColumn("root", F.coalesce("matched_id", "id"))
-    linked = written(linked, "identity-links")
+    linked = last = written(linked, "identity-links")
     while True:
-        up = linked.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        moved = written(linked.join(up, "root").select(
-            "id", "matched_id", "similarity", F.col("above").alias("next"), (F.col("above") != F.col("root")).alias("changed")
-        ), "identity-links")
+        # an identity may have most of the rows: they are dealt to parts, each of which meets a copy of its row
+        up = linked.select(F.col("id").alias("root"), F.col("root").alias("above"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        met = linked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).join(up, ["root", "part"])
+        changed = (F.col("above") != F.col("root")).alias("changed")
+        moved = written(met.select("id", "matched_id", "similarity", F.col("above").alias("next"), changed), "identity-links")
+        dropped(last)
+        last = moved
         linked = moved.select("id", "matched_id", "similarity", F.col("next").alias("root"))
         if moved.where("changed").isEmpty():
             return linked.withColumnRenamed("root", "global_id")
