@@ -34,7 +34,7 @@ from .arrow_text import record_batch, slices
 #: A vocabulary file of more bytes is refused: its tables are broadcast.
 VOCABULARY_BYTES = 64 << 20
 #: Encoded pre-tokens that a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 _MASK = (1 << 64) - 1
 
