@@ -42,8 +42,8 @@ from .token_counts import cut, read_model
 STRETCH = 1 << 20
 WINDOW = 1 << 16
 #: Bytes, about, of encoded runs that a Python worker remembers, and what an entry takes besides its characters.
-REMEMBERED_BYTES = 192 << 20
-ENTRY_BYTES = 320
+REMEMBERED_BYTES = 320 << 20
+ENTRY_BYTES = 200
 #: Runs of more characters are not remembered.
 SHORT = 64
 #: Pairs of pieces whose merging a worker remembers.
@@ -123,9 +123,18 @@ class PieceCodec:
         self.breaks = "\n" not in single
         #: Only pieces that merging their own characters gives; others never are in an encoding.
         self.id_of = {x: i for i, x in enumerate(self.text_of) if self.kind[i] == _NORMAL and self.merges_to(x, len(x))}
+        self.size = [len(x) for x in self.text_of]
+        self.shorter = [-1] * len(self.text_of)
+        for text, i in self.id_of.items():
+            self.shorter[i] = next((self.id_of[text[:k]] for k in range(len(text) - 1, 0, -1) if text[:k] in self.id_of), -1)
+        shown = [_UNKNOWN_TEXT if kind == _UNKNOWN else "" if kind == _CONTROL else text.replace(_MARK, " ") for text, kind in zip(self.text_of, self.kind, strict=True)]
+        #: The bytes that an id stands for, by the id and by its digits.
+        self.bytes_of = [self.byte_of.get(i) or x.encode() for i, x in enumerate(shown)]
+        self.bytes_by_digits = {str(i): x for i, x in enumerate(self.bytes_of)}
         self.pairs: dict[int, bool] = {}
         self.automaton = None
-        self.known: dict[str, tuple[str, str]] = {}
+        self.recent: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.held = 0
 
     def merges_to(self, text: str, boundary: int) -> bool:
@@ -160,49 +169,52 @@ class PieceCodec:
         return found
 
     def longest(self, run: str, start: int) -> list[int]:
-        """Length of the longest piece at each place of ``run`` from ``start``, for WINDOW places at most."""
+        """The longest piece at each place of ``run`` from ``start``, for WINDOW places at most."""
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
-            for text in self.id_of:
-                self.automaton.add_word(text[::-1], len(text))
+            for text, i in self.id_of.items():
+                self.automaton.add_word(text[::-1], i)
             self.automaton.make_automaton()
         stop = min(len(run), start + WINDOW)
         seen = run[start : stop + self.longest_piece - 1]
-        found, last = [1] * len(seen), len(seen) - 1
-        for end, size in self.automaton.iter(seen[::-1]):
-            if size > found[last - end]:
-                found[last - end] = size
+        found, last, end = [0] * len(seen), len(seen) - 1, -1
+        for at, piece in self.automaton.iter(seen[::-1]):
+            if at != end:  # of the pieces that end here the longest comes first
+                found[last - at], end = piece, at
         return found[: stop - start]
 
     def encode_run(self, run: str) -> array:
         """Ids of a run of characters that are all pieces."""
         ids, failed, n, pos, base = array("i"), bytearray(len(run) // 8 + 1), len(run), 0, 0
-        sizes = self.longest(run, 0)
-        size = sizes[0]
-        id_of, fits = self.id_of, self.fits
+        shorter, sizes, known = self.shorter, self.size, self.pairs.get
+        found = self.longest(run, 0)
+        piece, last = found[0], -1
         while True:
-            last = ids[-1] if ids else -1
-            while size:
-                end = pos + size
-                found = id_of.get(run[pos:end])
-                if found is not None and not failed[end >> 3] >> (end & 7) & 1 and (last < 0 or fits(last, found)):
-                    break
-                size -= 1
-            if size:
-                ids.append(found)
-                pos = end
-                if pos == n:
+            while piece >= 0:
+                end = pos + sizes[piece]
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    if last < 0:
+                        break
+                    fit = known(last << 32 | piece)
+                    if fit or fit is None and self.fits(last, piece):
+                        break
+                piece = shorter[piece]
+            if piece >= 0:
+                ids.append(piece)
+                if end == n:
                     return ids
+                pos, last = end, piece
                 if not base <= pos < base + WINDOW:
                     base = pos
-                    sizes = self.longest(run, base)
-                size = sizes[pos - base]
+                    found = self.longest(run, base)
+                piece = found[pos - base]
             else:
                 if not ids:
                     raise RuntimeError(f"no encoding of {run[:40]!r}")
                 failed[pos >> 3] |= 1 << (pos & 7)
-                size = len(self.text_of[ids.pop()])
-                pos -= size
+                piece = ids.pop()
+                pos -= sizes[piece]
+                last = ids[-1] if ids else -1
 
     def encode_segment(self, segment: str) -> array:
         """Ids of a part of a text with its spaces as marks."""
@@ -242,49 +254,34 @@ class PieceCodec:
 
     def decode(self, ids) -> str:
         """The text of ``ids``, without the space that stands before every text; ids that stand for no text may go before it."""
-        text = self._decoded(ids)
+        text = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "trackloom_one_byte")
         first = next((self.text_of[i] for i in ids if self.kind[i] != _CONTROL), "")
         return text[1:] if first[:1] == _MARK else text
 
-    def _decoded(self, ids) -> str:
-        out, held = [], b""
-        for i in ids:
-            kind = self.kind[i]
-            if kind == _BYTE:
-                held += self.byte_of[i]
-                continue
-            if held:
-                out.append(held.decode("utf-8", "trackloom_one_byte"))
-                held = b""
-            if kind != _CONTROL:
-                out.append(_UNKNOWN_TEXT if kind == _UNKNOWN else self.text_of[i].replace(_MARK, " "))
-        if held:
-            out.append(held.decode("utf-8", "trackloom_one_byte"))
-        return "".join(out)
-
-    def _learn(self, key: str) -> tuple[str, str]:
-        """Ids as text and what they decode to."""
-        ids = self.encode_segment(self._marked(key))
-        found = ",".join(map(str, ids)), self._decoded(ids)
+    def _learn(self, key: str) -> str:
+        """The digits of a segment's ids; short segments are remembered in two generations, the older of which is forgotten."""
+        found = self.older.get(key)
+        if found is None:
+            found = ",".join(map(str, self.encode_segment(self._marked(key))))
         if len(key) <= SHORT:
-            self.known[key] = found
-            self.held += ENTRY_BYTES + 2 * len(key) + len(found[0])
+            if self.held > REMEMBERED_BYTES // 2:
+                self.older, self.recent, self.held = self.recent, {}, 0
+            self.recent[key] = found
+            self.held += ENTRY_BYTES + len(key) + len(found)
         return found
 
     def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, digest of the ids and digest of the decoded text, one stretch at a time."""
+        """Number of ids, digest of the ids and digest of the text decoded from them, one stretch at a time."""
         n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
         for keys in self._stretches(text):
-            if self.held > REMEMBERED_BYTES:
-                self.known.clear()
-                self.held = 0
-            known = self.known
-            got = {key: known.get(key) or self._learn(key) for key in set(keys)}
-            told = ",".join([got[key][0] for key in keys])
-            decoded = "".join([got[key][1] for key in keys])
+            known = self.recent.get
+            found = {key: known(key) or self._learn(key) for key in set(keys)}
+            told = ",".join([found[key] for key in keys])
+            ids = told.split(",")
+            decoded = b"".join([self.bytes_by_digits[i] for i in ids]).decode("utf-8", "trackloom_one_byte").encode()
             of_ids.update(("," + told if n else told).encode())
-            of_text.update((decoded if n else decoded[1:]).encode())
-            n += told.count(",") + 1
+            of_text.update(decoded if n else decoded[1:])
+            n += len(ids)
         return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
