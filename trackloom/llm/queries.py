@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, decontaminate, fingerprints, pieces, pii, quality, simhash, substrings, token_counts, toxicity, warc
+from . import bpe, conversations, decontaminate, fingerprints, pieces, pii, quality, simhash, spelling, substrings, token_counts, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir), errors=True))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -80,7 +84,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_fingerprints, op3_toxicity, op4_pii, op5_byte_bpe, op6_decontaminate, op7_warc, op8_quality, op9_simhash,
-        op10_token_counts, op12_sentencepiece, op13_conversation_repair
+        op10_token_counts, op11_spelling_variants, op12_sentencepiece, op13_conversation_repair
     )}
 
 
