@@ -184,7 +184,7 @@ def mixed(x):
 def parsed(text):
     """Names of the phrases of each level, by loops over symbols."""
     levels, symbols = [], [b + 1 for b in text.encode()]
-    while symbols and len(levels) < fingerprints.MOST_LEVELS and (not levels or len(levels[-1]) > 1):
+    while symbols and (not levels or len(levels[-1]) > 1):
         runs = []
         for s in symbols:
             if runs and runs[-1][0] == s:
@@ -212,7 +212,7 @@ def fingerprint_by_hand(text):
     levels, out = parsed(text), [255] * 64
     factors = fingerprints._FACTORS.tolist()
     for k in range(64):
-        lowest, highest = (1, 1) if k < 6 else (2, 2) if k < 20 else (3, 12)
+        lowest, highest = (1, 1) if k < 6 else (2, 2) if k < 20 else (3, 1000)
         names = [mixed((s + n) % 2**64) for n, level in enumerate(levels, 1) if lowest <= n <= highest for s in level]
         if names:
             out[k] = mixed(min((s * factors[0][k] + factors[1][k]) % 2**64 >> 20 for s in names)) >> 56
@@ -261,6 +261,15 @@ def test_likeness_has_no_step_in_length():
         assert np.min(near) > least - 0.35
 
 
+def test_long_texts_are_parsed_to_one_symbol():
+    """A text of more than twelve levels, whose upper ones count too."""
+    rng = random.Random(13)
+    text = " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 8))) for _ in range(40000))
+    levels = parsed(text)
+    assert len(levels) > 12 and len(levels[-1]) == 1
+    assert fingerprints._sketches([text])[0].tobytes() == fingerprint_by_hand(text)
+
+
 def test_equal_substrings_share_their_interior():
     rng = random.Random(4)
     inner = "".join(rng.choice("abcdefghij ") for _ in range(3000))

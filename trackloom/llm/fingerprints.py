@@ -35,9 +35,8 @@ from ..session import ship_package, written
 from .arrow_text import mix64, record_batch, slices, texts
 
 SLOTS = 64
-#: First and last slot, and lowest and highest level, of each group.
-GROUPS = ((0, 6, 1, 1), (6, 20, 2, 2), (20, 64, 3, 12))
-MOST_LEVELS = 12
+#: First and last slot, and lowest and highest level, of each group; the last one has all levels up to a text's only symbol.
+GROUPS = ((0, 6, 1, 1), (6, 20, 2, 2), (20, 64, 3, None))
 #: Bytes of text parsed as one array.
 TOGETHER = 1 << 20
 #: Ranges of ids for each partition of the shuffle.
@@ -88,11 +87,9 @@ def sketch(rows: list[bytes]) -> np.ndarray:
     symbols = np.frombuffer(b"".join(rows), np.uint8).astype(np.uint64) + np.uint64(1)
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
     levels = []
-    for level in range(1, MOST_LEVELS + 1):
-        if not len(symbols):
-            break
+    while len(symbols):  # each level is shorter, until one symbol is left
         symbols, owner = _phrases(symbols, owner)
-        levels.append((symbols + np.uint64(level), owner))
+        levels.append((symbols + np.uint64(len(levels) + 1), owner))
         more = (np.bincount(owner, minlength=len(rows)) > 1)[owner]
         symbols, owner = symbols[more], owner[more]
     for first, behind, lowest, highest in GROUPS:
