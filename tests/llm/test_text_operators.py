@@ -634,6 +634,17 @@ def test_byte_bpe_equals_the_library(docs, empty):
     assert bpe.encode_texts(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_remembered_pre_tokens_are_bounded_by_bytes(monkeypatch):
+    codec = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN, simple=True)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 20000)
+    rng = random.Random(3)
+    for k in range(60):
+        text = " ".join("".join(rng.choice("abcdexyz") for _ in range(rng.choice([3, 9, 90]))) for _ in range(20))
+        assert codec.encode(text) == library.encode_ordinary(text)
+        assert len(codec.known) < 120 and max(map(len, codec.known)) <= bpe.SHORT
+
+
 def test_minimal_hash_is_minimal_and_perfect():
     ranks = bpe.read_ranks(RANKS)
     table = bpe.MinimalHash(list(ranks), list(ranks.values()))

@@ -33,8 +33,10 @@ from .arrow_text import record_batch, slices
 
 #: A vocabulary file of more bytes is refused: its tables are broadcast.
 VOCABULARY_BYTES = 64 << 20
-#: Encoded pre-tokens that a Python worker remembers.
-REMEMBERED = 1_000_000
+#: Bytes, about, of encoded pre-tokens that a Python worker remembers, and what an entry and one of its ids take.
+REMEMBERED_BYTES, ENTRY_BYTES, ID_BYTES = 288 << 20, 200, 36
+#: Pre-tokens of more characters are not remembered.
+SHORT = 64
 
 _MASK = (1 << 64) - 1
 
@@ -128,6 +130,7 @@ class Codec:
         self.simple = re.compile(_SIMPLE) if simple else None
         self.other = re.compile("[^\x00-ɏ]")
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def pieces(self, text: str) -> list[str]:
         if self.simple is not None and not self.other.search(text):
@@ -175,13 +178,19 @@ class Codec:
         return (rank,) if rank >= 0 else tuple(self.merge(data))
 
     def encode(self, text: str) -> list[int]:
-        pieces, known = self.pieces(text), self.known
+        if self.held > REMEMBERED_BYTES:
+            self.known.clear()
+            self.held = 0
+        pieces, known, long = self.pieces(text), self.known, {}
         for piece in set(pieces).difference(known):
-            known[piece] = self.encode_piece(piece)
-        ids = list(chain.from_iterable(map(known.__getitem__, pieces)))
-        if len(known) > REMEMBERED:
-            known.clear()
-        return ids
+            ids = self.encode_piece(piece)
+            if len(piece) > SHORT:
+                long[piece] = ids
+            else:
+                known[piece] = ids
+                self.held += ENTRY_BYTES + len(piece) + ID_BYTES * len(ids)
+        find = (lambda piece: known.get(piece) or long[piece]) if long else known.__getitem__
+        return list(chain.from_iterable(map(find, pieces)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
