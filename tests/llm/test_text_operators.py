@@ -616,6 +616,15 @@ def test_private_data_on_awkward_rows(docs, empty):
     assert kept.count() == len(awkward())
 
 
+def test_sanitised_rows_keep_columns_of_any_name(spark):
+    names = ["_spans", "_doc", "_h", "spans", "h", "row", "found", "start", "base", "_row"]
+    text = "write to ann@example.org today"
+    docs = spark.createDataFrame([(1, text, *range(10)), (None, None, *range(10))], ["doc_id", "text", *names])
+    found = pii.sanitise(docs)
+    assert found.columns == docs.columns
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "write to [EMAIL] today", *range(10)), (None, None, *range(10))], key=str)
+
+
 def test_copies_are_no_evidence(spark):
     texts = [(i, "Quillon writes from a@b.example about Vexford") for i in range(20)] + [(50 + i, "other words here " + "abc " * i) for i in range(100)]
     spans = pii.find(rows_of(spark, texts)).select(F.explode("spans").alias("s")).where("s.kind = 'term'")
