@@ -24,7 +24,7 @@ from . import similarity
 PARTS = 8
 
 
-def match_tracklets(tracklets: DataFrame, threshold: float = 0.7) -> DataFrame:
+def match_tracklets(tracklets: DataFrame, threshold: float = 0.7, block: int = similarity.BLOCK) -> DataFrame:
     """id, matched_id, similarity and global_id for tracklets (id, embedding).
 
     A tracklet joins its most similar earlier one if that reaches the threshold,
@@ -32,7 +32,7 @@ def match_tracklets(tracklets: DataFrame, threshold: float = 0.7) -> DataFrame:
     a lower id, so identities are found by doubling: log2 of the longest chain
     rounds of one equi-join each.
     """
-    best = similarity.top_k(tracklets, tracklets, 1, threshold, earlier_only=True).select(
+    best = similarity.top_k(tracklets, tracklets, 1, threshold, earlier_only=True, block=block).select(
         F.col("query_id").alias("id"), F.col("gallery_id").alias("matched_id"), "similarity"
     )
     linked = tracklets.select("id").join(best, "id", "left").withColumn("root", F.coalesce("matched_id", "id"))

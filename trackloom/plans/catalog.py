@@ -180,7 +180,7 @@ def tracklet_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identity_match_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = gallery.match_tracklets(fx.features(spark, sf_dir).select("id", "embedding"), 0.3)
+    found = gallery.match_tracklets(fx.features(spark, sf_dir).select("id", "embedding"), 0.3, block=64)  # small blocks, so that bounds decide which ones meet
     return found.select("id", "matched_id", F.round("similarity", 6).alias("similarity"), "global_id")
 
 

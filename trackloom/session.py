@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,12 +67,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.trackloom_path = path
-    if _OPEN:
-        _OPEN[-1].append(found)
+    if own := _OPEN.get():
+        own[-1].append(found)
     return found
 
 
-_OPEN: list[list[DataFrame]] = []
+#: Tables of the open ``scratch`` blocks, the innermost last; each thread has its own.
+_OPEN: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())
 
 
 @contextmanager
@@ -82,14 +84,15 @@ def scratch() -> Iterator[list[DataFrame]]:
     reads a deleted table must have been written before.
     """
     kept: list[DataFrame] = []
-    _OPEN.append([])
+    outer, own = _OPEN.get(), []
+    token = _OPEN.set((*outer, own))
     try:
         yield kept
     finally:
-        own = _OPEN.pop()
+        _OPEN.reset(token)
         dropped(*[t for t in own if all(t is not k for k in kept)])
-        if _OPEN:
-            _OPEN[-1].extend(kept)
+        if outer:
+            outer[-1].extend(kept)
 
 
 def dropped(*tables: DataFrame) -> None:
