@@ -11,7 +11,7 @@ from ..functions import geo, vec
 from ..operators import boxes, crossings, etl, gallery, metrics, occupancy, presence, rates, similarity, tracklets
 from ..session import fresh_dir
 from ..sources import results
-from ..streaming import processors
+from ..streaming import processors, rooms, tracks
 from . import expressions, expressions_oracle, files, files_oracle, oracle
 from . import fixtures as fx
 
@@ -322,6 +322,50 @@ def stream_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(processors.COUNTED).parquet(f"{path}/out/rows").select("event_id", "event", "occupancy")
 
 
+def _told(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
+    """What the stream of tracks tells of the kind; a frame's time follows from its number, so all cameras keep pace."""
+    rows = fx.observations(spark, sf_dir).withColumn("at", F.timestamp_millis(86_400_000 + F.col("frame_idx") * 40)).drop("ts")
+    return _streamed(spark, rows, lambda s: tracks.stream_tracks(s, "vec_id", 3, 5), "frame_idx", *TRACK).where(F.col("what") == what)
+
+
+def stream_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(spark, sf_dir, "departure").select(*TRACK, "last_tick", "missing_tick")
+
+
+def stream_departure_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each track the last departure that has views."""
+    found = _told(spark, sf_dir, "departure").where(F.size("views") > 0)
+    newest = found.groupBy(*TRACK).agg(F.max_by(F.struct("last_tick", "views"), "last_tick").alias("r"))
+    return newest.select(*TRACK, "r.last_tick", F.array_join(F.transform("r.views", lambda v: v.cast("string")), ",").alias("views"))
+
+
+def stream_maturity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(spark, sf_dir, "maturity").select(*TRACK, "mature_frame", "n_stable", "n_usable")
+
+
+#: Seconds by which the events of the streamed summary are out of order at most.
+LATE_S = 3 * 86_400
+
+
+def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session of a room whose events arrive out of order by up to ``LATE_S``, and whose source gives two heartbeats at its end."""
+    rows = fx.door_events(spark, sf_dir).select("room", "event_id", "ts", "event", "door_id")
+    shuffled = rows.withColumn("arrival", F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(LATE_S)))
+    path = _arrived(shuffled, "arrival", "event_id")
+    for day in (60, 61):
+        beat = rows.agg((F.max("ts") + F.make_interval(days=F.lit(day))).alias("ts")).where("ts is not null")
+        beat.select(*[F.col(c) if c == "ts" else F.lit(None).cast(shuffled.schema[c].dataType).alias(c) for c in shuffled.columns]).write.mode("append").parquet(f"{path}/in")
+    stream = rooms.stream_summary(_source(spark, path, shuffled), fx.SEED_OCCUPANCY, f"{LATE_S} seconds", 3600, 30 * 86_400)
+    processors.run_to_end(stream, f"{path}/out", f"{path}/state")
+    found = spark.read.schema(stream.schema).parquet(f"{path}/out")
+    elapsed = F.round((F.unix_micros("session_end") - F.unix_micros("session_start")) / 1e6, 1)
+    doors = F.size(F.from_json("doors", "map<string,array<long>>")).cast("long")
+    return found.select(
+        "room", elapsed.alias("session_elapsed_s"), "final_occupancy", "total_entered", "total_exited", "peak_occupancy",
+        F.date_format("peak_time", "yyyy-MM-dd HH:mm:ss.SSS").alias("peak_time"), doors.alias("doors")
+    )
+
+
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals by camera and second of a stream, of the seconds that its watermark has closed."""
     rows = fx.arrivals(spark, sf_dir)
@@ -338,7 +382,7 @@ QUERIES = (
     departure_views, cosine_topk, cmc_map, similarity_separation, triplet_loss, batch_hard_loss, batch_hard_loss_compat, tracklet_maturity, tracklet_mean,
     identity_match_set, gallery_stats, identity_resolve_stateful, reservoir_sample, yolo_normalize, yolo_normalize_unclipped, annotation_counts,
     rotation_plan, rotation_report, rotation_members, training_plan, sweep_remaining, training_history_best, stream_crossings, stream_direction_crossings,
-    stream_region_crossings, stream_occupancy, stream_rates, stream_identities,
+    stream_region_crossings, stream_occupancy, stream_rates, stream_identities, stream_departures, stream_departure_views, stream_maturity, stream_summary,
 )
 
 

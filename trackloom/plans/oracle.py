@@ -133,7 +133,7 @@ named as (select id, any_value(matched_id) as matched_id, any_value(s) as s, min
 def oracle_sql() -> dict[str, str]:
     t = f"with {TRACKS}"
     events = f"{t}, {LINES}, {SEGMENTS}, {_events()}"
-    return {
+    found = {
         "door_entries": f"""{events} select camera_name, door_id, count(*) filter (event = 'ENTRY') as entered,
             count(*) filter (event = 'EXIT') as exited from line_events where {_ALLOWED} group by all""",
         "line_crossings": f"{events} select {_COLUMNS} from line_events",
@@ -275,6 +275,8 @@ def oracle_sql() -> dict[str, str]:
             where date_trunc('second', ts) + interval 1 second <= (select max(ts) from arrivals) - interval 10 second group by all""",
         "stream_occupancy": f"with {OCCUPANCY} select event_id, event, occupancy from counts",
     }
+    of_batch = {"stream_departures": "departures", "stream_departure_views": "departure_views", "stream_maturity": "tracklet_maturity", "stream_summary": "session_summary"}
+    return found | {name: found[same] for name, same in of_batch.items()}
 
 
 def _hard(strict: bool) -> str:
