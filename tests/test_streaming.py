@@ -1,7 +1,6 @@
 """Streams against their batch form: several micro-batches, a stop and a resume, expiry and watermarks."""
 
 import random
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,38 +92,34 @@ def test_counts_start_from_a_table(spark):
     assert sorted((r.room, r.event_id, r.occupancy, r.peak) for r in occupancy.timeline(df, start).collect()) == [("a", 1, 6, 6), ("a", 2, 5, 6), ("b", 3, 0, 0), ("b", 4, 1, 1)]
 
 
-def _wait(query, rows, longest=40):
-    """Until the stream has read so many rows; it has a batch for each tick of the clock, so it is never done."""
-    until = time.time() + longest
-    while sum(p.numInputRows for p in query.recentProgress) < rows:
-        assert time.time() < until
-        assert query.isActive
-        time.sleep(0.2)
-
-
-def _running(spark, stream, out, state):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", processors.STATE_STORE)
-    return stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(processingTime="500 milliseconds").start(out)
-
-
-@pytest.mark.parametrize("ttl,events", [(1500, 0), (600_000, 1)])
-def test_a_track_that_is_gone_is_forgotten(spark, tmp_path, ttl, events):
-    """The next frame of a track comes after its state's time: with it gone there is no side to have crossed from."""
+@pytest.mark.parametrize("keep_s, events", [(5, 0), (600, 1)])
+def test_a_track_that_is_gone_is_forgotten(spark, tmp_path, keep_s, events):
+    """The next frame of a track comes after its state's time: with it gone there is no side to have crossed from. Timers go off in runs that end."""
+    lines = spark.createDataFrame([("c", "d", 100, -500, 100, 500, 1, 5, "both", "foot")], LINE)
+    steps = [(1, 0, 0.0, 100), (2, 0, 0.0, 200), (3, 0, 0.0, 201), (1, 1, 200.0, 202)]
+    for track, frame, x, s in steps:
+        row = spark.createDataFrame([("c", track, frame, x, 0.0, x + 20.0, 50.0)], TRACK).withColumn("ts", F.timestamp_seconds(F.lit(s)))
+        row.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(row.schema).parquet(str(tmp_path / "in"))
+        made = processors.stream_crossings(stream, lines, keep_s=keep_s)
+        processors.run_to_end(made, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert spark.read.schema(made.schema).parquet(str(tmp_path / "out")).count() == events
+
+
+def test_state_of_tracks_that_are_gone_is_dropped(spark, tmp_path):
+    """Of forty tracks, a second each, the state store keeps those of the last seconds."""
     lines = spark.createDataFrame([("c", "d", 100, -500, 100, 500, 1, 5, "both", "foot")], LINE)
-    first = spark.createDataFrame([("c", 1, 0, 0.0, 0.0, 20.0, 50.0)], TRACK)
-    second = spark.createDataFrame([("c", 1, 1, 200.0, 0.0, 220.0, 50.0)], TRACK)
-    first.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = processors.stream_crossings(spark.readStream.schema(first.schema).parquet(str(tmp_path / "in")), lines, ttl_ms=ttl)
-    query = _running(spark, stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    df = spark.createDataFrame([("c", t, 0, 0.0, 0.0, 20.0, 50.0) for t in range(40)], TRACK).withColumn("ts", F.timestamp_seconds(F.col("track_id") + 100))
+    for k in range(0, 40, 8):
+        df.where(f"track_id >= {k} and track_id < {k + 8}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    processors.run_to_end(processors.stream_crossings(stream, lines, keep_s=3, late="1 second"), str(tmp_path / "out"), str(tmp_path / "state"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", processors.STATE_STORE)
     try:
-        _wait(query, 1)
-        time.sleep(3)
-        second.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        _wait(query, 2)
+        left = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "last").load().count()
     finally:
-        query.stop()
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).count() == events
+    assert 0 < left < 8
 
 
 def test_rates_leave_out_what_is_too_late(spark, tmp_path):

@@ -37,10 +37,11 @@ COUNTED = "room string, event_id long, ts timestamp, event string, occupancy lon
 class CrossingProcessor(StatefulProcessor):
     """Key: camera, track and door. Input rows carry the side that counts (null within the band), the foot and the line's direction."""
 
-    ttl_ms: int | None = None
+    keep_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "frame long, side int, fx double, fy double", ttlDurationMs=self.ttl_ms)
+        self.handle = handle
+        self.last = handle.getValueState("last", "frame long, side int, fx double, fy double, timer long")
 
     @staticmethod
     def allowed(event: str, direction: str, along: float | None) -> bool:
@@ -51,7 +52,7 @@ class CrossingProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         data = pd.concat(list(rows)).sort_values("frame_idx")
-        frame, before, fx, fy = self.last.get() if self.last.exists() else (None, None, None, None)
+        frame, before, fx, fy, timer = self.last.get() if self.last.exists() else (None,) * 5
         out = []
         for r in data.itertuples(index=False):
             if frame is not None and r.frame_idx != frame + 1:
@@ -67,34 +68,55 @@ class CrossingProcessor(StatefulProcessor):
                     if self.allowed(event, r.direction, along):
                         out.append((key[0], key[1], key[2], frame, event, int(r.px), int(r.py)))
                 before = side
-        self.last.update((frame, before, fx, fy))
+        if self.keep_ms is not None:
+            due = int(data["at"].max().timestamp() * 1000) + self.keep_ms
+            if timer is not None and due > timer:
+                self.handle.deleteTimer(timer)
+            if timer is None or due > timer:
+                self.handle.registerTimer(due)
+                timer = due
+        self.last.update((frame, before, fx, fy, timer))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CROSSED.split(", ")])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def _crossed(rows: DataFrame, ttl_ms: int | None) -> DataFrame:
+def _watermarked(tracks: DataFrame, keep_s: int | None, late: str) -> DataFrame:
+    """``tracks`` with their event time as ``at``, under a watermark if state is to go with it."""
+    if keep_s is None:
+        return tracks.withColumn("at", F.lit(None).cast("timestamp"))
+    return tracks.withColumn("at", F.col("ts")).withWatermark("at", late)
+
+
+def _crossed(rows: DataFrame, keep_s: int | None) -> DataFrame:
     processor = CrossingProcessor()
-    processor.ttl_ms = ttl_ms
+    processor.keep_ms = None if keep_s is None else 1000 * keep_s
     fx, fy = geo.crossing_point("x1", "y1", "x2", "y2", "foot")
     keyed = rows.select(
         "camera_name", "track_id", "door_id", "frame_idx", "side", "inside_sign", "px", "py", fx.cast("double").alias("fx"), fy.cast("double").alias("fy"),
-        F.coalesce("ux", F.lit(0.0)).alias("ux"), F.coalesce("uy", F.lit(0.0)).alias("uy"), F.coalesce("direction", F.lit("both")).alias("direction"),
+        F.coalesce("ux", F.lit(0.0)).alias("ux"), F.coalesce("uy", F.lit(0.0)).alias("uy"), F.coalesce("direction", F.lit("both")).alias("direction"), "at",
     )
-    return keyed.groupBy("camera_name", "track_id", "door_id").transformWithStateInPandas(processor, CROSSED, "Append", "ProcessingTime" if ttl_ms else "None")
+    mode = "None" if keep_s is None else "EventTime"
+    return keyed.groupBy("camera_name", "track_id", "door_id").transformWithStateInPandas(processor, CROSSED, "Append", mode)
 
 
-def stream_crossings(tracks: DataFrame, lines: DataFrame, ttl_ms: int | None = None, direction: bool = False, strict: bool = False) -> DataFrame:
+def stream_crossings(
+    tracks: DataFrame, lines: DataFrame, keep_s: int | None = None, direction: bool = False, strict: bool = False, late: str = "10 seconds"
+) -> DataFrame:
     """Line crossings of a stream of tracks, as :func:`crossings.line_crossings` finds them. Sides are computed before the rows are keyed.
 
-    On a stream without end, ``ttl_ms`` is how long a track that is gone keeps
-    its state. It needs a trigger that goes on, not one that stops at the end
-    of what is there.
+    On a stream without end, ``keep_s`` is how many seconds of event time (``ts``)
+    a track that is gone keeps its state: a timer drops it when the watermark,
+    ``late`` behind the newest row, has passed. Rows later than that are left out.
     """
     ship_package(tracks.sparkSession)
-    df = tracks.join(lines, "camera_name")
+    df = _watermarked(tracks, keep_s, late).join(lines, "camera_name")
     px, py = geo.crossing_point("x1", "y1", "x2", "y2", F.coalesce(F.col("crossing_point"), F.lit("foot")))
     df = df.withColumns({"px": px, "py": py})
     ends = ("px", "py", "sx", "sy", "ex", "ey")
@@ -103,16 +125,16 @@ def stream_crossings(tracks: DataFrame, lines: DataFrame, ttl_ms: int | None = N
         counts = counts & geo.within_segment(*ends)
     ux, uy = crossings.forward(strict)
     ruled = F.lower("direction") if direction else F.lit("both")
-    return _crossed(df.withColumns({"side": F.when(counts, geo.side(*ends)), "ux": ux, "uy": uy, "direction": ruled}), ttl_ms)
+    return _crossed(df.withColumns({"side": F.when(counts, geo.side(*ends)), "ux": ux, "uy": uy, "direction": ruled}), keep_s)
 
 
-def stream_region_crossings(tracks: DataFrame, regions: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Events where a track of a stream enters or leaves its camera's region."""
+def stream_region_crossings(tracks: DataFrame, regions: DataFrame, keep_s: int | None = None, late: str = "10 seconds") -> DataFrame:
+    """Events where a track of a stream enters or leaves its camera's region; ``keep_s`` and ``late`` as in :func:`stream_crossings`."""
     ship_package(tracks.sparkSession)
-    df = crossings.with_inside(tracks, regions).where("inside is not null")
+    df = crossings.with_inside(_watermarked(tracks, keep_s, late), regions).where("inside is not null")
     none = F.lit(0.0)
     side = {"side": F.when(F.col("inside"), 1).otherwise(-1), "inside_sign": F.lit(1), "door_id": F.lit("Room_Entry")}
-    return _crossed(df.withColumns(side | {"ux": none, "uy": none, "direction": F.lit("both")}), ttl_ms)
+    return _crossed(df.withColumns(side | {"ux": none, "uy": none, "direction": F.lit("both")}), keep_s)
 
 
 class GalleryProcessor(StatefulProcessor):
