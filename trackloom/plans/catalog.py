@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, vec
 from ..operators import boxes, crossings, etl, gallery, metrics, occupancy, presence, rates, similarity, tracklets
 from ..session import fresh_dir
-from ..sources import results
+from ..sources import live, results
 from ..streaming import processors, rooms, tracks
 from . import expressions, expressions_oracle, files, files_oracle, oracle
 from . import fixtures as fx
@@ -366,6 +367,18 @@ def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def live_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracks replayed through the live source, whose connections fail: each row once."""
+    rows = fx.tracks(spark, sf_dir).select("camera_name", "frame_idx", "event_id", "track_id")
+    path = fresh_dir(spark, "feed")
+    live.stage_feed(rows, f"{path}/feed")
+    trouble = json.dumps({"Camera_1": {"3": ["drop", 5]}, "Camera_3": {"0": ["drop", 2], "40": ["drop", 1]}})
+    stream = live.live(spark, f"{path}/feed", rows.schema, speed=20, wait_s=0.05, trouble=trouble)
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(processingTime="1 second").start(f"{path}/out")
+    live.until_read(query, f"{path}/feed", 20)
+    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+
+
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals by camera and second of a stream, of the seconds that its watermark has closed."""
     rows = fx.arrivals(spark, sf_dir)
@@ -383,6 +396,7 @@ QUERIES = (
     identity_match_set, gallery_stats, identity_resolve_stateful, reservoir_sample, yolo_normalize, yolo_normalize_unclipped, annotation_counts,
     rotation_plan, rotation_report, rotation_members, training_plan, sweep_remaining, training_history_best, stream_crossings, stream_direction_crossings,
     stream_region_crossings, stream_occupancy, stream_rates, stream_identities, stream_departures, stream_departure_views, stream_maturity, stream_summary,
+    live_tracks,
 )
 
 
