@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.operators import occupancy
-from trackloom.streaming import processors, rooms
+from trackloom.streaming import latest, processors, rooms
 
 EVENTS = "room string, event_id long, us long, event string, door_id string"
 
@@ -75,3 +75,24 @@ def test_sessions_are_closed_by_time(spark, tmp_path):
     processors.run_to_end(rooms.stream_summary(stream, 0, idle_s=600), out, state)
     found = spark.read.schema(rooms.SESSION).parquet(out).collect()
     assert sorted((r.room, r.final_occupancy, r.peak_occupancy, r.total_exited) for r in found) == [("a", 0, 0, 1), ("a", 2, 2, 0), ("b", 1, 1, 0)]
+
+
+@pytest.mark.parametrize("stops", [1, 10])
+def test_rings_keep_the_newest_and_count_the_rest(spark, tmp_path, stops):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), i, 100 + rng.randrange(300)) for i in range(400)]
+    rng.shuffle(rows)
+    df = lambda part: spark.createDataFrame(part, "camera_name string, event_id long, s long").select("camera_name", "event_id", F.timestamp_seconds("s").alias("ts"))
+    parts = [rows[:150], rows[150:151], rows[151:], [(None, None, 9000)]]
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for k, part in enumerate(parts, 1):
+        df(part).coalesce(1).write.mode("append").parquet(folder)
+        if k % stops == 0 or k == len(parts):
+            stream = spark.readStream.schema(df(part).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            processors.run_to_end(latest.stream_latest(stream, 10, 2, "400 seconds"), out, state)
+    found = sorted(tuple(r) for r in spark.read.schema(latest.NEWEST).parquet(out).drop("us").collect())
+    groups = {}
+    for camera, event, s in rows:
+        groups.setdefault((camera, s // 10), []).append((s, event))
+    want = [(c, t, e, k, max(0, len(x) - 2)) for (c, t), x in groups.items() for k, (_, e) in enumerate(sorted(x, reverse=True)[:2], 1)]
+    assert found == sorted(want)

@@ -12,7 +12,7 @@ from ..functions import geo, vec
 from ..operators import boxes, crossings, etl, gallery, metrics, occupancy, presence, rates, similarity, tracklets
 from ..session import fresh_dir
 from ..sources import live, results
-from ..streaming import processors, rooms, tracks
+from ..streaming import latest, processors, rooms, tracks
 from . import expressions, expressions_oracle, files, files_oracle, oracle
 from . import fixtures as fx
 
@@ -348,14 +348,33 @@ def stream_maturity(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATE_S = 3 * 86_400
 
 
+def _out_of_order(rows: DataFrame) -> str:
+    """``rows`` as files that arrive by their ``arrival``, and two heartbeats of their source, rows with a time only, long after them."""
+    path = _arrived(rows, "arrival", "event_id")
+    for day in (60, 61):
+        beat = rows.agg((F.max("ts") + F.make_interval(days=F.lit(day))).alias("ts")).where("ts is not null")
+        beat.select(*[F.col(c) if c == "ts" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(f"{path}/in")
+    return path
+
+
+def _shuffled(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("arrival", F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(LATE_S)))
+
+
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two newest rows of each camera and hour of a stream that is out of order, with what was dropped for them."""
+    rows = _shuffled(fx.arrivals(spark, sf_dir).select("camera_name", "event_id", "ts"))
+    path = _out_of_order(rows)
+    stream = latest.stream_latest(_source(spark, path, rows), 3600, 2, f"{LATE_S} seconds")
+    processors.run_to_end(stream, f"{path}/out", f"{path}/state")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select("camera_name", "event_id", "rn", "dropped")
+
+
 def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The session of a room whose events arrive out of order by up to ``LATE_S``, and whose source gives two heartbeats at its end."""
     rows = fx.door_events(spark, sf_dir).select("room", "event_id", "ts", "event", "door_id")
-    shuffled = rows.withColumn("arrival", F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(LATE_S)))
-    path = _arrived(shuffled, "arrival", "event_id")
-    for day in (60, 61):
-        beat = rows.agg((F.max("ts") + F.make_interval(days=F.lit(day))).alias("ts")).where("ts is not null")
-        beat.select(*[F.col(c) if c == "ts" else F.lit(None).cast(shuffled.schema[c].dataType).alias(c) for c in shuffled.columns]).write.mode("append").parquet(f"{path}/in")
+    shuffled = _shuffled(rows)
+    path = _out_of_order(shuffled)
     stream = rooms.stream_summary(_source(spark, path, shuffled), fx.SEED_OCCUPANCY, f"{LATE_S} seconds", 3600, 30 * 86_400)
     processors.run_to_end(stream, f"{path}/out", f"{path}/state")
     found = spark.read.schema(stream.schema).parquet(f"{path}/out")
@@ -396,7 +415,7 @@ QUERIES = (
     identity_match_set, gallery_stats, identity_resolve_stateful, reservoir_sample, yolo_normalize, yolo_normalize_unclipped, annotation_counts,
     rotation_plan, rotation_report, rotation_members, training_plan, sweep_remaining, training_history_best, stream_crossings, stream_direction_crossings,
     stream_region_crossings, stream_occupancy, stream_rates, stream_identities, stream_departures, stream_departure_views, stream_maturity, stream_summary,
-    live_tracks,
+    live_tracks, stream_latest,
 )
 
 

@@ -273,6 +273,9 @@ def oracle_sql() -> dict[str, str]:
         "stream_region_crossings": f"{t}, {SEGMENTS}, {REGION} select {_COLUMNS} from region_events",
         "stream_rates": f"""with {ARRIVALS} select camera_name, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as second, count(*) as n from arrivals
             where date_trunc('second', ts) + interval 1 second <= (select max(ts) from arrivals) - interval 10 second group by all""",
+        "stream_latest": f"""with {ARRIVALS} select camera_name, event_id, rn, greatest(n - 2, 0) as dropped from (select *, row_number() over (partition by
+            camera_name, date_trunc('hour', ts) order by ts desc, event_id desc) as rn, count(*) over (partition by camera_name, date_trunc('hour', ts)) as n
+            from arrivals) where rn <= 2""",
         "live_tracks": f"{t} select camera_name, frame_idx, event_id, track_id from tracks",
         "stream_occupancy": f"with {OCCUPANCY} select event_id, event, occupancy from counts",
     }
