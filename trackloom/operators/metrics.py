@@ -85,51 +85,129 @@ def cmc_map(queries: DataFrame, gallery: DataFrame, ranks: tuple[int, ...] = (1,
     return scored.agg(F.round(F.sum(F.when(F.col("has_gallery"), F.coalesce("ap", F.lit(0.0)))) / F.count_if("has_gallery"), 6).alias("map"), *hits)
 
 
+class _Sums:
+    """What is to be known of a set of unit vectors. The second-moment matrix is made once there are as many vectors as dimensions; fewer stay as they are."""
+
+    def __init__(self, n: int = 0, own: float = 0.0, own2: float = 0.0, total=None, moment=None, raw=None):
+        self.n, self.own, self.own2, self.total = n, own, own2, None if total is None else np.array(total)
+        d = 0 if total is None else len(self.total)
+        self.moment = None if moment is None else np.array(moment).reshape(d, d)
+        self.raw = [] if not raw else [np.array(raw).reshape(-1, d)]
+
+    def add(self, u: np.ndarray) -> None:
+        own = (u * u).sum(1)
+        self.merge(_Sums(len(u), own.sum(), (own * own).sum(), u.sum(0)), [u])
+
+    def merge(self, other: _Sums, raw: list | None = None) -> None:
+        self.n, self.own, self.own2 = self.n + other.n, self.own + other.own, self.own2 + other.own2
+        self.total = other.total if self.total is None else self.total + other.total
+        if other.moment is not None:
+            self.moment = other.moment if self.moment is None else self.moment + other.moment
+        self.raw += other.raw if raw is None else raw
+        if sum(map(len, self.raw)) >= len(self.total):
+            u = np.concatenate(self.raw)
+            self.moment = u.T @ u if self.moment is None else self.moment + u.T @ u
+            self.raw = []
+
+    def row(self, label: int | None) -> dict:
+        return {
+            "label": label, "n": self.n, "own": float(self.own), "own2": float(self.own2), "total": self.total.tolist(),
+            "moment": None if self.moment is None else self.moment.ravel().tolist(), "raw": np.concatenate(self.raw).ravel().tolist() if self.raw else None
+        }
+
+    def squares(self) -> tuple[float, float]:
+        """The squared length of the vectors' sum, and the sum of the squared cosines of all pairs."""
+        if self.moment is None:
+            u = np.concatenate(self.raw)
+            second = u @ u.T
+        else:
+            second = self.moment if not self.raw else self.moment + sum(u.T @ u for u in self.raw)
+        return float(self.total @ self.total), float((second * second).sum())
+
+
+_SUMS = pa.schema([
+    ("label", pa.int64()), ("n", pa.int64()), ("own", pa.float64()), ("own2", pa.float64()), ("total", pa.list_(pa.float64())),
+    ("moment", pa.list_(pa.float64())), ("raw", pa.list_(pa.float64()))
+])
+_SUMS_DDL = "label long, n long, own double, own2 double, total array<double>, moment array<double>, raw array<double>"
+#: Labels whose sums a task holds, and parts that one label's sums are dealt to before they meet.
+HELD, PARTS = 1000, 16
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by label, and of all under a null label, of what a task reads."""
+    held: dict[int | None, _Sums] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        label = batch.column(0).to_numpy(zero_copy_only=False)
+        x = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(label), -1)
+        x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+        held.setdefault(None, _Sums()).add(x)
+        order = np.argsort(label, kind="stable")
+        edges = np.flatnonzero(np.diff(label[order])) + 1
+        for own in np.split(order, edges):
+            held.setdefault(int(label[own[0]]), _Sums()).add(x[own])
+        if len(held) > HELD:
+            yield pa.RecordBatch.from_pylist([s.row(k) for k, s in held.items()], _SUMS)
+            held.clear()
+    if held:
+        yield pa.RecordBatch.from_pylist([s.row(k) for k, s in held.items()], _SUMS)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums in order of label to one row for each."""
+    label, sums = None, None
+    for batch in batches:
+        for r in batch.select(_SUMS.names).to_pylist():
+            name = r.pop("label")
+            if sums is None or name != label:
+                if sums is not None:
+                    yield pa.RecordBatch.from_pylist([sums.row(label)], _SUMS)
+                label, sums = name, _Sums()
+            sums.merge(_Sums(**r))
+    if sums is not None:
+        yield pa.RecordBatch.from_pylist([sums.row(label)], _SUMS)
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("label", pa.int64()), *[(x, pa.int64() if x == "n" else pa.float64()) for x in ("n", "own", "own2", "s1", "s2")]])
+    for batch in _merged(batches):
+        r = batch.to_pylist()[0]
+        label = r.pop("label")
+        sums = _Sums(**r)
+        s1, s2 = sums.squares()
+        yield pa.RecordBatch.from_pylist([{"label": label, "n": sums.n, "own": sums.own, "own2": sums.own2, "s1": s1, "s2": s2}], schema)
+
+
+def label_sums(vectors: DataFrame) -> DataFrame:
+    """For each label, and for all vectors under a null label: n, and the sums that all pairs' cosines follow from. One scan.
+
+    A task adds up what it reads; a label's partial sums meet in parts first, so
+    no task gets those of a frequent label, or of all, at once.
+    """
+    ship_package(vectors.sparkSession)
+    parts = vectors.select(F.col("label").cast("long"), F.col("embedding").cast("array<double>")).where("label is not null").mapInArrow(_summed, _SUMS_DDL)
+    parts = parts.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    parts = parts.repartition("label", "part").sortWithinPartitions("part", "label").mapInArrow(_merged, _SUMS_DDL)
+    return parts.repartition("label").sortWithinPartitions("label").mapInArrow(_told, "label long, n long, own double, own2 double, s1 double, s2 double")
+
+
 def similarity_separation(vectors: DataFrame) -> DataFrame:
     """Mean and population deviation of the cosine over all pairs of one label and of different ones, and the means' distance.
 
     All pairs, yet none is made: over a set of unit vectors the cosines sum to
     the squared length of the vectors' sum, and their squares to the squared
-    entries of the second-moment matrix. Both are sums over rows, taken in
-    tasks and added by position.
+    entries of the second-moment matrix, or of the products of all pairs where
+    there are fewer vectors than dimensions. Rows without a label are left out.
     """
-    ship_package(vectors.sparkSession)
-    schema = pa.schema([
-        ("label", pa.int64()), ("n", pa.int64()), ("total", pa.list_(pa.float64())), ("moment", pa.list_(pa.float64())), ("own", pa.float64()),
-        ("own2", pa.float64())
-    ])
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            label = batch.column(0).to_numpy(zero_copy_only=False)
-            x = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(label), -1)
-            x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
-            rows = []
-            for k in np.unique(label):
-                u = x[label == k]
-                own = (u * u).sum(1)
-                rows.append({"label": int(k), "n": len(u), "total": u.sum(0), "moment": (u.T @ u).ravel(), "own": own.sum(), "own2": (own * own).sum()})
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    parts = vectors.select(F.col("label").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(
-        sums, "label long, n long, total array<double>, moment array<double>, own double, own2 double"
-    )
-
-    def added(column: str) -> DataFrame:
-        return parts.select("label", F.posexplode(column).alias("i", "v")).groupBy("label", "i").agg(F.sum("v").alias("v"))
-
-    counts = parts.groupBy("label").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.sum("own2").alias("own2"))
-    first = added("total").groupBy("label").agg(F.sum(F.col("v") * F.col("v")).alias("s1"))
-    second = added("moment").groupBy("label").agg(F.sum(F.col("v") * F.col("v")).alias("s2"))
-    same = counts.join(first, "label").join(second, "label").agg(
-        F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum(F.col("s1") - F.col("own")).alias("sum"), F.sum(F.col("s2") - F.col("own2")).alias("squares"),
+    sums = label_sums(vectors)
+    labelled, every = F.col("label").isNotNull(), F.col("label").isNull()
+    of = lambda value, which: F.sum(F.when(which, value))
+    one = sums.agg(
+        of(F.col("n") * (F.col("n") - 1), labelled).alias("pairs"), of(F.col("s1") - F.col("own"), labelled).alias("sum"),
+        of(F.col("s2") - F.col("own2"), labelled).alias("squares"), *[of(F.col(x), every).alias(x) for x in ("n", "own", "own2", "s1", "s2")]
     )
-    every = counts.agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.sum("own2").alias("own2"))
-    all1 = added("total").groupBy("i").agg(F.sum("v").alias("v")).agg(F.sum(F.col("v") * F.col("v")).alias("s1"))
-    all2 = added("moment").groupBy("i").agg(F.sum("v").alias("v")).agg(F.sum(F.col("v") * F.col("v")).alias("s2"))
-    one = every.join(F.broadcast(all1)).join(F.broadcast(all2)).join(F.broadcast(same))
     n, different = F.col("n"), F.col("n") * (F.col("n") - 1) - F.col("pairs")
     dsum, dsquares = F.col("s1") - F.col("own") - F.col("sum"), F.col("s2") - F.col("own2") - F.col("squares")
     spread = lambda s, q, m: F.sqrt(F.greatest(F.lit(0.0), q / m - (s / m) * (s / m)))
@@ -140,14 +218,6 @@ def similarity_separation(vectors: DataFrame) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns], F.round(F.col("same_mean") - F.col("different_mean"), 6).alias("separation"))
 
 
-def _pairs(vectors: DataFrame) -> DataFrame:
-    """Pairs within each batch, which is of bounded size by its definition."""
-    side = lambda s: vectors.select(
-        "batch", F.col("id").alias(f"id{s}"), F.col("label").alias(f"label{s}"), vec.doubles("embedding").alias(f"v{s}")
-    )
-    return side("a").join(side("b"), "batch")
-
-
 def triplet_loss(triplets: DataFrame, margin: float = 0.3) -> DataFrame:
     """Mean loss over rows of anchor, positive and negative vectors."""
     loss = F.greatest(F.lit(0.0), vec.squared_distance(F.col("anchor"), F.col("positive")) - vec.squared_distance(F.col("anchor"), F.col("negative")) + margin)
@@ -160,12 +230,25 @@ def batch_hard_loss(vectors: DataFrame, margin: float = 0.3, strict: bool = Fals
     Unless ``strict``, a vector counts among its own negatives, as its distance
     to itself is not masked there.
     """
-    d = vec.distance(F.col("va"), F.col("vb"))
-    itself, same = F.col("ida") == F.col("idb"), F.col("labela") == F.col("labelb")
-    negative = ~same if strict else ~same | itself
-    hard = _pairs(vectors).groupBy("batch", "ida").agg(
-        F.coalesce(F.max(F.when(same & ~itself, d)), F.lit(0.0)).alias("far"), F.min(F.when(negative, d)).alias("near")
-    )
+    ship_package(vectors.sparkSession)
+    schema = pa.schema([("batch", pa.int64()), ("far", pa.float64()), ("near", pa.float64())])
+
+    def hardest(key: tuple, rows: pa.Table) -> pa.Table:
+        """The farthest of one label and the nearest of another, for each vector of a batch; some rows of the distances at a time."""
+        ids, labels = (rows.column(c).to_numpy() for c in ("id", "label"))
+        x = np.asarray(rows.column("embedding").combine_chunks().flatten(), np.float64).reshape(len(ids), -1)
+        own = (x * x).sum(1)
+        far, near = np.zeros(len(ids)), np.full(len(ids), np.inf)
+        for i in range(0, len(ids), similarity.BLOCK):
+            some = slice(i, i + similarity.BLOCK)
+            d = np.sqrt(np.maximum(0.0, own[some, None] - 2 * (x[some] @ x.T) + own) + 1e-8)
+            itself, same = ids[some, None] == ids, labels[some, None] == labels
+            far[some] = np.where(same & ~itself, d, 0.0).max(1)
+            near[some] = np.where(~same if strict else ~same | itself, d, np.inf).min(1)
+        return pa.table([np.full(len(ids), key[0].as_py()), far, near], schema=schema)
+
+    rows = vectors.select(F.col("batch").cast("long"), F.col("id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
+    hard = rows.groupBy("batch").applyInArrow(hardest, "batch long, far double, near double")
     valid = hard.where((F.col("far") > 0) & (F.col("near") < 1e6))
     return valid.groupBy("batch").agg(F.count("*").alias("anchors"), F.round(
         F.avg(F.greatest(F.lit(0.0), F.col("far") - F.col("near") + margin)), 6
