@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators import boxes, metrics, similarity
+from trackloom.operators import boxes, metrics, rates, similarity
 
 BOX = "frame int, id long, x1 double, y1 double, x2 double, y2 double"
 
@@ -99,3 +99,24 @@ def test_hardest_pairs_by_blocks(spark, monkeypatch, strict):
             want[batch] = (len(losses), round(float(np.mean(losses)), 6))
     assert set(found) == set(want)
     assert all(found[b][0] == want[b][0] and abs(found[b][1] - want[b][1]) < 2e-6 for b in want)
+
+
+@pytest.mark.parametrize("bucket", ["day", "hour", "minute"])
+def test_rolling_rates_over_buckets(spark, bucket):
+    """Buckets of one frame and of many; equal times have no rate."""
+    rng = random.Random(8)
+    rows = [(c, i, 1_700_000_000_000_000 + rng.randrange(5 * 86_400) * rng.choice([1, 1_000_000]) * (1 if i % 9 else 0)) for i, c in enumerate(rng.choices("ab", k=400))]
+    df = spark.createDataFrame(rows, "camera_name string, event_id long, us long").select("camera_name", "event_id", F.timestamp_micros("us").alias("ts"))
+    want = {}
+    for camera in "ab":
+        own, held = sorted((us, i) for c, i, us in rows if c == camera), []
+        for k, (us, i) in enumerate(own):
+            rate = 1e6 / (us - own[k - 1][0]) if k and us > own[k - 1][0] else None
+            held.append(rate)
+            known = [x for x in held[-7:] if x is not None]
+            want[i] = (rate, sum(known) / len(known) if known else None)
+    found = {r.event_id: (r.rate, r.rolling_rate) for r in rates.rolling_rate(df, 7, bucket=bucket).collect()}
+    assert set(found) == set(want)
+    for i, pair in want.items():
+        for x, y in zip(found[i], pair, strict=True):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) <= 1e-9 * max(1.0, abs(y))), i

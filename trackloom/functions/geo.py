@@ -49,6 +49,12 @@ def side(px, py, x1, y1, x2, y2) -> Column:
     return F.signum((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)).cast("int")
 
 
+def inside_sign(px, py, x1, y1, x2, y2) -> Column:
+    """The side that counts as inside, from a point that is inside; null, so refused, for a point on the line or a line without length."""
+    found = side(px, py, x1, y1, x2, y2)
+    return F.when(found != 0, found)
+
+
 def line_distance(px, py, x1, y1, x2, y2) -> Column:
     """Distance from the infinite line; from its point if it has no length."""
     px, py, x1, y1, x2, y2 = map(col, (px, py, x1, y1, x2, y2))

@@ -13,6 +13,29 @@ def per_second(events: DataFrame, rolling: int = 30) -> DataFrame:
     return counted.withColumn("rolling_mean", F.avg("n").over(w))
 
 
+def rolling_rate(events: DataFrame, frames: int = 30, order: tuple[str, ...] = ("ts", "event_id"), bucket: str = "day") -> DataFrame:
+    """Adds ``rate``, one over the seconds since the camera's frame before, and ``rolling_rate``, its mean over the last ``frames`` frames.
+
+    A first frame, and one at the same time as the one before, has no rate and
+    is left out of means. Frames are taken in order within buckets of time; a
+    bucket also gets the last frames of the buckets before it, of which as many
+    as frames are looked at, so a busy camera is spread over many tasks.
+    """
+    df = events.withColumn("bucket", F.date_trunc(bucket, order[0]))
+    w = Window.partitionBy("camera_name", "bucket")
+    last = df.withColumn("rn", F.row_number().over(w.orderBy(*[F.desc(c) for c in order]))).where(F.col("rn") <= frames + 1)
+    last = last.groupBy("camera_name", "bucket").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("tail"))
+    before = Window.partitionBy("camera_name").orderBy("bucket").rowsBetween(-(frames + 1), -1)
+    tails = last.withColumn("tail", F.flatten(F.collect_list("tail").over(before)))
+    tails = tails.withColumn("tail", F.slice("tail", F.greatest(F.lit(1), F.size("tail") - frames), frames + 1)).where(F.size("tail") > 0)
+    tails = tails.select("camera_name", "bucket", F.explode("tail").alias("r")).select("camera_name", "bucket", *[F.col(f"r.{c}").alias(c) for c in order])
+    own = df.select("*", F.lit(False).alias("carried")).unionByName(tails.withColumn("carried", F.lit(True)), allowMissingColumns=True)
+    since = (F.unix_micros(order[0]) - F.lag(F.unix_micros(order[0])).over(w.orderBy(*order))) / 1e6
+    own = own.withColumn("rate", F.when(since > 0, 1 / since))
+    mean = F.avg("rate").over(w.orderBy(*order).rowsBetween(-(frames - 1), 0))
+    return own.withColumn("rolling_rate", mean).where("not carried").select(*events.columns, "rate", "rolling_rate")
+
+
 def latest(events: DataFrame, tick: str = "second", keep: int = 2, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """The ``keep`` newest rows of each camera and tick: a buffer that drops the oldest."""
     w = Window.partitionBy("camera_name", F.date_trunc(tick, order[0])).orderBy(*[F.desc(c) for c in order])

@@ -105,6 +105,19 @@ def fps_per_second(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("camera_name", F.date_format("second", "yyyy-MM-dd HH:mm:ss").alias("second"), "n", F.round("rolling_mean", 6).alias("rolling_mean"))
 
 
+def rolling_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rates.rolling_rate(fx.arrivals(spark, sf_dir))
+    return found.select("event_id", F.round("rate", 6).alias("rate"), F.round("rolling_rate", 6).alias("rolling_rate"))
+
+
+def inside_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's inside, by every foot of its camera taken as a point inside; those on the line are refused."""
+    fx_, fy_ = geo.crossing_point("x1", "y1", "x2", "y2", "foot")
+    rows = fx.tracks(spark, sf_dir).select("camera_name", fx_.alias("px"), fy_.alias("py")).join(F.broadcast(fx.lines(spark)), "camera_name")
+    sign = geo.inside_sign("px", "py", "sx", "sy", "ex", "ey")
+    return rows.groupBy("camera_name", "door_id", sign.cast("long").alias("inside_sign")).agg(F.count("*").alias("n"))
+
+
 def latest_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.latest(fx.arrivals(spark, sf_dir), "hour").select("camera_name", "event_id", F.col("rn").cast("long").alias("rn"))
 
@@ -415,7 +428,7 @@ QUERIES = (
     identity_match_set, gallery_stats, identity_resolve_stateful, reservoir_sample, yolo_normalize, yolo_normalize_unclipped, annotation_counts,
     rotation_plan, rotation_report, rotation_members, training_plan, sweep_remaining, training_history_best, stream_crossings, stream_direction_crossings,
     stream_region_crossings, stream_occupancy, stream_rates, stream_identities, stream_departures, stream_departure_views, stream_maturity, stream_summary,
-    live_tracks, stream_latest,
+    live_tracks, stream_latest, rolling_rates, inside_signs,
 )
 
 

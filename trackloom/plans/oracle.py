@@ -174,6 +174,12 @@ def oracle_sql() -> dict[str, str]:
         "fps_per_second": f"""with {ARRIVALS}, c as (select camera_name, date_trunc('second', ts) as s, count(*) as n from arrivals group by all)
             select camera_name, strftime(s, '%Y-%m-%d %H:%M:%S') as second, n, round(avg(n) over (partition by camera_name
             order by s rows between 29 preceding and current row), 6) as rolling_mean from c""",
+        "rolling_rates": f"""with {ARRIVALS}, d as (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by camera_name order by ts, event_id) as us
+            from arrivals), r as (select *, case when us > 0 then 1e6 / us end as rate from d)
+            select event_id, round(rate, 6) as rate, round(avg(rate) over (partition by camera_name order by ts, event_id
+            rows between 29 preceding and current row), 6) as rolling_rate from r""",
+        "inside_signs": f"""{t}, {LINES}, {SEGMENTS}, p as (select f.camera_name, l.door_id, cast(sign((ex - sx) * (b2 - sy) - (ey - sy) * (fx - sx)) as bigint) as s
+            from feet f join lines l using (camera_name)) select camera_name, door_id, case when s <> 0 then s end as inside_sign, count(*) as n from p group by all""",
         "latest_buffer": f"""with {ARRIVALS} select camera_name, event_id, rn from (select *, row_number() over (partition by camera_name,
             date_trunc('hour', ts) order by ts desc, event_id desc) as rn from arrivals) where rn <= 2""",
         "frame_duplication": f"""with {ARRIVALS}, g as (select event_id, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by camera_name
