@@ -384,6 +384,28 @@ def test_equal_texts_have_equal_scores(spark):
     assert all(len(x) == 1 for x in scores.values())
 
 
+def test_toxicity_of_held_out_rows_of_the_large_table(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    known = labels.where(labelled.held_out("doc_id"))
+    scored = toxicity.score(docs.join(known.select("doc_id"), "doc_id"), toxicity.train(docs, labels))
+    rows = scored.join(known, "doc_id").select("score", "toxic").collect()
+    toxic, clean = ([r.score for r in rows if r.toxic == y] for y in (1, 0))
+    assert len(toxic) > 80 and len(clean) > 600
+    assert sum(x >= 0.5 for x in toxic) >= 0.85 * len(toxic)
+    assert sum(x >= 0.5 for x in clean) <= 0.04 * len(clean)
+
+
+def test_long_texts_are_sampled_in_passages(spark):
+    text = " ".join(f"w{i}" for i in range(5000))
+    docs = rows_of(spark, [(1, text), (2, text[:500]), (3, None), (4, "é" * 2000)])
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)], "doc_id long, toxic int")
+    found = {r.doc_id: r.text for r in labelled.labelled_sample(docs, labels, "toxic", 10, 640).collect()}
+    assert found[2] == text[:500] and found.get(3, "") == ""
+    assert len(found[1]) <= 640 and found[1].startswith("w0 w1 ") and found[1].endswith("w4999") and "w2" in found[1][300:340]
+    assert set(found[4]) == {"é", " "} and len(found[4]) <= 640
+
+
 def plain_logit(net, words):
     """The network's logit of one window by loops over words, in double precision."""
     p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN
