@@ -755,6 +755,20 @@ def test_contamination_equals_brute_force(spark, docs, block):
     assert told(found.withColumn("items", F.col("items")).collect(), ["doc_id", "n_words", "n_hit", "items"]) == hit_by_hand(texts, items)
 
 
+def test_buckets_hold_the_patterns_of_one_suffix():
+    rng = random.Random(9)
+    patterns = sorted({("x" * rng.randrange(9) + " " + " ".join(rng.choice(WORDS) for _ in range(5)) + " ").encode() for _ in range(300)})
+    search = decontaminate.WuManber(patterns)
+    place = {int(i): k for k, i in enumerate(search.order)}
+    for i, pattern in enumerate(patterns):
+        tail = np.frombuffer(pattern[search.m - search.block : search.m].ljust(8, b"\0"), "<u8")
+        h = int(search._hash(tail)[0])
+        low, high = search.bucket[h], search.bucket[h + 1]
+        assert search.shift[h] == 0 and low <= place[i] < high
+        assert (np.diff(search.begins[low:high].astype(object)) >= 0).all()
+    assert search.bucket[-1] == len(patterns)
+
+
 def test_search_in_many_common_patterns():
     """Stop words against thousands of patterns of stop words, with a short item: bounded slices, all occurrences, little memory."""
     import resource

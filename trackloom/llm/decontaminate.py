@@ -3,9 +3,9 @@
 Texts and test items become lower-cased words joined by single spaces. Every
 run of ten words of an item is a pattern (an item of fewer words is one). The
 search reads a block of bytes at the window's end, skips ahead by the block's
-entry in the shift table, and where that is zero looks into the block's hash
-bucket for patterns that begin as the text does, which are then compared byte by
-byte. Many stretches of the text are searched in step, as numpy arrays of
+entry in the shift table, and where that is zero goes to the bucket of that
+block's hash. Of the bucket's patterns, which are in order of what they begin
+with, those that begin as the text does are compared byte by byte. Many stretches of the text are searched in step, as numpy arrays of
 positions, and positions are looked at a bounded number at a time. Patterns are
 searched for in groups of like length, so that a short one doesn't shorten
 everyone's shifts.
@@ -74,10 +74,13 @@ class WuManber:
         for at in range(self.most):
             h = self._hash(np.ascontiguousarray(padded[:, at : at + 8]).view("<u8")[:, 0])
             np.minimum.at(self.shift, h, min(self.most - 1 - at, 255))
-        # a bucket's patterns, by what they begin with: all bytes that every pattern has
+        # buckets by the hash of the last block that every pattern has; in a bucket patterns are in order of all those bytes' name
         begins = self._begins(np.ascontiguousarray(padded), np.arange(len(patterns)) * (self.m + 8))
-        self.order = np.argsort(begins, kind="stable")
+        last = self._hash(np.ascontiguousarray(padded[:, self.m - self.block : self.m - self.block + 8]).view("<u8")[:, 0])
+        self.order = np.lexsort((begins, last))
         self.begins = begins[self.order]
+        self.bucket = np.zeros(len(self.shift) + 1, np.int32)
+        np.cumsum(np.bincount(last, minlength=len(self.shift)), out=self.bucket[1:])
 
     def _hash(self, block: np.ndarray) -> np.ndarray:
         return (((block & self.mask) * _C) >> self.drop).astype(np.int64)
@@ -90,6 +93,17 @@ class WuManber:
             out = mix64(out * _C + (eight[at + k] & self.mask))
         return out
 
+    def _in_bucket(self, names: np.ndarray, low: np.ndarray, high: np.ndarray, behind: bool) -> np.ndarray:
+        """For each name the first place of its bucket, low to high, that isn't before it, or that is ``behind`` it."""
+        low, high = low.copy(), high.copy()
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            found = self.begins[np.minimum(middle, len(self.begins) - 1)]
+            right = open_ & ((found <= names) if behind else (found < names))
+            low = np.where(right, middle + 1, low)
+            high = np.where(open_ & ~right, middle, high)
+        return low
+
     def find(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Starts and pattern numbers of all occurrences."""
         n, m = len(data), self.m
@@ -122,7 +136,9 @@ class WuManber:
     def _compared(self, data: bytes, padded: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Occurrences at ``places``, a bounded number of pairs at a time."""
         names = self._begins(padded, places)
-        low, high = np.searchsorted(self.begins, names, "left"), np.searchsorted(self.begins, names, "right")
+        last = self._hash(np.ndarray((padded.size - 7,), "<u8", padded, strides=(1,))[places + self.m - self.block])
+        low, high = self.bucket[last].astype(np.int64), self.bucket[last + 1].astype(np.int64)
+        low, high = self._in_bucket(names, low, high, False), self._in_bucket(names, low, high, True)
         held = np.flatnonzero(high > low)
         low, many, places = low[held], (high - low)[held], places[held]
         behind = np.cumsum(many)
