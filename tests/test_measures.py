@@ -1,12 +1,13 @@
 """Boxes of all sizes, and statistics and losses over vectors, against plain loops."""
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators import boxes, metrics, rates, similarity
+from trackloom.operators import boxes, metrics, rates, similarity, tracklets
 
 BOX = "frame int, id long, x1 double, y1 double, x2 double, y2 double"
 
@@ -120,3 +121,23 @@ def test_rolling_rates_over_buckets(spark, bucket):
     for i, pair in want.items():
         for x, y in zip(found[i], pair, strict=True):
             assert (x is None) == (y is None) and (x is None or abs(x - y) <= 1e-9 * max(1.0, abs(y))), i
+
+
+@pytest.mark.parametrize("together, held", [(1 << 16, 1 << 20), (50, 60)])
+def test_reservoirs_are_merged_from_tasks(spark, monkeypatch, together, held):
+    """The same rows however they are dealt to tasks, one identity with most of them; a task hands on forty of each at most."""
+    monkeypatch.setitem(tracklets.kept_in_task.__globals__, "TOGETHER", together)
+    monkeypatch.setitem(tracklets.kept_in_task.__globals__, "HELD", held)
+    rows = [(i, 1 if i % 3 else i % 7 if i % 2 else None, f"x{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, pid long, x string")
+    draw = lambda r: hashlib.md5(f"7:{r[0]}".encode() if r[1] is None else f"7:{r[1]}:{r[0]}".encode()).hexdigest()
+    want = set()
+    for pid in {r[1] for r in rows}:
+        own = sorted(r for r in rows if r[1] == pid)
+        want |= {(*r, True) for r in own[:10]} | {(*r, False) for r in sorted(own[10:], key=lambda r: (draw(r), r[0]))[:20]}
+    for parts in (1, 5):
+        found = tracklets.reservoir(df.repartition(parts), "id", "pid")
+        assert {tuple(r) for r in found.collect()} == want
+    drawn = df.withColumn("draw", F.md5(F.col("id").cast("string").cast("binary"))).coalesce(1)
+    each = tracklets.kept_in_task(drawn, "pid", "id", 10, 20).groupBy("pid").count().agg(F.max("count")).first()[0]
+    assert each <= 40 or held == 60

@@ -7,10 +7,16 @@ Input rows are observations: camera_name, track_id, frame_idx, embedding
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..session import ship_package
 from . import presence
 
 STABLE_FRAMES, ANY_FRAMES = 15, 45
@@ -69,15 +75,56 @@ def departure_views(observations: DataFrame, keep: int = 5) -> DataFrame:
     return newest.select(*presence.TRACK, F.col("r.last_tick").alias("last_tick"), F.transform("r.rows", lambda x: x["vec_id"]).alias("views"))
 
 
+#: Rows that a task looks at together, and that it holds at most before it hands them on.
+TOGETHER, HELD = 1 << 16, 1 << 20
+
+
+def _first_of_each(table: pa.Table, code: np.ndarray, keys: list[str], most: int) -> np.ndarray:
+    """Row numbers of the ``most`` least rows, by ``keys``, of each code."""
+    columns = {"code": pa.array(code), **{k: table.column(k) for k in keys}}
+    order = pc.sort_indices(pa.table(columns), [(k, "ascending") for k in columns], null_placement="at_start").to_numpy()
+    ranked = code[order]
+    begins = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    rank = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+    return order[rank < most]
+
+
+def kept_in_task(rows: DataFrame, identity: str, order: str, anchored: int, size: int) -> DataFrame:
+    """Of what a task reads, the rows of each identity that can be anchors or drawn: ``anchored`` by order, and that and ``size`` more by draw."""
+    ship_package(rows.sparkSession)
+
+    def pruned(table: pa.Table) -> pa.Table:
+        code = table.column(identity).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        few = np.union1d(_first_of_each(table, code, [order], anchored), _first_of_each(table, code, ["draw", order], anchored + size))
+        return table.take(pa.array(few))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        fresh = 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            fresh += batch.num_rows
+            if fresh >= TOGETHER:
+                held, fresh = [pruned(pa.concat_tables(held))], 0
+                if held[0].num_rows > HELD:  # very many identities: what is known of them goes on
+                    yield from held.pop().to_batches()
+        if held:
+            yield from pruned(pa.concat_tables(held)).to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def reservoir(observations: DataFrame, order: str, identity: str, anchored: int = ANCHORED, size: int = RESERVOIR, seed: int = 7) -> DataFrame:
     """The first ``anchored`` rows of each identity and a uniform sample of the rest.
 
     Instead of a random replacement, which depends on the order of arrival, the
     sample is the ``size`` rows of least hash, so it is the same on every run.
+    Samples of least hashes merge: each task keeps the few rows of an identity
+    that can be chosen, and only those are shuffled and ranked.
     """
-    # an identity may have most of the rows: each of its parts first keeps the few that can be chosen
+    # an identity may have most of the rows: its parts first keep the few that can be chosen
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(identity).cast("string"), F.col(order).cast("string")).cast("binary"))
-    df = observations.withColumns({"draw": draw, "part": F.pmod(F.xxhash64(order), F.lit(PARTS))})
+    df = kept_in_task(observations.withColumn("draw", draw), identity, order, anchored, size).withColumn("part", F.pmod(F.xxhash64(order), F.lit(PARTS)))
     part, whole = Window.partitionBy(identity, "part"), Window.partitionBy(identity)
     df = df.withColumns({"n": F.row_number().over(part.orderBy(order)), "k": F.row_number().over(part.orderBy("draw", order))})
     few = df.where((F.col("n") <= anchored) | (F.col("k") <= anchored + size))
