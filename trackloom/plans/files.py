@@ -14,6 +14,7 @@ from ..functions import geo, labels, vec
 from ..operators import crossings, etl, metrics, occupancy, rates
 from ..session import fresh_dir
 from ..sources import annotations, config, results
+from ..sources import files as sinks
 from . import fixtures as fx
 
 SIDES = ("x", "y", "w", "h")
@@ -38,7 +39,7 @@ def gathered(rows: DataFrame, *cols) -> DataFrame:
 
 def put(spark: SparkSession, what: str, named: DataFrame) -> str:
     folder = fresh_dir(spark, what)
-    results.write_files(named, folder)
+    sinks.write_files(named, folder)
     return folder
 
 

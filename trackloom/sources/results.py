@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-
 EVENT_LOG = ("timestamp", "camera_name", "door_id", "door_name", "event", "track_id", "occupancy_after")
 
 
@@ -41,31 +35,6 @@ def write_manifests(members: DataFrame, path: str) -> None:
     spread.write.mode("overwrite").partitionBy("rotation").text(path)
 
 
-def write_files(named: DataFrame, folder: str) -> int:
-    """Write ``text`` of each row as a file ``name`` under ``folder``, a URI that every executor can write; how many there are.
-
-    A file is written whole by the task that has its row, so a repeated task
-    writes the same file again.
-    """
-    ship_package(named.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, top = fs.FileSystem.from_uri(folder)
-        made = set()
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                path = f"{top}/{name}"
-                parent = path.rpartition("/")[0]
-                if parent not in made:
-                    where.create_dir(parent, recursive=True)
-                    made.add(parent)
-                with where.open_output_stream(path) as out:
-                    out.write((text or "").encode())
-            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
-
-    return named.select("name", F.col("text").cast("string")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
-
-
 def rotation_yaml(rotations: DataFrame, folder: str) -> DataFrame:
     """For each rotation the text of the data set's description: where its manifests are, and its one class."""
     total = rotations.agg(F.count("*").alias("total"))
