@@ -763,10 +763,10 @@ def test_buckets_hold_the_patterns_of_one_suffix():
     for i, pattern in enumerate(patterns):
         tail = np.frombuffer(pattern[search.m - search.block : search.m].ljust(8, b"\0"), "<u8")
         h = int(search._hash(tail)[0])
-        low, high = search.bucket[h], search.bucket[h + 1]
+        low, high = search.bucket[h >> search.coarse], search.bucket[(h >> search.coarse) + 1]
         assert search.shift[h] == 0 and low <= place[i] < high
         assert (np.diff(search.begins[low:high].astype(object)) >= 0).all()
-    assert search.bucket[-1] == len(patterns)
+    assert search.bucket[-1] == len(patterns) and len(search.bucket) <= 4 * len(patterns) + 1
 
 
 def test_search_in_many_common_patterns():

@@ -77,10 +77,14 @@ class WuManber:
         # buckets by the hash of the last block that every pattern has; in a bucket patterns are in order of all those bytes' name
         begins = self._begins(np.ascontiguousarray(padded), np.arange(len(patterns)) * (self.m + 8))
         last = self._hash(np.ascontiguousarray(padded[:, self.m - self.block : self.m - self.block + 8]).view("<u8")[:, 0])
+        # a bucket for each few patterns: the table is no larger than they are
+        bits = 64 - int(self.drop)
+        self.coarse = max(0, bits - (2 * len(patterns)).bit_length())
+        last >>= self.coarse
         self.order = np.lexsort((begins, last))
         self.begins = begins[self.order]
-        self.bucket = np.zeros(len(self.shift) + 1, np.int32)
-        np.cumsum(np.bincount(last, minlength=len(self.shift)), out=self.bucket[1:])
+        self.bucket = np.zeros((1 << (bits - self.coarse)) + 1, np.int32)
+        np.cumsum(np.bincount(last, minlength=len(self.bucket) - 1), out=self.bucket[1:])
 
     def _hash(self, block: np.ndarray) -> np.ndarray:
         return (((block & self.mask) * _C) >> self.drop).astype(np.int64)
@@ -136,7 +140,7 @@ class WuManber:
     def _compared(self, data: bytes, padded: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Occurrences at ``places``, a bounded number of pairs at a time."""
         names = self._begins(padded, places)
-        last = self._hash(np.ndarray((padded.size - 7,), "<u8", padded, strides=(1,))[places + self.m - self.block])
+        last = self._hash(np.ndarray((padded.size - 7,), "<u8", padded, strides=(1,))[places + self.m - self.block]) >> self.coarse
         low, high = self.bucket[last].astype(np.int64), self.bucket[last + 1].astype(np.int64)
         low, high = self._in_bucket(names, low, high, False), self._in_bucket(names, low, high, True)
         held = np.flatnonzero(high > low)
