@@ -27,11 +27,16 @@ def timed(df):
     return df.withColumn("at", F.timestamp_millis(F.col("frame_idx") * 40))
 
 
-def feed(spark, df, tmp_path, cuts, stops, **how):
+def feed(spark, df, tmp_path, cuts, stops, beat_min=10, **how):
     """A file for each stretch of frames; the stream runs to its end after every ``stops`` of them."""
     folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     for k, (low, high) in enumerate(zip(cuts, cuts[1:]), 1):
+        if high == cuts[-1]:  # the source's heartbeat, long after its last frame
+            beat = df.agg((F.max("at") + F.make_interval(mins=F.lit(beat_min))).alias("at"))
+            beat = beat.select(*[F.col(c) if c == "at" else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
         df.where(f"frame_idx >= {low} and frame_idx < {high}").coalesce(1).write.mode("append").parquet(folder)
+        if high == cuts[-1] and beat_min:
+            beat.coalesce(1).write.mode("append").parquet(folder)
         if k % stops == 0 or k == len(cuts) - 1:
             stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
             processors.run_to_end(tracks.stream_tracks(stream, "vec_id", 3, 5, **how), out, state)
@@ -56,7 +61,7 @@ def test_state_goes_with_the_watermark(spark, tmp_path):
     rows = [("c", f // 25, f, [1.0], False, f) for f in range(25 * 40)]
     df = timed(spark.createDataFrame(rows, OBSERVED))
     cuts = tuple(range(0, 1001, 50))
-    found = feed(spark, df, tmp_path, cuts, 100, keep_s=4, late="1 second")
+    found = feed(spark, df, tmp_path, cuts, 100, beat_min=0, keep_s=4, late="1 second")
     assert found.where("what = 'departure'").count() == 39
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", processors.STATE_STORE)
     try:

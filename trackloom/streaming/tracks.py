@@ -1,11 +1,12 @@
 """Departures, last views and maturity of tracks while their cameras' streams run.
 
 Two stateful operators in a chain. A camera's clock sees only which tracks are in
-which frame. A frame is complete when a later one arrives; only frames with
-detections count, and a track that was in the complete frame before and isn't in
-this one has left: the clock tells it so in a row of its own. A track's operator
-gets its observations and those rows, in the order of frames; it keeps the last
-few usable views as a list and the counts of its stretch.
+which frame. A frame is complete when a later one arrives, or when the watermark
+has passed its time; only frames with detections count, and a track that was in
+the complete frame before and isn't in this one has left: the clock tells it so
+in a row of its own. A track's operator gets its observations and those rows, in
+the order of frames; it keeps the last few usable views as a list and the counts
+of its stretch.
 
 Time is event time. Each track sets a timer ``keep`` behind its last row; when
 the watermark has passed it, all its state goes, so what is kept is bounded by
@@ -52,35 +53,57 @@ def _frame_of(rows: list[tuple], ddl: str) -> pd.DataFrame:
 
 
 class CameraClock(StatefulProcessor):
-    """Key: camera. Keeps the tracks of the last complete frame and of the one that is open."""
+    """Key: camera. Keeps the tracks of the last complete frame and of the one that is open; ``frame`` is complete if it has no timer."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.clock = handle.getValueState("clock", "frame long, tick long, before long")
+        self.handle = handle
+        self.clock = handle.getValueState("clock", "frame long, tick long, before long, timer long")
         self.present = handle.getMapState("present", "track_id long", "tick long")
         self.opened = handle.getMapState("opened", "track_id long", "frame long")
 
+    def _read(self) -> tuple:
+        frame, tick, before, timer = self.clock.get() if self.clock.exists() else (None, 0, None, None)
+        present, opened = ({k[0] for k in state.keys()} if state.exists() else set() for state in (self.present, self.opened))
+        return frame, tick, before, timer, present, opened
+
+    def _keep(self, frame: int, tick: int, before: int | None, timer: int | None, present: set, opened: set) -> None:
+        self.clock.update((frame, tick, before, timer))
+        for state, tracks in ((self.present, present), (self.opened, opened)):
+            state.clear()
+            for t in tracks:
+                state.updateValue((t,), (tick,))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            return
         data = pd.concat(list(rows)).sort_values("frame_idx")
-        frame, tick, before = self.clock.get() if self.clock.exists() else (None, 0, None)
-        present = {k[0] for k in self.present.keys()} if self.present.exists() else set()
-        opened = {k[0] for k in self.opened.keys()} if self.opened.exists() else set()
-        gone = []
+        frame, tick, before, timer, present, opened = self._read()
+        set_timer, gone = timer, []
         for f, tracks in data.groupby("frame_idx", sort=True):
-            f = int(f)
-            at = tracks["at"].max()
-            if frame is not None and f < frame:
+            f, at = int(f), tracks["at"].max()
+            if frame is not None and (f < frame or (f == frame and timer is None)):
                 continue
-            if frame is not None and f > frame:
+            if frame is not None and f > frame and timer is not None:
                 tick += 1
                 gone += [(key[0], t, before, tick - 1, tick, at) for t in sorted(present - opened)]
                 present, opened, before = opened, set(), frame
-            frame = f
+            frame, timer = f, int(at.timestamp() * 1000)
             opened |= set(tracks["track_id"].astype(int).tolist())
-        self.clock.update((frame, tick, before))
-        for state, tracks in ((self.present, present), (self.opened, opened)):
-            state.clear()
-            for t in tracks:
-                state.updateValue((t,), (tick,))
+        if timer != set_timer:
+            if set_timer is not None:
+                self.handle.deleteTimer(set_timer)
+            self.handle.registerTimer(timer)
+        self._keep(frame, tick, before, timer, present, opened)
+        if gone:
+            yield _frame_of(gone, GONE)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark has passed the open frame: no row of it can come."""
+        frame, tick, before, _, present, opened = self._read()
+        tick += 1
+        at = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        gone = [(key[0], t, before, tick - 1, tick, at) for t in sorted(present - opened)]
+        self._keep(frame, tick, frame, None, opened, set())
         if gone:
             yield _frame_of(gone, GONE)
 
@@ -99,6 +122,8 @@ class TrackProcessor(StatefulProcessor):
         self.last = handle.getListState("last", "view long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            return
         data = pd.concat(list(rows))
         data = data.assign(told=data["missing_tick"].notna()).sort_values(["frame_idx", "told"])
         frame, usable, stable, mature, timer = self.counts.get() if self.counts.exists() else (None, 0, 0, False, None)
@@ -146,7 +171,8 @@ def stream_tracks(
 
     ``observations`` is a stream of camera_name, track_id, frame_idx, embedding,
     is_edge, ``at`` (the frame's event time) and the column ``view``, which names
-    an observation. Cameras may be ``late`` against each other by so much.
+    an observation. Cameras may be ``late`` against each other by so much. Rows
+    without a camera are a source's heartbeat: they only move the watermark on.
     """
     ship_package(observations.sparkSession)
     seen = observations.select(
