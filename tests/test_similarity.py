@@ -115,3 +115,14 @@ def test_scratch_tables_belong_to_their_thread(spark):
         done.set()
         thread.join()
     assert found["table"].count() == 5
+
+
+@pytest.mark.parametrize("earlier", [False, True])
+def test_vectors_without_structure_are_copied_to_few_cells(spark, earlier):
+    """Where no bound rules anything out, a query is handed on once for a cell, and there are no more cells than are allowed."""
+    rows = frame(spark, np.random.default_rng(9).normal(size=(2000, 16)).astype(np.float32))
+    search = similarity.Search(rows, rows, 1, -2.0, earlier, 20, 2000)
+    most = similarity.FEW_COPIES // 2000
+    assert search.cells.count() <= 1.5 * most
+    met = search.pairs(search.seeds().cache()).selectExpr("count(*) as pairs", "sum(size(queries)) as copies").first()
+    assert met.pairs <= (1.5 * most) ** 2 and met.copies <= 1.5 * most * 2000

@@ -12,6 +12,12 @@ the cell's vectors than t is to the ring. A query first meets a block of its own
 cell, whose k-th best is a bound for all others; then only cells that can reach
 the bound are multiplied, with only those queries. The bounds are exact, so the
 results are those of all pairs, whatever the pivots.
+
+Vectors without structure are in reach of everything, so all pairs of cells
+meet. What is handed on then is a copy of the queries for each cell. Cells are
+therefore made of neighbouring rings until they are about a block, and blocks
+grow with the vectors up to ``LARGEST``: a query has some ``MOST_CELLS`` copies,
+or one for each ``LARGEST`` vectors where there are more.
 """
 
 from __future__ import annotations
@@ -33,6 +39,10 @@ FEW_PAIRS = 4
 MOST_PIVOTS, PICKED_FROM = 1024, 4
 #: Rings of angles around a pivot, and ranges of ids where only lower ids count.
 RINGS, SLABS = 16, 8
+#: Cells that the vectors are in, about, as long as a block has no more than so many vectors; more if a copy of each vector for each cell is no more than so many copies.
+MOST_CELLS, LARGEST, FEW_COPIES = 64, 8192, 1 << 19
+#: Products that are held at once.
+TOGETHER = 1 << 21
 #: Shorter vectors lose length where they are brought to unit length, so no bound holds for them.
 SHORT, SLACK = 1e-5, 1e-6
 #: Digits by which similarities are ranked; closer ones tie, and the lower id is first.
@@ -68,15 +78,17 @@ def _matrix(rows: pa.StructScalar | pa.ListScalar) -> tuple[np.ndarray, dict[str
 
 
 def over_blocks(pairs: DataFrame, compare: Callable, schema: str, arrow: pa.Schema) -> DataFrame:
-    """``compare(similarities, query columns, gallery columns)`` for each pair of blocks; it returns columns of ``schema``."""
+    """``compare(cosines, query columns, gallery columns)`` for each pair of blocks, some queries at a time; it returns columns of ``schema``."""
     ship_package(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1)):
                 (a, q), (b, g) = _matrix(left), _matrix(right)
-                out = compare(np.round(a @ b.T, DIGITS), q, g)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+                step = max(1, TOGETHER // max(1, len(b)))
+                for i in range(0, len(a), step):
+                    out = compare(a[i : i + step] @ b.T, {k: x[i : i + step] for k, x in q.items()}, g)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return pairs.select("queries", "gallery").mapInArrow(run, schema)
 
@@ -85,8 +97,8 @@ FOUND = pa.schema([("query_id", pa.int64()), ("gallery_id", pa.int64()), ("simil
 _FOUND_DDL = "query_id long, gallery_id long, similarity double"
 _PLACED = pa.schema([("id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("cell", pa.int64()), ("angle", pa.float64())])
 _PLACED_DDL = "id long, embedding array<float>, cell long, angle double"
-_ROWS = pa.list_(pa.struct([("id", pa.int64()), ("embedding", pa.list_(pa.float32()))]))
-_WANTED_DDL = "queries array<struct<id:long,embedding:array<float>>>, cell long, first int"
+_ROWS = pa.list_(pa.struct([("id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("bound", pa.float64())]))
+_WANTED_DDL = "queries array<struct<id:long,embedding:array<float>,bound:double>>, cell long, first int"
 
 
 def _unit(flat: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,34 +155,56 @@ def _cell_blocks(placed: DataFrame, cells: DataFrame, columns: list[str]) -> Dat
     return rows.groupBy("cell", "part").agg(F.collect_list("row").alias("rows"))
 
 
+def _rings(placed: DataFrame) -> DataFrame:
+    """How many vectors each pivot's ring has in each range of ids, and between which angles."""
+    return placed.groupBy(F.col("cell").alias("ring")).agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+
+
+def _joined_rings(rings: dict[str, np.ndarray], least: int) -> np.ndarray:
+    """The cell of each ring: rings of neighbouring numbers are one until they have ``least`` vectors in all ranges of ids. Short vectors stay apart."""
+    around = rings["ring"] // SLABS
+    order = np.argsort(around, kind="stable")
+    group, number, n, last = np.zeros(len(around), np.int64), 0, 0, None
+    for i in order.tolist():
+        new = around[i] != last
+        if last is not None and new and (n >= least or last < 0 <= around[i]):
+            number, n = number + 1, 0
+        group[i], last, n = number, around[i], n + rings["n"][i]
+    return group * SLABS + rings["ring"] % SLABS
+
+
 def _cells(placed: DataFrame, block: int) -> DataFrame:
-    found = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
-    return found.withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    return placed.groupBy("cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
 
 
 def _wanted(asked: DataFrame, pivots, cells, earlier_only: bool) -> DataFrame:
-    """Of blocks of queries (cell, rows of id, embedding and bound) those rows, with each cell of the gallery, that the cell can better."""
+    """Of blocks of queries (cell, rows of id, embedding and bound) those rows, with each cell of the gallery, that a ring of the cell can better."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = cells.value
-        pivot, slab = known["cell"] // SLABS // RINGS, known["cell"] % SLABS
+        pivot, order = known["ring"] // SLABS // RINGS, np.argsort(known["cell"], kind="stable")
+        rings_of = np.split(order, np.flatnonzero(np.diff(known["cell"][order])) + 1) if len(order) else []
         for batch in batches:
             for own, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 values = rows.values
                 data, length = _unit(values.field("embedding").flatten(), len(values))
                 bound = values.field("bound").to_numpy(zero_copy_only=False)
                 to_pivot = _angles(data, pivots.value) if len(pivots.value) else np.zeros((len(values), 1))
-                bare = pa.StructArray.from_arrays([values.field("id"), values.field("embedding")], fields=list(_ROWS.value_type))
-                for c, cell in enumerate(known["cell"].tolist()):
-                    if earlier_only and slab[c] > own % SLABS:
+                bare = pa.StructArray.from_arrays([values.field(f.name) for f in _ROWS.value_type], fields=list(_ROWS.value_type))
+                for rings in rings_of:
+                    cell = int(known["cell"][rings[0]])
+                    if earlier_only and cell % SLABS > own % SLABS:
                         continue
-                    if pivot[c] < 0:
-                        needs = np.ones(len(values), bool)
-                    else:
+                    needs = length <= SHORT
+                    for c in rings.tolist():
+                        if pivot[c] < 0:
+                            needs = np.ones(len(values), bool)
+                        if needs.all():
+                            break
                         t = to_pivot[:, pivot[c]]
                         best = np.cos(np.maximum(0.0, np.maximum(t - known["high"][c], known["low"][c] - t)))
                         # lengths after division are a little below one, which lifts negative similarities
-                        needs = (np.where(best > 0, best, best * 0.998) + SLACK >= bound) | (length <= SHORT)
+                        needs = needs | (np.where(best > 0, best, best * 0.998) + SLACK >= bound)
                     if needs.any():
                         picked = bare.filter(pa.array(needs))
                         row = pa.ListArray.from_arrays(pa.array([0, len(picked)], pa.int32()), picked)
@@ -187,17 +221,28 @@ class Search:
         sc = gallery.sparkSession.sparkContext
         ship_package(gallery.sparkSession)
         self.k, self.least, self.earlier_only = k, least, earlier_only
+        most = max(MOST_CELLS, FEW_COPIES // max(1, size), -(-size // LARGEST))
+        block = max(block, -(-size // most))
         cuts = []
         if earlier_only:
             cuts = sorted(set(gallery.agg(F.percentile_approx("id", [x / SLABS for x in range(1, SLABS)])).first()[0] or []))
         self.pivots = sc.broadcast(pick_pivots(gallery, min(MOST_PIVOTS, 2 * -(-size // block))))
-        self.gallery = written(_placed(gallery, self.pivots, cuts), "placed-vectors")
-        self.queries = self.gallery if queries is gallery else written(_placed(queries, self.pivots, cuts), "placed-vectors")
-        cells = written(_cells(self.gallery, block), "cells")
-        self.cells = cells
-        self.blocks = _cell_blocks(self.gallery, cells, [])
-        known = cells.toArrow()
-        self.known = sc.broadcast({c: known.column(c).to_numpy() for c in ("cell", "low", "high")})
+        placed = written(_placed(gallery, self.pivots, cuts), "placed-vectors")
+        rings, none = _rings(placed), F.lit(None).cast("double")
+        if queries is not gallery:  # rings that only queries are in are in reach of nothing
+            asked = written(_placed(queries, self.pivots, cuts), "placed-vectors")
+            rings = rings.unionByName(_rings(asked).select("ring", F.lit(0).alias("n"), none.alias("low"), none.alias("high")))
+        found = rings.groupBy("ring").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("ring").toArrow()
+        known = {c: found.column(c).to_numpy() for c in found.column_names}
+        known["cell"] = _joined_rings(known, max(block, size * (len(cuts) + 1) // most))
+        names = gallery.sparkSession.createDataFrame(list(zip(known["ring"].tolist(), known["cell"].tolist())), "ring long, joined long")
+        named = lambda df: df.withColumnRenamed("cell", "ring").join(F.broadcast(names), "ring").select("id", "embedding", F.col("joined").alias("cell"), "angle")
+        self.gallery = named(placed)
+        self.queries = self.gallery if queries is gallery else named(asked)
+        self.cells = written(_cells(self.gallery, block), "cells")
+        self.block = block
+        self.blocks = _cell_blocks(self.gallery, self.cells, [])
+        self.known = sc.broadcast(known)
         self.own_cells = _cells(self.queries, block)
 
     def best(self, pairs: DataFrame) -> DataFrame:
@@ -230,13 +275,24 @@ class Search:
 
 def _best_of(k: int, least: float, earlier_only: bool) -> Callable:
     def compare(s: np.ndarray, q: dict, g: dict) -> list:
-        s = s.copy()
-        s[(q["id"][:, None] <= g["id"][None, :]) if earlier_only else (q["id"][:, None] == g["id"][None, :])] = -np.inf
-        s[s < least] = -np.inf
-        order = np.lexsort((np.broadcast_to(g["id"], s.shape), -s), axis=1)[:, :k]
-        best = np.take_along_axis(s, order, 1)
-        i, j = np.nonzero(best > -np.inf)
-        return [q["id"][i], g["id"][order[i, j]], best[i, j]]
+        if not s.size:
+            return [[], [], []]
+        if not earlier_only:
+            s[q["id"][:, None] == g["id"][None, :]] = -np.inf
+        elif g["id"].max() >= q["id"].min():
+            s[q["id"][:, None] <= g["id"][None, :]] = -np.inf
+        # what can be one of the best once it is rounded; no more is ordered
+        low = np.maximum(least, q["bound"]) if "bound" in q else np.full(len(s), float(least))
+        if k < s.shape[1]:
+            low = np.maximum(low, s.max(1) if k == 1 else np.partition(s, -k, axis=1)[:, -k])
+        i, j = np.nonzero((s >= (low - 2 * 10.0**-DIGITS)[:, None]) & (s > -np.inf))
+        found, ids = np.round(s[i, j], DIGITS), g["id"][j]
+        order = np.lexsort((ids, -found, i))
+        order = order[found[order] >= least]
+        i, found, ids = i[order], found[order], ids[order]
+        first = np.searchsorted(i, i, "left")
+        kept = np.arange(len(i)) - first < k
+        return [q["id"][i[kept]], ids[kept], found[kept]]
 
     return compare
 
@@ -265,7 +321,7 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int = 5, least: float = -2.
             search = Search(gallery if same else asked, gallery, k, least, earlier_only, block, ng)
             if same:
                 search.queries = search.queries.where(~_is_zero("embedding"))
-                search.own_cells = _cells(search.queries, block)
+                search.own_cells = _cells(search.queries, search.block)
             near = written(search.found().unionByName(zero.withColumn("similarity", F.lit(0.0))), "nearest")
             kept.append(near)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "gallery_id")
