@@ -141,3 +141,26 @@ def test_reservoirs_are_merged_from_tasks(spark, monkeypatch, together, held):
     drawn = df.withColumn("draw", F.md5(F.col("id").cast("string").cast("binary"))).coalesce(1)
     each = tracklets.kept_in_task(drawn, "pid", "id", 10, 20).groupBy("pid").count().agg(F.max("count")).first()[0]
     assert each <= 40 or held == 60
+
+
+@pytest.mark.parametrize("entries, apart", [(1 << 24, 1), (60_000, 1), (9_000, 1 << 40)])
+def test_average_precisions_in_groups_equal_full_rankings(spark, entries, apart):
+    """Persons of all sizes, equal vectors and vectors of zeros, whose ties go by id; many small groups as well as one."""
+    rng = np.random.default_rng(11)
+    some = rng.normal(size=(260, 5)).round(1)
+    x = np.concatenate([some, some[:60], np.zeros((20, 5))]).astype(np.float32)
+    rows = [(i * apart, 0 if i % 3 else int(i % 50), int(i % 4), [float(v) for v in x[i]]) for i in rng.permutation(len(x)).tolist()]
+    df = spark.createDataFrame(rows, "id long, pid long, cid long, embedding array<float>")
+    unit = {r[0]: np.array(r[3], np.float32).astype(np.float64) / (np.linalg.norm(np.array(r[3], np.float32).astype(np.float64)) + 1e-8) for r in rows}
+    isq = lambda r: (r[0] // apart) % 5 == 0
+    want = {}
+    for q in filter(isq, rows):
+        ranked = sorted((-round(float(unit[q[0]] @ unit[g[0]]), 9), g[0], g[1]) for g in rows if not isq(g) and not (g[1] == q[1] and g[2] == q[2]))
+        hits = [k for k, g in enumerate(ranked, 1) if g[2] == q[1]]
+        want[q[0]] = (np.mean([(n + 1) / k for n, k in enumerate(hits)]), hits[0]) if hits else (None, None)
+    queries, pictures = df.where(f"(id div {apart}) % 5 = 0"), df.where(f"(id div {apart}) % 5 <> 0")
+    assert metrics.query_groups(queries, pictures, entries)[1] >= (1 if entries == 1 << 24 else 4)
+    found = {r.query_id: (r.ap, r["first"]) for r in metrics.average_precisions(queries, pictures, 16, entries).collect()}
+    assert set(found) == set(want)
+    for q, (ap, first) in want.items():
+        assert found[q][1] == first and (found[q][0] == pytest.approx(ap, abs=1e-12) if ap is not None else found[q][0] is None), q

@@ -11,59 +11,183 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..functions.labels import stepped_rate
-from ..session import ship_package
+from ..session import ship_package, written
 from . import similarity
 
-_RELEVANT = pa.schema([("query_id", pa.int64()), ("gallery_id", pa.int64()), ("similarity", pa.float64())])
-_ABOVE = pa.schema([("query_id", pa.int64()), ("gallery_id", pa.int64()), ("above", pa.int64())])
-_KEPT = pa.schema([("query_id", pa.int64()), ("kept", pa.int64())])
+#: Entries, a query and a picture of its person each, that a group of queries has about; a query counts as ``OWN`` of them besides.
+ENTRIES, OWN = 1 << 24, 4096
+#: Parts of the entries of a group that one person's share is a multiple of.
+UNITS = 8
+#: Bits of a key that are for the place of an id.
+ID_BITS = 31
 
+_PACKED = pa.schema([("ids", pa.binary()), ("pids", pa.binary()), ("cids", pa.binary()), ("vectors", pa.binary()), ("n", pa.int32())])
+_PACKED_DDL = "ids binary, pids binary, cids binary, vectors binary, n int"
+_SCORED = pa.schema([("query_id", pa.int64()), ("ap", pa.float64()), ("first", pa.int64())])
 
-def _same(q: dict, g: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one person, and of them those of one camera, which are left out."""
-    person = q["pid"][:, None] == g["pid"][None, :]
-    return person, person & (q["cid"][:, None] == g["cid"][None, :])
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of id, pid, cid and embedding as blocks of bytes."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, similarity.BLOCK):
+            part = batch.slice(i, similarity.BLOCK)
+            n = part.num_rows
+            names = [part.column(k).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for k in range(3)]
+            vectors = np.asarray(part.column(3).flatten(), np.float32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (*names, vectors)] + [pa.array([n], pa.int32())], schema=_PACKED)
 
 
-def relevant_ranks(queries: DataFrame, gallery: DataFrame, block: int = similarity.BLOCK) -> DataFrame:
-    """query_id, gallery_id, similarity and rank for the gallery's pictures of the query's person (other cameras).
+def query_groups(queries: DataFrame, gallery: DataFrame, entries: int = ENTRIES) -> tuple[DataFrame, int]:
+    """``queries`` with their ``group``, and how many groups there are: each has about ``entries`` pairs of a query and a picture of its person.
 
-    ``queries`` and ``gallery`` have id, pid, cid and embedding. First every
-    pair of blocks gives its relevant pairs; then it counts, for each of a
-    query's relevant pairs, what ranks above it. No full ranking is ever made.
+    Persons with an eighth of that or more are dealt to units, which go round the
+    groups; there are few of them to a group. Other persons are in one group each.
     """
-    pairs = similarity.block_pairs(queries, gallery, ["pid", "cid"], block)
-
-    def relevant(s: np.ndarray, q: dict, g: dict) -> list:
-        person, left_out = _same(q, g)
-        i, j = np.nonzero(person & ~left_out)
-        return [q["id"][i], g["id"][j], s[i, j]]
-
-    found = similarity.over_blocks(pairs, relevant, "query_id long, gallery_id long, similarity double", _RELEVANT)
-    lists = found.groupBy("query_id").agg(F.collect_list(F.struct("similarity", "gallery_id")).alias("relevant"))
-    asked = queries.join(lists, queries["id"] == lists["query_id"]).select("id", "pid", "cid", "embedding", "relevant")
-    nq, ng = (max(1, -(-df.count() // block)) for df in (queries, gallery))
-    left = similarity.blocks(asked, "q", nq, ["pid", "cid", "relevant"]).withColumnRenamed("rows", "queries").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(ng - 1))))
-    right = similarity.blocks(gallery, "g", ng, ["pid", "cid"]).withColumnRenamed("rows", "gallery")
-
-    def above(s: np.ndarray, q: dict, g: dict) -> list:
-        _, left_out = _same(q, g)
-        out: list[list] = [[], [], []]
-        for i, relevant in enumerate(q["relevant"]):
-            keep = ~left_out[i]
-            own, ids = s[i, keep], g["id"][keep]
-            order = np.lexsort((ids, -own))
-            ranked = list(zip((-own[order]).tolist(), ids[order].tolist()))
-            keys = np.array(ranked, [("s", "f8"), ("id", "i8")])
-            asked = np.array([(-r["similarity"], r["gallery_id"]) for r in relevant], keys.dtype)
-            out[0] += [int(q["id"][i])] * len(asked)
-            out[1] += asked["id"].tolist()
-            out[2] += np.searchsorted(keys, asked, "left").tolist()
+    sizes = queries.groupBy("pid").agg(F.count("*").alias("nq")).join(gallery.groupBy("pid").agg(F.count("*").alias("ng")), "pid", "left")
+    sizes = written(sizes.select("pid", (F.col("nq") * (F.coalesce("ng", F.lit(0)) + OWN)).alias("entries")), "person-sizes")
+    total = sizes.agg(F.sum("entries")).first()[0] or 0
+    count = max(-(-total // entries), min(-(-total // OWN // 256), 2 * queries.sparkSession.sparkContext.defaultParallelism), 1)
+    unit = max(1, -(-total // count // UNITS))
+    large = sizes.where(F.col("entries") >= unit).withColumn("units", F.ceil(F.col("entries") / unit).cast("long"))
+    ahead = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # a few persons for each group
+    large = large.select("pid", "units", F.coalesce(F.sum("units").over(ahead), F.lit(0)).alias("ahead"))
+    own = F.when(F.col("units").isNull(), F.xxhash64("pid")).otherwise(F.col("ahead") + F.pmod(F.xxhash64("id"), F.col("units")))
+    dealt = queries.join(F.broadcast(large), "pid", "left").withColumn("group", F.pmod(own, F.lit(count)).cast("int"))
+    return dealt.drop("units", "ahead"), count
+
+
+class _Ranks:
+    """The queries of a group. First come the queries, then their persons' pictures, then all blocks of the gallery.
+
+    Only the ranks of a query's relevant pictures are kept, as sorted keys of
+    rounded similarity and id, and how many others lie between two of them.
+    """
+
+    def __init__(self, least_id: int, spread: int):
+        self.least_id, self.spread = least_id, spread
+        self.queries, self.pictures = [], []
+        self.ready = False
+
+    def keys(self, s: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Numbers, or pairs where ids are too far apart, in order of rank: the more similar first, then the lower id."""
+        near = -np.rint(s * 10.0**similarity.DIGITS).astype(np.int64)
+        if self.spread < 1 << ID_BITS:
+            return (near << ID_BITS) + (ids - self.least_id)
+        out = np.empty(np.broadcast(near, ids).shape, [("s", "i8"), ("id", "i8")])
+        out["s"], out["id"] = near, ids
         return out
 
-    counted = similarity.over_blocks(left.join(right, "g"), above, "query_id long, gallery_id long, above long", _ABOVE)
-    ranks = counted.groupBy("query_id", "gallery_id").agg((F.sum("above") + 1).alias("rank"))
-    return found.join(ranks, ["query_id", "gallery_id"])
+    def add(self, kind: int, block: tuple) -> None:
+        (self.queries if kind == 0 else self.pictures).append(block)
+
+    def settle(self) -> None:
+        """The queries by person, and the keys of each one's relevant pictures."""
+        self.ids, self.pids, self.cids, self.data = (np.concatenate(x) for x in zip(*self.queries))
+        order = np.argsort(self.pids, kind="stable")
+        self.ids, self.pids, self.cids, self.data = self.ids[order], self.pids[order], self.cids[order], self.data[order]
+        edges = np.flatnonzero(np.diff(self.pids)) + 1
+        self.persons = list(zip([0, *edges.tolist()], [*edges.tolist(), len(self.pids)]))
+        found: list[list] = [[] for _ in self.ids]
+        for g_ids, g_pids, g_cids, g_data in self.pictures:
+            for a, b in self.persons:
+                own = np.flatnonzero(g_pids == self.pids[a])
+                for i in range(a, b, step := max(1, similarity.TOGETHER // max(1, len(own)))):
+                    if not len(own):
+                        break
+                    s = self.data[i : min(b, i + step)] @ g_data[own].T
+                    for k in range(len(s)):
+                        kept = g_cids[own] != self.cids[i + k]
+                        found[i + k].append(self.keys(s[k, kept], g_ids[own[kept]]))
+        self.found = [np.sort(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in found]
+        self.between = [np.zeros(len(x) + 1, np.int32) for x in self.found]
+        self.pictures, self.ready = [], True
+
+    def count(self, block: tuple) -> None:
+        """Pictures of other persons go between the relevant ones."""
+        g_ids, g_pids, _, g_data = block
+        for a, b in self.persons:
+            others = g_pids != self.pids[a]
+            if not others.any():
+                continue
+            data, ids = (g_data, g_ids) if others.all() else (g_data[others], g_ids[others])
+            for i in range(a, b, step := max(1, similarity.TOGETHER // len(ids))):
+                keys = np.sort(self.keys(self.data[i : min(b, i + step)] @ data.T, ids[None, :]), axis=1)
+                for k in range(len(keys)):
+                    if len(self.found[i + k]):
+                        np.add.at(self.between[i + k], np.searchsorted(self.found[i + k], keys[k]), 1)
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        if not self.queries:
+            return
+        if not self.ready:
+            self.settle()
+        ap, first = [], []
+        for keys, between in zip(self.found, self.between):
+            n = np.arange(1, len(keys) + 1)
+            rank = n + np.cumsum(between[:-1], dtype=np.int64)
+            ap.append(float((n / rank).mean()) if len(n) else None)
+            first.append(int(rank[0]) if len(n) else None)
+        yield pa.RecordBatch.from_arrays([pa.array(self.ids), pa.array(ap, pa.float64()), pa.array(first, pa.int64())], schema=_SCORED)
+
+
+def average_precisions(queries: DataFrame, gallery: DataFrame, block: int = similarity.BLOCK, entries: int = ENTRIES) -> DataFrame:
+    """query_id, ap (average precision) and first (the best rank) over the gallery's pictures of the query's person (other cameras); both null if there are none.
+
+    ``queries`` and ``gallery`` have id, pid, cid and embedding. No pair of
+    vectors is ever a row. Queries are in groups of a bounded number of relevant
+    pictures, for each of which a task keeps a key and a count; the gallery goes
+    past each group in blocks. So a task's memory is that of its group, and what
+    is shuffled is a copy of the gallery for each group.
+    """
+    ship_package(queries.sparkSession)
+    dealt, count = query_groups(queries, gallery, entries)
+    ends = gallery.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    least_id, spread = (int(ends["a"]), int(ends["b"]) - int(ends["a"])) if ends["a"] is not None else (0, 0)
+    columns = [*[F.col(c).cast("long").alias(c) for c in ("id", "pid", "cid")], F.col("embedding").cast("array<float>").alias("embedding")]
+    blocks = written(gallery.select(*columns).repartition(max(1, -(-gallery.count() // max(1, block))), "id").mapInArrow(_packed, _PACKED_DDL), "packed-gallery")
+    single = lambda df, kind: df.select(F.col("group"), F.lit(kind).alias("kind"), *[F.array(c).alias(f"{c}s") for c in ("id", "pid", "cid")], "embedding")
+    persons = F.broadcast(dealt.select("group", "pid").distinct())
+    own = single(dealt.select("group", *columns), 0).unionByName(single(gallery.select(*columns).join(persons, "pid"), 1))
+    own = own.select("group", "kind", F.element_at("ids", 1).alias("id"), F.element_at("pids", 1).alias("pid"), F.element_at("cids", 1).alias("cid"), "embedding")
+    none = lambda kind: F.lit(None).cast(kind)
+    own = own.select("*", none("binary").alias("ids"), none("binary").alias("pids"), none("binary").alias("cids"), none("binary").alias("vectors"))
+    past = blocks.select(
+        F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("group"), F.lit(2).alias("kind"), none("long").alias("id"), none("long").alias("pid"),
+        none("long").alias("cid"), none("array<float>").alias("embedding"), "ids", "pids", "cids", "vectors"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ranks = None, _Ranks(least_id, spread)
+        for batch in batches:
+            names, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            i = 0
+            while i < len(names):
+                if names[i] != group:
+                    yield from ranks.told()
+                    group, ranks = names[i], _Ranks(least_id, spread)
+                j = i + 1
+                if kinds[i] < 2:
+                    while j < len(names) and names[j] == group and kinds[j] == kinds[i]:
+                        j += 1
+                    part = batch.slice(i, j - i)
+                    values = [part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4)]
+                    ranks.add(int(kinds[i]), (*values, _unit(np.asarray(part.column(5).flatten(), np.float64).reshape(j - i, -1))))
+                elif ranks.queries:
+                    if not ranks.ready:
+                        ranks.settle()
+                    ids, pids, cids = (np.frombuffer(batch.column(k)[i].as_py(), np.int64) for k in (6, 7, 8))
+                    if len(ids):
+                        ranks.count((ids, pids, cids, _unit(np.frombuffer(batch.column(9)[i].as_py(), np.float32).reshape(len(ids), -1))))
+                i = j
+        yield from ranks.told()
+
+    rows = own.unionByName(past).repartition(count, "group").sortWithinPartitions("group", "kind")
+    return rows.mapInArrow(run, "query_id long, ap double, first long")
+
+
+def _unit(data: np.ndarray) -> np.ndarray:
+    data = data.astype(np.float64)
+    return data / (np.linalg.norm(data, axis=1, keepdims=True) + 1e-8)
 
 
 def cmc_map(queries: DataFrame, gallery: DataFrame, ranks: tuple[int, ...] = (1, 5, 10), block: int = similarity.BLOCK) -> DataFrame:
@@ -72,9 +196,7 @@ def cmc_map(queries: DataFrame, gallery: DataFrame, ranks: tuple[int, ...] = (1,
     A query whose whole gallery is left out doesn't count for mAP but does for
     the match characteristic; one without relevant pictures has precision 0.
     """
-    found = relevant_ranks(queries, gallery, block)
-    w = Window.partitionBy("query_id").orderBy("rank")
-    each = found.withColumn("precision", F.row_number().over(w) / F.col("rank")).groupBy("query_id").agg(F.avg("precision").alias("ap"), F.min("rank").alias("first"))
+    each = average_precisions(queries, gallery, block)
     sizes = gallery.groupBy("pid", "cid").agg(F.count("*").alias("left_out"))
     total = gallery.agg(F.count("*").alias("total"))
     kept = queries.join(sizes, ["pid", "cid"], "left").join(F.broadcast(total)).select(
