@@ -147,3 +147,18 @@ def test_the_log_of_a_stream_is_appended_by_day(spark, tmp_path):
     assert sorted((r.timestamp, r.door_name, str(r.event_date)) for r in back.collect()) == [
         ("2024-01-01 23:59:59.123", "d", "2024-01-01"), ("2024-01-02 00:00:01.500", "d", "2024-01-02")
     ]
+
+
+def test_tracks_share_calls_and_state(spark, tmp_path):
+    """Three hundred tracks of a camera are two keys of the state store, and their events are the batch's."""
+    lines = spark.createDataFrame(LINES[:1], LINE)
+    rows = [("c", t, f, x, 0.0, x + 20.0, 50.0) for t in range(300) for f, x in ((0, -100.0), (1, 300.0), (3, -100.0), (4, 300.0 if t % 2 else -100.0))]
+    df = spark.createDataFrame(rows, TRACK)
+    found = feed(spark, df, str(tmp_path / "in"), (0, 1, 5), lambda s: processors.stream_crossings(s, lines), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert told(found) == told(crossings.line_crossings(df, lines, direction=False)) and found.count() == 450
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", processors.STATE_STORE)
+    try:
+        kept = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "last").load().count()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert kept == 2

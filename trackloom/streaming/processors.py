@@ -4,7 +4,8 @@ Row-based windows don't exist on streams, so the state that batch operators
 read from earlier rows is kept by key: a track's last side and place, a site's
 gallery. Rows of a micro-batch are handled in the order of their frames. A track
 that misses a frame of its camera starts anew, which its next row's frame number
-shows. A key's rows of one micro-batch are in one task, so micro-batches are to
+shows. Tracks share keys in buckets of neighbouring numbers, as a call and an
+access to the state for each track would take most of the time. A key's rows of one micro-batch are in one task, so micro-batches are to
 be bounded by the source (``maxFilesPerTrigger``). A room's count, for which all
 doors of a room matter, is carried from batch to batch and distributed within.
 """
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -34,14 +35,27 @@ CROSSED = "camera_name string, track_id long, door_id string, frame_idx long, ev
 COUNTED = "room string, event_id long, ts timestamp, event string, occupancy long"
 
 
+#: Tracks that share a state value; their numbers are neighbours.
+TOGETHER = 256
+
+
+def bucket(track: str = "track_id") -> Column:
+    """The bucket of a track: a call of a processor, and what it reads and writes of the state, serve all its tracks at once."""
+    return F.floor(F.col(track) / TOGETHER).cast("long").alias("bucket")
+
+
 class CrossingProcessor(StatefulProcessor):
-    """Key: camera, track and door. Input rows carry the side that counts (null within the band), the foot and the line's direction."""
+    """Key: camera and bucket of tracks. Input rows carry the side that counts (null within the band), the foot and the line's direction.
+
+    The state is, for each track and door, the last frame, side and foot, and
+    when it may go. The bucket's timer is set to the first of those times.
+    """
 
     keep_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "frame long, side int, fx double, fy double, timer long")
+        self.last = handle.getValueState("last", "data binary, timer long")
 
     @staticmethod
     def allowed(event: str, direction: str, along: float | None) -> bool:
@@ -51,36 +65,59 @@ class CrossingProcessor(StatefulProcessor):
         return event == direction.upper() and along > 0.1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        data = pd.concat(list(rows)).sort_values("frame_idx")
-        frame, before, fx, fy, timer = self.last.get() if self.last.exists() else (None,) * 5
+        data = pd.concat(list(rows)).sort_values("frame_idx", kind="stable")
+        known, timer = self._read()
         out = []
-        for r in data.itertuples(index=False):
-            if frame is not None and r.frame_idx != frame + 1:
-                before = fx = None
-            along = None
-            if fx is not None and (length := math.hypot(r.fx - fx, r.fy - fy)) > 0:
-                along = ((r.fx - fx) * r.ux + (r.fy - fy) * r.uy) / length
-            frame, fx, fy = int(r.frame_idx), float(r.fx), float(r.fy)
-            if pd.notna(r.side):
-                side = int(r.side)
-                if before is not None and before != side:
-                    event = "ENTRY" if side == r.inside_sign else "EXIT"
-                    if self.allowed(event, r.direction, along):
-                        out.append((key[0], key[1], key[2], frame, event, int(r.px), int(r.py)))
-                before = side
-        if self.keep_ms is not None:
-            due = int(data["at"].max().timestamp() * 1000) + self.keep_ms
-            if timer is not None and due > timer:
+        for (track, door), own in data.groupby(["track_id", "door_id"], sort=False, dropna=False):
+            track = None if pd.isna(track) else int(track)
+            frame, before, fx, fy, due = known.get((track, door), (None,) * 5)
+            for r in own.itertuples(index=False):
+                if frame is not None and r.frame_idx != frame + 1:
+                    before = fx = None
+                along = None
+                if fx is not None and (length := math.hypot(r.fx - fx, r.fy - fy)) > 0:
+                    along = ((r.fx - fx) * r.ux + (r.fy - fy) * r.uy) / length
+                frame, fx, fy = int(r.frame_idx), float(r.fx), float(r.fy)
+                if pd.notna(r.side):
+                    side = int(r.side)
+                    if before is not None and before != side:
+                        event = "ENTRY" if side == r.inside_sign else "EXIT"
+                        if self.allowed(event, r.direction, along):
+                            out.append((key[0], track, door, frame, event, int(r.px), int(r.py)))
+                    before = side
+            if self.keep_ms is not None:
+                due = max(due or 0, int(own["at"].max().timestamp() * 1000) + self.keep_ms)
+            known[track, door] = frame, before, fx, fy, due
+        self._keep(known, timer)
+        if out:
+            found = pd.DataFrame(out, columns=[c.split()[0] for c in CROSSED.split(", ")])
+            found["track_id"] = pd.array(found["track_id"], "Int64")
+            yield found
+
+    def _read(self) -> tuple[dict, int | None]:
+        if not self.last.exists():
+            return {}, None
+        data, timer = self.last.get()
+        return pickle.loads(data), timer
+
+    def _keep(self, known: dict, timer: int | None) -> None:
+        """``timer`` is the one that is set."""
+        due = min((x[-1] for x in known.values()), default=None) if self.keep_ms is not None else None
+        if due != timer:
+            if timer is not None:
                 self.handle.deleteTimer(timer)
-            if timer is None or due > timer:
+            if due is not None:
                 self.handle.registerTimer(due)
-                timer = due
-        self.last.update((frame, before, fx, fy, timer))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CROSSED.split(", ")])
+        if known:
+            self.last.update((pickle.dumps(known), due))
+        else:
+            self.last.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
+        """Of the bucket's tracks those go whose time the watermark has passed."""
+        known, _ = self._read()
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        self._keep({k: x for k, x in known.items() if x[-1] > passed}, None)
         return iter(())
 
     def close(self) -> None:
@@ -99,11 +136,11 @@ def _crossed(rows: DataFrame, keep_s: int | None) -> DataFrame:
     processor.keep_ms = None if keep_s is None else 1000 * keep_s
     fx, fy = geo.crossing_point("x1", "y1", "x2", "y2", "foot")
     keyed = rows.select(
-        "camera_name", "track_id", "door_id", "frame_idx", "side", "inside_sign", "px", "py", fx.cast("double").alias("fx"), fy.cast("double").alias("fy"),
+        "camera_name", bucket(), "track_id", "door_id", "frame_idx", "side", "inside_sign", "px", "py", fx.cast("double").alias("fx"), fy.cast("double").alias("fy"),
         F.coalesce("ux", F.lit(0.0)).alias("ux"), F.coalesce("uy", F.lit(0.0)).alias("uy"), F.coalesce("direction", F.lit("both")).alias("direction"), "at",
     )
     mode = "None" if keep_s is None else "EventTime"
-    return keyed.groupBy("camera_name", "track_id", "door_id").transformWithStateInPandas(processor, CROSSED, "Append", mode)
+    return keyed.groupBy("camera_name", "bucket").transformWithStateInPandas(processor, CROSSED, "Append", mode)
 
 
 def stream_crossings(

@@ -6,9 +6,9 @@ has passed its time; only frames with detections count, and a track that was in
 the complete frame before and isn't in this one has left: the clock tells it so
 in a row of its own. A track's operator gets its observations and those rows, in
 the order of frames; it keeps the last few usable views as a list and the counts
-of its stretch.
+of its stretch. Tracks share its keys in buckets of neighbouring numbers.
 
-Time is event time. Each track sets a timer ``keep`` behind its last row; when
+Time is event time. A track's time is ``keep`` behind its last row; when
 the watermark has passed it, all its state goes, so what is kept is bounded by
 the tracks of that time, and a track that comes back later starts anew. Rows of
 a frame that is complete already are too late and left out.
@@ -16,6 +16,7 @@ a frame that is complete already are too late and left out.
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions import vec
 from ..operators import tracklets
 from ..session import ship_package
+from .processors import bucket
 
 # a stateful processor is also loaded by a worker on the driver, which shipped archives don't reach
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -112,52 +114,78 @@ class CameraClock(StatefulProcessor):
 
 
 class TrackProcessor(StatefulProcessor):
-    """Key: camera and track. Input rows are observations and, with ``missing_tick``, what the camera's clock tells."""
+    """Key: camera and bucket of tracks. Input rows are observations and, with ``missing_tick``, what the camera's clock tells.
+
+    The state is, for each track, its counts and when it may go, and its last
+    views. The bucket's timer is set to the first of those times.
+    """
 
     stable, most, keep_ms, views = tracklets.STABLE_FRAMES, tracklets.ANY_FRAMES, 3_600_000, KEPT_VIEWS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getValueState("counts", "frame long, n_usable long, n_stable long, mature boolean, timer long")
-        self.last = handle.getListState("last", "view long")
+        self.counts = handle.getValueState("counts", "data binary, timer long")
+        self.last = handle.getValueState("last", "data binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if key[0] is None:
             return
         data = pd.concat(list(rows))
-        data = data.assign(told=data["missing_tick"].notna()).sort_values(["frame_idx", "told"])
-        frame, usable, stable, mature, timer = self.counts.get() if self.counts.exists() else (None, 0, 0, False, None)
-        views = [v[0] for v in self.last.get()] if self.last.exists() else []
+        data = data.assign(told=data["missing_tick"].notna()).sort_values(["frame_idx", "told"], kind="stable")
+        counts, last, timer = self._read()
         out = []
-        for r in data.itertuples(index=False):
-            if r.told:
-                out.append((*key, "departure", int(r.last_tick), int(r.missing_tick), views, None, None, None, r.at))
-                views = []
-                continue
-            if frame is None or r.frame_idx != frame + 1:
-                usable = stable = 0
-            frame = int(r.frame_idx)
-            if r.usable:
-                usable += 1
-                stable += not r.is_edge
-                views = [*views, int(r.view)][-self.views :]
-            if not mature and (stable >= self.stable or usable >= self.most):
-                mature = True
-                out.append((*key, "maturity", None, None, None, frame, stable, usable, r.at))
-        due = int(data["at"].max().timestamp() * 1000) + self.keep_ms
-        if timer is not None and due > timer:
-            self.handle.deleteTimer(timer)
-        if timer is None or due > timer:
-            self.handle.registerTimer(due)
-            timer = due
-        self.counts.update((frame, usable, stable, mature, timer))
-        self.last.put([(v,) for v in views]) if views else self.last.clear()
+        for track, own in data.groupby("track_id", sort=False, dropna=False):
+            track = None if pd.isna(track) else int(track)
+            frame, usable, stable, mature, due = counts.get(track, (None, 0, 0, False, 0))
+            views = last.get(track, [])
+            for r in own.itertuples(index=False):
+                if r.told:
+                    out.append((key[0], track, "departure", int(r.last_tick), int(r.missing_tick), views, None, None, None, r.at))
+                    views = []
+                    continue
+                if frame is None or r.frame_idx != frame + 1:
+                    usable = stable = 0
+                frame = int(r.frame_idx)
+                if r.usable:
+                    usable += 1
+                    stable += not r.is_edge
+                    views = [*views, int(r.view)][-self.views :]
+                if not mature and (stable >= self.stable or usable >= self.most):
+                    mature = True
+                    out.append((key[0], track, "maturity", None, None, None, frame, stable, usable, r.at))
+            counts[track] = frame, usable, stable, mature, max(due, int(own["at"].max().timestamp() * 1000) + self.keep_ms)
+            last[track] = views
+        self._keep(counts, last, timer)
         if out:
             yield _frame_of(out, TOLD)
 
+    def _read(self) -> tuple[dict, dict, int | None]:
+        if not self.counts.exists():
+            return {}, {}, None
+        data, timer = self.counts.get()
+        return pickle.loads(data), pickle.loads(self.last.get()[0]), timer
+
+    def _keep(self, counts: dict, last: dict, timer: int | None) -> None:
+        """``timer`` is the one that is set."""
+        due = min((x[-1] for x in counts.values()), default=None)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if counts:
+            self.counts.update((pickle.dumps(counts), due))
+            self.last.update((pickle.dumps(last),))
+        else:
+            self.counts.clear()
+            self.last.clear()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.counts.clear()
-        self.last.clear()
+        """Of the bucket's tracks those go whose time the watermark has passed."""
+        counts, last, _ = self._read()
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        counts = {t: x for t, x in counts.items() if x[-1] > passed}
+        self._keep(counts, {t: last[t] for t in counts}, None)
         return iter(())
 
     def close(self) -> None:
@@ -187,4 +215,4 @@ def stream_tracks(
     )
     processor = TrackProcessor()
     processor.stable, processor.most, processor.keep_ms = stable, most, keep_s * 1000
-    return both.groupBy("camera_name", "track_id").transformWithStateInPandas(processor, TOLD, "Append", "EventTime", eventTimeColumnName="at")
+    return both.withColumn("bucket", bucket()).groupBy("camera_name", "bucket").transformWithStateInPandas(processor, TOLD, "Append", "EventTime", eventTimeColumnName="at")
