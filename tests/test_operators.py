@@ -365,3 +365,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_no_camera_is_one_task(spark, sf_dir, monkeypatch):
+    """Lines and regions are broadcast, so rows stay dealt by track, and many events make many tasks."""
+    from trackloom.plans import catalog, fixtures
+
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 100)
+    n = -(-fixtures.table(spark, sf_dir, "events").count() // 100)
+    for name in ("crossings_mode_both", "line_crossings_strict", "region_crossings", "filtered_tracks", "region_filtered_line_events"):
+        plan = plan_of(catalog.queries()[name](spark, sf_dir)).split("== Physical Plan ==")[1]
+        assert "SortMergeJoin" not in plan, name
+        assert "hashpartitioning(user_id" in plan and f", {n}), REPARTITION_BY_NUM" in plan, name

@@ -14,7 +14,7 @@ EVENT_COLUMNS = ("camera_name", "door_id", "track_id", "frame_idx", "event", "px
 def calibrated(lines: DataFrame) -> DataFrame:
     """Lines of cameras all of whose lines are set; a line from the origin to the origin is not."""
     unset = (F.col("sx") == 0) & (F.col("sy") == 0) & (F.col("ex") == 0) & (F.col("ey") == 0)
-    return lines.join(lines.where(unset).select("camera_name").distinct(), "camera_name", "left_anti")
+    return lines.join(F.broadcast(lines.where(unset).select("camera_name").distinct()), "camera_name", "left_anti")
 
 
 def line_crossings(tracks: DataFrame, lines: DataFrame, strict: bool = False, direction: bool = True) -> DataFrame:
@@ -27,12 +27,12 @@ def line_crossings(tracks: DataFrame, lines: DataFrame, strict: bool = False, di
     counts only between a line's ends and compares movement with the inward
     normal in place of the line itself.
 
-    Lines are a small table of configuration; Spark's size estimate decides
-    whether it is broadcast. Rows stay with their track, so the window adds one
-    shuffle by camera, track and door.
+    Lines are a small table of configuration and are broadcast: a shuffle by
+    camera would put all rows of a camera into one task. Rows stay with their
+    track, by which they are dealt already, so the window adds no shuffle.
     """
     df = presence.with_velocity(tracks) if direction else presence.with_segments(tracks)
-    joined = df.join(lines, "camera_name")
+    joined = df.join(F.broadcast(lines), "camera_name")
     px, py = geo.crossing_point("x1", "y1", "x2", "y2", F.coalesce(F.col("crossing_point"), F.lit("foot")))
     joined = joined.withColumns({"px": px, "py": py})
     ends = ("px", "py", "sx", "sy", "ex", "ey")
@@ -65,9 +65,9 @@ def _allowed(strict: bool) -> Column:
 
 
 def with_inside(tracks: DataFrame, regions: DataFrame) -> DataFrame:
-    """Adds px, py, ``room`` and ``inside``; both null for a camera without a valid region."""
+    """Adds px, py, ``room`` and ``inside``; both null for a camera without a valid region. Regions are broadcast, as lines are."""
     valid = regions.where(geo.valid_polygon(F.col("polygon"))).select("camera_name", "room", "polygon", F.col("crossing_point").alias("region_point"))
-    df = tracks.join(valid, "camera_name", "left")
+    df = tracks.join(F.broadcast(valid), "camera_name", "left")
     px, py = geo.crossing_point("x1", "y1", "x2", "y2", F.coalesce(F.col("region_point"), F.lit("foot")))
     df = df.withColumns({"px": px, "py": py})
     inside = F.when(F.col("polygon").isNotNull(), geo.inside_polygon(F.col("px"), F.col("py"), F.col("polygon")))
@@ -96,7 +96,7 @@ def inside_counts(tracks: DataFrame, regions: DataFrame) -> DataFrame:
 def line_events_by_region(events: DataFrame, regions: DataFrame) -> DataFrame:
     """Line events that the region bears out: an ENTRY ends inside, an EXIT outside. Cameras without a region pass."""
     valid = regions.where(geo.valid_polygon(F.col("polygon"))).select("camera_name", "polygon")
-    df = events.join(valid, "camera_name", "left")
+    df = events.join(F.broadcast(valid), "camera_name", "left")
     inside = geo.inside_polygon(F.col("px"), F.col("py"), F.col("polygon"))
     return df.where(F.col("polygon").isNull() | F.when(F.col("event") == "ENTRY", inside).otherwise(~inside)).drop("polygon")
 

@@ -18,6 +18,8 @@ POLYGON = [(100, 250), (540, 250), (540, 650), (100, 650)]
 #: Cameras that have a region.
 REGION_CAMERAS = ("Camera_1", "Camera_2", "Camera_3")
 BATCH = 32
+#: Events of a task at most, but for one user's: a few windows over wide rows hold several hundred bytes for each.
+TASK_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +31,16 @@ def camera(user: str = "user_id"):
     return F.concat(F.lit("Camera_"), (F.col(user) % 4 + 1).cast("string"))
 
 
+def by_user(events: DataFrame) -> DataFrame:
+    """``events`` dealt by user to as many tasks as their number asks for; by their compressed bytes Spark would make far fewer of many events."""
+    parts = -(-events.count() // TASK_ROWS)
+    return events.repartition(parts, "user_id") if parts > 1 else events
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    df = table(spark, sf_dir, "events").withColumns({"k": k, "frame_idx": (F.row_number().over(w) - 1).cast("long")})
+    df = by_user(table(spark, sf_dir, "events").withColumn("k", k)).withColumns({"frame_idx": (F.row_number().over(w) - 1).cast("long")})
     df = df.withColumns({
         "cx": F.floor(F.col("value") * 100).cast("long") % 640, "y2": 200 + (F.col("event_id") * 7 + F.col("k") * 3) % 500
     }).where("event_type <> 'error'")

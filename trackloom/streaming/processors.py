@@ -153,7 +153,7 @@ def stream_crossings(
     ``late`` behind the newest row, has passed. Rows later than that are left out.
     """
     ship_package(tracks.sparkSession)
-    df = _watermarked(tracks, keep_s, late).join(lines, "camera_name")
+    df = _watermarked(tracks, keep_s, late).join(F.broadcast(lines), "camera_name")
     px, py = geo.crossing_point("x1", "y1", "x2", "y2", F.coalesce(F.col("crossing_point"), F.lit("foot")))
     df = df.withColumns({"px": px, "py": py})
     ends = ("px", "py", "sx", "sy", "ex", "ey")
