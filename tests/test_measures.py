@@ -164,3 +164,16 @@ def test_average_precisions_in_groups_equal_full_rankings(spark, entries, apart)
     assert set(found) == set(want)
     for q, (ap, first) in want.items():
         assert found[q][1] == first and (found[q][0] == pytest.approx(ap, abs=1e-12) if ap is not None else found[q][0] is None), q
+
+
+def test_equal_boxes_meet_as_one(spark):
+    """Copies of boxes are one row while boxes meet, and all pairs come out."""
+    few = some_boxes(3, 30)
+    rows = [(f, i + 100 * k, *box) for f, i, *box in few for k in range(9)]
+    df = spark.createDataFrame(rows, BOX)
+    assert boxes.classes(df, ["frame"]).count() == len({(r[0], *r[2:]) for r in few})
+    found = sorted((r.a_id, r.b_id) for r in boxes.overlapping(df, df, ["frame"], ordered=True).collect())
+    assert found == sorted((a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and iou(a, b) >= 0.2)
+    unnamed = spark.createDataFrame([(0, None, 0.0, 0.0, 9.0, 9.0), (0, 1, 0.0, 0.0, 9.0, 9.0), (0, 2, 0.0, 0.0, 9.0, 9.0)], BOX)
+    assert boxes.overlapping(unnamed, unnamed, ["frame"]).count() == 9
+    assert [(r.a_id, r.b_id) for r in boxes.overlapping(unnamed, unnamed, ["frame"], ordered=True).collect()] == [(1, 2)]
