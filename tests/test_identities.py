@@ -206,3 +206,33 @@ def test_old_persons_make_room():
     assert list(g.persons) == [2, 3, 4, 5, 6, 7]
     assert sorted(g.owner[g.owner > 0].tolist()) == [2, 3, 4, 5, 6, 7]
     assert (g.scores(np.eye(16)[0])[g.owner > 0] < 0.5).all()
+
+
+def test_a_site_goes_on_from_what_is_kept(spark, sf_dir):
+    """Kept after each part and taken up again, a site tells the same; what is kept holds no feature twice and no array that persons are compared by."""
+    import pickle
+
+    from trackloom.plans import catalog
+
+    rows = gallery.observed(catalog._sites(spark, sf_dir)).toPandas().sort_values(gallery.ORDER)
+    limits = gallery.Limits(strict=0.35, edge=0.30, re_entry=0.25, most_persons=3, oldest_s=0.5)  # so that persons leave
+    whole = gallery.Site(limits, 3, 5)
+    parted = gallery.Site(limits, 3, 5)
+    for cut in np.array_split(np.sort(rows["frame_idx"].unique()), 7):
+        part = rows[rows["frame_idx"].isin(cut)]
+        assert parted.rows(part) == whole.rows(part)
+        data = parted.kept()
+        parted = gallery.Site.of_kept(data, limits, 3, 5)
+        assert parted.kept() and len(pickle.loads(data)[0]) < sum(len(p.features) + len(p.stable) + len(p.departed) for p in parted.gallery.persons.values()) + len(rows)
+    assert whole.gallery.next_id > 3 and {p.global_id for p in parted.gallery.persons.values()} == set(whole.gallery.persons)
+    empty = gallery.Site.of_kept(gallery.Site(limits).kept(), limits)
+    assert empty.gallery.next_id == 1 and not empty.pending
+
+
+def test_streams_have_more_files_as_there_are_more_rows(spark, sf_dir, monkeypatch):
+    from trackloom.plans import catalog
+
+    rows = catalog._sites(spark, sf_dir).select("site_id", "frame_idx")
+    assert catalog._arrived(rows, "frame_idx", "site_id")[1] == catalog.STEP_FILES
+    monkeypatch.setattr(catalog, "FILE_ROWS", 10)
+    assert catalog._arrived(rows, "frame_idx", "site_id")[1] == -(-rows.count() // 30)

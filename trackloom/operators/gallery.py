@@ -8,6 +8,7 @@ parallel.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -243,6 +244,47 @@ class Site:
         self.buffer: dict[tuple[str, int], list] = {}
         self.before: dict[str, dict[int, tuple]] = {}
 
+    def kept(self) -> bytes:
+        """All that the next frames depend on, as plain values and one array of the features; a feature that several lists hold is there once."""
+        features, places = [], {}
+
+        def place(x: np.ndarray) -> int:
+            if (i := places.get(id(x))) is None:
+                i = places[id(x)] = len(features)
+                features.append(x)
+            return i
+
+        at = lambda xs: [place(x) for x in xs]
+        g = self.gallery
+        persons = [(
+            p.global_id, p.last_seen, p.cameras, at(p.features), at(p.stable), at(p.departed), None if p.box is None else p.box.tolist(),
+            p.detections, p.stable_count
+        ) for p in g.persons.values()]
+        pending = {k: (at(v["features"]), v["stable"]) for k, v in self.pending.items()}
+        buffer = {k: at(v) for k, v in self.buffer.items()}
+        before = {c: {t: (found, place(x)) for t, (found, x) in own.items()} for c, own in self.before.items()}
+        even = len({x.shape for x in features}) == 1
+        return pickle.dumps((np.stack(features) if even else features, persons, g.known, g.next_id, g.slots, g.free, g.pool.shape, pending, buffer, before))
+
+    @classmethod
+    def of_kept(cls, data: bytes, limits: Limits | None = None, stable: int = 15, most: int = 45) -> Site:
+        """The site that :meth:`kept` told of. What persons are compared by is worked out anew from their features."""
+        features, persons, known, next_id, slots, free, shape, pending, buffer, before = pickle.loads(data)
+        features = list(features)
+        of = lambda places: [features[i] for i in places]
+        site = cls(limits, stable, most)
+        g = site.gallery
+        g.known, g.next_id, g.slots, g.free = known, next_id, slots, free
+        g.pool, g.owner = np.zeros(shape), np.zeros(shape[0], np.int64)
+        for i, seen, cameras, own, steady, departed, box, detections, count in persons:
+            g.persons[i] = Person(i, seen, cameras, of(own), of(steady), of(departed), None if box is None else np.array(box), detections, count)
+            g.owner[slots[i]] = i
+        g.changed = set(g.persons)
+        site.pending = {k: {"features": of(v), "stable": n} for k, (v, n) in pending.items()}
+        site.buffer = {k: of(v) for k, v in buffer.items()}
+        site.before = {c: {t: (found, features[x]) for t, (found, x) in own.items()} for c, own in before.items()}
+        return site
+
     def frame(self, camera: str, now: float, rows: list[tuple[int, np.ndarray, np.ndarray, bool]]) -> list[int | None]:
         """Identities of a frame's (local id, feature, box, edge); none while a track is pending."""
         active, out = {r[0] for r in rows}, []

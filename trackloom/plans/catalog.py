@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, vec
 from ..operators import boxes, crossings, etl, gallery, metrics, occupancy, presence, rates, similarity, tracklets
-from ..session import fresh_dir
+from ..session import dropped, fresh_dir, written
 from ..sources import live, results
 from ..streaming import latest, processors, rooms, tracks
 from . import expressions, expressions_oracle, files, files_oracle, oracle
@@ -286,28 +286,36 @@ def training_history_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STEPS, STEP_FILES = 3, 4
+#: Rows of such a file at most, but for one key's: many rows make more than ``STEP_FILES`` of them.
+FILE_ROWS = 100_000
 
 
-def _arrived(rows: DataFrame, order: str, *keys: str) -> str:
-    """``rows`` as files that arrive in ``STEPS`` steps of ``order``; a step has a key's rows in one file."""
+def _arrived(rows: DataFrame, order: str, *keys: str) -> tuple[str, int]:
+    """``rows`` as files that arrive in ``STEPS`` steps of ``order``; a step has a key's rows in one file. They are worked out once.
+
+    Returns the folder and the number of files of a step.
+    """
     path = fresh_dir(rows.sparkSession, "stream")
+    rows = written(rows, "arriving")
+    files = max(STEP_FILES, -(-rows.count() // (STEPS * FILE_ROWS)))
     at = F.col(order).cast("double")
     cuts = rows.agg(F.percentile_approx(at, [k / STEPS for k in range(1, STEPS)])).first()[0] or []
     step = sum((at > x).cast("int") for x in cuts) if cuts else F.lit(0)
     for k in range(len(cuts) + 1):
-        rows.where(step == k).repartition(STEP_FILES, *keys).write.mode("append").parquet(f"{path}/in")
-    return path
+        rows.where(step == k).repartition(files, *keys).write.mode("append").parquet(f"{path}/in")
+    dropped(rows)
+    return path, files
 
 
-def _source(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+def _source(spark: SparkSession, path: str, files: int, rows: DataFrame) -> DataFrame:
     """The files as a stream, a step's number of them in each micro-batch."""
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", STEP_FILES).parquet(f"{path}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame], order: str, *keys: str) -> DataFrame:
     """``rows`` written as files, read as a stream to its end in several micro-batches, and what the stream wrote."""
-    path = _arrived(rows, order, *keys)
-    stream = make(_source(spark, path, rows))
+    path, files = _arrived(rows, order, *keys)
+    stream = make(_source(spark, path, files, rows))
     processors.run_to_end(stream, f"{path}/out", f"{path}/state")
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
@@ -331,18 +339,18 @@ def stream_region_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.door_events(spark, sf_dir)
-    path = _arrived(rows, "ts", "event_id")
-    processors.count_to_end(_source(spark, path, rows), f"{path}/out", f"{path}/state", fx.SEED_OCCUPANCY)
+    path, files = _arrived(rows, "ts", "event_id")
+    processors.count_to_end(_source(spark, path, files, rows), f"{path}/out", f"{path}/state", fx.SEED_OCCUPANCY)
     return spark.read.schema(processors.COUNTED).parquet(f"{path}/out/rows").select("event_id", "event", "occupancy")
 
 
 def _told(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
     """What the stream of tracks, with a heartbeat at its end, tells of the kind; a frame's time follows from its number, so all cameras keep pace."""
     rows = fx.observations(spark, sf_dir).withColumn("at", F.timestamp_millis(86_400_000 + F.col("frame_idx") * 40)).drop("ts")
-    path = _arrived(rows, "frame_idx", *TRACK)
+    path, files = _arrived(rows, "frame_idx", *TRACK)
     beat = rows.agg((F.max("at") + F.make_interval(mins=F.lit(10))).alias("at")).where("at is not null")
     beat.select(*[F.col(c) if c == "at" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(f"{path}/in")
-    stream = tracks.stream_tracks(_source(spark, path, rows), "vec_id", 3, 5)
+    stream = tracks.stream_tracks(_source(spark, path, files, rows), "vec_id", 3, 5)
     processors.run_to_end(stream, f"{path}/out", f"{path}/state")
     return spark.read.schema(stream.schema).parquet(f"{path}/out").where(F.col("what") == what)
 
@@ -366,13 +374,13 @@ def stream_maturity(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATE_S = 3 * 86_400
 
 
-def _out_of_order(rows: DataFrame) -> str:
+def _out_of_order(rows: DataFrame) -> tuple[str, int]:
     """``rows`` as files that arrive by their ``arrival``, and two heartbeats of their source, rows with a time only, long after them."""
-    path = _arrived(rows, "arrival", "event_id")
+    path, files = _arrived(rows, "arrival", "event_id")
     for day in (60, 61):
         beat = rows.agg((F.max("ts") + F.make_interval(days=F.lit(day))).alias("ts")).where("ts is not null")
         beat.select(*[F.col(c) if c == "ts" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(f"{path}/in")
-    return path
+    return path, files
 
 
 def _shuffled(rows: DataFrame) -> DataFrame:
@@ -382,8 +390,8 @@ def _shuffled(rows: DataFrame) -> DataFrame:
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two newest rows of each camera and hour of a stream that is out of order, with what was dropped for them."""
     rows = _shuffled(fx.arrivals(spark, sf_dir).select("camera_name", "event_id", "ts"))
-    path = _out_of_order(rows)
-    stream = latest.stream_latest(_source(spark, path, rows), 3600, 2, f"{LATE_S} seconds")
+    path, files = _out_of_order(rows)
+    stream = latest.stream_latest(_source(spark, path, files, rows), 3600, 2, f"{LATE_S} seconds")
     processors.run_to_end(stream, f"{path}/out", f"{path}/state")
     return spark.read.schema(stream.schema).parquet(f"{path}/out").select("camera_name", "event_id", "rn", "dropped")
 
@@ -392,8 +400,8 @@ def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The session of a room whose events arrive out of order by up to ``LATE_S``, and whose source gives two heartbeats at its end."""
     rows = fx.door_events(spark, sf_dir).select("room", "event_id", "ts", "event", "door_id")
     shuffled = _shuffled(rows)
-    path = _out_of_order(shuffled)
-    stream = rooms.stream_summary(_source(spark, path, shuffled), fx.SEED_OCCUPANCY, f"{LATE_S} seconds", 3600, 30 * 86_400)
+    path, files = _out_of_order(shuffled)
+    stream = rooms.stream_summary(_source(spark, path, files, shuffled), fx.SEED_OCCUPANCY, f"{LATE_S} seconds", 3600, 30 * 86_400)
     processors.run_to_end(stream, f"{path}/out", f"{path}/state")
     found = spark.read.schema(stream.schema).parquet(f"{path}/out")
     elapsed = F.round((F.unix_micros("session_end") - F.unix_micros("session_start")) / 1e6, 1)
@@ -419,8 +427,8 @@ def live_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals by camera and second of a stream, of the seconds that its watermark has closed."""
     rows = fx.arrivals(spark, sf_dir)
-    path = _arrived(rows, "ts", "event_id")
-    processors.run_to_end(processors.rates(_source(spark, path, rows)), f"{path}/out", f"{path}/state")
+    path, files = _arrived(rows, "ts", "event_id")
+    processors.run_to_end(processors.rates(_source(spark, path, files, rows)), f"{path}/out", f"{path}/state")
     found = spark.read.parquet(f"{path}/out")
     return found.select("camera_name", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("second"), "n")
 

@@ -185,9 +185,10 @@ class GalleryProcessor(StatefulProcessor):
         self.site = handle.getValueState("site", "data binary", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        site = pickle.loads(self.site.get()[0]) if self.site.exists() else gallery.Site(self.limits, self.stable, self.most)
+        known = self.limits, self.stable, self.most
+        site = gallery.Site.of_kept(self.site.get()[0], *known) if self.site.exists() else gallery.Site(*known)
         found = site.rows(pd.concat(list(rows)).sort_values(gallery.ORDER))
-        self.site.update((cloudpickle.dumps(site),))
+        self.site.update((site.kept(),))
         yield gallery.as_resolved(key[0], found)
 
     def close(self) -> None:
