@@ -1022,6 +1022,54 @@ def test_families_without_a_hub_equal_five_word_jaccard(spark, monkeypatch, bloc
     assert [found[i] for i in range(len(texts))] == jaccard_components_by_hand(texts)
 
 
+def pairs_around(likeness, sizes):
+    """Pairs of texts, no word in two of them, whose five-word sets just reach ``likeness``, or, of every fifth one, just miss it."""
+    texts = []
+    for k, n in enumerate(sizes):
+        words = [f"w{k}x{i}" for i in range(n + 4)]
+        cut = int(n * (1 - likeness) + 1e-9) + (k % 5 == 0)  # what the longer one has on its own
+        texts += [" ".join(words), " ".join(words[cut:])]
+    return texts
+
+
+@pytest.mark.parametrize("likeness", [0.6, 0.8])
+def test_rings_miss_no_pair(spark, likeness):
+    """Bands of MinHashes missed some of these pairs at 0.6."""
+    texts = pairs_around(likeness, list(range(3, 240)) * 2)
+    found = {r.doc_id: r.component_id for r in shingles.near_duplicates(rows_of(spark, list(enumerate(texts))), likeness=likeness).collect()}
+    assert [found[i] for i in range(len(texts))] == jaccard_components_by_hand(texts, likeness)
+
+
+def test_rings_need_a_part_that_is_equal(spark):
+    with pytest.raises(ValueError, match="over 0.5"):
+        shingles.ring_links(rows_of(spark, [(1, "a b c d e f")]), likeness=0.5)
+
+
+def test_chains_in_groups_equal_all_pairs():
+    """Links of groups, large and small ones, connect what all pairs within budget connect, and join no others."""
+    rng = np.random.default_rng(4)
+    part = np.sort(np.concatenate((np.repeat([1, 2], [300, 60]), rng.integers(3, 90, 400)))).astype(np.int64)
+    nodes, chains = rng.permutation(len(part)).astype(np.int64), rng.integers(0, 1 << 63, 4, dtype=np.uint64)[rng.integers(0, 4, len(part))]
+    for _ in range(3):
+        chains = chains ^ np.where(rng.random(len(part)) < 0.6, np.uint64(1) << rng.integers(0, 64, len(part)).astype(np.uint64), np.uint64(0))
+
+    def components_of(pairs):
+        root = list(range(len(part)))
+        for i, j in pairs:
+            root = [root[j] if r == root[i] else r for r in root]
+        return [root.index(r) for r in root]
+
+    def within(x, y):
+        return all((int(x ^ y) & (1 << 16 * k) - 1).bit_count() <= k for k in range(1, 5))
+
+    met = list(zip(*(x.tolist() for x in shingles.chain_links(part, nodes, chains)), strict=True))
+    at = np.argsort(nodes)
+    met = [(at[i], at[j]) for i, j in met]
+    assert all(part[i] == part[j] and within(chains[i], chains[j]) for i, j in met)
+    want = [(i, j) for i in range(len(part)) for j in range(i) if part[i] == part[j] and within(chains[i], chains[j])]
+    assert components_of(met) == components_of(want)
+
+
 def test_links_of_blocks_equal_brute_force():
     sets = [x for x in shingles.shingle_sets([t.encode() for t in hubless_copies()])]
     nodes, side = np.arange(len(sets)), np.arange(len(sets)) % 2

@@ -18,7 +18,7 @@ Equal fingerprints are one node from the start.
 
 Fingerprints tell texts apart that differ in a few shingles: two texts that share
 0.8 of their shingles differ in some ten bits. :func:`first_of_each`, which the
-pipeline calls, therefore links texts by the exact similarity of their sets.
+pipeline calls, therefore lays rings over the sets themselves, with an exact check.
 
 Defined cases: null and empty texts, and texts of blanks, have fingerprint
 zero, which links like any other; texts of one or two words have one shingle of
