@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def query_groups(queries: DataFrame, gallery: DataFrame, entries: int = ENTRIES) -> tuple[DataFrame, int]:
     """``queries`` with their ``group``, and how many groups there are: each has about ``entries`` pairs of a query and a picture of its person.
 
-    Persons with an eighth of that or more are dealt to units, which go round the
-    groups; there are few of them to a group. Other persons are in one group each.
+    Persons with an eighth of that or more are dealt to units, of which neighbours
+    share a group, so a group has few persons whose pictures it needs. Other
+    persons are in one group each.
     """
     sizes = queries.groupBy("pid").agg(F.count("*").alias("nq")).join(gallery.groupBy("pid").agg(F.count("*").alias("ng")), "pid", "left")
     sizes = written(sizes.select("pid", (F.col("nq") * (F.coalesce("ng", F.lit(0)) + OWN)).alias("entries")), "person-sizes")
@@ -50,10 +52,11 @@ def query_groups(queries: DataFrame, gallery: DataFrame, entries: int = ENTRIES)
     unit = max(1, -(-total // count // UNITS))
     large = sizes.where(F.col("entries") >= unit).withColumn("units", F.ceil(F.col("entries") / unit).cast("long"))
     ahead = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # a few persons for each group
-    large = large.select("pid", "units", F.coalesce(F.sum("units").over(ahead), F.lit(0)).alias("ahead"))
-    own = F.when(F.col("units").isNull(), F.xxhash64("pid")).otherwise(F.col("ahead") + F.pmod(F.xxhash64("id"), F.col("units")))
-    dealt = queries.join(F.broadcast(large), "pid", "left").withColumn("group", F.pmod(own, F.lit(count)).cast("int"))
-    return dealt.drop("units", "ahead"), count
+    large = large.select("pid", "units", F.coalesce(F.sum("units").over(ahead), F.lit(0)).alias("ahead"), F.sum("units").over(Window.partitionBy()).alias("all"))
+    unit_group = F.floor((F.col("ahead") + F.pmod(F.xxhash64("id"), F.col("units"))) * count / F.col("all"))
+    own = F.when(F.col("units").isNull(), F.pmod(F.xxhash64("pid"), F.lit(count))).otherwise(unit_group)
+    dealt = queries.join(F.broadcast(large), "pid", "left").withColumn("group", F.least(own, F.lit(count - 1)).cast("int"))
+    return dealt.drop("units", "ahead", "all"), count
 
 
 class _Ranks:
@@ -136,25 +139,33 @@ def average_precisions(queries: DataFrame, gallery: DataFrame, block: int = simi
     ``queries`` and ``gallery`` have id, pid, cid and embedding. No pair of
     vectors is ever a row. Queries are in groups of a bounded number of relevant
     pictures, for each of which a task keeps a key and a count; the gallery goes
-    past each group in blocks. So a task's memory is that of its group, and what
-    is shuffled is a copy of the gallery for each group.
+    past each group in blocks. So a task's memory is that of its group. What is
+    shuffled is a copy of the gallery for each group: as many groups as there are
+    tasks at a time are one round, so no more copies than that are on disk.
     """
     ship_package(queries.sparkSession)
     dealt, count = query_groups(queries, gallery, entries)
+    together = queries.sparkSession.sparkContext.defaultParallelism
     ends = gallery.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
     least_id, spread = (int(ends["a"]), int(ends["b"]) - int(ends["a"])) if ends["a"] is not None else (0, 0)
     columns = [*[F.col(c).cast("long").alias(c) for c in ("id", "pid", "cid")], F.col("embedding").cast("array<float>").alias("embedding")]
     blocks = written(gallery.select(*columns).repartition(max(1, -(-gallery.count() // max(1, block))), "id").mapInArrow(_packed, _PACKED_DDL), "packed-gallery")
     single = lambda df, kind: df.select(F.col("group"), F.lit(kind).alias("kind"), *[F.array(c).alias(f"{c}s") for c in ("id", "pid", "cid")], "embedding")
-    persons = F.broadcast(dealt.select("group", "pid").distinct())
-    own = single(dealt.select("group", *columns), 0).unionByName(single(gallery.select(*columns).join(persons, "pid"), 1))
-    own = own.select("group", "kind", F.element_at("ids", 1).alias("id"), F.element_at("pids", 1).alias("pid"), F.element_at("cids", 1).alias("cid"), "embedding")
     none = lambda kind: F.lit(None).cast(kind)
-    own = own.select("*", none("binary").alias("ids"), none("binary").alias("pids"), none("binary").alias("cids"), none("binary").alias("vectors"))
-    past = blocks.select(
-        F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("group"), F.lit(2).alias("kind"), none("long").alias("id"), none("long").alias("pid"),
-        none("long").alias("cid"), none("array<float>").alias("embedding"), "ids", "pids", "cids", "vectors"
-    )
+    dealt = written(dealt.select("group", *columns), "query-groups")
+
+    def rows_of(first: int, last: int) -> DataFrame:
+        """What the groups from ``first`` to ``last`` get: their queries, their persons' pictures, the gallery."""
+        asked = dealt.where(F.col("group").between(first, last))
+        persons = F.broadcast(asked.select("group", "pid").distinct())
+        own = single(asked, 0).unionByName(single(gallery.select(*columns).join(persons, "pid"), 1))
+        own = own.select("group", "kind", F.element_at("ids", 1).alias("id"), F.element_at("pids", 1).alias("pid"), F.element_at("cids", 1).alias("cid"), "embedding")
+        own = own.select("*", none("binary").alias("ids"), none("binary").alias("pids"), none("binary").alias("cids"), none("binary").alias("vectors"))
+        past = blocks.select(
+            F.explode(F.sequence(F.lit(first), F.lit(last))).alias("group"), F.lit(2).alias("kind"), none("long").alias("id"), none("long").alias("pid"),
+            none("long").alias("cid"), none("array<float>").alias("embedding"), "ids", "pids", "cids", "vectors"
+        )
+        return own.unionByName(past).repartitionById(last - first + 1, F.col("group") - first).sortWithinPartitions("group", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ranks = None, _Ranks(least_id, spread)
@@ -181,8 +192,10 @@ def average_precisions(queries: DataFrame, gallery: DataFrame, block: int = simi
                 i = j
         yield from ranks.told()
 
-    rows = own.unionByName(past).repartition(count, "group").sortWithinPartitions("group", "kind")
-    return rows.mapInArrow(run, "query_id long, ap double, first long")
+    found = [
+        rows_of(i, min(i + together, count) - 1).mapInArrow(run, "query_id long, ap double, first long") for i in range(0, count, together)
+    ]
+    return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, [written(x, "average-precisions") for x in found])
 
 
 def _unit(data: np.ndarray) -> np.ndarray:
